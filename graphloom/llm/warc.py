@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import without
+from graphloom.llm.common import Scratch, without
 
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, http_length long, fields string, payload binary"
 ADDED = ("_key", "_digest", "_first", "_bytes")
 FILE_BYTES = 32 << 20
+#: About 100 bytes each.
+BROADCAST_DIGESTS = 50_000
 
 
 def record_id(kind: str, key: Column) -> Column:
@@ -34,8 +36,9 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", date: str = "2
     """A request, a response or revisit, and a metadata record for each row of pages (key, url, html).
 
     Payloads of at least `least` bytes that are equal are stored once, with the smallest key; the
-    others become revisits of it. First keys come from a partial aggregation by digest and are joined
-    back, where adaptive execution splits a hot payload. Null html is an empty payload, a null URL
+    others become revisits of it. First keys of payloads that repeat come from a partial aggregation by
+    digest; up to BROADCAST_DIGESTS of them go back by broadcast, more by a shuffled join, where
+    adaptive execution splits a hot payload. Null html is an empty payload, a null URL
     becomes urn:null, line breaks in URLs are percent-encoded. Rows that repeat a key with its payload
     are responses alike. The archive is Spark text output whose line separator ends a record, so any
     Hadoop file system takes it, and the commit protocol drops what lost executors half wrote.
@@ -43,8 +46,10 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", date: str = "2
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = without(pages, *ADDED).select(F.col(key).alias("_key"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("urn:null")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"), F.sha2(html, 256).alias("_digest"), F.octet_length(html).cast("long").alias("_bytes"))
     firsts = rows.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = Scratch(pages.sparkSession, "warc-firsts").put(firsts, "firsts")
     mean = rows.agg(F.avg("_bytes")).first()[0] or 0
-    rows = rows.join(firsts, "_digest", "left")
+    few = firsts.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    rows = rows.join(F.broadcast(firsts) if few else firsts, "_digest", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_key"))
     common = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))]
     response = record_id("response", F.col("_key"))
