@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +115,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 def fingerprint(column: Column) -> list[Column]:
     """Two differently seeded 64-bit hashes, which together name a text."""
     return [F.xxhash64(column).alias("k1"), F.xxhash64(F.lit("graphloom"), column).alias("k2")]
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the actions inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """Each row of a list column without nulls as a float64 array."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def all_finite(name: str) -> Column:
+    """True only for vectors that are not null and hold neither null nor non-finite components."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce(F.col(name).isNotNull() & ~F.exists(name, lambda x: odd(x.cast("double"))), F.lit(False))

@@ -7,8 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import mixing, sharding, url_filter, warc
-from graphloom.llm.common import Scratch, load
+from graphloom.llm import bpe, mixing, near_vectors, sharding, topk, url_filter, warc
+from graphloom.llm.common import Scratch, load, small_batches
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return bpe.digests(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(load(spark, sf_dir, "embeddings"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +69,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
+    "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
     "op7_url_filters": op7_url_filters,
     "op9_sharding": op9_sharding,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 OP5_SQL = """
@@ -63,4 +85,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id < page_id THEN
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL, "op5_warc": OP5_SQL, "op7_url_filters": url_filter.ORACLE_SQL}
+#: The whole matrix of products: exact, and quadratic in the rows.
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_warc": OP5_SQL, "op7_url_filters": url_filter.ORACLE_SQL}
