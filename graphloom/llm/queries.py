@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mixing, near_vectors, sharding, topk, url_filter, warc
+from graphloom.llm import bpe, mixing, near_vectors, quality, sharding, topk, url_filter, warc
 from graphloom.llm.common import Scratch, load, small_batches
 
 
@@ -57,6 +57,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, load(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OLD_SHARDS, NEW_SHARDS = 16, 24
 
 
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
     "op7_url_filters": op7_url_filters,
+    "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_near_vectors": op10_near_vectors,
 }
