@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mixing, near_vectors, quality, sharding, topk, url_filter, warc
+from graphloom.llm import bpe, jaccard_join, mixing, near_vectors, quality, sharding, topk, url_filter, warc
 from graphloom.llm.common import Scratch, load, small_batches
 
 
@@ -53,6 +53,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return originals.unionByName(revisits)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(load(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_url_filters": op7_url_filters,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
