@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -22,9 +21,9 @@ SYM_LETTER, SYM_NUMBER, SYM_OTHER, SYM_SHORT, SYM_LONG, SYM_INNER, SYM_BLANK, SY
 #: States: what the characters before have opened.
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, PREFIX, ONE_LEFT, TWO_LEFT, FRESH = range(8)
 COLUMNS = 64
-CACHE = 600_000
+CACHE = 250_000
 SHORT = 48
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -208,7 +207,7 @@ class Codec:
             self.cache[piece] = ids
         return ids
 
-    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list[int], np.ndarray]]:
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offset of each piece in characters) of each text of a UTF-8 buffer."""
         text = data.tobytes().decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -221,30 +220,36 @@ class Codec:
             own = cuts[bounds[i] : bounds[i + 1]]
             edges = [*own.tolist(), int(at[i + 1])]
             parts = [text[a:b] for a, b in zip(edges, edges[1:])]  # noqa: B905
-            ids = []
             try:
-                ids = list(chain.from_iterable([cache[p] for p in parts]))
+                found = [cache[p] for p in parts]
             except KeyError:
-                ids = list(chain.from_iterable([cache.get(p) or missing(p) for p in parts]))
-            yield ids, own - at[i]
+                found = [cache.get(p) or missing(p) for p in parts]
+            yield np.fromiter(chain.from_iterable(found), np.int32), (own - at[i]).astype(np.int32)
 
     def encode(self, text: str) -> list[int]:
         raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-        return next(self.encode_all(raw, np.array([0, len(raw)], np.int64)))[0]
+        return next(self.encode_all(raw, np.array([0, len(raw)], np.int64)))[0].tolist()
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs with ids (array<int>) and starts (array<int>: where the pieces start, in characters).
 
     Null and empty texts have no ids. Repeated rows are encoded alike, other columns pass through (one
     named ids or starts gives way), an empty table gives none. Texts are encoded whole, whatever their
     length; memory is bounded by a text, and a piece of n bytes takes n log n steps. `path` is a
-    vocabulary file that every executor has; it is read there and never shipped.
+    vocabulary file that every executor has; it is read there and never shipped. With `decoded`, the
+    bytes that the ids decode to come along, in the same pass.
     """
-    rest = without(docs, "ids", "starts")
+    added = ("ids", "starts", "decoded") if decoded else ("ids", "starts")
+    rest = without(docs, *added)
 
     def run(stream):
         codec = Codec(path)
@@ -252,10 +257,12 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             data, offsets = utf8(batch.column(text))
             for i, j in slices(offsets, CHUNK):
                 found = list(codec.encode_all(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.int32()))], names=[*part.schema.names, "ids", "starts"])
+                columns = [*batch.slice(i, j - i).columns, _lists([x for x, _ in found]), _lists([x for _, x in found])]
+                if decoded:
+                    columns.append(pa.array([codec.decode(x) for x, _ in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
 
-    return rest.mapInArrow(run, _ddl(rest) + "ids array<int>, starts array<int>")
+    return rest.mapInArrow(run, _ddl(rest) + "ids array<int>, starts array<int>" + ", decoded binary" * decoded)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -269,28 +276,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(stream):
         codec = Codec(path)
         for batch in stream:
-            out = [codec.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+            out = [codec.decode(np.array(ids or (), np.int32)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return rest.mapInArrow(run, _ddl(rest) + "decoded binary")
-
-
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, for checks."""
-    rest = docs.select(key, text)
-
-    def run(stream):
-        codec = Codec(path)
-        named = {i: str(i) for i in codec.tokens}.__getitem__
-        for batch in stream:
-            data, offsets = utf8(batch.column(text))
-            counts, names, decoded = [], [], []
-            for i, j in slices(offsets, CHUNK):
-                for ids, _ in codec.encode_all(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    counts.append(len(ids))
-                    names.append(hashlib.sha256(" ".join(map(named, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(names), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = rest.schema[key].dataType.simpleString()
-    return rest.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

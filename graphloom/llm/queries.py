@@ -23,7 +23,9 @@ def tokenizer_path() -> str:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return bpe.digests(load(spark, sf_dir, "documents"), tokenizer_path())
+    coded = bpe.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded=True)
+    names = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(names, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
