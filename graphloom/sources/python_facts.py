@@ -219,3 +219,17 @@ def call_edges(facts: DataFrame) -> DataFrame:
     node = lambda file, name: F.concat(F.lit("Function:"), file, F.lit("#"), name)
     rows = local.unionByName(via).select(node(F.col("file"), F.col("caller")).alias("src"), node(F.col("to"), F.col("name")).alias("dst")).where("src <> dst").distinct()
     return rows.select(edge_id(F.lit("CALLS"), F.col("src"), F.col("dst")).alias("id"), "src", "dst", F.lit("CALLS").alias("kind"))
+
+
+#: What a model view set answers, as (method, below an object).
+VIEWSET_ROUTES = (("GET", False), ("POST", False), ("GET", True), ("PUT", True), ("PATCH", True), ("DELETE", True))
+
+
+def drf_routes(facts: DataFrame) -> DataFrame:
+    """JOIN-11: (method, path, handler, file): registered view sets times their methods, read-only ones GET only."""
+    views = facts.where("fact = 'view'").select(F.col("name").alias("handler"), F.col("extra").contains("ReadOnly").alias("read_only"), F.col("file").alias("view_file"))
+    kinds = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(one).alias("one")) for m, one in VIEWSET_ROUTES])
+    rows = facts.where("fact = 'registration'").select(F.col("extra").alias("prefix"), F.col("target").alias("handler")).join(views, "handler")
+    rows = rows.withColumn("r", F.explode(kinds)).where((F.col("r.method") == "GET") | ~F.col("read_only"))
+    path = F.regexp_replace(F.concat(F.lit("/"), "prefix", F.lit("/"), F.when(F.col("r.one"), "{id}/").otherwise("")), "/+", "/")
+    return rows.select(F.col("r.method").alias("method"), path.alias("path"), "handler", F.col("view_file").alias("file")).distinct()
