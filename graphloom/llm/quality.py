@@ -18,7 +18,7 @@ FEATURES = ("log_chars", "log_words", "word_length", "upper", "digit", "mark", "
 #: Labelled rows that a fit takes at most, chosen by hash of their id.
 SAMPLE = 12_000
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAST = 48, 12, 150, 60, 8, 0.15, 4.0
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SPACE, LOWER, UPPER, DIGIT, MARK = range(5)
 
 

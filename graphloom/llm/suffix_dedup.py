@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import Scratch, batches, mix, slices, utf8, words_at
 
 LENGTH, GRAM = 400, 32
-CHUNK, ROWS = 4 << 20, 1000
+CHUNK, ROWS = 1 << 20, 1000
 #: Positions within a chunk take so many bits of a sliding minimum's key; a longer text is cut into
 #: overlapping pieces, so that every text is anchored by the same rule.
 BITS = 26
