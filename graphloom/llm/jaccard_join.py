@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Scratch, batches, mix, slices, utf8
@@ -13,9 +13,13 @@ from graphloom.llm.components import components
 from graphloom.llm.shingles import linked, sets
 
 #: Counters in each of two rows of the frequency sketch (a fixed size, whatever the corpus), pieces it is sent in.
-WIDTH, PIECES = 1 << 21, 32
-KEYS = 6
-CHUNK = 4 << 20
+WIDTH, PIECES = 1 << 22, 32
+KEYS = 4
+#: Members of a key's bucket that those which its first star left alone are compared with.
+PIVOTS = 6
+#: Members of a group that one task of an opening holds; best pairs of two groups that are tried first.
+OPENED, FIRST = 4000, 3
+CHUNK = 1 << 20
 ROWS = 1000
 #: Groups of one token that are paired at a time.
 TILE = 2048
@@ -54,7 +58,7 @@ def _facts(docs: DataFrame) -> DataFrame:
                 found = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 every = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 for row, cell in zip(sketch, cells(every), strict=True):
-                    row += np.bincount(cell, minlength=WIDTH).astype(np.int32)
+                    np.add.at(row, cell, 1)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 full = np.flatnonzero(np.diff(at))
                 low = np.zeros((KEYS, len(found)), np.int64)
@@ -67,7 +71,7 @@ def _facts(docs: DataFrame) -> DataFrame:
             n = len(names)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("t"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         step = 2 * WIDTH // PIECES
-        for p, part in enumerate(np.minimum(sketch, 65535).astype(np.uint16).reshape(PIECES, step)):
+        for p, part in enumerate(np.minimum(sketch, 255).astype(np.uint8).reshape(PIECES, step)):
             if part.any():
                 yield pa.RecordBatch.from_pylist([{"piece": p, "counts": part.tobytes()}], schema=schema)
 
@@ -75,26 +79,29 @@ def _facts(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(pieces: DataFrame) -> np.ndarray:
-    """The summed sketch on a scale of 16 steps to a doubling: 4 MB."""
+    """The summed sketch on a scale of 16 steps to a doubling: 8 MB."""
     step = 2 * WIDTH // PIECES
 
+    def scaled(piece, counts):
+        return pa.RecordBatch.from_pylist([{"piece": piece, "counts": np.minimum(16 * np.log2(1 + counts), 255).astype(np.uint8).tobytes()}], schema=out)
+
     def add(stream):
         held = None
         for batch in stream:
             for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts"), strict=True):
                 if held is None or piece != held[0]:
                     if held:
-                        yield pa.RecordBatch.from_pylist([{"piece": held[0], "counts": held[1].tobytes()}], schema=out)
+                        yield scaled(*held)
                     held = (piece, np.zeros(step, np.int64))
-                held[1][:] += np.frombuffer(counts.as_buffer(), np.uint16)
+                held[1][:] += np.frombuffer(counts.as_buffer(), np.uint8)
         if held:
-            yield pa.RecordBatch.from_pylist([{"piece": held[0], "counts": held[1].tobytes()}], schema=out)
+            yield scaled(*held)
 
     out = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
     total = np.zeros((PIECES, step), np.uint8)
     summed = pieces.repartition(PIECES, "piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, counts binary")
     for row in summed.collect():  # PIECES rows of one size
-        total[row["piece"]] = np.minimum(16 * np.log2(1 + np.frombuffer(row["counts"], np.int64)), 255).astype(np.uint8)
+        total[row["piece"]] = np.frombuffer(row["counts"], np.uint8)
     return total.reshape(2, WIDTH)
 
 
@@ -142,61 +149,103 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def _paired(stream):
-    """(g, h, hits): how many tokens each two groups share, of rows (token, g) sorted by both."""
+def _paired(percent: int):
+    """A function from rows (token, g, info) sorted by token and g to (g, h, gi, hi, hits): how many tokens
+    each two groups share whose sizes (info: largest << 32 | smallest << 1 | several members) can link."""
 
-    def pairs(groups):
+    def pairs(groups, info):
+        low, high = info >> 1 & 0x7FFFFFFF, info >> 32
         for i in range(0, len(groups), TILE):
             for j in range(i, len(groups), TILE):
-                a, b = groups[i : i + TILE], groups[j : j + TILE]
-                x, y = np.triu_indices(len(a), 1) if i == j else (g.ravel() for g in np.indices((len(a), len(b))))
-                yield a[x], b[y]
+                x, y = np.arange(i, min(i + TILE, len(groups))), np.arange(j, min(j + TILE, len(groups)))
+                fits = (100 * high[x][:, None] >= percent * low[y][None, :]) & (100 * high[y][None, :] >= percent * low[x][:, None])
+                if i == j:
+                    fits = np.triu(fits, 1)
+                a, b = np.nonzero(fits)
+                if len(a):
+                    yield groups[x[a]], groups[y[b]], info[x[a]], info[y[b]]
 
     def counted(held):
-        g, h = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        g, h, gi, hi = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((h, g))
-        g, h = g[order], h[order]
+        g, h, gi, hi = g[order], h[order], gi[order], hi[order]
         fresh = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])]))
-        return pa.RecordBatch.from_arrays([pa.array(g[fresh]), pa.array(h[fresh]), pa.array(np.diff(np.append(fresh, len(g))))], names=["g", "h", "hits"])
-
-    held, size = [], 0
-    rest = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (g[fresh], h[fresh], gi[fresh], hi[fresh], np.diff(np.append(fresh, len(g))))], names=["g", "h", "gi", "hi", "hits"])
 
-    def close(token, group):
+    def close(token, group, info):
         """Runs of equal tokens with two groups or more."""
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
-        token, group = token[fresh], group[fresh]
+        token, group, info = token[fresh], group[fresh], info[fresh]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(starts[1:], len(token))
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            yield from pairs(group[a:b])
-
-    for batch in stream:
-        token = np.concatenate([rest[0], batch.column("token").to_numpy()])
-        group = np.concatenate([rest[1], batch.column("g").to_numpy()])
-        if not len(token):
-            continue
-        cut = int(np.searchsorted(token, token[-1], side="left"))
-        if cut:
-            for p in close(token[:cut], group[:cut]):
+            yield from pairs(group[a:b], info[a:b])
+
+    def run(stream):
+        held, size, rest = [], 0, tuple(np.zeros(0, np.int64) for _ in range(3))
+
+        def closed(columns):
+            nonlocal held, size
+            for p in close(*columns):
                 held.append(p)
                 size += len(p[0])
                 if size > 2_000_000:
                     yield counted(held)
                     held, size = [], 0
-        rest = token[cut:], group[cut:]
-        if len(rest[0]) > 100_000:  # a hot token: only its groups are kept
-            kept = np.unique(rest[1])
-            rest = np.full(len(kept), rest[0][0]), kept
-    if len(rest[0]):
-        for p in close(*rest):
-            held.append(p)
-            size += len(p[0])
-            if size > 2_000_000:
-                yield counted(held)
-                held, size = [], 0
-    if held:
-        yield counted(held)
+
+        for batch in stream:
+            rows = tuple(np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("token", "g", "info"), strict=True))
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            if cut:
+                yield from closed([r[:cut] for r in rows])
+            rest = tuple(r[cut:] for r in rows)
+            if len(rest[0]) > 100_000:  # a hot token: each of its groups is kept once
+                _, once = np.unique(rest[1], return_index=True)
+                rest = tuple(r[once] for r in rest)
+        if len(rest[0]):
+            yield from closed(rest)
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def _opened(percent: int):
+    """A function from rows (g, part, kind, h, k, n, tokens), a part of group g's members before those that
+    ask for it, to (g, h, a, b, hits) of the pairs that share as many tokens as a link needs."""
+
+    def run(stream):
+        at, members, index = None, [], None
+        for batch in stream:
+            out = []
+            tokens = batch.column("tokens")
+            for i, (g, part, kind, h, k, n) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("g", "part", "kind", "h", "k", "n")], strict=True)):
+                own = tokens[i].values.to_numpy()
+                if (g, part) != at:
+                    at, members, index = (g, part), [], None
+                if kind == 0:
+                    members.append((k, n, own))
+                    continue
+                if index is None:
+                    ids, sizes = np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.int64)
+                    every = np.concatenate([m[2] for m in members]) if members else np.zeros(0, np.int64)
+                    owner = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], owner[order]
+                low, high = np.searchsorted(index[0], own, side="left"), np.searchsorted(index[0], own, side="right")
+                hits = np.zeros(len(members), np.int64)
+                for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                    hits[index[1][a:b]] += 1
+                rest = np.maximum(-(-percent * sizes // 100), -(-percent * n // 100)) - 1
+                need = -(-percent * (sizes + n) // (100 + percent)) - rest
+                good = np.flatnonzero((hits > 0) & (hits >= need) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                out += [(g, h, int(ids[m]), k, int(hits[m])) for m in good]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["g", "h", "a", "b", "hits"])
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,13 +258,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id",
     compared whole; no partner and no token is left out.
 
     Rows with equal sets are one from the first aggregation on. Groups of similar documents come from
-    min-hash keys: each key's members are verified against one of them, so a cluster of any size
-    costs a star. Group names then stand for members in the token matrix: the union of the members'
+    min-hash keys: each key's members are verified against one of them, those left alone against a few
+    more, so a cluster of any size costs a few stars. Group names then stand for members in the token matrix: the union of the members'
     rarest tokens (at least one of which a linked pair shares, see `prefix`) is laid out by token,
     and two groups are opened only if they share as many tokens as a linked pair would. For two
     single documents of sizes n and m that is ceil(p (n + m) / (100 + p)) - max(rest), where rest is
-    what lies beyond a prefix; for larger groups it is one, their roots are verified first, and
-    members only if the roots do not link, by the same count for each two members.
+    what lies beyond a prefix; for larger groups it is the least of that over their members' sizes, their
+    roots are verified first, and members only if the roots do not link: those pairs whose own count
+    is high enough, the best few first, the rest only where these left the groups apart.
+
+    How often a token occurs decides what is rare. The sketch that says so has a fixed size, so its
+    noise grows with the corpus, but only as the root of it: a passage that a fixed share of all
+    documents have stands out more, the more there are, and is left out of the prefixes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -243,37 +297,60 @@ def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id",
     stars = keyed.join(pivots, ["i", "key"]).where("k <> b").select(F.col("k").alias("a"), "b").distinct()
     near = units.select(F.col("k").alias("a"), F.col("n").alias("na"))
     stars = stars.join(near, "a").join(near.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    stars = scratch.put(stars, "proposed")
     links = verified(stars, "stars")
-    groups = scratch.put(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-groups").withColumnRenamed("node", "k"), "groups")
+    joined = links.select(F.col("a").alias("k")).union(links.select("b")).distinct()
+    again = keyed.groupBy("i", "key").agg(F.count("*").alias("c"), F.array_distinct(F.array(*[F.min_by("k", F.xxhash64("k", F.lit(j))) for j in range(PIVOTS)])).alias("bs")).where("c > 1")
+    more = keyed.join(joined, "k", "left_anti").join(again, ["i", "key"]).select(F.col("k").alias("a"), F.explode("bs").alias("b")).where("a <> b").distinct()
+    more = more.join(near, "a").join(near.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    links = links.union(verified(more.join(stars, ["a", "b"], "left_anti"), "more"))
+    groups = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-groups").withColumnRenamed("node", "k")
+    groups = scratch.put(groups.join(units.select("k", "n"), "k"), "groups")
+    spans = groups.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = groups.select("k", "root").join(spans, "root")
 
     with batches(spark, ROWS):
         own = _prefixes(rows, sketch, percent).groupBy("k").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-        own = scratch.put(own.join(groups, "k", "left").select("k", "n", "tokens", F.coalesce("root", "k").alias("g")), "prefixes")
+        low, high = F.coalesce("low", "n"), F.coalesce("high", "n")
+        info = F.shiftleft(high, 32).bitwiseOR(F.shiftleft(low, 1)).bitwiseOR(F.col("root").isNotNull().cast("long"))
+        own = scratch.put(own.join(groups, "k", "left").select("k", "n", "tokens", F.coalesce("root", "k").alias("g"), info.alias("info")), "prefixes")
     with batches(spark, 100_000):
-        laid = own.select(F.explode("tokens").alias("token"), "g").repartition("token").sortWithinPartitions("token", "g")
-        shared = laid.mapInArrow(_paired, "g long, h long, hits long").groupBy("g", "h").agg(F.sum("hits").alias("hits"))
-        sizes = own.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("n"))
-        shared = shared.join(sizes.toDF("g", "mg", "ng"), "g").join(sizes.toDF("h", "mh", "nh"), "h")
-        rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
-        need = lambda n, m: F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent)) - F.greatest(rest(n), rest(m))
+        laid = own.select(F.explode("tokens").alias("token"), "g", "info").repartition("token").sortWithinPartitions("token", "g")
+        shared = laid.mapInArrow(_paired(percent), "g long, h long, gi long, hi long, hits long").groupBy("g", "h").agg(F.sum("hits").alias("hits"), F.first("gi").alias("gi"), F.first("hi").alias("hi"))
+        many = lambda c: F.col(c).bitwiseAND(F.lit(1))
+        small, large = (lambda c: F.shiftright(F.col(c), 1).bitwiseAND(F.lit(0x7FFFFFFF))), (lambda c: F.shiftright(F.col(c), 32))
+        shared = shared.select("g", "h", "hits", (many("gi") + many("hi") > 0).alias("several"), small("gi").alias("a1"), large("gi").alias("a2"), small("hi").alias("b1"), large("hi").alias("b2"))
+        rest = lambda n: F.ceil(F.lit(percent) * n / 100) - 1
+        need = lambda n, m: F.ceil(F.lit(percent) * (n + m) / (100 + percent)) - F.greatest(rest(n), rest(m))
         fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
-        single = (F.col("mg") == 1) & (F.col("mh") == 1)
-        opened = scratch.put(shared.where(~single | (fits("ng", "nh") & (F.col("hits") >= need("ng", "nh")))), "opened")
+        t, r = percent / (100 + percent), percent / 100
+        least = F.ceil(F.least(t * F.col("b1") - (r - t) * F.col("a2"), t * F.col("a1") - (r - t) * F.col("b2")) - 1e-6)
+        bound = F.when(F.col("several"), F.greatest(F.lit(1), least)).otherwise(need(F.col("a1"), F.col("b1")))
+        opened = scratch.put(shared.where(F.col("hits") >= bound).select("g", "h", "several"), "opened")
     roots = verified(opened.select(F.col("g").alias("a"), F.col("h").alias("b")), "roots")
     links = links.union(roots)
-    left = opened.where("mg * mh > 1").join(roots, (F.col("g") == F.col("a")) & (F.col("h") == F.col("b")), "left_anti").select("g", "h")
-    left = scratch.put(left, "unsettled")
+    left = opened.where("several").join(roots, (F.col("g") == F.col("a")) & (F.col("h") == F.col("b")), "left_anti").select("g", "h")
+    count = own.groupBy("g").agg(F.count("*").alias("m"))
+    left = left.join(count, "g").join(count.toDF("h", "mh"), "h")
+    swap = F.col("mh") > F.col("m")
+    left = scratch.put(left.select(F.when(swap, F.col("h")).otherwise(F.col("g")).alias("g"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("h"), F.ceil(F.greatest("m", "mh") / OPENED).cast("int").alias("parts")), "unsettled")
     if not left.isEmpty():
-        members = own.select("g", F.col("k").alias("a"), F.col("n").alias("na"), F.explode("tokens").alias("token"))
-        ours = left.join(members, "g")
-        theirs = left.join(members.toDF("h", "b", "nb", "token"), "h")
-        inner = ours.join(theirs, ["g", "h", "token"]).groupBy("a", "b").agg(F.count("*").alias("hits"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        inner = inner.where(fits("na", "nb") & (F.col("hits") >= need("na", "nb"))).select("a", "b")
-        links = links.union(verified(inner, "members"))
+        held = own.join(left.select("g", "parts").distinct(), "g").select("g", F.pmod(F.xxhash64("k"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("h"), "k", "n", "tokens")
+        asked = own.withColumnRenamed("g", "h").join(left, "h").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "h", "k", "n", "tokens")
+        with batches(spark, ROWS):
+            inner = held.unionByName(asked).repartition("g", "part").sortWithinPartitions("g", "part", "kind", "h", "k").mapInArrow(_opened(percent), "g long, h long, a long, b long, hits long")
+            inner = scratch.put(inner, "inner")
+        rank = F.row_number().over(Window.partitionBy("g", "h").orderBy(F.desc("hits"), "a", "b"))
+        first = scratch.put(inner.withColumn("r", rank).where(F.col("r") <= FIRST).select("g", "h", "a", "b"), "first")
+        links = links.union(verified(first.select("a", "b").distinct(), "tried"))
+        placed = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-opened")
+        apart = inner.join(first, ["g", "h", "a", "b"], "left_anti").join(placed.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(placed.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        apart = apart.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b").distinct()
+        links = links.union(verified(apart, "members"))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-components").withColumnRenamed("node", "k")
     named = units.select("k", "first").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = scratch.put(named.join(least, "root").select("k", "component"), "named")
-    scratch.drop("prefixes", "groups", "opened", "unsettled", "units", "stars", "roots")
+    scratch.drop("prefixes", "groups", "opened", "unsettled", "units", "stars", "roots", "proposed", "more", "inner", "first", "tried")
     out = facts.join(named, "k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
