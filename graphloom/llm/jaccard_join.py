@@ -19,6 +19,8 @@ KEYS = 4
 PIVOTS = 6
 #: Members of a group that one task of an opening holds; best pairs of two groups that are tried first.
 OPENED, FIRST = 4000, 3
+#: Names of texts (8 bytes each) that a verification broadcasts at most.
+BROADCAST_TEXTS = 500_000
 CHUNK = 1 << 20
 ROWS = 1000
 #: Groups of one token that are paired at a time.
@@ -286,6 +288,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id",
         """pairs (a, b), each once, with the texts of their sets."""
         pairs = scratch.put(pairs.join(units.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(units.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b"), name + "-pairs")
         needed = pairs.select(F.col("ta").alias("t")).union(pairs.select("tb")).distinct()
+        if needed.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:  # else all texts pass a shuffle
+            needed = F.broadcast(needed)
         once = texts.join(needed, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
         with batches(spark, ROWS // 2):
             out = scratch.put(_verify(pairs, scratch.put(once, name + "-texts"), percent), name)
