@@ -15,6 +15,8 @@ from graphloom.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
 from graphloom.llm.common import Scratch, load, small_batches
 from graphloom.llm.queries import tokenizer_path
 
+#: Words of the shortest passage that the third stage takes out where it repeats.
+PASSAGE_WORDS = 51
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None  # suffix sorting, a trained model and merges have no SQL; tests use brute force
 
@@ -38,10 +40,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeated strings cover. A character cut in half goes; n_chars follows
+    """Texts without the bytes that repeated strings of 400 bytes (op3's contract) or repeated passages of
+    over 50 words cover; 51 words may take any number of bytes from 101 on. A character cut in half goes; n_chars follows
     the text; a document of which nothing is left stays, with an empty text."""
     small_batches(spark)
-    found = suffix_dedup.dedup(docs.select(*COLUMNS))
+    found = suffix_dedup.dedup(docs.select(*COLUMNS), words=PASSAGE_WORDS)
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(_whole_characters("kept"))
     out = found.withColumn("text", text)
     return out.withColumn("n_chars", F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)

@@ -1,0 +1,131 @@
+"""Passages of so many words that occur again: word windows, anchored by content like the windows of suffix_dedup."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import Scratch, batches, mix
+from graphloom.llm.suffix_dedup import BITS, CHUNK, ROWS, sliding_minimum
+
+#: Words of the gram that anchors a window; a long one, so that few grams occur in texts that share no passage.
+GRAM = 16
+#: Up to this many names of texts (16 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_TEXTS = 200_000
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+SEGMENT = "t1 long, t2 long, s int, e int, p int, key long, name long"
+
+
+def _word_names(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, 128-bit name as two numbers) of every word."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    step = np.diff(inside)
+    names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in raw.split()]), np.uint64).reshape(-1, 2)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1), names
+
+
+def _folded(names: np.ndarray, width: int, by: int) -> np.ndarray:
+    """One number for every run of `width` names."""
+    n = len(names) - width + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = out * np.uint64(by) + names[k : k + n]
+    return mix(out)
+
+
+def _pieces(raw: bytes, words: int):
+    """(start, end, names) of a text's words, at most about CHUNK bytes at a time; the last words - 1 come again."""
+    at, held = 0, None
+    while at < len(raw):
+        cut = SPACE.search(raw, at + CHUNK)
+        stop = cut.start() if cut else len(raw)
+        start, end, names = _word_names(raw[at:stop])
+        piece = (start + at, end + at, names)
+        if held is not None:
+            piece = tuple(np.concatenate([a[max(0, len(a) - words + 1) :], b]) for a, b in zip(held, piece, strict=True))
+        if len(piece[0]) >= words:
+            yield piece
+        at, held = stop, piece
+
+
+def _segments(texts: DataFrame, words: int) -> DataFrame:
+    """Runs of windows with one anchor: byte span, words from the first to the anchor, the anchor's name and theirs."""
+
+    def run(stream):
+        for batch in stream:
+            out: list[list] = [[] for _ in range(7)]
+            for text, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("text", "t1", "t2")), strict=True):
+                for start, end, names in _pieces(text.encode(), words):
+                    low = np.uint64((1 << BITS) - 1)
+                    gram = _folded(names[:, 0], GRAM, 0x9E3779B97F4A7C15)
+                    anchor = (sliding_minimum((gram & ~low) | np.arange(len(gram), dtype=np.uint64), words - GRAM + 1) & low).astype(np.int64)
+                    first = np.flatnonzero(np.diff(anchor, prepend=-1))
+                    last = np.append(first[1:], len(anchor)) - 1 + words
+                    p = anchor[first] - first
+                    key = gram[anchor[first]].view(np.int64)
+                    flat = names.tobytes()
+                    name = [xxhash.xxh3_64_intdigest(flat[16 * a : 16 * b], seed=c) for a, b, c in zip(first.tolist(), last.tolist(), p.tolist(), strict=True)]
+                    for o, v in zip(out, (np.full(len(first), t1), np.full(len(first), t2), start[first], end[last - 1], p, key, np.array(name, np.uint64).view(np.int64)), strict=True):
+                        o.append(v)
+            if out[0]:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)).cast(t) for o, t in zip(out, types, strict=True)], names=["t1", "t2", "s", "e", "p", "key", "name"])
+
+    return texts.select("text", "t1", "t2").mapInArrow(run, SEGMENT)
+
+
+def _windows(texts: DataFrame, words: int) -> DataFrame:
+    """Every window of the open segments of each text, with its place before the anchor and a 128-bit name."""
+    kinds = "key long, place int, w1 long, w2 long, t1 long, t2 long, s int, e int, c long"
+
+    def run(stream):
+        for batch in stream:
+            for t1, t2, text, found in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "open")), strict=True):
+                raw = text.encode()
+                out: list[list] = [[] for _ in range(9)]
+                for x in found:
+                    start, end, names = _word_names(raw[x["s"] : x["e"]])
+                    n = len(names) - words + 1
+                    w1, w2 = (_folded(names[:, k], words, by).view(np.int64) for k, by in ((0, 0xD6E8FEB86659FD93), (1, 0xA0761D6478BD642F)))
+                    for o, v in zip(out, (np.full(n, x["key"]), x["p"] - np.arange(n), w1, w2, np.full(n, t1), np.full(n, t2), start[:n] + x["s"], end[words - 1 :] + x["s"], np.full(n, x["c"])), strict=True):
+                        o.append(v)
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)).cast(t) for o, t in zip(out, types, strict=True)], names=["key", "place", "w1", "w2", "t1", "t2", "s", "e", "c"])
+
+    return texts.mapInArrow(run, kinds)
+
+
+def repeated_passages(texts: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(t1, t2, spans): for each text (t1, t2, text) with any, the byte spans, unmerged, of the runs of
+    `words` words that start anywhere else as well, in this row or another.
+
+    Words are runs of anything but ASCII white space; how much of it lies between them does not matter.
+    Windows that share an anchor are a segment. One that occurs again as a whole repeats; one whose anchor
+    occurs nowhere else cannot; the windows of the others are counted by anchor, place and name.
+    """
+    if words < GRAM:
+        raise ValueError(f"a window holds a gram of {GRAM} words")
+    with batches(texts.sparkSession, ROWS):
+        found = scratch.put(_segments(texts, words), "word-segments")
+    classes = scratch.put(found.groupBy("key", "name").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "s", "e", "p")).alias("x")), "word-classes")
+    whole = scratch.put(found.join(classes.where("c > 1").select("key", "name"), ["key", "name"]).select("t1", "t2", "s", "e"), "word-whole")
+    several = classes.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key")
+    lists = scratch.put(classes.join(several, "key").groupBy("x.t1", "x.t2").agg(F.collect_list(F.struct("key", "x.s", "x.e", "x.p", "c")).alias("open")), "word-open")
+    named = lists.select("t1", "t2")
+    few = named.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    once = texts.join(F.broadcast(named) if few else named, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    with batches(texts.sparkSession, ROWS):
+        windows = scratch.put(_windows(once.join(lists, ["t1", "t2"]).select("t1", "t2", "text", "open"), words), "word-windows")
+    name = ["key", "place", "w1", "w2"]
+    twice = windows.groupBy(*name).agg(F.sum("c").alias("n")).where("n > 1").select(*name)
+    part = windows.where("c = 1").join(twice, name).select("t1", "t2", "s", "e")
+    spans = scratch.put(whole.unionByName(part).groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "word-spans")
+    scratch.drop("word-segments", "word-classes", "word-whole", "word-open", "word-windows")
+    return spans

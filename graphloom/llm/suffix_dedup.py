@@ -395,14 +395,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", words: int | None = None) -> DataFrame:
     """docs with removed (array<struct<s, e>>: maximal byte spans) and kept (binary: the bytes left).
 
     Each byte that a string of LENGTH bytes covers which also starts elsewhere, in this row or another,
     is removed; strings are judged on the input, and never cross rows. Null counts as empty. Shorter
     texts keep everything. Rows with equal texts of LENGTH bytes or more lose all of them. Texts are
     handled whole, long ones in overlapping pieces. An empty table gives no rows; input columns named
-    removed or kept give way.
+    removed or kept give way. With `words`, passages of so many words that start elsewhere go as well,
+    whatever their bytes.
 
     Texts are known by two 64-bit hashes. Equal texts meet once: what repeats is found per text, not
     per row, so a hot group of copies is one row in every join's smaller side.
@@ -411,8 +412,14 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     scratch = Scratch(spark, "suffixes")
     rest = docs.drop("removed", "kept")
     keyed = rest.withColumn("_t1", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("_t2", F.xxhash64(F.lit("t2"), F.coalesce(text, F.lit(""))))
-    texts = keyed.select(F.coalesce(text, F.lit("")).alias("text"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2")).where(F.octet_length("text") >= LENGTH)
-    spans = repeated_spans(texts, scratch).withColumnsRenamed({"t1": "_s1", "t2": "_s2", "spans": "_spans"})
+    every = keyed.select(F.coalesce(text, F.lit("")).alias("text"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2"))
+    spans = repeated_spans(every.where(F.octet_length("text") >= LENGTH), scratch)
+    if words:
+        from graphloom.llm.passages import repeated_passages
+
+        more = repeated_passages(every.where(F.octet_length("text") >= 2 * words - 1), words, scratch)
+        spans = spans.unionByName(more).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.withColumnsRenamed({"t1": "_s1", "t2": "_s2", "spans": "_spans"})
     met = keyed.join(spans, (F.col("_t1") == F.col("_s1")) & (F.col("_t2") == F.col("_s2")), "left").withColumn("_bytes", F.coalesce(text, F.lit("")).cast("binary"))
     scratch.drop("met", "cold", "hot")
     names = rest.columns

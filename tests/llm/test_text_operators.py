@@ -75,6 +75,48 @@ def test_suffix_dedup_empty_table(spark, docs):
     assert suffix_dedup.dedup(docs.where("false")).count() == 0
 
 
+def brute_passages(texts, words):
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    name = lambda t, s, i: b" ".join(t.encode()[a:b] for a, b in s[i : i + words])
+    seen = Counter(name(t, s, i) for t, s in zip(texts, spans) for i in range(len(s) - words + 1))
+    out = []
+    for t, s in zip(texts, spans):
+        gone = np.zeros(len((t or "").encode()), bool)
+        for i in range(len(s) - words + 1):
+            if seen[name(t, s, i)] > 1:
+                gone[s[i][0] : s[i + words - 1][1]] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_dedup_of_passages_by_words(spark, docs, monkeypatch, chunk):
+    from graphloom.llm import passages
+
+    monkeypatch.setattr(passages, "CHUNK", chunk)
+    rng = random.Random(3)
+    short = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(51))
+    assert 250 < len(short) < 400
+    other = short.split()
+    rows = [r.text for r in docs.collect()]
+    rows += [f"{words(rng, 60)} {short} {words(rng, 60)}", f"{short}\n{words(rng, 60)}", words(rng, 60) + "  " + short.replace(" ", "  ")]
+    rows += [" ".join(other[:50]) + " end " + words(rng, 20), words(rng, 7) + " " + " ".join(other[1:])]  # 50 words only
+    rows += [f"{words(rng, n)} {' '.join(other[:40])} {tail}" for n, tail in ((9, "x " * 30), (31, "x " * 22))]
+    raws = [(t or "").encode() for t in rows]
+    want = [a | b for a, b in zip(brute_removed(raws), brute_passages(rows, 51))]
+    at = len(docs.collect())
+    assert all(short.encode() in raws[at + k] and want[at + k].sum() == len(short) for k in (0, 1)) and not want[at + 3].any() and not want[at + 4].any()
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in suffix_dedup.dedup(table, words=51).collect()}
+    for i, gone in enumerate(want):
+        step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+        assert got[i] == list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+    import corpus_pipeline
+
+    two = table.where(f"doc_id in ({at}, {at + 1})").selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars")
+    assert all(short not in r.text for r in corpus_pipeline.repeated_passages(spark, two, "").collect())
+
+
 def test_suffix_order_against_sorting():
     rng = random.Random(3)
     for _ in range(60):
