@@ -39,8 +39,8 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     fills = Window.orderBy((F.col("full") / F.col("w")).asc(), F.col("source").asc_nulls_last())
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum("full").over(fills.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(fills.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", level)
-    per = per.withColumn("stop", F.min(F.when(F.col("full") > F.col("level") * F.col("w"), F.struct((F.col("full") / F.col("w")).alias("k"), "level"))).over(whole)["level"])
+    per = per.withColumn("level", level).withColumn("k", F.row_number().over(fills))
+    per = per.withColumn("stop", F.min(F.when(F.col("full") > F.col("level") * F.col("w"), F.struct("k", "level"))).over(whole)["level"])
     target = F.when(F.col("stop").isNull(), F.col("full")).otherwise(F.least(F.col("full"), F.col("stop") * F.col("w")))
     return per.select("source", "source_size", target.cast("double").alias("target"))
 

@@ -217,6 +217,13 @@ def test_mixing(spark, docs):
     assert mixing.mixing_plan(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sizes, want", [((100,) * 5, [200, 140, 70, 200, 140]), ((500, 200, 100), [750, 300, 150])])
+def test_mixing_of_sources_that_fill_up_together(spark, sizes, want):
+    sized = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(sized).collect()}
+    assert got == pytest.approx({f"s{i}": n for i, n in enumerate(want)})
+
+
 def test_bpe_matches_the_library(spark, docs, texts):
     import public_tokenizers
     import tiktoken
