@@ -85,7 +85,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     t = lambda name: table(spark, sf_dir, name)
     path = lambda folder, nation: F.concat(F.lit(folder + "/nation"), F.col(nation).cast("string"), F.lit("/file.ts"))
     nodes = _nodes(t("customer"), "Customer", "c_custkey", "c_name", path("buyers", "c_nationkey")).unionByName(_nodes(t("supplier"), "Supplier", "s_suppkey", "s_name", path("sellers", "s_nationkey")))
-    joined = t("lineitem").where("l_quantity > 49").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return nodes, _edges(joined, "USES", ref("Customer", "o_custkey"), ref("Supplier", "l_suppkey"), F.lit(0)).dropDuplicates(["id"])
 
 
@@ -96,13 +96,14 @@ edges AS (SELECT DISTINCT 'Customer:' || o_custkey AS src, 'Supplier:' || l_supp
 
 
 def calls_and_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every page's url as a call; page paths with digits as parameters, of every third page, as routes."""
+    """Every page's url as a call; every page's path, digits as parameters, as a route. Calls of pages whose
+    path mixes letters and digits in a segment may dangle."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     path = F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1)
     target = F.when(F.col("page_id") % 2 == 0, path).otherwise(F.col("url"))
     calls = pages.select(F.col("page_id").alias("call_ord"), F.when(F.col("page_id") % 5 == 0, "POST").otherwise("GET").alias("method"), (F.col("page_id") % 3 == 0).alias("dynamic"), F.concat(F.lit("Page:"), F.col("page_id").cast("string")).alias("caller_id"), target.alias("full_url"), F.array().cast("array<struct<field:string,line:int,confidence:string>>").alias("response_fields"))
     shape = F.when(F.col("page_id") % 4 == 0, path).otherwise(F.regexp_replace(path, "[0-9]+", "{id}"))
-    routes = pages.where("page_id % 3 = 0").select(F.col("page_id").alias("route_ord"), F.when(F.col("page_id") % 5 == 0, "POST").otherwise("GET").alias("method"), shape.alias("path"), F.concat(F.lit("APIEndpoint:"), F.col("page_id").cast("string")).alias("endpoint_id"), F.array().cast("array<struct<id:string,name:string>>").alias("response_fields"))
+    routes = pages.select(F.col("page_id").alias("route_ord"), F.when(F.col("page_id") % 5 == 0, "POST").otherwise("GET").alias("method"), shape.alias("path"), F.concat(F.lit("APIEndpoint:"), F.col("page_id").cast("string")).alias("endpoint_id"), F.array().cast("array<struct<id:string,name:string>>").alias("response_fields"))
     return calls, routes
 
 

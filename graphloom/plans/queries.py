@@ -358,7 +358,7 @@ SELECT repo_id, scan_id, n, CAST(CASE WHEN n <= 0 THEN 0 ELSE least(4, greatest(
 """)
 def agg22_activity(spark, d):
     rows = A.table(spark, d, "events").select((F.col("user_id") % 10).alias("repo_id"), F.date_format("ts", "yyyy-MM").alias("scan_id"), "user_id")
-    return D.activity(rows.where("user_id % 3 = 0"), rows, rows)
+    return D.activity(rows, rows, rows)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")

@@ -17,3 +17,24 @@ def test_cycles_of_every_order(spark, tmp_path):
     got = {r.id: r.component for r in queries.grf05_cycles(spark, str(tmp_path)).collect()}
     assert got == dict.fromkeys(("Supplier:10", "Supplier:11", "Supplier:12"), "Supplier:10")
     assert [r.message for r in queries.rul02_circular(spark, str(tmp_path)).collect()] == ["Circular import: Supplier:10 → Supplier:11 → Supplier:12"]
+
+
+def test_links_and_trade_of_every_row(spark, tmp_path):
+    d = str(tmp_path)
+    put(spark, tmp_path, "pages", [(k, f"http://h/a{'bcdefg'[k]}{k}/x") for k in range(6)], "page_id long, url string")
+    calls, routes = queries.A.calls_and_routes(spark, d)
+    assert {r.route_ord for r in routes.collect()} == set(range(6)) == {r.call_ord for r in calls.collect()}
+    assert {r.node for r in queries.join03_dangling(spark, d).collect()} == {"Page:2"}
+    assert {r.call_ord for r in queries.join01_linker(spark, d).where("endpoint_id is not null").collect()} == {0, 4}
+    put(spark, tmp_path, "lineitem", [(1, 1, 1, 10, 3.0), (2, 1, 1, 11, 50.0)], LINES)
+    put(spark, tmp_path, "orders", [(1, 7), (2, 7)], "o_orderkey long, o_custkey long")
+    put(spark, tmp_path, "customer", [(7, "c", 3)], "c_custkey long, c_name string, c_nationkey int")
+    put(spark, tmp_path, "supplier", [(10, "s", 21), (11, "t", 22)], "s_suppkey long, s_name string, s_nationkey int")
+    assert {r.dst for r in queries.rul04_boundaries(spark, d).collect()} == {"Supplier:10", "Supplier:11"}
+    assert {r.dst for r in queries.rul11_ignored(spark, d).collect()} == {"Supplier:10", "Supplier:11"}
+
+
+def test_activity_of_every_user(spark, tmp_path):
+    put(spark, tmp_path, "events", [(k, k % 4, "view", datetime(2024, 1 + k % 2, 5, 0, 0, k)) for k in range(8)], "event_id long, user_id long, event_type string, ts timestamp")
+    got = {(r.repo_id, r.scan_id): r.n for r in queries.agg22_activity(spark, str(tmp_path)).collect()}
+    assert got == {(u, f"2024-0{m}"): 2 if u % 2 == m - 1 else 0 for u in range(4) for m in (1, 2)}
