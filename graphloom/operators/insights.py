@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import allowed_secret, basename, entropy, js_round, mask, round1
 from graphloom.operators.graph import degrees, impact_size
-from graphloom.schema import COMPLEXITY, SECRET_SCAN_CHARS, TOP_HOTSPOTS
+from graphloom.schema import COMPLEXITY, TOP_HOTSPOTS
 
 #: The patterns of secret rules. ASCII word edges are written out, as Java's \b is not ASCII.
 EDGE_L, EDGE_R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -20,15 +20,17 @@ KEYWORD = r"(?i)(secret|token|api[_-]?key|password|private[_-]?key)"
 LOOP_WORDS = r"(?<![A-Za-z0-9_])(if|elif|else\s+if|for|while|case|catch|except|switch)(?![A-Za-z0-9_])"
 
 
-def churn(commits: DataFrame, most: int = 500) -> DataFrame:
+def churn(commits: DataFrame, most: int | None = 500) -> DataFrame:
     """AGG-01: (file, commits, authors, last_commit_at) of (commit_id, commit_ord, author, ts, file).
 
-    The newest `most` commits count, each file once per commit. Their cut is one value, found by a
-    distinct count over commit_ord that a top-k bounds.
+    The newest `most` commits count, or all if it is None, each file once per commit. Their cut is one
+    value, found by a distinct count over commit_ord that a top-k bounds.
     """
-    newest = commits.select("commit_ord").distinct().orderBy("commit_ord").limit(most)
-    cut = newest.agg(F.max("commit_ord").alias("cut"))
-    rows = commits.join(F.broadcast(cut), F.col("commit_ord") <= F.col("cut")).groupBy("file", "commit_id").agg(F.min(F.struct("commit_ord", "author", "ts")).alias("c"))
+    if most is not None:
+        newest = commits.select("commit_ord").distinct().orderBy("commit_ord").limit(most)
+        cut = newest.agg(F.max("commit_ord").alias("cut"))
+        commits = commits.join(F.broadcast(cut), F.col("commit_ord") <= F.col("cut"))
+    rows = commits.groupBy("file", "commit_id").agg(F.min(F.struct("commit_ord", "author", "ts")).alias("c"))
     return rows.groupBy("file").agg(F.count("*").alias("commits"), F.countDistinct("c.author").alias("authors"), F.min_by("c.ts", "c.commit_ord").alias("last_commit_at"))
 
 
@@ -62,14 +64,14 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("content", "\n", -1)).alias("_p", "text")).select("file", (F.col("_p") + 1).alias("line"), "text")
 
 
-def secrets(files: DataFrame) -> DataFrame:
+def secrets(files: DataFrame, most_chars: int | None = None) -> DataFrame:
     """FN-20: (file, line, col, rule, preview, entropy) of (file, content), all in the JVM.
 
     A cheap keyword test goes first, so few lines meet the costly patterns. The column is where the
     match starts; rows come per hit, and one value may be reported by several rules. Files over
-    SECRET_SCAN_CHARS are skipped. Positions of repeated hits follow from splitting at each match.
+    `most_chars` are skipped, none if it is None. Positions of repeated hits follow from splitting at each match.
     """
-    rows = lines_of(files.where(F.char_length("content") <= SECRET_SCAN_CHARS))
+    rows = lines_of(files if most_chars is None else files.where(F.char_length("content") <= most_chars))
     rows = rows.where(F.col("text").rlike(KEYWORD) | F.col("text").rlike("AKIA|ghp_|github_pat_|xox[baprs]-"))
     none = F.lit(None).cast("double")
 

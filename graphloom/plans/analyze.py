@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import edge_id
 from graphloom.operators import graph, insights, linker, rules
 from graphloom.operators.rules import Config
+from graphloom.schema import SECRET_SCAN_CHARS
 from graphloom.sources import coverage as coverage_source
 from graphloom.sources import files as file_source
 from graphloom.sources import python_facts, services, ts_facts
@@ -93,7 +94,7 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, commit
     covered = insights.coverage(matched)
     complexities = files.select(F.col("path").alias("file"), insights.complexity(F.col("content"), F.col("category")).alias("complexity"))
     hot = kept.put(insights.hotspots(nodes, edges, complexities, churned, covered), "hotspots")
-    secrets = kept.put(insights.secrets(files.select(F.col("path").alias("file"), "content")), "secrets")
+    secrets = kept.put(insights.secrets(files.select(F.col("path").alias("file"), "content"), SECRET_SCAN_CHARS), "secrets")
     issues = rules.run_rules(nodes, edges, files.select(F.col("path").alias("file"), "lines"), config).drop("rule_ord")
     for more in (linker.dangling_issues(linked).drop("ord"), rules.secret_issues(secrets), rules.hotspot_issues(hot)):
         issues = issues.unionByName(more)

@@ -168,7 +168,7 @@ churn AS (SELECT file, count(DISTINCT commit_id) AS commits, count(DISTINCT auth
 
 @query(f"WITH {COMMITS_SQL} SELECT * FROM churn")
 def agg01_churn(spark, d):
-    return I.churn(A.commits(spark, d), 2000)
+    return I.churn(A.commits(spark, d), None)
 
 
 COVERAGE_SQL = """
@@ -228,7 +228,7 @@ def agg08_hotspots(spark, d):
     nodes, edges = A.doc_nodes(spark, d)
     docs = A.table(spark, d, "documents")
     cx = docs.select(F.concat(F.lit("src/"), "source", F.lit(".py")).alias("file"), I.complexity(F.coalesce("text", F.lit("")), F.lit("python")).alias("c")).groupBy("file").agg(F.max("c").alias("complexity"))
-    churned = I.churn(A.commits(spark, d), 2000).withColumn("file", F.concat(F.lit("src/src"), F.substring("file", 6, 100), F.lit(".py")))
+    churned = I.churn(A.commits(spark, d), None).withColumn("file", F.concat(F.lit("src/src"), F.substring("file", 6, 100), F.lit(".py")))
     covered = I.coverage(A.coverage_rows(spark, d))
     return I.hotspots(nodes, edges, cx, churned, covered, with_impact=False).select("node_id", "file", "churn", "complexity", "fan_in", "fan_out", "score")
 
