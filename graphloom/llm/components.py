@@ -19,7 +19,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     Each round joins every edge with the smallest neighbour of one end: the large star links higher
     neighbours to that minimum, the small star the lower ones. Minima are partial aggregates, and
     the join is one that adaptive execution can split, so a node with a third of all edges does not
-    meet in one task. Stops when the edge set no longer changes.
+    meet in one task. Stops when the edge set no longer changes, and
+    raises if it still does after `rounds` rounds.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, name)
@@ -37,4 +38,6 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

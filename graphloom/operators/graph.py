@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,22 +63,31 @@ def dependents(edges: DataFrame) -> DataFrame:
     return back.unionByName(ahead).where("at <> next").distinct()
 
 
-def reach(steps: DataFrame, seeds: DataFrame, name: str = "reach", most: int = 1000) -> DataFrame:
+#: Levels of a traversal after which the tables of visited nodes are written as one, so that plans stay short.
+LEVELS = 50
+
+
+def reach(steps: DataFrame, seeds: DataFrame, name: str = "reach", most: int | None = None) -> DataFrame:
     """(seed, id, depth): what each seed reaches over (at, next), itself at depth 0.
 
     Breadth first with a visited set: a level joins only the last level's nodes, and an anti join drops
-    what was seen. Cycles end, levels are written out, all seeds advance together.
+    what was seen. Cycles end, levels are written out, all seeds advance together, until a level is empty.
+    Raises if more than `most` levels are reached.
     """
     kept = Steps(seeds.sparkSession, name)
     steps = kept.put(steps, "steps")
     seen = kept.put(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct(), "0")
     frontier = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         ahead = frontier.join(steps, F.col("id") == F.col("at")).select("seed", F.col("next").alias("id")).distinct()
         fresh = kept.put(ahead.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), str(depth))
         if fresh.isEmpty():
             break
+        if most is not None and depth > most:
+            raise RuntimeError(f"more than {most} levels are reached")
         seen = seen.unionByName(fresh)
+        if depth % LEVELS == 0:
+            seen = kept.put(seen, f"seen-{depth}")
         frontier = fresh
     return seen
 
@@ -136,36 +146,45 @@ def file_impact(nodes: DataFrame, edges: DataFrame, file_id: str) -> DataFrame:
     return nodes.join(ids, "id", "left_semi")
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strongly_connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """GRF-05: (id, component) of the nodes on cycles of (src, dst), component the smallest member.
 
     Nodes without an edge in or out within what is left are trimmed first, again and again. Then every
     node takes the largest colour that reaches it; in each colour, what reaches its root backwards is
-    a component, which leaves the graph. Self-loops are components of one.
+    a component, which leaves the graph. Self-loops are components of one. Every loop ends when nothing
+    changes any more, so a ring of n nodes takes n rounds of colours; one that takes more than `rounds` raises.
     """
+
+    def due(k: int) -> None:
+        if rounds is not None and k >= rounds:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
+
     spark = edges.sparkSession
     kept = Steps(spark, "scc")
     base = edges.select("src", "dst").distinct()
     loops = base.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
     left = kept.put(base.where("src <> dst"), "left-0")
     found: DataFrame | None = None
-    for k in range(1, rounds + 1):
-        for t in range(rounds):
+    for k in count(1):
+        for t in count():
             both = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id")
             slim = kept.put(left.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi"), f"trim-{k}-{t}")
             done, left = slim.count() == left.count(), slim
             if done:
                 break
+            due(t + 1)
         if left.isEmpty():
             break
+        due(k - 1)
         colours = kept.put(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), f"colour-{k}-0")
-        for t in range(1, rounds + 1):
+        for t in count(1):
             sent = left.join(colours.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("sent"))
             now = kept.put(colours.join(sent, "id", "left").select("id", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("moved")), f"colour-{k}-{t}")
             moved = not now.where("moved").isEmpty()
             colours = now.drop("moved")
             if not moved:
                 break
+            due(t)
         tinted = left.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
         back = tinted.select(F.col("dst").alias("at"), F.col("src").alias("next"))
         roots = colours.where("id = colour").select("id")

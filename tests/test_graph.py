@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from graphloom.llm.components import components
 from graphloom.operators import diff, graph, insights, linker, rules, search
 from graphloom.schema import CALLS, COVERAGE, EDGES, ISSUES, NODES, ROUTES
 
@@ -59,6 +60,21 @@ def test_cycles_against_brute_force(spark, seed):
     assert got == want
 
 
+def test_loops_end_with_the_whole_answer_or_raise(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LEVELS", 2)
+    ring = spark.createDataFrame([(str(i), str((i + 1) % 7)) for i in range(7)], "src string, dst string")
+    assert {r.id: r.component for r in graph.strongly_connected(ring).collect()} == {str(i): "0" for i in range(7)}
+    with pytest.raises(RuntimeError):
+        graph.strongly_connected(ring, rounds=3)
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(7)], "at string, next string")
+    seed = spark.createDataFrame([("0",)], "id string")
+    assert {r.id: r.depth for r in graph.reach(chain, seed).collect()} == {str(i): i for i in range(8)}
+    with pytest.raises(RuntimeError):
+        graph.reach(chain, seed, most=3)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long"), rounds=1)
+
+
 def test_linker_grades(spark):
     calls = spark.createDataFrame(
         [(i, m, u, "api", d, 1, "f", "Hook:f#h", u, [("email", 3, "medium")]) for i, (m, u, d) in enumerate([("GET", "/api/users/", False), ("GET", "/api/users/{param}/", True), ("GET", "/api/users/123/", False), ("POST", "/api/users", False), ("GET", "/other/users/?x=1", False), ("GET", "/", False), ("GET", "/nothing/here", False), ("GET", "/api/users", True)])], CALLS
