@@ -15,19 +15,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name of every word, first word of every text and the total): words are runs of anything but
-    ASCII white space, A-Z in lower case. Names depend on all bytes of a word."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    data = _LOWER[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every word: a run of anything but ASCII white space within one text."""
     solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = solid[:-1], solid[1:]
-    begin = np.flatnonzero(solid & (~before | edge[:-1]))
-    end = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    return np.flatnonzero(solid & (~before | edge[:-1])), np.flatnonzero(solid & (~after | edge[1:])) + 1
+
+
+def word_names(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(name of every word, first word of every text and the total): words are runs of anything but
+    ASCII white space, A-Z in lower case if `lower`. Names depend on all bytes of a word."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    data = _LOWER[data] if lower else data
+    begin, end = word_bounds(data, offsets)
     length = end - begin
     eight = words_at(data)
     name = mix(length.astype(np.uint64))

@@ -1,7 +1,8 @@
-"""Exact removal of repeated byte strings by suffix sorting: difference covers, one suffix bucket at a time."""
+"""Exact removal of repeated strings of bytes or words by suffix sorting: difference covers, one suffix bucket at a time."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -10,10 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, batches, mix, slices, utf8, words_at
+from graphloom.llm.common import Scratch, batches, mix, slices, utf8, without, words_at
+from graphloom.llm.shingles import word_bounds, word_names
 
-LENGTH, GRAM = 400, 32
+#: Bytes of a repeated string and of the gram that anchors it; words of the gram where words are the symbols.
+LENGTH, GRAM, WORD_GRAM = 400, 32, 16
 CHUNK, ROWS = 1 << 20, 1000
+ADDED = ("removed", "kept", "_t1", "_t2", "_spans", "_bytes")
+#: Up to this many names of texts (16 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_TEXTS = 500_000
 #: Positions within a chunk take so many bits of a sliding minimum's key; a longer text is cut into
 #: overlapping pieces, so that every text is anchored by the same rule.
 BITS = 26
@@ -159,8 +165,9 @@ def _merge(at: np.ndarray, sample: CoverSample) -> np.ndarray:
     return np.array(sorted(at.tolist(), key=cmp_to_key(compare)))
 
 
-def repeated(parts: list[tuple[bytes, int]], counts: np.ndarray, length: int = LENGTH, v: int = 31) -> list[np.ndarray]:
-    """For slices (bytes, offset of the core that their bucket shares) which of their windows occur twice.
+def repeated(parts: list[tuple[bytes, int]], counts: np.ndarray, length: int = LENGTH, v: int = 31, width: int = 1) -> list[np.ndarray]:
+    """For slices (bytes, offset of the core that their bucket shares) which of their windows of `length`
+    bytes occur twice; windows start at every width-th byte.
 
     Slices are laid out so that their cores start at multiples of v: equal windows of one bucket then
     have equal residues. A slice counted more than once repeats as it is.
@@ -174,19 +181,52 @@ def repeated(parts: list[tuple[bytes, int]], counts: np.ndarray, length: int = L
     data = np.zeros(at, np.uint8)
     for i, (b, _) in enumerate(parts):
         data[starts[i] : starts[i] + len(b)] = np.frombuffer(b, np.uint8)
-    windows = sizes - length + 1
-    first = np.repeat(starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
+    windows = (sizes - length) // width + 1
+    first = np.repeat(starts - width * np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + width * np.arange(windows.sum())
     order, tied = sort_suffixes(data, first, length, v, aligned=True)
     twice = tied.copy()
     twice[:-1] |= tied[1:]
     flags = np.zeros(at + 1, bool)
     flags[order[twice]] = True
-    return [flags[s : s + w] | (c > 1) for s, w, c in zip(starts, windows, counts, strict=True)]
+    return [flags[s : s + width * w : width] | (c > 1) for s, w, c in zip(starts, windows, counts, strict=True)]
 
 
 # --- anchors -----------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What texts are strings of: bytes, or words (runs of anything but ASCII white space, each known by a
+    name of 8 bytes); the symbols of a repeated string and of the gram that anchors it."""
+
+    words: bool
+    length: int
+    gram: int
+
+    @property
+    def width(self) -> int:
+        return 8 if self.words else 1
+
+    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return word_names(data, offsets, lower=False) if self.words else (data, offsets)
+
+    def grams(self, symbols: np.ndarray) -> np.ndarray:
+        n = len(symbols) - self.gram + 1
+        name = np.zeros(n, np.uint64)
+        if self.words:
+            for k in range(self.gram):
+                name = name * np.uint64(0x9E3779B97F4A7C15) + symbols[k : k + n]
+        else:
+            eight = words_at(symbols)
+            for k in range(0, self.gram, 8):
+                name = (name ^ eight[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                name ^= name >> np.uint64(29)
+        return mix(name)
+
+
+BYTES = Unit(False, LENGTH, GRAM)
+
+
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     rows = -(-len(x) // width)
     grid = np.full(rows * width, np.iinfo(x.dtype).max, x.dtype)
@@ -198,24 +238,19 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchored(symbols: np.ndarray, offsets: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
     """(row, first start, last start, anchor, its name) of every run of windows that share an anchor.
 
-    The anchor of a window of `length` bytes is its smallest gram by hash, the leftmost of equals: the
-    window's content alone decides it, so equal windows have it at the same place.
+    The anchor of a window of `unit.length` symbols is its smallest gram by hash, the leftmost of equals:
+    the window's content alone decides it, so equal windows have it at the same place.
     """
-    n = len(data)
+    n, length = len(symbols), unit.length
     empty = tuple(np.zeros(0, np.int64) for _ in range(5))
     if n < length:
         return empty
-    eight = words_at(data)
-    name = np.zeros(n - gram + 1, np.uint64)
-    for k in range(0, gram, 8):
-        name = (name ^ eight[k : k + len(name)]) * np.uint64(0x9E3779B97F4A7C15)
-        name ^= name >> np.uint64(29)
-    name = mix(name)
+    name = unit.grams(symbols)
     low = np.uint64((1 << BITS) - 1)
-    best = sliding_minimum((name & ~low) | np.arange(len(name), dtype=np.uint64), length - gram + 1)
+    best = sliding_minimum((name & ~low) | np.arange(len(name), dtype=np.uint64), length - unit.gram + 1)
     anchor = (best & low).astype(np.int64)
     change = np.zeros(len(anchor) + 1, np.int32)
     whole = offsets[1:] - offsets[:-1] >= length
@@ -233,39 +268,33 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return row, begin, stop, anchor[begin], name[anchor[begin]]
 
 
-def _pieces(offsets: np.ndarray):
-    """(row range, byte range, offset of the first byte in its text): chunks, or pieces of one long text."""
-    for i, j in slices(offsets, CHUNK):
-        a, b = int(offsets[i]), int(offsets[j])
-        if b - a <= PIECE:
-            yield i, j, a, b, 0
-        else:
-            for c in range(a, b - LENGTH + 1, PIECE):
-                yield i, i + 1, c, min(b, c + PIECE + LENGTH - 1), c - a
-
+SEGMENT = "t1 long, t2 long, c int, s int, e int, p int, key long, name long"
 
-SEGMENT = "t1 long, t2 long, s int, e int, p int, key long, name long"
 
+def _segments(texts: DataFrame, unit: Unit) -> DataFrame:
+    """Runs of windows with one anchor of each text (t1, t2, c, text): first and last start and anchor, counted
+    in symbols from the text's start, the anchor's name and the run's."""
 
-def _segments(docs: DataFrame) -> DataFrame:
     def run(stream):
         for batch in stream:
             data, offsets = utf8(batch.column("text"))
-            t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
-            for i, j, a, b, skip in _pieces(offsets):
-                part = data[a:b]
-                own = offsets[i : j + 1] - a if not skip and b == offsets[j] else np.array([0, b - a])
-                row, s, e, p, key = anchored(part, own)
-                raw = part.tobytes()
-                name = [xxhash.xxh3_64_intdigest(raw[x : y + LENGTH], seed=int(z - x)) for x, y, z in zip(s.tolist(), e.tolist(), p.tolist(), strict=True)]
-                base = own[row] - skip if len(row) else row
-                yield pa.RecordBatch.from_arrays([pa.array(t1[i + row]), pa.array(t2[i + row]), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32)), pa.array((p - base).astype(np.int32)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(np.array(name, np.uint64).view(np.int64))], names=["t1", "t2", "s", "e", "p", "key", "name"])
-
-    return docs.select("text", "t1", "t2").mapInArrow(run, SEGMENT)
-
-
-def _cut(texts: DataFrame) -> DataFrame:
-    """The bytes of every open segment of each text, from its first window's start to its last one's end."""
+            t1, t2, copies = (batch.column(c).to_numpy() for c in ("t1", "t2", "c"))
+            for i, j in slices(offsets, CHUNK):
+                symbols, own = unit.symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for skip in range(0, max(1, len(symbols)), PIECE) if j == i + 1 else (0,):
+                    part = symbols[skip : skip + PIECE + unit.length - 1] if j == i + 1 else symbols
+                    at = np.array([0, len(part)]) if j == i + 1 else own
+                    row, s, e, p, key = anchored(part, at, unit)
+                    raw, w = part.tobytes(), unit.width
+                    name = [xxhash.xxh3_64_intdigest(raw[w * x : w * (y + unit.length)], seed=z - x) for x, y, z in zip(s.tolist(), e.tolist(), p.tolist(), strict=True)]
+                    base = at[row] - skip if len(row) else row
+                    yield pa.RecordBatch.from_arrays([pa.array(t1[i + row]), pa.array(t2[i + row]), pa.array(copies[i + row]), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32)), pa.array((p - base).astype(np.int32)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(np.array(name, np.uint64).view(np.int64))], names=["t1", "t2", "c", "s", "e", "p", "key", "name"])
+
+    return texts.select("text", "t1", "t2", "c").mapInArrow(run, SEGMENT)
+
+
+def _cut(texts: DataFrame, unit: Unit) -> DataFrame:
+    """The symbols of every open segment of each text, from its first window's start to its last one's end."""
     kinds = "key long, t1 long, t2 long, s int, core int, c long, d long, slice binary"
 
     def run(stream):
@@ -273,10 +302,11 @@ def _cut(texts: DataFrame) -> DataFrame:
             rows, held = [], 0
             columns = [batch.column(c) for c in ("t1", "t2", "text", "open")]
             for t1, t2, text, found in zip(*columns, strict=True):
-                raw = text.as_buffer()
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                symbols = unit.symbols(raw, np.array([0, len(raw)]))[0]
                 for x in found.as_py():
-                    part = raw[x["s"] : x["e"] + LENGTH].to_pybytes()
-                    rows.append((x["key"], t1.as_py(), t2.as_py(), x["s"], x["p"] - x["s"], x["c"], x["d"], part))
+                    part = symbols[x["s"] : x["e"] + unit.length].tobytes()
+                    rows.append((x["key"], t1.as_py(), t2.as_py(), x["s"], (x["p"] - x["s"]) * unit.width, x["c"], x["d"], part))
                     held += len(part)
                     if held > CHUNK:
                         yield _slices(rows)
@@ -291,14 +321,14 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, kinds)
 
 
-def _runs(t1: list, t2: list, s: list, flags: list[np.ndarray]) -> pa.RecordBatch:
-    """Byte spans covered by the flagged windows of each slice."""
+def _runs(t1: list, t2: list, s: list, flags: list[np.ndarray], length: int) -> pa.RecordBatch:
+    """Spans of symbols covered by the flagged windows of each slice."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     for a, b, at, twice in zip(t1, t2, s, flags, strict=True):
         step = np.diff(np.concatenate([[0], twice.astype(np.int8), [0]]))
         begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         if len(begin):
-            for o, v in zip(out, (np.full(len(begin), a), np.full(len(begin), b), begin + at, end - 1 + at + LENGTH), strict=True):
+            for o, v in zip(out, (np.full(len(begin), a), np.full(len(begin), b), begin + at, end - 1 + at + length), strict=True):
                 o.append(v)
     whole = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
     return pa.RecordBatch.from_arrays([pa.array(whole[0], pa.int64()), pa.array(whole[1], pa.int64()), pa.array(whole[2].astype(np.int32)), pa.array(whole[3].astype(np.int32))], names=["t1", "t2", "s", "e"])
@@ -307,7 +337,7 @@ def _runs(t1: list, t2: list, s: list, flags: list[np.ndarray]) -> pa.RecordBatc
 SPAN = "t1 long, t2 long, s int, e int"
 
 
-def _sorted_spans(cut: DataFrame) -> DataFrame:
+def _sorted_spans(cut: DataFrame, unit: Unit) -> DataFrame:
     """Suffix sorting, block by block: a partition's slices come in the order of their anchors, and a
     block ends with an anchor once it holds BLOCK bytes, so one block bounds a task's memory."""
 
@@ -317,7 +347,8 @@ def _sorted_spans(cut: DataFrame) -> DataFrame:
 
         def solve():
             parts = [(x["slice"], x["core"]) for x in held]
-            return _runs([x["t1"] for x in held], [x["t2"] for x in held], [x["s"] for x in held], repeated(parts, np.array([x["c"] for x in held])))
+            flags = repeated(parts, np.array([x["c"] for x in held]), unit.length * unit.width, width=unit.width)
+            return _runs([x["t1"] for x in held], [x["t2"] for x in held], [x["s"] for x in held], flags, unit.length)
 
         for batch in stream:
             for row in batch.to_pylist():
@@ -332,57 +363,67 @@ def _sorted_spans(cut: DataFrame) -> DataFrame:
     return cut.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
 
-def _counted_spans(cut: DataFrame) -> DataFrame:
+def _counted_spans(cut: DataFrame, unit: Unit) -> DataFrame:
     """The same for the slices of hot anchors: windows are counted by anchor, place and name."""
     kinds = "key long, place int, w1 long, w2 long, t1 long, t2 long, s int, c long"
+    width, length = unit.width, unit.length
 
     def run(stream):
         for batch in stream:
             for row in batch.to_pylist():
                 raw = row["slice"]
-                n = len(raw) - LENGTH + 1
-                names = [xxhash.xxh3_128_intdigest(raw[i : i + LENGTH]) for i in range(n)]
-                w1, w2 = np.array([x & (1 << 64) - 1 for x in names], np.uint64).view(np.int64), np.array([x >> 64 for x in names], np.uint64).view(np.int64)
+                n = len(raw) // width - length + 1
+                names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i * width : (i + length) * width]) for i in range(n)]), np.int64).reshape(-1, 2)
                 at = np.arange(n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["key"])), pa.array(at - np.int32(row["core"])), pa.array(w1), pa.array(w2), pa.array(np.full(n, row["t1"])), pa.array(np.full(n, row["t2"])), pa.array(at + np.int32(row["s"])), pa.array(np.full(n, row["c"]))], names=["key", "place", "w1", "w2", "t1", "t2", "s", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["key"])), pa.array(at - np.int32(row["core"] // width)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(np.full(n, row["t1"])), pa.array(np.full(n, row["t2"])), pa.array(at + np.int32(row["s"])), pa.array(np.full(n, row["c"]))], names=["key", "place", "w1", "w2", "t1", "t2", "s", "c"])
 
     windows = cut.mapInArrow(run, kinds)
     name = ["key", "place", "w1", "w2"]
     twice = windows.groupBy(*name).agg(F.sum("c").alias("n")).where("n > 1").drop("n")
-    return windows.join(twice, name).select("t1", "t2", "s", (F.col("s") + LENGTH).cast("int").alias("e"))
+    return windows.join(twice, name).select("t1", "t2", "s", (F.col("s") + length).cast("int").alias("e"))
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(t1, t2, spans): for each text (t1, t2, text) with any, the byte spans, unmerged, that strings of
-    LENGTH bytes cover which start anywhere else as well.
+def _few(names: DataFrame) -> DataFrame:
+    """names, marked for broadcast if they are few."""
+    return F.broadcast(names) if names.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else names
 
-    1. Every window is anchored by content; windows with one anchor form a segment. A segment whose
-       anchor and bytes occur again repeats whole; one whose anchor occurs nowhere else cannot repeat.
+
+def repeated_spans(texts: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
+    """(t1, t2, spans): for each text (t1, t2, text) with any, the spans of symbols, unmerged, that strings of
+    unit.length symbols cover which start anywhere else as well.
+
+    1. Texts that occur more than once repeat whole; one copy of each goes on, counted twice. Every window
+       is anchored by content; windows with one anchor form a segment. A segment whose anchor and symbols
+       occur again repeats whole; one whose anchor occurs nowhere else cannot repeat.
     2. The distinct segments of anchors that have several are the suffix buckets left to sort. They are
        cut from their texts and dealt by anchor, and each task sorts the suffixes of one block of
        buckets after the other.
     """
-    spark = texts.sparkSession
+    spark, by = texts.sparkSession, ["t1", "t2"]
+    copied = scratch.put(texts.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), "copied")
+    named = _few(copied)
+    single = texts.join(named, by, "left_anti").withColumn("c", F.lit(1))
+    once = texts.join(named, by, "left_semi").groupBy(*by).agg(F.first("text").alias("text")).withColumn("c", F.lit(2))
+    texts = single.select("t1", "t2", "text", "c").unionByName(once)
     with batches(spark, ROWS):
-        found = scratch.put(_segments(texts), "segments")
-    classes = scratch.put(found.groupBy("key", "name").agg(F.count("*").alias("c")), "classes")
+        found = scratch.put(_segments(texts, unit), "segments")
+    classes = scratch.put(found.groupBy("key", "name").agg(F.sum("c").alias("c"), F.min(F.struct("t1", "t2", "s", "e", "p")).alias("x")), "classes")
+    whole = found.where("c = 1").join(classes.where("c > 1").select("key", "name"), ["key", "name"], "left_semi")
+    whole = scratch.put(whole.select("t1", "t2", "s", (F.col("e") + unit.length).cast("int").alias("e")), "whole")
     several = classes.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
-    marks = classes.join(several, "key", "left").where("c > 1 or d is not null").select("key", "name", "c", F.coalesce("d", F.lit(1)).alias("d"))
-    met = scratch.put(found.join(marks, ["key", "name"]), "met")
-    scratch.drop("segments", "classes")
-    whole = met.where("c > 1").select("t1", "t2", "s", (F.col("e") + LENGTH).cast("int").alias("e")).distinct()
-    opened = met.where("d > 1").groupBy("key", "name").agg(F.min(F.struct("t1", "t2", "s", "e", "p")).alias("x"), F.first("c").alias("c"), F.first("d").alias("d"))
-    lists = opened.groupBy("x.t1", "x.t2").agg(F.collect_list(F.struct("key", "x.s", "x.e", "x.p", "c", "d")).alias("open"))
-    once = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    lists = classes.join(several, "key").groupBy("x.t1", "x.t2").agg(F.collect_list(F.struct("key", "x.s", "x.e", "x.p", "c", "d")).alias("open"))
+    lists = scratch.put(lists, "open")
+    opened = texts.join(_few(lists.select(*by)), by, "left_semi").join(lists, by)
     with batches(spark, ROWS):
-        cut = scratch.put(_cut(once.join(lists, ["t1", "t2"]).select("t1", "t2", F.col("text").cast("binary").alias("text"), "open")), "cut")
-        cold = scratch.put(_sorted_spans(cut.where(F.col("d") <= HOT)), "cold")
-        spans = whole.unionByName(cold)
+        cut = scratch.put(_cut(opened.select("t1", "t2", F.col("text").cast("binary").alias("text"), "open"), unit), "cut")
+        spans = whole.unionByName(scratch.put(_sorted_spans(cut.where(F.col("d") <= HOT), unit), "cold"))
         hot = cut.where(F.col("d") > HOT)
         if not hot.isEmpty():
-            spans = spans.unionByName(scratch.put(_counted_spans(hot), "hot"))
-    scratch.drop("cut")
-    return scratch.put(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+            spans = spans.unionByName(scratch.put(_counted_spans(hot, unit), "hot"))
+    spans = spans.unionByName(copied.select(*by, F.lit(0).alias("s"), F.lit((1 << 31) - 1).alias("e")))
+    spans = scratch.put(spans.groupBy(*by).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    scratch.drop("copied", "segments", "classes", "whole", "open", "cut", "cold", "hot")
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -399,37 +440,45 @@ def dedup(docs: DataFrame, text: str = "text", words: int | None = None) -> Data
     """docs with removed (array<struct<s, e>>: maximal byte spans) and kept (binary: the bytes left).
 
     Each byte that a string of LENGTH bytes covers which also starts elsewhere, in this row or another,
-    is removed; strings are judged on the input, and never cross rows. Null counts as empty. Shorter
-    texts keep everything. Rows with equal texts of LENGTH bytes or more lose all of them. Texts are
-    handled whole, long ones in overlapping pieces. An empty table gives no rows; input columns named
-    removed or kept give way. With `words`, passages of so many words that start elsewhere go as well,
-    whatever their bytes.
+    is removed; strings are judged on the input, and never cross rows. With `words` (WORD_GRAM at least), strings
+    of so many words are judged instead, whatever their bytes and the white space between them; a span
+    then reaches from a first word's start to a last word's end.
+
+    Null counts as empty. Shorter texts keep everything. Rows with equal texts of a string's length or
+    more lose all of them. Texts are handled whole, long ones in overlapping pieces. An empty table gives
+    no rows; input columns named like one of ADDED give way.
 
     Texts are known by two 64-bit hashes. Equal texts meet once: what repeats is found per text, not
-    per row, so a hot group of copies is one row in every join's smaller side.
+    per row, so a hot group of copies is one row in every join. Only texts that lose something pass
+    a shuffle.
     """
+    if words is not None and words < WORD_GRAM:
+        raise ValueError(f"a string holds a gram of {WORD_GRAM} words")
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    rest = docs.drop("removed", "kept")
+    unit = BYTES if words is None else Unit(True, words, WORD_GRAM)
+    rest = without(docs, *ADDED)
     keyed = rest.withColumn("_t1", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn("_t2", F.xxhash64(F.lit("t2"), F.coalesce(text, F.lit(""))))
     every = keyed.select(F.coalesce(text, F.lit("")).alias("text"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2"))
-    spans = repeated_spans(every.where(F.octet_length("text") >= LENGTH), scratch)
-    if words:
-        from graphloom.llm.passages import repeated_passages
-
-        more = repeated_passages(every.where(F.octet_length("text") >= 2 * words - 1), words, scratch)
-        spans = spans.unionByName(more).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = spans.withColumnsRenamed({"t1": "_s1", "t2": "_s2", "spans": "_spans"})
-    met = keyed.join(spans, (F.col("_t1") == F.col("_s1")) & (F.col("_t2") == F.col("_s2")), "left").withColumn("_bytes", F.coalesce(text, F.lit("")).cast("binary"))
-    scratch.drop("met", "cold", "hot")
+    spans = repeated_spans(every.where(F.octet_length("text") >= (LENGTH if words is None else 2 * words - 1)), unit, scratch)
+    spans = spans.withColumnsRenamed({"t1": "_t1", "t2": "_t2", "spans": "_spans"})
+    by = ["_t1", "_t2"]
+    hit = _few(spans.select(*by))
+    met = keyed.join(hit, by, "left_semi").join(spans, by)
     names = rest.columns
 
+    def cut(data: np.ndarray, spans: list[dict]) -> list[tuple[int, int]]:
+        if not unit.words:
+            return merged([(x["s"], min(x["e"], len(data))) for x in spans])
+        begin, end = word_bounds(data, np.array([0, len(data)]))
+        return merged([(int(begin[x["s"]]), int(end[min(x["e"], len(begin)) - 1])) for x in spans if len(begin) >= unit.length])
+
     def run(stream):
         for batch in stream:
             removed, kept = [], []
             for spans, raw in zip(batch.column("_spans").to_pylist(), batch.column("_bytes"), strict=True):
                 data = raw.as_buffer()
-                runs = merged([(x["s"], x["e"]) for x in spans or ()])
+                runs = cut(np.frombuffer(data, np.uint8), spans)
                 at, parts = 0, []
                 for s, e in runs:
                     parts.append(data[at:s].to_pybytes())
@@ -440,4 +489,7 @@ def dedup(docs: DataFrame, text: str = "text", words: int | None = None) -> Data
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(removed, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(kept, pa.binary())], names=[*names, "removed", "kept"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields)
-    return met.select(*names, "_spans", "_bytes").mapInArrow(run, schema + "removed array<struct<s: int, e: int>>, kept binary")
+    raw = F.coalesce(text, F.lit("")).cast("binary")
+    lost = met.select(*names, "_spans", raw.alias("_bytes")).mapInArrow(run, schema + "removed array<struct<s: int, e: int>>, kept binary")
+    whole = keyed.join(hit, by, "left_anti").select(*names, F.array().cast("array<struct<s: int, e: int>>").alias("removed"), raw.alias("kept"))
+    return lost.unionByName(whole)

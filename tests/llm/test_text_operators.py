@@ -89,11 +89,10 @@ def brute_passages(texts, words):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 700])
-def test_dedup_of_passages_by_words(spark, docs, monkeypatch, chunk):
-    from graphloom.llm import passages
-
-    monkeypatch.setattr(passages, "CHUNK", chunk)
+@pytest.mark.parametrize("chunk,piece,hot", [(1 << 20, 1 << 25, 4000), (700, 60, 4000), (1 << 20, 1 << 25, 1)])
+def test_dedup_of_passages_by_words(spark, docs, monkeypatch, chunk, piece, hot):
+    for name, value in (("CHUNK", chunk), ("PIECE", piece), ("HOT", hot)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(3)
     short = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(51))
     assert 250 < len(short) < 400
@@ -103,7 +102,7 @@ def test_dedup_of_passages_by_words(spark, docs, monkeypatch, chunk):
     rows += [" ".join(other[:50]) + " end " + words(rng, 20), words(rng, 7) + " " + " ".join(other[1:])]  # 50 words only
     rows += [f"{words(rng, n)} {' '.join(other[:40])} {tail}" for n, tail in ((9, "x " * 30), (31, "x " * 22))]
     raws = [(t or "").encode() for t in rows]
-    want = [a | b for a, b in zip(brute_removed(raws), brute_passages(rows, 51))]
+    want = brute_passages(rows, 51)
     at = len(docs.collect())
     assert all(short.encode() in raws[at + k] and want[at + k].sum() == len(short) for k in (0, 1)) and not want[at + 3].any() and not want[at + 4].any()
     table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
