@@ -7,8 +7,7 @@ documents.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
@@ -40,24 +39,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeated strings of 400 bytes (op3's contract) or repeated passages of
-    over 50 words cover; 51 words may take any number of bytes from 101 on. A character cut in half goes; n_chars follows
-    the text; a document of which nothing is left stays, with an empty text."""
+    """Texts without the words of passages of over 50 words that start anywhere else as well, in this text or
+    another: the suffix sorting of op3 over words instead of bytes, since such a passage may take
+    any number of bytes from 101 on. n_chars follows the text; a document of which nothing is left stays,
+    with what lay before and after its passages; a null text stays null."""
     small_batches(spark)
     found = suffix_dedup.dedup(docs.select(*COLUMNS), words=PASSAGE_WORDS)
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(_whole_characters("kept"))
-    out = found.withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
-
-
-def _whole_characters(name: str) -> Column:
-    """The characters of UTF-8 bytes, without the parts of cut ones."""
-
-    @F.pandas_udf("string")
-    def whole(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return whole(F.col(name))
+    same = F.size("removed") == 0
+    text = F.when(same, F.col("text")).otherwise(F.col("kept").cast("string"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
