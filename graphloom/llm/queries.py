@@ -87,11 +87,14 @@ OLD_SHARDS, NEW_SHARDS = 16, 24
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `bytes`: an old layout by hash of doc_id is dealt anew. A null text has size 8, null and repeated
+    ids are rows like others; the columns read are doc_id and text, so no other one can clash."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    placed, _ = sharding.reshard(docs, size, F.pmod(F.xxhash64(F.lit("old"), "doc_id"), F.lit(OLD_SHARDS)), OLD_SHARDS, NEW_SHARDS, order=("doc_id", "text"))
-    files = sharding.rewrite(placed)
-    return files.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    scratch = Scratch(spark, "sharding")
+    schema = sharding.lay_out(docs, size, F.pmod(F.xxhash64(F.lit("old"), "doc_id"), F.lit(OLD_SHARDS)), scratch.path("old"))
+    placed, _ = sharding.reshard(spark, scratch.path("old"), schema, OLD_SHARDS, NEW_SHARDS, scratch.path("new"))
+    return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,4 +1,4 @@
-"""Minimum-cost-flow resharding: fewest bytes move from old shards to new capacities."""
+"""Minimum-cost-flow resharding: fewest bytes move from old shards to new capacities, other files stay."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ import heapq
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm.common import Scratch, without
 
-ADDED = ("shard", "slot", "_old", "_block", "_base", "_part")
+ADDED = ("shard", "slot", "_size", "_file", "_row")
+#: Up to this many files (about 200 bytes each) their table is broadcast; beyond, it is joined by shuffle.
+BROADCAST_FILES = 20_000
 
 
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Callable[[int, int], int]) -> dict[tuple[int, int], int]:
@@ -68,90 +71,115 @@ def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Callable[[
 
 @dataclass
 class Plan:
-    """What moves: flow in bytes by (old, new), and the new shard and first slot of every block."""
+    """flow: bytes by (old, new); cuts: (old, new, from, to), which bytes of an old shard, in the order of its
+    files, each transfer takes; moved: bytes that change their shard."""
 
     flow: dict[tuple[int, int], int]
-    blocks: list[tuple[int, int, int, int, int]]  # old, block, shard, base slot, part
-    sizes: list[int]
+    cuts: list[tuple[int, int, int, int]]
     moved: int
 
-    def affected(self) -> list[int]:
-        """Shards whose files must be written again: they gain or lose rows."""
-        return sorted({s for (i, j), v in self.flow.items() if i != j and v for s in (i, j)})
 
+#: Beyond any shard's bytes.
+END = 1 << 62
 
-def plan_moves(stats: Sequence[tuple[int, int, int, int]], n_old: int, n_new: int, part_bytes: int = 128 << 20) -> Plan:
-    """From (old, block, bytes, rows) of every block, a plan with equal new capacities.
 
-    Bytes that stay cost 0, bytes that move 1. Within an old shard, blocks go largest first to the
-    transfer that has most left, so shards differ from their capacity by about a small block.
+def plan_moves(supply: Sequence[int], n_new: int, capacities: Sequence[int] | None = None) -> Plan:
+    """From the bytes of each old shard, the transfers that move the fewest bytes.
+
+    Without capacities, new shards take equal shares. With capacities, which must hold all bytes, a shard
+    may take less, so that old shards within theirs are left alone. What stays comes first in an old
+    shard, so the files at its end are those that move.
     """
-    total = sum(b for *_, b, _ in stats)
-    supply = [0] * n_old
-    for old, _, size, _ in stats:
-        supply[old] += size
-    demand = [total // n_new + (j < total % n_new) for j in range(n_new)]
-    flow = min_cost_flow(supply, demand, lambda i, j: int(i != j))
-    by_old: dict[int, list] = {}
-    for row in stats:
-        by_old.setdefault(row[0], []).append(row)
-    chosen, room, moved = [], list(demand), 0
-    for old, rows in sorted(by_old.items()):
-        rest = {j: v for (i, j), v in flow.items() if i == old} or {old % n_new: 0}
-        for row in sorted(rows, key=lambda r: (-r[2], r[1])):
-            j = max(rest, key=lambda s: (min(rest[s], room[s]), -s))
-            rest[j] -= row[2]
-            room[j] -= row[2]
-            moved += row[2] * (j != old)
-            chosen.append((j, old, row[1], row[2], row[3]))
-    chosen = _settle(chosen, room)
-    sizes, slots, out = [0] * n_new, [0] * n_new, []
-    for j, old, block, size, rows in sorted(chosen):
-        out.append((old, block, j, slots[j], sizes[j] // part_bytes))
-        sizes[j] += size
-        slots[j] += rows
-    return Plan(flow, out, sizes, moved)
-
-
-def _settle(chosen: list, room: list[int]) -> list:
-    """Small blocks pass from the fullest shard to the emptiest while that narrows the gap."""
-    by: dict[int, list] = {j: [] for j in range(len(room))}
-    for row in chosen:
-        by[row[0]].append(row)
-    for _ in range(4 * len(room)):
-        full, free = min(range(len(room)), key=room.__getitem__), max(range(len(room)), key=room.__getitem__)
-        gap = room[free] - room[full]
-        fits = [r for r in by[full] if 0 < r[3] < gap]
-        if not fits:
-            break
-        row = min(fits, key=lambda r: (abs(gap - 2 * r[3]), r))
-        by[full].remove(row)
-        by[free].append((free, *row[1:]))
-        room[full] += row[3]
-        room[free] -= row[3]
-    return [r for rows in by.values() for r in rows]
-
-
-def reshard(docs: DataFrame, size: Column, old: Column, n_old: int, n_new: int, key: str = "doc_id", order: Sequence[str] = ("doc_id",), n_blocks: int = 1024) -> tuple[DataFrame, Plan]:
-    """docs with shard (0 to n_new - 1) and slot (gapless from 0 within the shard), and the plan.
-
-    Rows of an old shard fall into `n_blocks` blocks by hash of the key. Block totals (n_old times
-    n_blocks rows, whatever the input) are all that the driver sees; the block table goes back by
-    broadcast. Slots are numbered per block, so no shard is sorted by one task. Null keys make a
-    block of their own per old shard, rows with one key share a block, an empty table gives no rows.
-    Input columns named like an added one give way.
+    total = sum(supply)
+    demand = [total // n_new + (j < total % n_new) for j in range(n_new)] if capacities is None else list(capacities)
+    spare = sum(demand) - total
+    if spare < 0 or len(demand) != n_new:
+        raise ValueError(f"{len(demand)} capacities of {sum(demand)} bytes for {n_new} shards and {total} bytes")
+    n = len(supply)
+    flow = min_cost_flow([*supply, spare], demand, lambda i, j: int(i != j and i < n))
+    flow = {(i, j): v for (i, j), v in flow.items() if i < n}
+    cuts = []
+    for i in range(n):
+        goals = sorted((j for k, j in flow if k == i), key=lambda j: (j != i, j)) or [i % n_new]
+        at = 0
+        for j in goals:
+            last = j == goals[-1]
+            cuts.append((i, j, at if at else -1, END if last else at + flow[i, j]))
+            at += flow.get((i, j), 0)
+    return Plan(flow, cuts, sum(v for (i, j), v in flow.items() if i != j))
+
+
+def lay_out(docs: DataFrame, size: Column, shard: Column, path: str) -> StructType:
+    """Writes docs as files below one folder per shard, without a shuffle; returns the schema to read them with.
+    Input columns named like one of ADDED give way."""
+    rows = without(docs, *ADDED).withColumn("_size", size.cast("long")).withColumn("shard", shard.cast("int"))
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+    return rows.schema
+
+
+def _read(spark: SparkSession, schema: StructType, path: str, files: Sequence[str] | None = None) -> DataFrame:
+    """The rows of a layout, or of some of its files, with their file and place in it."""
+    reader = spark.read.schema(schema)
+    rows = reader.parquet(path) if files is None else reader.option("basePath", path).parquet(*files)
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def _few(files: DataFrame) -> DataFrame:
+    return F.broadcast(files) if files.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES else files
+
+
+def reshard(spark: SparkSession, path: str, schema: StructType, n_old: int, n_new: int, to: str, capacities: Sequence[int] | None = None) -> tuple[DataFrame, Plan]:
+    """The rows of the layout at `path` with shard (0 to n_new - 1) and slot (gapless from 0 within the
+    shard), and the plan; only affected files are written again, below `to`.
+
+    The driver sees the bytes of each old shard, solves the flow and cuts each old shard's bytes, in the order
+    of its files, into transfers. A file that lies within what stays is left in place. One within a
+    transfer moves as it is; one that a cut crosses is split at the row in whose middle the cut lies. So shards
+    miss their share by a row's bytes for each transfer, and a shard of any size, even one of equal keys, is
+    split. A slot is the row's place in its file after the rows of the shard's files before, kept in a
+    table of files; no shard is sorted or numbered by one task. An empty layout gives no rows. What is
+    listed on the driver are names of files, as for any scan.
     """
-    spark = docs.sparkSession
-    rows = without(docs, *ADDED).withColumn("_old", old.cast("int")).withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(n_blocks)).cast("int"))
-    stats = rows.groupBy("_old", "_block").agg(F.sum(size).cast("long"), F.count("*")).collect()
-    plan = plan_moves([tuple(r) for r in stats], n_old, n_new)
-    moves = spark.createDataFrame(plan.blocks, "_old int, _block int, shard int, _base long, _part int")
-    placed = rows.join(F.broadcast(moves), ["_old", "_block"])
-    per_block = Window.partitionBy("shard", "_part", "_old", "_block").orderBy(*order)
-    placed = placed.repartition("shard", "_part", "_old", "_block").withColumn("slot", (F.col("_base") + F.row_number().over(per_block) - 1).cast("long"))
-    return placed.drop("_old", "_block", "_base", "_part"), plan
-
-
-def rewrite(placed: DataFrame, name: str = "shards") -> DataFrame:
-    """Writes one folder per shard into the shared folder and reads them back."""
-    return Scratch(placed.sparkSession, name).put(placed, "files", partition_by="shard")
+    scratch = Scratch(spark, "reshard")
+    rows = _read(spark, schema, path)
+    per_file = lambda df: df.groupBy(F.col("_file").alias("file"), "shard").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows"))
+    files = scratch.put(per_file(rows), "files")
+    held = {r.shard: r.bytes for r in files.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+    plan = plan_moves([held.get(i, 0) for i in range(n_old)], n_new, capacities)
+    cuts = spark.createDataFrame(plan.cuts, "shard int, new int, from long, to long")
+    end = F.sum("bytes").over(Window.partitionBy("shard").orderBy("file"))
+    placed = files.withColumn("end", end).withColumn("start", F.col("end") - F.col("bytes")).join(F.broadcast(cuts), "shard")
+    placed = placed.groupBy("file", "shard", "bytes", "rows", "start").agg(F.min(F.when((F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to")), F.col("new"))).alias("new"))
+    placed = scratch.put(placed, "placed")
+    names = lambda df: [r.file for r in df.select("file").collect()]
+    stay, move, split = (placed.where(c) for c in ("new = shard", "new <> shard", "new is null"))
+    columns = [c for c in schema.fieldNames() if c != "shard"]
+    again = []
+    if moved := names(move):
+        goal = move.select(F.col("file").alias("_file"), "new")
+        again.append(_read(spark, schema, path, moved).join(_few(goal), "_file").select(*columns, F.col("new").alias("shard")))
+    if crossed := names(split):
+        start = split.select(F.col("file").alias("_file"), "start")
+        before = F.sum("_size").over(Window.partitionBy("_file").orderBy("_row")) - F.col("_size")
+        parts = _read(spark, schema, path, crossed).join(_few(start), "_file").withColumn("_at", 2 * (F.col("start") + before) + F.col("_size"))
+        goal = cuts.select(F.col("shard").alias("_old"), "new", "from", "to")
+        met = (F.col("shard") == F.col("_old")) & (F.col("_at") >= 2 * F.col("from")) & (F.col("_at") / 2 < F.col("to"))
+        again.append(parts.join(F.broadcast(goal), met).select(*columns, F.col("new").alias("shard")))
+    table, kept = [], []
+    if left := names(stay):
+        kept.append(_read(spark, schema, path, left))
+        table.append(stay.select("file", "shard", "rows"))
+    if again:
+        both = again[0] if len(again) == 1 else again[0].unionByName(again[1])
+        both.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(to)
+        written = _read(spark, schema, to)
+        kept.append(written)
+        table.append(scratch.put(per_file(written), "written").select("file", "shard", "rows"))
+    if not kept:
+        return rows.drop("_file", "_row", "_size").withColumn("slot", F.lit(0).cast("long")), plan
+    manifest = table[0] if len(table) == 1 else table[0].union(table[1])
+    base = F.sum("rows").over(Window.partitionBy("shard").orderBy("file")) - F.col("rows")
+    manifest = scratch.put(manifest.select(F.col("file").alias("_file"), base.alias("_base")), "manifest")
+    every = kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
+    slots = every.join(_few(manifest), "_file").withColumn("slot", F.col("_base") + F.col("_row"))
+    return slots.drop("_file", "_row", "_base", "_size"), plan
