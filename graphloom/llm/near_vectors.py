@@ -13,6 +13,12 @@ from graphloom.llm.common import Scratch, all_finite, batches, lists
 from graphloom.llm.components import components
 
 PROJECTIONS, WIDTH, RECALL, SEED, BLOCK = 48, 1.5, 0.999, 7, 2048
+#: Projections whose ranges decide which blocks meet, in how many deviations of a pair at the threshold; cells
+#: to a deviation of all vectors by which rows are put in order before they are packed.
+RANGED, DEVIATIONS, CELLS = 3, 3.5, 1.5
+#: Rows that are counted at a time, so that their counters stay in a processor's cache, and projections after
+#: which rows that no partner can bring to the count any more are dropped.
+STRIP, STAGE = 128, 24
 
 
 def calibrate(threshold: float, projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL) -> tuple[float, int]:
@@ -42,21 +48,42 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
 
 
-def collisions(ha: np.ndarray, hb: np.ndarray, half: float) -> np.ndarray:
-    """How many windows around each row's projections hold each of the other block's projections.
+def collisions(ha: np.ndarray, hb: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the pairs of which at least `least` query-centred windows collide.
 
-    Each projection of the other block is sorted; a query-centred window is then a run of ranks.
+    Each projection of the other block is sorted; a window is then a run of ranks, which are kept in steps
+    of a 255th of the block and widened to whole steps, so no collision is missed. Counts are made strip
+    by strip of the rows. Halfway, a strip's columns that no row can still link with are dropped.
     """
-    counts = np.zeros((len(ha), len(hb)), np.uint8)
+    n, m = len(ha), len(hb)
+    step = -(-m // 255)
+    ranks, lows, runs = np.empty((ha.shape[1], m), np.uint8), np.empty((ha.shape[1], n), np.uint8), np.empty((ha.shape[1], n), np.uint8)
     for i in range(ha.shape[1]):
         order = np.argsort(hb[:, i], kind="stable")
         ordered = hb[order, i]
-        rank = np.empty(len(order), np.uint16)
-        rank[order] = np.arange(len(order), dtype=np.uint16)
-        low = np.searchsorted(ordered, ha[:, i] - half, side="left").astype(np.uint16)
-        run = np.searchsorted(ordered, ha[:, i] + half, side="right").astype(np.uint16) - low
-        counts += (rank[None, :] - low[:, None]) < run[:, None]
-    return counts
+        ranks[i, order] = np.arange(m) // step
+        low, high = np.searchsorted(ordered, ha[:, i] - half, side="left"), np.searchsorted(ordered, ha[:, i] + half, side="right") - 1
+        lows[i], runs[i] = np.minimum(low // step, 255), np.where(high >= low, high // step - low // step + 1, 0)
+    rows, columns = [], []
+    for a in range(0, n, STRIP):
+        z = min(a + STRIP, n)
+        on = np.arange(m)
+        counts = np.zeros((z - a, m), np.uint8)
+        offset, hit = np.empty((z - a, m), np.uint8), np.empty((z - a, m), bool)
+        for first, last in ((0, STAGE), (STAGE, ha.shape[1])):
+            for i in range(first, min(last, ha.shape[1])):
+                np.subtract(ranks[i][None, on], lows[i, a:z, None], out=offset)
+                np.less(offset, runs[i, a:z, None], out=hit)
+                np.add(counts, hit, out=counts, casting="unsafe")
+            rest = max(0, ha.shape[1] - last)
+            alive = (counts >= max(0, least - rest)).any(0)
+            if rest and not alive.all():
+                on, counts = on[alive], counts[:, alive]
+                offset, hit = np.empty(counts.shape, np.uint8), np.empty(counts.shape, bool)
+        i, j = np.nonzero(counts >= least)
+        rows.append(i + a)
+        columns.append(on[j])
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(columns) if columns else np.zeros(0, np.int64)
 
 
 def local_roots(links: np.ndarray) -> np.ndarray:
@@ -94,44 +121,54 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "
     lend no id (null if all are null). Rows that repeat an id count one by one. An empty table gives
     no rows.
 
-    Classes of a label are dealt by their first projection and packed into blocks of at most BLOCK
-    vectors, so a hot label splits. Block pairs whose first projections are too far apart never
-    meet; a pair of blocks is one row, whose answer holds a row per vector, not per pair.
+    Classes of a label are put in order by cells of their first RANGED projections and packed into blocks of
+    at most BLOCK vectors, so a hot label splits. Blocks whose ranges lie further apart in one of these
+    projections than a linked pair can (but for one in two thousand, at the threshold) never meet; a pair of
+    blocks is one row, whose answer holds a row per vector, not per pair. Vectors are known by two
+    64-bit hashes.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "near-vectors")
     half, least = calibrate(threshold)
-    far = half / WIDTH * 6  # a first projection of a linked pair differs by less, but for a share of 2e-9
+    far = half / WIDTH * DEVIATIONS
     base = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
     good = all_finite("v") & F.col("label").isNotNull() & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    base = base.withColumn("c", F.when(good, F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0)))))
-    classes = base.where("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
-    arrow = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("h", pa.float64()), ("v", pa.binary())])
+    plain = F.transform("v", lambda x: x + F.lit(0.0))
+    base = base.withColumn("c1", F.when(good, F.xxhash64("label", plain))).withColumn("c2", F.when(good, F.xxhash64(F.lit("c2"), "label", plain)))
+    classes = base.where("c1 is not null").groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = classes.withColumn("c", F.monotonically_increasing_id())
+    arrow = pa.schema([("c", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("cells", pa.list_(pa.int32())), ("h", pa.list_(pa.float64())), ("v", pa.binary())])
 
     def project(stream):
         for batch in stream:
-            out = []
+            dims, cells, ranged, units = [], [], [], []
             for v in lists(batch.column("v")):
+                if len(v) != known[0]:
+                    known[:] = [len(v), directions(len(v))[:, :RANGED]]
                 u = unit(v)
-                out.append((len(v), float(u @ directions(len(v))[:, 0]) if len(v) != out_dim[0] else float(u @ out_dim[1]), u.tobytes()))
-                if len(v) != out_dim[0]:
-                    out_dim[:] = [len(v), directions(len(v))[:, 0]]
-            yield pa.RecordBatch.from_arrays([batch.column("c").cast(pa.int64()), batch.column("n"), batch.column("first"), batch.column("label").cast(pa.string()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.binary())], schema=arrow)
-
-    out_dim: list = [0, None]
-    kinds = "c long, n long, first long, label string, dim int, h double, v binary"
-    packed_kinds = "label string, dim int, low double, high double, b long, c binary, n binary, v binary"
-    packed = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("b", pa.int64()), ("c", pa.binary()), ("n", pa.binary()), ("v", pa.binary())])
+                h = u @ known[1]
+                dims.append(len(v))
+                cells.append(np.floor(h * CELLS).astype(np.int32))
+                ranged.append(h)
+                units.append(u.tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(pa.int64()) for c in ("c", "c1", "c2", "n", "first")], batch.column("label").cast(pa.string()), pa.array(dims, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(ranged, pa.list_(pa.float64())), pa.array(units, pa.binary())], schema=arrow)
+
+    known: list = [0, None]
+    kinds = "c long, c1 long, c2 long, n long, first long, label string, dim int, cells array<int>, h array<double>, v binary"
+    packed_kinds = "label string, dim int, low array<double>, high array<double>, b long, c binary, n binary, v binary"
+    packed = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("b", pa.int64()), ("c", pa.binary()), ("n", pa.binary()), ("v", pa.binary())])
 
     def pack(stream):
         from pyspark import TaskContext
 
         held, seq = [], TaskContext.get().partitionId() << 32
+
         def out():
-            return pa.RecordBatch.from_pylist([{"label": held[0]["label"], "dim": held[0]["dim"], "low": held[0]["h"], "high": held[-1]["h"], "b": seq, "c": np.array([x["c"] for x in held], np.int64).tobytes(), "n": np.array([x["n"] for x in held], np.int64).tobytes(), "v": b"".join(x["v"] for x in held)}], schema=packed)
+            h = np.array([x["h"] for x in held])
+            return pa.RecordBatch.from_pylist([{"label": held[0]["label"], "dim": held[0]["dim"], "low": h.min(0).tolist(), "high": h.max(0).tolist(), "b": seq, "c": np.array([x["c"] for x in held], np.int64).tobytes(), "n": np.array([x["n"] for x in held], np.int64).tobytes(), "v": b"".join(x["v"] for x in held)}], schema=packed)
 
         for batch in stream:
-            for row in batch.to_pylist():
+            for row in batch.select(["label", "dim", "h", "c", "n", "v"]).to_pylist():
                 if held and (len(held) >= BLOCK or (row["label"], row["dim"]) != (held[0]["label"], held[0]["dim"])):
                     yield out()
                     held, seq = [], seq + 1
@@ -139,13 +176,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "
         if held:
             yield out()
 
+    order = ["label", "dim", *[F.element_at("cells", i + 1) for i in range(RANGED)], F.element_at("h", RANGED), "c"]
     with batches(spark, 2000):
         classes = scratch.put(classes.mapInArrow(project, kinds), "classes")
-        dealt = classes.repartitionByRange("label", "dim", "h", "c").sortWithinPartitions("label", "dim", "h", "c")
+        dealt = classes.repartitionByRange(*order).sortWithinPartitions(*order)
         blocks = scratch.put(dealt.mapInArrow(pack, packed_kinds), "blocks")
     ends = blocks.select("label", "dim", "low", "high", "b")
-    other = ends.select(F.col("label").alias("label2"), F.col("dim").alias("dim2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("b").alias("b2"))
-    pairs = ends.join(other, (F.col("label") == F.col("label2")) & (F.col("dim") == F.col("dim2")) & (F.col("b") <= F.col("b2")) & (F.col("low2") - F.col("high") <= far)).select(F.col("b").alias("a"), F.col("b2").alias("z"), "dim")
+    other = ends.toDF("label2", "dim2", "low2", "high2", "b2")
+    meet = (F.col("label") == F.col("label2")) & (F.col("dim") == F.col("dim2")) & (F.col("b") <= F.col("b2"))
+    for i in range(RANGED):
+        meet &= (F.col("low2")[i] - F.col("high")[i] <= far) & (F.col("low")[i] - F.col("high2")[i] <= far)
+    pairs = ends.join(other, meet).select(F.col("b").alias("a"), F.col("b2").alias("z"), "dim")
     left = blocks.select(F.col("b").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("v").alias("va"))
     right = blocks.select(F.col("b").alias("z"), F.col("c").alias("cz"), F.col("n").alias("nz"), F.col("v").alias("vz"))
 
@@ -156,14 +197,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "
                 ca, na, va = np.frombuffer(row["ca"], np.int64), np.frombuffer(row["na"], np.int64), np.frombuffer(row["va"]).reshape(-1, dim)
                 cz, nz, vz = np.frombuffer(row["cz"], np.int64), np.frombuffer(row["nz"], np.int64), np.frombuffer(row["vz"]).reshape(-1, dim)
                 d = directions(dim)
-                links = collisions(va @ d, vz @ d, half) >= least
-                if same:
-                    links &= ~np.eye(len(ca), dtype=bool)
-                for i in np.flatnonzero(links.any(1)):
-                    at = np.flatnonzero(links[i])
-                    links[i, at] = vz[at] @ va[i] >= threshold
+                i, j = collisions(va @ d, vz @ d, half, least)
+                links = np.zeros((len(ca), len(cz)), bool)
+                for at in range(0, len(i), 1 << 16):
+                    x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    links[x, y] = np.einsum("ij,ij->i", va[x], vz[y]) >= threshold
                 if same:
                     links |= links.T
+                    np.fill_diagonal(links, False)
                 both, sums, joined = (ca, [links @ nz], links | np.eye(len(ca), dtype=bool)) if same else (np.concatenate([ca, cz]), [links @ nz, na @ links], links)
                 root = linked_roots(joined)[: len(both)]
                 total = np.concatenate(sums)
@@ -176,9 +217,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_column: str = "
     scratch.drop("blocks")
     roots = components(links.select(F.col("c").alias("u"), F.col("root").alias("v")), "vector-components")
     linked = links.groupBy("c").agg(F.sum("links").alias("links"))
-    sized = classes.select("c", "n", "first").join(linked, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    sized = classes.select("c", "c1", "c2", "n", "first").join(linked, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = sized.groupBy("root").agg(F.min("first").alias("component"))
-    sized = sized.join(named, "root").select(F.col("c").alias("_c"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
-    out = base.select("vec_id", "c").join(sized, F.col("c") == F.col("_c"), "left")
+    sized = sized.join(named, "root").select("c1", "c2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
+    out = base.select("vec_id", "c1", "c2").join(sized, ["c1", "c2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
