@@ -271,9 +271,29 @@ def anchored(symbols: np.ndarray, offsets: np.ndarray, unit: Unit = BYTES) -> tu
 SEGMENT = "t1 long, t2 long, c int, s int, e int, p int, key long, name long"
 
 
+def _within(row: np.ndarray, s: np.ndarray, e: np.ndarray, key: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, times, begin, end): which segments are the first of their kind in a text, how often each of
+    those occurs there, and the first and last segments of runs that follow one another and all occur there
+    more than once. Periodic text, where each window has an anchor of its own, is a few rows this way."""
+    order = np.lexsort((s, name, key, row))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1])
+    group, sizes = np.cumsum(fresh) - 1, np.diff(np.append(np.flatnonzero(fresh), len(order)))
+    times = np.empty(len(order), np.int64)
+    times[order] = sizes[group]
+    again = times > 1
+    joined = np.zeros(len(order), bool)
+    joined[1:] = again[1:] & again[:-1] & (row[1:] == row[:-1]) & (s[1:] == e[:-1] + 1)
+    begin = np.flatnonzero(again & ~joined)
+    end = np.flatnonzero(again & ~np.append(joined[1:], False))
+    first = np.sort(order[fresh])
+    return first, times[first], begin, end
+
+
 def _segments(texts: DataFrame, unit: Unit) -> DataFrame:
     """Runs of windows with one anchor of each text (t1, t2, c, text): first and last start and anchor, counted
-    in symbols from the text's start, the anchor's name and the run's."""
+    in symbols from the text's start, the anchor's name and the run's; c: how often it is there, copies of the
+    text counted. Rows without a key are runs that repeat within their own text."""
 
     def run(stream):
         for batch in stream:
@@ -288,7 +308,15 @@ def _segments(texts: DataFrame, unit: Unit) -> DataFrame:
                     raw, w = part.tobytes(), unit.width
                     name = [xxhash.xxh3_64_intdigest(raw[w * x : w * (y + unit.length)], seed=z - x) for x, y, z in zip(s.tolist(), e.tolist(), p.tolist(), strict=True)]
                     base = at[row] - skip if len(row) else row
-                    yield pa.RecordBatch.from_arrays([pa.array(t1[i + row]), pa.array(t2[i + row]), pa.array(copies[i + row]), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32)), pa.array((p - base).astype(np.int32)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(np.array(name, np.uint64).view(np.int64))], names=["t1", "t2", "c", "s", "e", "p", "key", "name"])
+                    key, name = key.astype(np.uint64).view(np.int64), np.array(name, np.uint64).view(np.int64)
+                    one, times, begin, end = _within(row, s, e, key, name)
+                    yield rows(t1[i + row[one]], t2[i + row[one]], copies[i + row[one]] * times, (s - base)[one], (e - base)[one], (p - base)[one], pa.array(key[one]), pa.array(name[one]))
+                    if len(begin):
+                        none = pa.nulls(len(begin), pa.int64())
+                        yield rows(t1[i + row[begin]], t2[i + row[begin]], np.zeros(len(begin)), (s - base)[begin], (e - base)[end], np.zeros(len(begin)), none, none)
+
+    def rows(t1, t2, c, s, e, p, key, name):
+        return pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), *[pa.array(x.astype(np.int32)) for x in (c, s, e, p)], key, name], names=["t1", "t2", "c", "s", "e", "p", "key", "name"])
 
     return texts.select("text", "t1", "t2", "c").mapInArrow(run, SEGMENT)
 
@@ -407,9 +435,11 @@ def repeated_spans(texts: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
     texts = single.select("t1", "t2", "text", "c").unionByName(once)
     with batches(spark, ROWS):
         found = scratch.put(_segments(texts, unit), "segments")
+    own = found.where("key is null")
+    found = found.where("key is not null")
     classes = scratch.put(found.groupBy("key", "name").agg(F.sum("c").alias("c"), F.min(F.struct("t1", "t2", "s", "e", "p")).alias("x")), "classes")
     whole = found.where("c = 1").join(classes.where("c > 1").select("key", "name"), ["key", "name"], "left_semi")
-    whole = scratch.put(whole.select("t1", "t2", "s", (F.col("e") + unit.length).cast("int").alias("e")), "whole")
+    whole = scratch.put(whole.unionByName(own).select("t1", "t2", "s", (F.col("e") + unit.length).cast("int").alias("e")), "whole")
     several = classes.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
     lists = classes.join(several, "key").groupBy("x.t1", "x.t2").agg(F.collect_list(F.struct("key", "x.s", "x.e", "x.p", "c", "d")).alias("open"))
     lists = scratch.put(lists, "open")
