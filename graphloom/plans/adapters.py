@@ -58,7 +58,7 @@ def supplier_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CYCLES_SQL = """
-pairs AS (SELECT 'Supplier:' || l_suppkey AS src, 'Supplier:' || lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_orderkey % 401 = 0),
+pairs AS (SELECT 'Supplier:' || l_suppkey AS src, 'Supplier:' || lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
 edges AS (SELECT DISTINCT src, dst FROM pairs WHERE dst IS NOT NULL)
 """
 
@@ -91,16 +91,16 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 TRADE_SQL = """
 nodes AS (SELECT 'Customer:' || c_custkey AS id, 'buyers/nation' || c_nationkey || '/file.ts' AS file, c_nationkey AS nation, 'buyer' AS side FROM customer UNION ALL SELECT 'Supplier:' || s_suppkey, 'sellers/nation' || s_nationkey || '/file.ts', s_nationkey, 'seller' FROM supplier),
-edges AS (SELECT DISTINCT 'Customer:' || o_custkey AS src, 'Supplier:' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49)
+edges AS (SELECT DISTINCT 'Customer:' || o_custkey AS src, 'Supplier:' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """
 
 
 def calls_and_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every page's url as a call; every page's path, digits as parameters, as a route. Calls of pages whose
-    path mixes letters and digits in a segment may dangle."""
+    """Every page's url as a call; every page's path, digits as parameters, as a route. Every seventh page calls
+    something below its path, which no route takes."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     path = F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1)
-    target = F.when(F.col("page_id") % 2 == 0, path).otherwise(F.col("url"))
+    target = F.when(F.col("page_id") % 7 == 6, F.concat(path, F.lit("/raw"))).when(F.col("page_id") % 2 == 0, path).otherwise(F.col("url"))
     calls = pages.select(F.col("page_id").alias("call_ord"), F.when(F.col("page_id") % 5 == 0, "POST").otherwise("GET").alias("method"), (F.col("page_id") % 3 == 0).alias("dynamic"), F.concat(F.lit("Page:"), F.col("page_id").cast("string")).alias("caller_id"), target.alias("full_url"), F.array().cast("array<struct<field:string,line:int,confidence:string>>").alias("response_fields"))
     shape = F.when(F.col("page_id") % 4 == 0, path).otherwise(F.regexp_replace(path, "[0-9]+", "{id}"))
     routes = pages.select(F.col("page_id").alias("route_ord"), F.when(F.col("page_id") % 5 == 0, "POST").otherwise("GET").alias("method"), shape.alias("path"), F.concat(F.lit("APIEndpoint:"), F.col("page_id").cast("string")).alias("endpoint_id"), F.array().cast("array<struct<id:string,name:string>>").alias("response_fields"))
@@ -109,8 +109,8 @@ def calls_and_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 LINK_SQL = r"""
 p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS path FROM pages),
-calls AS (SELECT page_id AS call_ord, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, page_id % 3 = 0 AS dynamic, 'Page:' || page_id AS caller_id, CASE WHEN page_id % 2 = 0 THEN path ELSE url END AS full_url FROM p),
-routes AS (SELECT page_id AS route_ord, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 4 = 0 THEN path ELSE regexp_replace(path, '[0-9]+', '{id}', 'g') END AS path, 'APIEndpoint:' || page_id AS endpoint_id FROM p WHERE page_id % 3 = 0),
+calls AS (SELECT page_id AS call_ord, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, page_id % 3 = 0 AS dynamic, 'Page:' || page_id AS caller_id, CASE WHEN page_id % 7 = 6 THEN path || '/raw' WHEN page_id % 2 = 0 THEN path ELSE url END AS full_url FROM p),
+routes AS (SELECT page_id AS route_ord, CASE WHEN page_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 4 = 0 THEN path ELSE regexp_replace(path, '[0-9]+', '{id}', 'g') END AS path, 'APIEndpoint:' || page_id AS endpoint_id FROM p),
 c1 AS (SELECT *, regexp_extract(full_url, '^[^?#]*') AS bare FROM calls), r1 AS (SELECT *, regexp_extract(path, '^[^?#]*') AS bare FROM routes),
 c AS (SELECT *, CASE WHEN bare = '' THEN '/' ELSE regexp_replace(regexp_replace(CASE WHEN starts_with(bare, '/') THEN bare ELSE '/' || bare END, '/+', '/', 'g'), '/?$', '/') END AS clean FROM c1),
 r AS (SELECT *, CASE WHEN bare = '' THEN '/' ELSE regexp_replace(regexp_replace(CASE WHEN starts_with(bare, '/') THEN bare ELSE '/' || bare END, '/+', '/', 'g'), '/?$', '/') END AS clean FROM r1),

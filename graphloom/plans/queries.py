@@ -162,7 +162,7 @@ def join03_dangling(spark, d):
 
 COMMITS_SQL = """
 commits AS (SELECT CAST(event_id AS VARCHAR) AS commit_id, row_number() OVER (ORDER BY ts DESC, event_id) AS commit_ord, event_type AS author, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'user/' || user_id AS file FROM events),
-churn AS (SELECT file, count(DISTINCT commit_id) AS commits, count(DISTINCT author) AS authors, arg_min(ts, commit_ord) AS last_commit_at FROM commits WHERE commit_ord <= 2000 GROUP BY file)
+churn AS (SELECT file, count(DISTINCT commit_id) AS commits, count(DISTINCT author) AS authors, arg_min(ts, commit_ord) AS last_commit_at FROM commits GROUP BY file)
 """
 
 
@@ -187,7 +187,7 @@ def agg03_overall_coverage(spark, d):
 
 
 SECRETS_SQL = r"""
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL AND length(text) <= 1500000),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
 hits AS (
   SELECT doc_id, n, 'aws-access-key' AS rule, unnest(regexp_extract_all(line, '\b(AKIA[0-9A-Z]{16})\b', 1)) AS value FROM lines
   UNION ALL SELECT doc_id, n, 'github-token', unnest(regexp_extract_all(line, '\b(ghp_[A-Za-z0-9_]{30,}|github_pat_[A-Za-z0-9_]{40,})\b', 1)) FROM lines
@@ -216,13 +216,16 @@ def agg05_complexity(spark, d):
 
 
 @query(f"""
-WITH {COMPLEXITY_SQL}, {COMMITS_SQL},
+WITH RECURSIVE {COMPLEXITY_SQL}, {COMMITS_SQL},
 files AS (SELECT 'src/' || source || '.py' AS file, max(complexity) AS complexity FROM cx GROUP BY source),
 ch AS (SELECT 'src/src' || substr(file, 6) || '.py' AS file, commits, authors FROM churn),
 n AS (SELECT doc_id, 'Function:' || doc_id AS node_id, 'src/' || source || '.py' AS file FROM documents),
 deg AS (SELECT n.node_id, (SELECT count(*) FROM documents x WHERE x.doc_id > 0 AND x.doc_id // 2 = n.doc_id) AS fan_in, CASE WHEN n.doc_id > 0 THEN 1 ELSE 0 END AS fan_out FROM n),
-s AS (SELECT n.node_id, n.file, coalesce(commits, 0) AS churn, coalesce(authors, 0) AS authors, coalesce(complexity, 0) AS complexity, fan_in, fan_out, CASE WHEN coalesce(commits, 0) > 0 THEN floor(complexity * commits * (1 + fan_in * 0.05::DOUBLE + fan_out * 0.02::DOUBLE) + 0.5) ELSE 0 END AS score FROM n JOIN deg USING (node_id) LEFT JOIN files USING (file) LEFT JOIN ch USING (file))
-SELECT node_id, file, CAST(churn AS BIGINT) AS churn, CAST(complexity AS INT) AS complexity, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 OR complexity >= 18 ORDER BY score DESC, complexity DESC, node_id LIMIT 25
+s AS (SELECT n.node_id, n.file, coalesce(commits, 0) AS churn, coalesce(authors, 0) AS authors, coalesce(complexity, 0) AS complexity, fan_in, fan_out, CASE WHEN coalesce(commits, 0) > 0 THEN floor(complexity * commits * (1 + fan_in * 0.05::DOUBLE + fan_out * 0.02::DOUBLE) + 0.5) ELSE 0 END AS score FROM n JOIN deg USING (node_id) LEFT JOIN files USING (file) LEFT JOIN ch USING (file)),
+top AS (SELECT * FROM s WHERE score > 0 OR complexity >= 18 ORDER BY score DESC, complexity DESC, node_id LIMIT 25),
+r AS (SELECT node_id AS seed, CAST(string_split(node_id, ':')[2] AS BIGINT) AS id FROM top UNION SELECT seed, doc_id FROM r JOIN documents ON doc_id // 2 = id AND doc_id > 0),
+sizes AS (SELECT seed AS node_id, count(*) - 1 AS impact FROM r GROUP BY seed)
+SELECT node_id, file, CAST(churn AS BIGINT) AS churn, CAST(complexity AS INT) AS complexity, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out, CAST(score AS DOUBLE) AS score, impact FROM top JOIN sizes USING (node_id)
 """)
 def agg08_hotspots(spark, d):
     nodes, edges = A.doc_nodes(spark, d)
@@ -230,7 +233,7 @@ def agg08_hotspots(spark, d):
     cx = docs.select(F.concat(F.lit("src/"), "source", F.lit(".py")).alias("file"), I.complexity(F.coalesce("text", F.lit("")), F.lit("python")).alias("c")).groupBy("file").agg(F.max("c").alias("complexity"))
     churned = I.churn(A.commits(spark, d), None).withColumn("file", F.concat(F.lit("src/src"), F.substring("file", 6, 100), F.lit(".py")))
     covered = I.coverage(A.coverage_rows(spark, d))
-    return I.hotspots(nodes, edges, cx, churned, covered, with_impact=False).select("node_id", "file", "churn", "complexity", "fan_in", "fan_out", "score")
+    return I.hotspots(nodes, edges, cx, churned, covered).select("node_id", "file", "churn", "complexity", "fan_in", "fan_out", "score", "impact")
 
 
 def _issues(spark, d):
@@ -302,28 +305,51 @@ def _endpoint_nodes(spark, d, method, keep):
     return pages.select(F.concat(F.lit("APIEndpoint:"), F.col("page_id").cast("string")).alias("id"), F.lit("APIEndpoint").alias("kind"), F.col("url").alias("name"), F.create_map(F.lit("method"), method, F.lit("path"), F.col("path")).alias("meta"))
 
 
-@query(r"""
-WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[a-z]*)', 1) AS path FROM pages),
-b AS (SELECT path, string_agg(DISTINCT m, ',' ORDER BY m) AS methods FROM (SELECT path, CASE WHEN page_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS m FROM p WHERE page_id % 2 = 0) GROUP BY path),
-a AS (SELECT path, string_agg(DISTINCT m, ',' ORDER BY m) AS methods FROM (SELECT path, CASE WHEN page_id % 5 = 0 THEN 'GET' ELSE 'PUT' END AS m FROM p WHERE page_id % 2 = 1) GROUP BY path)
-SELECT 'BREAKING_ROUTE_METHOD_CHANGED' AS kind, path || ' changed methods from ' || b.methods || ' to ' || a.methods || '.' AS message FROM b JOIN a USING (path) WHERE b.methods <> a.methods AND path <> ''
-""")
+BREAKING_SQL = r"""
+p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+(/[a-z]*)', 1) AS path FROM pages),
+o AS (SELECT path, CASE WHEN page_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS m FROM p WHERE page_id % 2 = 0 AND path <> ''),
+w AS (SELECT path, CASE WHEN page_id % 5 = 0 THEN 'GET' ELSE 'PUT' END AS m FROM p WHERE page_id % 2 = 1 AND path <> ''),
+om AS (SELECT path, string_agg(DISTINCT m, ',' ORDER BY m) AS methods FROM o GROUP BY path), wm AS (SELECT path, string_agg(DISTINCT m, ',' ORDER BY m) AS methods FROM w GROUP BY path),
+breaking AS (
+SELECT 'BREAKING_ROUTE_METHOD_CHANGED' AS kind, path || ' changed methods from ' || om.methods || ' to ' || wm.methods || '.' AS message FROM om JOIN wm USING (path) WHERE om.methods <> wm.methods
+UNION ALL SELECT DISTINCT 'BREAKING_ENDPOINT_REMOVED', o.m || ' ' || o.path || ' was removed while a frontend call still targets it.' FROM o WHERE (m, path) NOT IN (SELECT m, path FROM w) AND m = 'POST'
+UNION ALL SELECT 'BREAKING_FIELD_REMOVED', p_name || ' was removed from a serializer-exposed model field.' FROM part WHERE p_partkey % 4 = 0 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'))
+"""
+
+
+@query(f"WITH {BREAKING_SQL} SELECT * FROM breaking")
 def set04_breaking(spark, d):
-    before = {"nodes": _endpoint_nodes(spark, d, F.when(F.col("page_id") % 3 == 0, "get").otherwise("post"), "page_id % 2 = 0").where(F.col("meta")["path"] != ""), "edges": A.sales_graph(spark, d)[1].where("false")}
-    after = {"nodes": _endpoint_nodes(spark, d, F.when(F.col("page_id") % 5 == 0, "get").otherwise("put"), "page_id % 2 = 1").where(F.col("meta")["path"] != ""), "issues": _issues(spark, d).where("false")}
+    """All branches: endpoints of even pages become those of odd ones, every page calls POST on its path, and
+    a quarter of the fields, which suppliers' serializers expose, goes."""
+    none = A.none().alias("meta")
+    part, line = A.table(spark, d, "part"), A.table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    fields = part.select(A.ref("Field", "p_partkey").alias("id"), F.lit("Field").alias("kind"), F.col("p_name").alias("name"), none)
+    makers = A.table(spark, d, "supplier").select(A.ref("Serializer", "s_suppkey").alias("id"), F.lit("Serializer").alias("kind"), F.col("s_name").alias("name"), none)
+    uses = line.select(A.ref("Serializer", "l_suppkey").alias("src"), A.ref("Field", "l_partkey").alias("dst"), F.lit("USES").alias("kind"))
+    points = lambda method, keep: _endpoint_nodes(spark, d, method, keep).where(F.col("meta")["path"] != "")
+    old = points(F.when(F.col("page_id") % 3 == 0, "get").otherwise("post"), "page_id % 2 = 0")
+    new = points(F.when(F.col("page_id") % 5 == 0, "get").otherwise("put"), "page_id % 2 = 1")
+    path = F.regexp_extract("url", r"^https?://[^/]+(/[a-z]*)", 1)
+    called = A.table(spark, d, "pages").select(F.lit("DANGLING_API_CALL").alias("kind"), F.create_map(F.lit("method"), F.lit("post"), F.lit("url"), F.concat(F.lit("https://x.test"), path)).alias("meta"))
+    before = {"nodes": old.unionByName(fields).unionByName(makers), "edges": uses}
+    after = {"nodes": new.unionByName(fields.where("cast(substring(id, 7) as long) % 4 <> 0")).unionByName(makers), "issues": called}
     return D.breaking(before, after).select("kind", "message")
 
 
 @query(f"""
-WITH {ISSUES_SQL}, {COVERAGE_SQL}, {DIFF_SQL},
-f AS (SELECT greatest(0, 100 - (SELECT sum(w) FROM issues)) AS health, (SELECT count(*) FROM diff WHERE kind = 'node_added') AS new_issues, (SELECT sum(covered) * 100.0::DOUBLE / sum(total) FROM cov) AS coverage)
+WITH {ISSUES_SQL}, {COVERAGE_SQL}, {DIFF_SQL}, {BREAKING_SQL},
+f AS (SELECT greatest(0, 100 - (SELECT sum(w) FROM issues)) AS health, (SELECT count(*) FROM diff WHERE kind = 'node_added') AS new_issues, (SELECT sum(covered) * 100.0::DOUBLE / sum(total) FROM cov) AS coverage,
+  (SELECT count(*) FROM breaking) AS breaking, (SELECT count(*) FROM issues WHERE kind = 'GOD_MODEL') AS boundary)
 SELECT 'MIN_HEALTH' AS kind, CAST(health AS DOUBLE) AS current, 90.0::DOUBLE AS threshold FROM f WHERE health < 90
 UNION ALL SELECT 'MAX_NEW_ISSUES', CAST(new_issues AS DOUBLE), 10.0 FROM f WHERE new_issues > 10
+UNION ALL SELECT 'BREAKING_CHANGES', CAST(breaking AS DOUBLE), 0.0 FROM f WHERE breaking > 0
+UNION ALL SELECT 'BOUNDARY_VIOLATIONS', CAST(boundary AS DOUBLE), 0.0 FROM f WHERE boundary > 0
 UNION ALL SELECT 'MIN_COVERAGE', coverage, 95.0 FROM f WHERE coverage < 95
 """)
 def rul12_gates(spark, d):
     changed = D.changes(*_snapshots(spark, d), "node", F.col("state"), content=F.col("state"))
-    facts = R.health(_issues(spark, d)).join(changed.agg(F.count_if(F.col("kind") == "node_added").alias("new_issues"))).join(I.overall_coverage(A.coverage_rows(spark, d)).select(F.col("pct").alias("coverage"))).withColumn("breaking", F.lit(0)).withColumn("boundary", F.lit(0))
+    facts = R.health(_issues(spark, d)).join(changed.agg(F.count_if(F.col("kind") == "node_added").alias("new_issues"))).join(I.overall_coverage(A.coverage_rows(spark, d)).select(F.col("pct").alias("coverage")))
+    facts = facts.join(set04_breaking(spark, d).agg(F.count("*").alias("breaking"))).join(_issues(spark, d).agg(F.count_if(F.col("kind") == "GOD_MODEL").alias("boundary")))
     return D.gates(facts, min_health=90, max_new_issues=10, forbid_breaking=True, forbid_boundary=True, min_coverage=95).select("kind", "current", "threshold")
 
 
@@ -352,7 +378,7 @@ def win10_retention(spark, d):
 
 
 @query("""
-WITH c AS (SELECT user_id % 10 AS repo_id, strftime(ts, '%Y-%m') AS scan_id, count(*) AS n FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2),
+WITH c AS (SELECT user_id % 10 AS repo_id, strftime(ts, '%Y-%m') AS scan_id, count(*) AS n FROM events GROUP BY 1, 2),
 g AS (SELECT r.repo_id, s.scan_id, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT user_id % 10 AS repo_id FROM events) r CROSS JOIN (SELECT DISTINCT strftime(ts, '%Y-%m') AS scan_id FROM events) s LEFT JOIN c USING (repo_id, scan_id))
 SELECT repo_id, scan_id, n, CAST(CASE WHEN n <= 0 THEN 0 ELSE least(4, greatest(1, ceil(n * 4.0::DOUBLE / max(n) OVER ()))) END AS INT) AS level FROM g
 """)
@@ -375,13 +401,13 @@ def _search_nodes(spark, d):
 WITH w AS (SELECT 'Component:' || p_partkey AS id, p_name AS name, 'src/' || p_brand || '/' || p_partkey || '.tsx' AS file FROM part),
 h AS (SELECT id, name, unnest([id, name, file]) AS hay FROM w),
 t AS (SELECT id, name, lower(trim(hay)) AS h, list_filter(regexp_split_to_array(lower(trim(regexp_replace(regexp_replace(hay, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_./:#-]+', ' ', 'g'))), '\s+'), lambda x: x <> '') AS words FROM h),
-s AS (SELECT id, name, CASE WHEN h = 'part 7' THEN 100 WHEN ends_with(h, 'part 7') THEN 80 WHEN contains(h, 'part 7') THEN 60
-  ELSE coalesce(nullif(greatest(CASE WHEN array_to_string(words, ' ') = 'part 7' THEN 100 WHEN ends_with(array_to_string(words, ' '), 'part 7') THEN 80 WHEN contains(array_to_string(words, ' '), 'part 7') THEN 60 ELSE 0 END, CASE WHEN array_to_string(words, '') = 'part7' THEN 100 WHEN ends_with(array_to_string(words, ''), 'part7') THEN 80 WHEN contains(array_to_string(words, ''), 'part7') THEN 60 ELSE 0 END), 0), CASE WHEN list_contains(words, 'part') AND list_contains(words, '7') THEN 60 ELSE 0 END) END AS score FROM t),
+s AS (SELECT id, name, CASE WHEN h = 'small ring' THEN 100 WHEN ends_with(h, 'small ring') THEN 80 WHEN contains(h, 'small ring') THEN 60
+  ELSE coalesce(nullif(greatest(CASE WHEN array_to_string(words, ' ') = 'small ring' THEN 100 WHEN ends_with(array_to_string(words, ' '), 'small ring') THEN 80 WHEN contains(array_to_string(words, ' '), 'small ring') THEN 60 ELSE 0 END, CASE WHEN array_to_string(words, '') = 'smallring' THEN 100 WHEN ends_with(array_to_string(words, ''), 'smallring') THEN 80 WHEN contains(array_to_string(words, ''), 'smallring') THEN 60 ELSE 0 END), 0), CASE WHEN list_contains(words, 'small') AND list_contains(words, 'ring') THEN 60 ELSE 0 END) END AS score FROM t),
 b AS (SELECT id, name, max(score) AS score FROM s GROUP BY id, name)
 SELECT id, name, CAST(score AS INT) AS score, CASE WHEN score >= 100 THEN 'high' WHEN score >= 80 THEN 'medium' ELSE 'low' END AS confidence FROM b WHERE score > 0 ORDER BY score DESC, id LIMIT 25
 """)
 def qry01_search(spark, d):
-    return S.search(_search_nodes(spark, d), "part 7").select("id", "name", "score", "confidence")
+    return S.search(_search_nodes(spark, d), "small ring").select("id", "name", "score", "confidence")
 
 
 @query(r"""
