@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import quartile, url_path
 
 
+#: Up to this many scans are broadcast to the repos of an activity grid.
+MOST_SCANS = 100_000
+
+
 def changes(before: DataFrame, after: DataFrame, what: str, label: Column, key: str = "id", content: Column | None = None) -> DataFrame:
     """SET-03, JOIN-22: (kind, id, label) of rows added, removed and, given content, changed.
 
     One full outer join on the key; content is compared by hash, so no row travels with it. Labels are
-    the new side's where there is one.
+    the new side's where there is one. Of rows with one key, the last in `ord` counts (without such a column, the largest).
     """
     digest = F.lit(0).cast("long") if content is None else F.xxhash64(content)
-    a = before.select(F.col(key).alias("id"), label.alias("label_a"), digest.alias("digest_a")).dropDuplicates(["id"])
-    b = after.select(F.col(key).alias("id"), label.alias("label_b"), digest.alias("digest_b")).dropDuplicates(["id"])
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        at = F.struct("ord", label, digest) if "ord" in rows.columns else F.struct(label, digest)
+        last = rows.groupBy(F.col(key).alias("id")).agg(F.max_by(F.struct(label.alias("label"), digest.alias("digest")), at).alias("x"))
+        return last.select("id", F.col("x.label").alias(f"label_{s}"), F.col("x.digest").alias(f"digest_{s}"))
+
+    a, b = side(before, "a"), side(after, "b")
     kind = F.when(F.col("digest_a").isNull(), f"{what}_added").when(F.col("digest_b").isNull(), f"{what}_removed").when(F.col("digest_a") != F.col("digest_b"), f"{what}_changed")
     return a.join(b, "id", "full_outer").select(kind.alias("kind"), "id", F.coalesce("label_b", "label_a").alias("label")).where("kind is not null")
 
@@ -143,7 +152,8 @@ def activity(found: DataFrame, repos: DataFrame, scans: DataFrame) -> DataFrame:
     """AGG-22, WIN-09, FN-29: changes per repo and scan, zero where there are none, with quartiles of the
     global maximum. The grid is dimension by dimension, not row by row."""
     counted = found.groupBy("repo_id", "scan_id").agg(F.count("*").alias("n"))
-    grid = repos.select("repo_id").distinct().withColumn("_k", F.lit(1)).join(scans.select("scan_id").distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
+    every = scans.select("scan_id").distinct()
+    grid = repos.select("repo_id").distinct().crossJoin(F.broadcast(every) if every.limit(MOST_SCANS + 1).count() <= MOST_SCANS else every)
     rows = grid.join(counted, ["repo_id", "scan_id"], "left").fillna(0, ["n"])
     most = rows.agg(F.max("n").alias("most"))
     return rows.join(F.broadcast(most)).select("repo_id", "scan_id", "n", quartile(F.col("n"), F.col("most")).alias("level"))

@@ -25,10 +25,12 @@ def report_json(tables: Mapping[str, DataFrame]) -> str:
 
 
 def located(issues: DataFrame, nodes: DataFrame) -> DataFrame:
-    """JOIN-34: issues with the file and line of their first node that has a file."""
-    at = issues.withColumn("_i", F.monotonically_increasing_id()).select("_i", F.posexplode("nodes").alias("n", "id")).join(nodes.select("id", F.coalesce("file", F.when(F.col("kind") == "File", F.col("name"))).alias("file"), "line"), "id").where("file is not null")
+    """JOIN-34: issues with the file and line of their first node that has a file. An issue is known by its
+    content, so ids do not depend on how a plan is run; equal issues are located alike."""
+    issues = issues.withColumn("_i", F.xxhash64("kind", "severity", "message", "nodes"))
+    at = issues.select("_i", F.posexplode("nodes").alias("n", "id")).join(nodes.select("id", F.coalesce("file", F.when(F.col("kind") == "File", F.col("name"))).alias("file"), "line"), "id").where("file is not null")
     first = at.groupBy("_i").agg(F.min_by(F.struct("file", "line"), "n").alias("loc"))
-    return issues.withColumn("_i", F.monotonically_increasing_id()).join(first, "_i", "left").select("kind", "severity", "message", F.col("loc.file").alias("file"), F.col("loc.line").alias("line"))
+    return issues.join(first, "_i", "left").select("kind", "severity", "message", F.col("loc.file").alias("file"), F.col("loc.line").alias("line"))
 
 
 def sarif(findings: Iterable[Mapping], violations: Iterable[Mapping] = ()) -> dict:

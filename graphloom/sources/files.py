@@ -58,14 +58,28 @@ def ignored(path: Column, lines: Sequence[str] = ()) -> Column:
 def scan(spark: SparkSession, root: str, gitignore: Sequence[str] = ()) -> DataFrame:
     """SRC-01, SRC-03, SRC-05: (path, category, content, lines, scan_ord) of the files kept, by path.
 
-    Any file system that Spark reads will do. The path filter stands before the content is decoded.
+    Any file system that Spark reads will do. The path filter stands before the content is decoded. The root's
+    own .gitignore is read first; `gitignore` adds lines. Paths are numbered apart from their contents.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").rpartition("/")[2]
     path = F.regexp_extract("path", ".*?/" + re.escape(base) + "/(.*)$", 1)
+    own = files.select(path.alias("path"), "content").where("path = '.gitignore'").select(F.col("content").cast("string").alias("text")).limit(1).collect()
+    gitignore = [*(own[0].text.split("\n") if own else ()), *gitignore]
     kept = files.select(path.alias("path"), "content").where((F.col("path") != "") & ~ignored(F.col("path"), gitignore))
     text = F.col("content").cast("string")
-    return kept.select("path", category(F.col("path")).alias("category"), text.alias("content"), line_count(text).alias("lines"), F.row_number().over(Window.orderBy("path")).cast("long").alias("scan_ord"))
+    return numbered(kept.select("path", category(F.col("path")).alias("category"), text.alias("content"), line_count(text).alias("lines")))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """SRT-01: files with scan_ord, their place by path from 1. What is ranked are paths alone: by a leading part
+    first (as strings do), then within it, so that no task sorts them all."""
+    lead = F.substring("path", 1, 24)
+    paths = files.select("path", lead.alias("_lead"))
+    sizes = paths.groupBy("_lead").agg(F.count("*").alias("n"))
+    base = F.sum("n").over(Window.orderBy("_lead")) - F.col("n")
+    ranks = paths.join(sizes.select("_lead", base.alias("_base")), "_lead").select("path", (F.col("_base") + F.row_number().over(Window.partitionBy("_lead").orderBy("path"))).cast("long").alias("scan_ord"))
+    return files.join(ranks, "path")
 
 
 def stack(files: DataFrame) -> DataFrame:
@@ -108,11 +122,12 @@ def workspace_packages(files: DataFrame) -> DataFrame:
 
 
 def path_aliases(files: DataFrame) -> DataFrame:
-    """SRC-15: (base_url, pattern, target) of the first tsconfig or jsconfig; comments and commas at ends are dropped."""
+    """SRC-15: (base_url, explicit, pattern, target) of the first tsconfig or jsconfig; comments and commas at ends
+    are dropped. explicit: a base URL is set, so bare specifiers resolve below it."""
     clean = F.regexp_replace(F.regexp_replace("content", r"(?m)^\s*//.*$|/\*[\s\S]*?\*/", ""), r",(\s*[}\]])", "$1")
     first = files.where(F.col("path").isin("tsconfig.json", "jsconfig.json")).orderBy(F.desc("path")).limit(1)
     parsed = first.select(F.from_json(clean, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>").alias("c"))
-    return parsed.select(F.coalesce("c.compilerOptions.baseUrl", F.lit(".")).alias("base_url"), F.explode_outer("c.compilerOptions.paths").alias("pattern", "targets")).select("base_url", "pattern", F.explode_outer("targets").alias("target"))
+    return parsed.select(F.coalesce("c.compilerOptions.baseUrl", F.lit(".")).alias("base_url"), F.col("c.compilerOptions.baseUrl").isNotNull().alias("explicit"), F.explode_outer("c.compilerOptions.paths").alias("pattern", "targets")).select("base_url", "explicit", "pattern", F.explode_outer("targets").alias("target"))
 
 
 def changed_paths(diffs: DataFrame, column: str = "text") -> DataFrame:

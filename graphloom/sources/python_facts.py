@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ast
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import edge_id, join_path, typed_params
+from graphloom.functions.text import basename, dirname, edge_id, join_path, typed_params
+from graphloom.operators.graph import Steps
 
 FACT = "array<struct<fact: string, name: string, owner: string, target: string, extra: string, line: int>>"
 #: Fixed values.
@@ -111,12 +113,22 @@ class _Facts(ast.NodeVisitor):
         if isinstance(node.value, ast.Call) and isinstance(node.targets[0], ast.Name) and _last(node.value) in ("FastAPI", "APIRouter", "Flask", "Blueprint"):
             prefix = _text(_keyword(node.value, "prefix")) or _text(_keyword(node.value, "url_prefix")) or ""
             self.add("router", node, node.targets[0].id, prefix, _last(node.value))
+        if isinstance(node.value, ast.Call) and isinstance(node.targets[0], ast.Name) and _last(node.value) in ("NestedSimpleRouter", "NestedDefaultRouter") and len(node.value.args) > 1:
+            above = _text(node.value.args[1])
+            if above:
+                self.rows.append({"fact": "nested_router", "name": node.targets[0].id, "owner": _last(node.value.args[0]), "target": above, "extra": _text(_keyword(node.value, "lookup")) or "parent", "line": node.lineno})
+        if any(isinstance(t, ast.Name) and t.id == "ROOT_URLCONF" for t in node.targets) and _text(node.value):
+            self.add("root_urlconf", node, target=_text(node.value))
         self.generic_visit(node)
 
     def visit_Call(self, node: ast.Call) -> None:
         name = ast.unparse(node.func) if isinstance(node.func, (ast.Name, ast.Attribute)) else ""
         if self.owner and name:
             self.add("call", node, name)
+        if _last(node.func) in ("path", "re_path") and len(node.args) > 1 and isinstance(node.args[1], ast.Call) and _last(node.args[1]) == "include" and node.args[1].args:
+            prefix, module = _text(node.args[0]), _text(node.args[1].args[0])
+            if prefix is not None and module:
+                self.add("include", node, target=module, extra=prefix)
         if isinstance(node.func, ast.Attribute):
             if node.func.attr in ("include_router", "register_blueprint") and node.args:
                 prefix = _text(_keyword(node, "prefix")) or _text(_keyword(node, "url_prefix")) or ""
@@ -174,8 +186,9 @@ def import_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
 def http_routes(facts: DataFrame) -> DataFrame:
     """JOIN-12, JOIN-35, GRF-08: (method, path, handler, file) of FastAPI and Flask routes.
 
-    A router's prefixes are its own behind those of the routers that mount it, to any depth of up to
-    20; routers are known by name within their file, or where one file alone has the name.
+    A router's prefixes are its own behind those of the routers that mount it, to any depth (a router that
+    would mount itself again ends its path); routers are known by name within their file, or where one
+    file alone has the name.
     """
     routers = facts.where("fact = 'router'").select("file", "name", F.coalesce("target", F.lit("")).alias("own"), F.col("extra").alias("made"))
     single = routers.groupBy("name").agg(F.count("*").alias("n"), F.first("file").alias("only")).where("n = 1").select(F.col("name").alias("child"), "only")
@@ -183,14 +196,18 @@ def http_routes(facts: DataFrame) -> DataFrame:
     imported = facts.where("fact = 'import' and extra is not null").select("file", F.col("name").alias("last"), F.col("extra").alias("real")).distinct()
     mounts = mounts.join(imported, ["file", "last"], "left").withColumn("child", F.coalesce("real", "last"))
     named = mounts.join(single, "child", "left").select(F.col("file").alias("in_file"), "parent", "child", "at", F.coalesce("only", "file").alias("child_file"))
-    level = routers.where("made in ('FastAPI', 'Flask')").select("file", "name", F.col("own").alias("prefix"))
-    every = level
-    for _ in range(20):
-        level = level.join(named, (F.col("file") == F.col("in_file")) & (F.col("name") == F.col("parent"))).select(F.col("child_file").alias("file"), F.col("child").alias("name"), F.concat("prefix", F.lit("/"), "at").alias("prefix"))
-        level = level.join(routers.select("file", "name", "own"), ["file", "name"]).select("file", "name", F.concat("prefix", F.lit("/"), "own").alias("prefix")).distinct()
+    steps, spot = Steps(facts.sparkSession, "routers"), F.concat("file", F.lit("#"), "name")
+    routers, named = steps.put(routers, "routers"), steps.put(named, "mounts")
+    level = steps.put(routers.where("made in ('FastAPI', 'Flask')").select("file", "name", F.col("own").alias("prefix"), F.array(spot).alias("seen")), "0")
+    every = level.drop("seen")
+    for k in count(1):
+        met = level.join(named, (F.col("file") == F.col("in_file")) & (F.col("name") == F.col("parent"))).select(F.col("child_file").alias("file"), F.col("child").alias("name"), F.concat("prefix", F.lit("/"), "at").alias("prefix"), "seen")
+        met = met.where(~F.array_contains("seen", spot)).join(routers.select("file", "name", "own"), ["file", "name"])
+        level = steps.put(met.select("file", "name", F.concat("prefix", F.lit("/"), "own").alias("prefix"), F.concat("seen", F.array(spot)).alias("seen")).distinct(), str(k))
         if level.isEmpty():
             break
-        every = every.unionByName(level)
+        every = every.unionByName(level.drop("seen"))
+    every = every.distinct()
     routes = facts.where("fact = 'route'").select("file", F.col("owner").alias("name"), F.col("name").alias("handler"), F.col("target").alias("path"), F.split("extra", r"\|")[0].alias("method"))
     met = routes.join(every, ["file", "name"], "left")
     return met.select("method", join_path(F.col("prefix"), typed_params(F.col("path"))).alias("path"), "handler", "file").distinct()
@@ -225,11 +242,50 @@ def call_edges(facts: DataFrame) -> DataFrame:
 VIEWSET_ROUTES = (("GET", False), ("POST", False), ("GET", True), ("PUT", True), ("PATCH", True), ("DELETE", True))
 
 
-def drf_routes(facts: DataFrame) -> DataFrame:
-    """JOIN-11: (method, path, handler, file): registered view sets times their methods, read-only ones GET only."""
+def url_mounts(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """GRF-06: (file, prefix): where each URL file is mounted, by walking include() from the root one. Modules
+    are files below the folder of manage.py. A file's includes are followed once, so circles end."""
+    steps = Steps(facts.sparkSession, "mounts")
+    base = files.where(basename(F.col("path")) == "manage.py").agg(F.coalesce(F.max(dirname(F.col("path"))), F.lit("")).alias("base"))
+    located = lambda rows: rows.join(F.broadcast(base)).withColumn("at", F.concat(F.when(F.col("base") != "", F.concat("base", F.lit("/"))).otherwise(""), F.regexp_replace("target", r"\.", "/"), F.lit(".py")))
+    includes = steps.put(located(facts.where("fact = 'include'")).select("file", F.col("at").alias("child"), F.coalesce("extra", F.lit("")).alias("below")), "includes")
+    root = located(facts.where("fact = 'root_urlconf'").agg(F.max_by("target", F.struct("file", "ord")).alias("target")).where("target is not null"))
+    level = steps.put(root.select(F.col("at").alias("file"), F.lit("").alias("prefix")), "0")
+    every = level
+    for k in count(1):
+        fresh = steps.put(level.join(includes, "file").select(F.col("child").alias("file"), F.concat("prefix", "below").alias("prefix")), str(k))
+        if fresh.isEmpty():
+            break
+        level = fresh.join(every.select("file").distinct(), "file", "left_anti")
+        every = every.unionByName(fresh)
+    return every
+
+
+def router_prefixes(facts: DataFrame) -> DataFrame:
+    """GRF-07: (router, prefix) of nested routers: each below the object its parent registered, to any depth."""
+    steps = Steps(facts.sparkSession, "nested")
+    nested = facts.where("fact = 'nested_router'").groupBy("name").agg(F.max_by(F.struct("owner", "target", "extra"), F.struct("file", "ord")).alias("x"))
+    nested = steps.put(nested.select("name", F.col("x.owner").alias("parent"), F.concat("x.target", F.lit("/{"), "x.extra", F.lit("_pk}/")).alias("own")), "routers")
+    level = steps.put(nested.join(nested.select(F.col("name").alias("parent")), "parent", "left_anti").select(F.col("name").alias("router"), F.col("own").alias("prefix")), "0")
+    every = level
+    for k in count(1):
+        level = steps.put(level.join(nested, F.col("router") == F.col("parent")).select(F.col("name").alias("router"), F.concat("prefix", "own").alias("prefix")), str(k))
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+    return every
+
+
+def drf_routes(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """JOIN-11: (method, path, handler, file): registered view sets times their methods, read-only ones GET only,
+    below the prefixes of nested routers and, given files, of the URL files that include them."""
     views = facts.where("fact = 'view'").select(F.col("name").alias("handler"), F.col("extra").contains("ReadOnly").alias("read_only"), F.col("file").alias("view_file"))
     kinds = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(one).alias("one")) for m, one in VIEWSET_ROUTES])
-    rows = facts.where("fact = 'registration'").select(F.col("extra").alias("prefix"), F.col("target").alias("handler")).join(views, "handler")
+    rows = facts.where("fact = 'registration'").select("file", F.col("name").alias("router"), F.col("extra").alias("prefix"), F.col("target").alias("handler")).join(views, "handler")
+    nested = router_prefixes(facts).withColumnRenamed("prefix", "above")
+    rows = rows.join(nested, "router", "left").withColumn("prefix", F.concat(F.coalesce("above", F.lit("")), "prefix"))
+    if files is not None:
+        rows = rows.join(url_mounts(facts, files).withColumnRenamed("prefix", "mount"), "file", "left").withColumn("prefix", F.concat(F.coalesce("mount", F.lit("")), "prefix"))
     rows = rows.withColumn("r", F.explode(kinds)).where((F.col("r.method") == "GET") | ~F.col("read_only"))
     path = F.regexp_replace(F.concat(F.lit("/"), "prefix", F.lit("/"), F.when(F.col("r.one"), "{id}/").otherwise("")), "/+", "/")
     return rows.select(F.col("r.method").alias("method"), path.alias("path"), "handler", F.col("view_file").alias("file")).distinct()

@@ -1,4 +1,4 @@
-"""Facts of TypeScript and JavaScript files (EXT-01..12, EXT-24..26) from tokens, not from a compiler.
+"""Facts of TypeScript and JavaScript files (EXT-01..09, EXT-11, EXT-12, EXT-24..27) from tokens, not from a compiler.
 
 There is no TypeScript parser among the libraries at hand, so declarations, imports, JSX tags and calls
 are recognised lexically at the top level of a file. Comments are blanked first, in place, so that
@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import dirname, edge_id, route_path
+from graphloom.operators.graph import Steps
 
 FACT = "array<struct<fact: string, name: string, owner: string, target: string, extra: string, line: int>>"
 SIZE_GUARD = 1_500_000
@@ -34,7 +37,13 @@ TYPE = re.compile(r"^(?:export\s+)?(?:interface|type)\s+([A-Za-z_$][\w$]*)", re.
 CONTEXT = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:React\.)?createContext\b")
 EXPRESS = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(express\(\)|(?:express\.)?Router\()")
 EXPRESS_ROUTE = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|use)\(\s*[\"'`]([^\"'`]*)[\"'`]\s*,\s*([^;\n]*)\)")
-REACT_ROUTE = re.compile(r"<Route\b[^>]*?\bpath=[\"'{`]+([^\"'`}]+)[\"'`}]+[^>]*?\belement=\{\s*<([A-Z][\w$]*)", re.S)
+ROUTE_TAG = re.compile(r"</Route\s*>|<Route\b((?:[^>{]|\{[^}]*\})*?)(/?)>", re.S)
+ROUTE_PATH = re.compile(r"\bpath=(?:\{\s*)?([\"'])(.*?)\1", re.S)
+ROUTE_ELEMENT = re.compile(r"\belement=\{\s*<([A-Z][\w$]*)")
+NEST_CLASS = re.compile(r"@(Controller|Injectable|Module)\(((?:[^()]|\([^()]*\))*)\)\s*(?:@\w+\([^)]*\)\s*)*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)", re.S)
+NEST_ROUTE = re.compile(r"@(Get|Post|Put|Patch|Delete)\(\s*(?:([\"'`])(.*?)\2)?[^)]*\)")
+#: Where a browser application starts, in the order in which they are tried.
+ENTRIES = ("src/main.tsx", "src/main.jsx", "src/index.tsx", "src/index.jsx", "src/main.ts", "src/index.ts", "main.tsx", "index.tsx")
 SKIP = frozenset(("if", "for", "while", "switch", "catch", "function", "return", "typeof", "import", "require", "super", "await"))
 
 
@@ -116,8 +125,32 @@ def facts_of(text: str | None) -> list[dict]:
             add(fact, m.start(), m[1], target=m[2] if m.re.groups > 1 else None)
     for m in EXPRESS_ROUTE.finditer(code):
         add("mount" if m[2] == "use" else "express_route", m.start(), m[1], target=m[3], extra=f"{m[2].upper()}|{m[4].split(',')[-1].strip(' )')}")
-    for m in REACT_ROUTE.finditer(code):
-        add("react_route", m.start(), m[2], target=m[1])
+    open_paths: list[str | None] = []
+    for m in ROUTE_TAG.finditer(code):
+        if m[1] is None:
+            if open_paths:
+                open_paths.pop()
+            continue
+        own, shown = ROUTE_PATH.search(m[1]), ROUTE_ELEMENT.search(m[1])
+        if own:
+            add("react_route", m.start(), shown[1] if shown else "", target="/".join([p for p in open_paths if p is not None] + [own[2]]))
+        if not m[2]:
+            open_paths.append(own[2] if own else None)
+    nest = list(NEST_CLASS.finditer(code))
+    for i, m in enumerate(nest):
+        body = code[m.end() : nest[i + 1].start() if i + 1 < len(nest) else len(code)]
+        literal = re.match(r"\s*([\"'`])(.*?)\1", m[2])
+        add("nest_class", m.start(), m[3], target=literal[2] if literal else "", extra={"Controller": "controller", "Injectable": "provider", "Module": "module"}[m[1]])
+        if m[1] == "Controller":
+            for r in NEST_ROUTE.finditer(body):
+                add("nest_route", m.end() + r.start(), m[3], target=r[3] or "", extra=r[1].upper())
+            made = re.search(r"\bconstructor\(([^)]*)\)", body)
+            for dep in re.findall(r":\s*([A-Za-z_$][\w$]*)", made[1] if made else ""):
+                add("nest_dep", m.start(), m[3], target=dep)
+        if m[1] == "Module":
+            for listed in re.findall(r"\b(?:controllers|providers)\s*:\s*\[([^\]]*)\]", m[2]):
+                for member in re.findall(r"(?:^|,)\s*([A-Za-z_$][\w$]*)\s*(?=,|$)", listed):
+                    add("nest_member", m.start(), m[3], target=member)
     return rows
 
 
@@ -131,38 +164,72 @@ def extract(files: DataFrame) -> DataFrame:
     return rows.select("file", F.col("ord").cast("long").alias("ord"), "f.*")
 
 
-def resolve(specifiers: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """JOIN-04: (file, target, to): relative and aliased specifiers with the first candidate that exists.
+@dataclass(frozen=True)
+class Modules:
+    """What specifiers can name besides relative paths: path aliases (base_url, explicit, pattern, target) and
+    packages of the workspace (name, dir, entry)."""
+
+    aliases: DataFrame | None = None
+    packages: DataFrame | None = None
+
+
+def _first(x: Column) -> Column:
+    return F.substring_index(x, "/", 1)
+
 
-    Candidates are rows, and the lookup one equality join with the scanned paths.
+def resolve(specifiers: DataFrame, files: DataFrame, modules: Modules | DataFrame = Modules()) -> DataFrame:
+    """JOIN-04: (file, target, to): relative and aliased specifiers and packages of the workspace, with the
+    first candidate that exists; last, bare ones below an explicit base URL.
+
+    Candidates are rows, and every lookup is an equality join: aliases meet specifiers by their first segment
+    (those whose star stands within it by an empty one), packages by their name.
     """
+    if isinstance(modules, DataFrame):
+        modules = Modules(modules)
     rel = F.when(F.col("target").startswith("."), F.concat_ws("/", F.when(dirname(F.col("file")) != "", dirname(F.col("file"))), "target"))
-    bases = specifiers.select("file", "target", rel.alias("base"), F.lit(0).alias("n")).where("base is not null")
-    if aliases is not None:
-        named = aliases.select("base_url", F.regexp_replace("pattern", r"\*$", "").alias("head"), F.regexp_replace("target", r"\*$", "").alias("goal"))
-        fits = F.col("target").startswith(F.col("head"))
-        tail = F.substr(F.col("target"), F.length("head") + 1)
-        via = specifiers.where(~F.col("target").startswith(".")).join(F.broadcast(named.limit(1000)), fits).select("file", "target", F.concat_ws("/", "base_url", F.concat("goal", tail)).alias("base"), F.lit(1).alias("n"))
-        bases = bases.unionByName(via)
+    start = F.lit(0).cast("long")
+    bases = specifiers.select("file", "target", rel.alias("base"), F.lit(0).alias("n"), start.alias("m")).where("base is not null")
+    bare = specifiers.where(~F.col("target").startswith("."))
+    if modules.aliases is not None:
+        star = F.instr("pattern", "*")
+        head, tail = F.when(star > 0, F.substring_index("pattern", "*", 1)).otherwise(F.col("pattern")), F.when(star > 0, F.substring_index("pattern", "*", -1)).otherwise("")
+        named = modules.aliases.where("pattern is not null").select("base_url", F.col("target").alias("goal"), (star > 0).alias("open"), head.alias("head"), tail.alias("tail"), F.xxhash64("pattern", "target").alias("m"))
+        named = named.withColumn("key", F.when(F.col("open") & (F.instr("head", "/") == 0), "").otherwise(_first(F.col("head"))))
+        rows = bare.withColumn("key", F.explode(F.array(_first(F.col("target")), F.lit("")))).join(named, "key")
+        fits = F.when(F.col("open"), F.col("target").startswith(F.col("head")) & F.col("target").endswith(F.col("tail")) & (F.length("target") >= F.length("head") + F.length("tail"))).otherwise(F.col("target") == F.col("head"))
+        middle = F.substr(F.col("target"), F.length("head") + 1, F.greatest(F.lit(0), F.length("target") - F.length("head") - F.length("tail")))
+        goal = F.when(F.col("open"), F.concat(F.substring_index("goal", "*", 1), middle, F.when(F.instr("goal", "*") > 0, F.substring_index("goal", "*", -1)).otherwise(""))).otherwise(F.col("goal"))
+        via = rows.where(fits).select("file", "target", F.concat_ws("/", "base_url", goal).alias("base"), F.lit(1).alias("n"), "m")
+        below = bare.join(modules.aliases.where("explicit").select("base_url").distinct(), F.lit(True)).select("file", "target", F.concat_ws("/", "base_url", "target").alias("base"), F.lit(4).alias("n"), start.alias("m"))
+        bases = bases.unionByName(via).unionByName(below)
+    if modules.packages is not None:
+        name = F.when(F.col("target").startswith("@"), F.substring_index("target", "/", 2)).otherwise(_first(F.col("target")))
+        rows = bare.withColumn("name", name).join(modules.packages, "name")
+        sub = F.substr(F.col("target"), F.length("name") + 2)
+        entry = rows.where("target = name and entry is not null").select("file", "target", F.concat_ws("/", "dir", "entry").alias("base"), F.lit(2).alias("n"), start.alias("m"))
+        whole = rows.where("target = name").select("file", "target", F.col("dir").alias("base"), F.lit(3).alias("n"), start.alias("m"))
+        part = rows.where("target <> name").select("file", "target", F.concat_ws("/", "dir", sub).alias("base"), F.lit(2).alias("n"), start.alias("m"))
+        bases = bases.unionByName(entry).unionByName(whole).unionByName(part)
     parts = F.split(F.col("base"), "/")
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when(p.isin(".", ""), s).when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))))
     clean = bases.withColumn("base", F.array_join(folded, "/"))
-    tried = clean.select("file", "target", "n", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("k", "path"))
-    return tried.join(files.select("path"), "path").groupBy("file", "target").agg(F.min_by("path", F.struct("n", "k")).alias("to"))
+    path = lambda e: F.regexp_replace(F.concat("base", F.lit(e)), "^/", "")
+    tried = clean.select("file", "target", "n", "m", F.posexplode(F.array(*[path(e) for e in ENDINGS])).alias("k", "path"))
+    return tried.join(files.select("path"), "path").groupBy("file", "target").agg(F.min_by("path", F.struct("n", "m", "k")).alias("to"))
 
 
-def import_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
+def import_edges(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:
     """JOIN-05: IMPORTS edges between files, dynamic imports and re-exports included."""
     rows = facts.where(F.col("fact").isin("import", "re_export", "dynamic_import")).select("file", "target").distinct()
-    ends = resolve(rows, files).where("file <> to").select(F.concat(F.lit("File:"), "file").alias("src"), F.concat(F.lit("File:"), "to").alias("dst")).distinct()
+    ends = resolve(rows, files, modules).where("file <> to").select(F.concat(F.lit("File:"), "file").alias("src"), F.concat(F.lit("File:"), "to").alias("dst")).distinct()
     return ends.select(edge_id(F.lit("IMPORTS"), F.col("src"), F.col("dst")).alias("id"), "src", "dst", F.lit("IMPORTS").alias("kind"))
 
 
-def exports_closure(facts: DataFrame, files: DataFrame, rounds: int = 10) -> DataFrame:
+def exports_closure(facts: DataFrame, files: DataFrame, rounds: int = 10, modules: Modules = Modules()) -> DataFrame:
     """JOIN-06: (file, name, at, real): what a file exports, through barrels of up to ten levels."""
     own = facts.where("fact = 'declaration' and extra like '%exported%'").select("file", "name", F.col("file").alias("at"), F.col("name").alias("real"))
     steps = facts.where("fact = 're_export'").select("file", "name", "target", "extra")
-    steps = steps.join(resolve(steps.select("file", "target").distinct(), files), ["file", "target"]).select(F.col("file").alias("barrel"), F.col("name").alias("shown"), F.coalesce("extra", F.lit("*")).alias("asked"), "to")
+    steps = steps.join(resolve(steps.select("file", "target").distinct(), files, modules), ["file", "target"]).select(F.col("file").alias("barrel"), F.col("name").alias("shown"), F.coalesce("extra", F.lit("*")).alias("asked"), "to")
     every, fresh = own, own
     for _ in range(rounds):
         met = steps.join(fresh, (F.col("to") == F.col("file")) & ((F.col("asked") == F.col("name")) | (F.col("shown") == "*")))
@@ -182,14 +249,14 @@ def symbols(facts: DataFrame) -> DataFrame:
     return rows.select(F.concat(kind, F.lit(":"), "file", F.lit("#"), "name").alias("id"), kind.alias("kind"), "name", "file", "line", F.create_map(F.lit("exported"), exported.cast("string")).alias("meta"), "ord")
 
 
-def usage_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
+def usage_edges(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:
     """JOIN-07: RENDERS edges for JSX tags, USES for hooks, CALLS for functions, bound to a declaration of
     the same file or, through an import, of the file that exports it."""
     nodes = symbols(facts)
     uses = facts.where(F.col("fact").isin("jsx", "hook_call", "call") & F.col("owner").isNotNull()).select("file", "owner", "name", "fact").distinct()
     imports = facts.where("fact = 'import'").select("file", "name", "target", "extra").distinct()
-    bound = imports.join(resolve(imports.select("file", "target").distinct(), files), ["file", "target"])
-    shown = exports_closure(facts, files).select(F.col("file").alias("to"), F.col("name").alias("asked"), "at", "real")
+    bound = imports.join(resolve(imports.select("file", "target").distinct(), files, modules), ["file", "target"])
+    shown = exports_closure(facts, files, modules=modules).select(F.col("file").alias("to"), F.col("name").alias("asked"), "at", "real")
     default = nodes.join(facts.where("fact = 'declaration' and extra like '%default'").select("file", "name"), ["file", "name"], "left_semi").select(F.col("file").alias("to"), F.lit("default").alias("asked"), F.col("file").alias("at"), F.col("name").alias("real"))
     via = bound.withColumn("asked", F.col("extra")).join(shown.unionByName(default), ["to", "asked"]).select("file", "name", "at", "real")
     local = nodes.select("file", "name", F.col("file").alias("at"), F.col("name").alias("real"))
@@ -214,24 +281,76 @@ def api_calls(facts: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("file", "ord").alias("call_ord"), method.alias("method"), F.col("target").alias("url"), F.col("name").alias("client"), dynamic.alias("dynamic"), "line", "file", F.coalesce("caller", F.concat(F.lit("File:"), "file")).alias("caller_id"), join_url(F.col("base"), F.col("target")).alias("full_url"), F.array().cast("array<struct<field:string,line:int,confidence:string>>").alias("response_fields"))
 
 
-def express_routes(facts: DataFrame, files: DataFrame, rounds: int = 10) -> DataFrame:
+def express_routes(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:
     """JOIN-13, GRF-09, JOIN-35: (method, path, handler, file): apps start at /, routers below their mounts,
-    by import or in the same file; those nobody mounts at /."""
+    by import or in the same file; those nobody mounts at /. Mounts are followed to any depth; a router that
+    would mount itself again ends its path."""
     made = facts.where("fact = 'express'").select("file", "name", (F.col("target") == "express()").alias("app"))
     imports = facts.where("fact = 'import'").select("file", "name", "target").distinct()
-    bound = imports.join(resolve(imports.select("file", "target").distinct(), files), ["file", "target"]).select(F.col("file").alias("f"), F.col("name").alias("n"), "to")
+    bound = imports.join(resolve(imports.select("file", "target").distinct(), files, modules), ["file", "target"]).select(F.col("file").alias("f"), F.col("name").alias("n"), "to")
     handler = F.split("extra", r"\|")[1]
     mounts = facts.where("fact = 'mount'").select("file", F.col("name").alias("parent"), F.col("target").alias("at"), handler.alias("child"))
-    mounts = mounts.join(bound, (F.col("file") == F.col("f")) & (F.col("child") == F.col("n")), "left").select("file", "parent", "at", "child", F.coalesce("to", "file").alias("child_file"))
-    level = made.where("app").select("file", "name", F.lit("/").alias("prefix"))
-    every = level
-    for _ in range(rounds):
-        met = level.join(mounts.withColumnRenamed("file", "mf"), (F.col("file") == F.col("mf")) & (F.col("name") == F.col("parent"))).select("child_file", "child", F.concat("prefix", F.lit("/"), "at").alias("prefix"))
-        own = made.where("not app").select(F.col("file").alias("child_file"), "name")
-        level = met.join(own, "child_file").select(F.col("child_file").alias("file"), "name", route_path(F.col("prefix")).alias("prefix")).distinct().join(every, ["file", "name", "prefix"], "left_anti")
+    mounts = mounts.join(bound, (F.col("file") == F.col("f")) & (F.col("child") == F.col("n")), "left").select(F.col("file").alias("mf"), "parent", "at", "child", F.coalesce("to", "file").alias("child_file"))
+    steps = Steps(facts.sparkSession, "express")
+    mounts, own = steps.put(mounts, "mounts"), steps.put(made.where("not app").select(F.col("file").alias("child_file"), "name"), "routers")
+    spot = F.concat("file", F.lit("#"), "name")
+    level = steps.put(made.where("app").select("file", "name", F.lit("/").alias("prefix"), F.array(spot).alias("seen")), "0")
+    every = level.drop("seen")
+    for k in count(1):
+        met = level.join(mounts, (F.col("file") == F.col("mf")) & (F.col("name") == F.col("parent"))).select("child_file", "child", F.concat("prefix", F.lit("/"), "at").alias("prefix"), "seen")
+        met = met.join(own, "child_file").select(F.col("child_file").alias("file"), "name", route_path(F.col("prefix")).alias("prefix"), "seen").where(~F.array_contains("seen", spot))
+        level = steps.put(met.withColumn("seen", F.concat("seen", F.array(spot))).distinct(), str(k))
         if level.isEmpty():
             break
-        every = every.unionByName(level)
+        every = every.unionByName(level.drop("seen"))
+    every = every.distinct()
     loose = made.join(every, ["file", "name"], "left_anti").select("file", "name", F.lit("/").alias("prefix"))
     routes = facts.where("fact = 'express_route'").select("file", "name", F.split("extra", r"\|")[0].alias("method"), F.col("target").alias("path"), handler.alias("handler"))
     return routes.join(every.unionByName(loose), ["file", "name"]).select("method", route_path(F.concat("prefix", F.lit("/"), "path")).alias("path"), "handler", "file").distinct()
+
+
+def _by_name(rows: DataFrame) -> DataFrame:
+    """(name, id): one id per name, that of the last file."""
+    return rows.groupBy("name").agg(F.max_by("id", F.struct("file", "ord")).alias("id"))
+
+
+def page_routes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """EXT-26, JOIN-15: Route nodes of <Route path> tags, below their ancestors' paths, and RENDERS edges to the
+    components they show."""
+    rows = facts.where("fact = 'react_route'").withColumn("path", route_path(F.concat(F.lit("/"), "target")))
+    node = F.concat(F.lit("Route:"), "file", F.lit("#PAGE "), "path")
+    meta = F.create_map(F.lit("framework"), F.lit("react-router"), F.lit("path"), F.col("path"), F.lit("type"), F.lit("page"))
+    nodes = rows.select(node.alias("id"), F.lit("Route").alias("kind"), F.concat(F.lit("PAGE "), "path").alias("name"), "file", "line", meta.alias("meta"), "ord")
+    shown = _by_name(symbols(facts).where("kind in ('Component', 'Page')").select("name", "id", "file", "ord"))
+    ends = rows.join(shown, "name").select(node.alias("src"), F.col("id").alias("dst")).distinct()
+    return nodes, ends.select(edge_id(F.lit("RENDERS"), F.col("src"), F.col("dst")).alias("id"), "src", "dst", F.lit("RENDERS").alias("kind"))
+
+
+def entry_point(files: DataFrame) -> DataFrame:
+    """EXT-27: (path) of the first entry candidate that was scanned; no row if there is none."""
+    order = F.array_position(F.array(*[F.lit(e) for e in ENTRIES]), F.col("path"))
+    return files.where(F.col("path").isin(*ENTRIES)).orderBy(order).limit(1).select("path")
+
+
+def nest_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """EXT-25, JOIN-14, JOIN-35: Service and Route nodes, their edges (members and routes REGISTERED_IN,
+    injected types DEPENDS_ON, routes EXPOSES) and linker routes. Names are bound to the last class that has them."""
+    found = facts.where("fact = 'nest_class'")
+    service = F.concat(F.lit("Service:"), "file", F.lit("#"), "name")
+    services = found.select(service.alias("id"), F.lit("Service").alias("kind"), "name", "file", F.create_map(F.lit("framework"), F.lit("nest"), F.lit("type"), F.col("extra")).alias("meta"), "ord")
+    named = _by_name(services)
+    edge = lambda rows, kind: rows.distinct().select(edge_id(F.lit(kind), F.col("src"), F.col("dst")).alias("id"), "src", "dst", F.lit(kind).alias("kind"))
+    ends = lambda fact: facts.where(F.col("fact") == fact).select(service.alias("own"), F.col("target").alias("name")).join(named, "name")
+    prefix = found.where("extra = 'controller'").select("file", "name", F.col("target").alias("prefix"))
+    path = route_path(F.concat(F.lit("/"), "prefix", F.lit("/"), "target"))
+    routes = facts.where("fact = 'nest_route'").join(prefix, ["file", "name"]).select("file", "line", "ord", service.alias("controller"), "name", F.col("extra").alias("method"), path.alias("path"))
+    called = F.concat("method", F.lit(" "), "path")
+    route, endpoint = F.concat(F.lit("Route:"), "file", F.lit("#"), called), F.concat(F.lit("APIEndpoint:"), called)
+    pair = [F.lit("method"), F.col("method"), F.lit("path"), F.col("path")]
+    nodes = services.withColumn("line", F.lit(None).cast("int")).unionByName(routes.select(route.alias("id"), F.lit("Route").alias("kind"), called.alias("name"), "file", "line", F.create_map(F.lit("framework"), F.lit("nest"), F.lit("controller"), F.col("name"), *pair).alias("meta"), "ord"))
+    points = routes.select(endpoint.alias("id"), F.lit("APIEndpoint").alias("kind"), called.alias("name"), F.lit(None).cast("string").alias("file"), F.create_map(F.lit("source"), F.lit("nest"), *pair).alias("meta"), "ord", F.lit(None).cast("int").alias("line"))
+    edges = edge(ends("nest_member").select(F.col("id").alias("src"), F.col("own").alias("dst")), "REGISTERED_IN")
+    edges = edges.unionByName(edge(ends("nest_dep").select(F.col("own").alias("src"), F.col("id").alias("dst")), "DEPENDS_ON"))
+    edges = edges.unionByName(edge(routes.select(route.alias("src"), F.col("controller").alias("dst")), "REGISTERED_IN"))
+    edges = edges.unionByName(edge(routes.select(route.alias("src"), endpoint.alias("dst")), "EXPOSES"))
+    return nodes.unionByName(points), edges, routes.select("method", "path", endpoint.alias("endpoint_id")).distinct()
