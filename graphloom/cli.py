@@ -1,4 +1,4 @@
-"""Command line (QRY-17): scan, diff, ci and ask over the tables that a scan has written."""
+"""Command line (QRY-17): scan, init, diff, ci and ask over the tables that a scan has written."""
 
 from __future__ import annotations
 
@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.operators import diff, search
 from graphloom.plans.analyze import analyze
 from graphloom.sinks import reports
-from graphloom.sources import files
+from graphloom.sources import files, governance
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("files", "nodes", "edges", "issues", "health", "hotspots", "secrets")}
 
 
-def scan(spark: SparkSession, root: str, out: str) -> None:
-    found = analyze(spark, root, commits=files.git_log(spark, root))
+def scan(spark: SparkSession, root: str, out: str, config: str | None = None) -> None:
+    found = analyze(spark, root, governance.load(spark, root, config).config, commits=files.git_log(spark, root))
     for name, df in found.tables().items():
         reports.write_table(df, f"{out}/{name}")
 
@@ -45,6 +45,9 @@ def main(args: list[str] | None = None) -> int:
     one = commands.add_parser("scan")
     one.add_argument("root")
     one.add_argument("out")
+    one.add_argument("--config")
+    one = commands.add_parser("init")
+    one.add_argument("preset", choices=sorted(governance.PRESETS))
     one = commands.add_parser("diff")
     one.add_argument("before")
     one.add_argument("after")
@@ -59,9 +62,12 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("path")
     one.add_argument("question")
     opts = parser.parse_args(args)
+    if opts.command == "init":
+        print(json.dumps(governance.preset(opts.preset), indent=2))
+        return 0
     spark = SparkSession.builder.getOrCreate()
     if opts.command == "scan":
-        scan(spark, opts.root, opts.out)
+        scan(spark, opts.root, opts.out, opts.config)
         return 0
     if opts.command == "diff":
         for row in diff.change_counts(diff.diff(load(spark, opts.before), load(spark, opts.after))).collect():

@@ -8,8 +8,10 @@ from graphloom.functions import text as T
 from graphloom.operators import diff as D
 from graphloom.operators import graph as G
 from graphloom.operators import insights as I
+from graphloom.operators import linker as L
 from graphloom.operators import rules as R
 from graphloom.operators import search as S
+from graphloom.operators import views as V
 from graphloom.plans import adapters as A
 from graphloom.plans.queries import _endpoint_nodes, query
 from graphloom.sinks import reports
@@ -375,3 +377,109 @@ def srt01_path_order(spark, d):
 def src02_ignored(spark, d):
     path = F.get(F.array(*[F.lit(x) for x in ("tmp/a.ts", "x/raw/y.ts", "z/b.pyc", "z/keep.pyc", "ok/raw2/c.ts")]), (F.col("page_id") % 5).cast("int"))
     return A.table(spark, d, "pages").select("page_id", (~file_source.ignored(path, ["# comment", "raw/", "/tmp", "!keep.pyc"])).alias("kept"))
+
+
+# --- projections of answers --------------------------------------------------------------------------
+
+
+@query("""
+WITH used AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
+SELECT p_partkey AS issue_id, 'medium' AS confidence, 'Component:' || p_partkey AS first_id, 'src/' || p_brand || '/' || p_partkey || '.tsx' AS first_file, CAST(1 AS INT) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM used)
+""")
+def prj15_issue_refs(spark, d):
+    nodes, edges = A.parts_graph(spark, d)
+    issues = R.dead_code(nodes, edges).withColumn("issue_id", F.substring(F.col("nodes")[0], 11, 20).cast("long")).withColumn("candidate", F.lit(True))
+    found = V.issue_refs(issues, nodes.withColumn("line", F.lit(1)))
+    return found.select("issue_id", "confidence", F.col("evidence")[0]["id"].alias("first_id"), F.col("evidence")[0]["file"].alias("first_file"), F.size("evidence").alias("n"))
+
+
+@query("SELECT p_partkey, 'brand=' || p_brand || '|name=' || CASE WHEN length(x) > 80 THEN left(x, 77) || '...' ELSE x END AS summary FROM (SELECT *, repeat(p_name || ' ', 1 + p_size % 9) AS x FROM part)")
+def prj19_meta_summary(spark, d):
+    long = F.expr("repeat(concat(p_name, ' '), 1 + p_size % 9)")
+    return A.table(spark, d, "part").select("p_partkey", F.array_join(V.meta_summary(F.create_map(F.lit("name"), long, F.lit("brand"), F.col("p_brand"))), "|").alias("summary"))
+
+
+@query(f"""
+WITH i AS (SELECT 'DEAD_CODE' AS kind, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS w FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
+ UNION ALL SELECT 'GOD_MODEL', 5 FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 15)),
+c AS (SELECT count(*) AS total, sum(quality) AS covered FROM documents JOIN labels USING (doc_id))
+SELECT CAST(greatest(0, 100 - coalesce((SELECT sum(w) FROM i), 0)) AS INT) AS health, (SELECT count(*) FROM i) AS issue_count, (SELECT count(*) FROM i WHERE kind = 'DEAD_CODE') AS dead_count, CAST(0 AS BIGINT) AS circular_count, (SELECT count(*) FROM pages) AS endpoint_count,
+ (SELECT count(*) FROM part) AS hotspot_count, (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS complexity, (SELECT floor(covered * 100.0::DOUBLE / total * 10 + 0.5) / 10 FROM c) AS coverage
+""")
+def agg19_metric_snapshot(spark, d):
+    issues = R.dead_code(*A.parts_graph(spark, d)).unionByName(R.god_models(*A.models_graph(spark, d)))
+    nodes = _endpoint_nodes(spark, d, F.lit("get"), "page_id >= 0")
+    hot = A.table(spark, d, "part").select(F.col("p_size").alias("complexity"))
+    return V.metric_snapshot(issues, nodes, hot, R.health(issues), A.coverage_rows(spark, d))
+
+
+@query("SELECT string_agg(t, ',' ORDER BY t) AS tags FROM (SELECT DISTINCT source AS t FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def agg27_merged_stack(spark, d):
+    rows = A.table(spark, d, "documents").select(F.array_compact(F.array("source", "lang")).alias("tags"))
+    return V.merged_stack(rows).select(F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {A.SALES_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM part) AS issues")
+def agg28_report_summary(spark, d):
+    return V.report_summary(*A.sales_graph(spark, d), A.table(spark, d, "part"))
+
+
+@query(f"WITH {A.LINK_SQL} SELECT method, full_url AS url, CASE WHEN call_ord % 2 = 0 THEN 'n' || call_ord ELSE caller_id END AS caller FROM c LEFT JOIN best USING (call_ord) WHERE endpoint_id IS NULL AND starts_with(full_url, '/')")
+def join26_dangling_view(spark, d):
+    issues = L.dangling_issues(L.link(*A.calls_and_routes(spark, d)))
+    named = A.table(spark, d, "pages").where("page_id % 2 = 0").select(A.ref("Page", "page_id").alias("id"), F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("name"))
+    return V.dangling_view(issues, named)
+
+
+@query("""
+WITH top AS (SELECT p_partkey AS ord, 'n' || p_partkey AS node, 'f' || (p_partkey % 40) AS place FROM part ORDER BY p_partkey LIMIT 12),
+h AS (SELECT l_returnflag AS scan_id, 'n' || l_partkey AS node_id, 'f' || (l_suppkey % 40) AS file, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2, 3),
+m AS (SELECT scan_id, node, score, CASE WHEN node_id = node THEN 0 ELSE 1 END AS n FROM h JOIN top ON node_id = node OR file = place)
+SELECT scan_id, node AS node_id, arg_max(score, (-n, score)) AS score FROM m GROUP BY scan_id, node
+""")
+def join32_hotspot_history(spark, d):
+    k = F.col("p_partkey")
+    latest = A.table(spark, d, "part").select(k.alias("ord"), F.concat(F.lit("n"), k.cast("string")).alias("node_id"), F.concat(F.lit("f"), (k % 40).cast("string")).alias("file"))
+    rows = A.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("scan_id"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("node_id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 40).cast("string")).alias("file"), F.col("l_quantity").alias("score"))
+    return V.hotspot_history(latest, rows.groupBy("scan_id", "node_id", "file").agg(F.max("score").alias("score")))
+
+
+@query("SELECT page_id, (['a/b', '../x', 'a/../b', 'a/../../b', '/etc', 'C:/x', './ok', 'a/./b/..'])[1 + page_id % 8] AS path, (page_id % 8) IN (0, 2, 6, 7) AS ok FROM pages")
+def fn24_contained(spark, d):
+    path = F.get(F.array(*[F.lit(x) for x in ("a/b", "../x", "a/../b", "a/../../b", "/etc", "C:/x", "./ok", "a/./b/..")]), (F.col("page_id") % 8).cast("int"))
+    return A.table(spark, d, "pages").select("page_id", path.alias("path")).select("page_id", "path", V.contained(F.col("path")).alias("ok"))
+
+
+@query("SELECT s_suppkey, 'r' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 2 THEN '/src/x:odd' ELSE '/src/x' END AS path, CASE WHEN s_suppkey % 3 = 0 THEN 'backend' END AS role FROM supplier")
+def fn31_repo_spec(spark, d):
+    k = F.col("s_suppkey")
+    spec = F.concat(F.lit("r"), k.cast("string"), F.lit("=/src/x"), F.when(k % 3 == 0, ":backend").when(k % 3 == 2, ":odd").otherwise(""))
+    return A.table(spark, d, "supplier").select("s_suppkey", spec.alias("spec")).select("s_suppkey", V.repo_spec(F.col("spec")).alias("r")).select("s_suppkey", "r.*")
+
+
+@query("""
+WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM part)
+SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM s)
+""")
+def set10_unique_slugs(spark, d):
+    return V.unique_slugs(A.table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "slug")
+
+
+@query("SELECT p_name AS id, 'not a slug' AS reason FROM part WHERE p_name <> trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') UNION SELECT p_name, 'taken twice' FROM part GROUP BY p_name HAVING count(*) > 1")
+def set08_repo_ids(spark, d):
+    return V.invalid_repo_ids(A.table(spark, d, "part").select(F.col("p_name").alias("id")))
+
+
+@query(r"SELECT 'app/m' || c_custkey || '.py' AS file, line, text FROM customer, LATERAL (SELECT unnest(['class M' || c_custkey || '(models.Model):', 'class S' || c_custkey || '(serializers.ModelSerializer):', '    class Meta:', 'class V' || c_custkey || '(viewsets.ModelViewSet):', 'def helper():', 'def work():']) AS text, unnest([3, 7, 8, 12, 15, 18]) AS line)")
+def ext29_outline(spark, d):
+    return V.outline(I.lines_of(_models(spark, d).withColumnRenamed("path", "file"))).select("file", "line", "text")
+
+
+@query("SELECT count(*) AS returned, 100000 - count(*) AS omitted FROM nation")
+def agg26_result_stats(spark, d):
+    return V.result_stats(A.table(spark, d, "nation"), 100_000).select("returned", "omitted")
+
+
+@query("SELECT n_nationkey FROM (SELECT *, sum(10 + n_nationkey % 7) OVER (ORDER BY n_nationkey) AS s FROM nation) WHERE s <= 120")
+def srt13_budget(spark, d):
+    return V.within_budget(A.table(spark, d, "nation").select("n_nationkey"), 10 + F.col("n_nationkey") % 7, 120, F.col("n_nationkey"))

@@ -55,17 +55,32 @@ def ignored(path: Column, lines: Sequence[str] = ()) -> Column:
     return out
 
 
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file on any Hadoop file system, or None. Spark's readers pass over names with a dot
+    in front, so settings files are opened directly."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+        return None
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def scan(spark: SparkSession, root: str, gitignore: Sequence[str] = ()) -> DataFrame:
     """SRC-01, SRC-03, SRC-05: (path, category, content, lines, scan_ord) of the files kept, by path.
 
     Any file system that Spark reads will do. The path filter stands before the content is decoded. The root's
-    own .gitignore is read first; `gitignore` adds lines. Paths are numbered apart from their contents.
+    own .gitignore is read first; `gitignore` adds lines. Paths are numbered apart from their contents. Names
+    with a dot in front are not listed by Spark and so not scanned.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").rpartition("/")[2]
     path = F.regexp_extract("path", ".*?/" + re.escape(base) + "/(.*)$", 1)
-    own = files.select(path.alias("path"), "content").where("path = '.gitignore'").select(F.col("content").cast("string").alias("text")).limit(1).collect()
-    gitignore = [*(own[0].text.split("\n") if own else ()), *gitignore]
+    gitignore = [*(read_small(spark, root.rstrip("/") + "/.gitignore") or "").split("\n"), *gitignore]
     kept = files.select(path.alias("path"), "content").where((F.col("path") != "") & ~ignored(F.col("path"), gitignore))
     text = F.col("content").cast("string")
     return numbered(kept.select("path", category(F.col("path")).alias("category"), text.alias("content"), line_count(text).alias("lines")))
