@@ -93,9 +93,9 @@ def _facts(docs: DataFrame) -> DataFrame:
             k1, k2 = zip(*names, strict=True) if names else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("t1"), batch.column("t2"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         step = 2 * WIDTH // PIECES
-        for p, part in enumerate(to_byte(sketch).reshape(PIECES, step)):
+        for p, part in enumerate(sketch.reshape(PIECES, step)):  # a piece at a time, as counts pass through floats
             if part.any():
-                yield pa.RecordBatch.from_pylist([{"piece": p, "counts": part.tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"piece": p, "counts": to_byte(part).tobytes()}], schema=schema)
 
     return docs.mapInArrow(run, FACTS)
 
@@ -201,8 +201,8 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     few = ca * cb <= 64
     first = np.concatenate([[0], np.cumsum(cb)])
     at, owner = ia[few[ia]], oa[few[ia]]
-    for i in range(0, len(at), 1 << 17):
-        x, o = at[i : i + (1 << 17)], owner[i : i + (1 << 17)]
+    for i in range(0, len(at), 1 << 14):
+        x, o = at[i : i + (1 << 14)], owner[i : i + (1 << 14)]
         times = cb[x]
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         out += np.bincount(np.repeat(o, times) * len(b) + ob[np.repeat(first[x], times) + step], minlength=out.size).reshape(out.shape)
