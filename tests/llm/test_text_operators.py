@@ -76,14 +76,15 @@ def test_suffix_dedup_empty_table(spark, docs):
 
 
 def brute_passages(texts, words):
-    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
-    name = lambda t, s, i: b" ".join(t.encode()[a:b] for a, b in s[i : i + words])
-    seen = Counter(name(t, s, i) for t, s in zip(texts, spans) for i in range(len(s) - words + 1))
+    raws = [(t or "").encode() for t in texts]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raws]
+    name = lambda b, s, i: b" ".join(b[x:y] for x, y in s[i : i + words])
+    seen = Counter(name(b, s, i) for b, s in zip(raws, spans) for i in range(len(s) - words + 1))
     out = []
-    for t, s in zip(texts, spans):
-        gone = np.zeros(len((t or "").encode()), bool)
+    for b, s in zip(raws, spans):
+        gone = np.zeros(len(b), bool)
         for i in range(len(s) - words + 1):
-            if seen[name(t, s, i)] > 1:
+            if seen[name(b, s, i)] > 1:
                 gone[s[i][0] : s[i + words - 1][1]] = True
         out.append(gone)
     return out
