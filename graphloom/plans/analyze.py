@@ -54,13 +54,16 @@ def _edges(df: DataFrame) -> DataFrame:
     return _fill(df, EDGE_COLUMNS, {"meta": "map<string,string>", "ord": "long"}).withColumn("ord", F.coalesce("ord", F.xxhash64("id")))
 
 
-def endpoints(routes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Routes (method, path, handler, file) as endpoint nodes, EXPOSES edges and linker routes."""
+def endpoints(routes: DataFrame, shown: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Routes (method, path, handler, file, and owner, the handler's kind) as endpoint nodes, EXPOSES edges and
+    linker routes; shown: (handler, response_fields)."""
     node = F.concat(F.lit("APIEndpoint:"), "method", F.lit(" "), "path")
     nodes = routes.select(node.alias("id"), F.lit("APIEndpoint").alias("kind"), F.concat("method", F.lit(" "), "path").alias("name"), F.create_map(F.lit("method"), F.col("method"), F.lit("path"), F.col("path")).alias("meta"), F.xxhash64("method", "path").alias("ord"))
-    handler = F.concat(F.lit("Function:"), "file", F.lit("#"), "handler")
+    handler = F.concat(F.col("owner"), F.lit(":"), "file", F.lit("#"), "handler")
     edges = routes.select(edge_id(F.lit("EXPOSES"), handler, node).alias("id"), handler.alias("src"), node.alias("dst"), F.lit("EXPOSES").alias("kind"))
-    rows = routes.select(F.xxhash64("method", "path").alias("route_ord"), "method", "path", node.alias("endpoint_id"), F.array().cast("array<struct<id:string,name:string>>").alias("response_fields"))
+    none = F.array().cast("array<struct<id:string,name:string>>")
+    fields = none if shown is None else F.coalesce("response_fields", none)
+    rows = (routes if shown is None else routes.join(shown, "handler", "left")).select(F.xxhash64("method", "path").alias("route_ord"), "method", "path", node.alias("endpoint_id"), fields.alias("response_fields"))
     return nodes, edges, rows
 
 
@@ -76,15 +79,16 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, commit
     api_nodes, api_routes = services.openapi(documents)
     box_nodes, box_edges = services.compose(stacks)
     modules = ts_facts.Modules(file_source.path_aliases(files), file_source.workspace_packages(files))
-    found = ts_facts.express_routes(script, files, modules).unionByName(python_facts.http_routes(python)).unionByName(python_facts.drf_routes(python, files))
-    end_nodes, end_edges, routes = endpoints(found)
+    owned = lambda df, kind: df.withColumn("owner", F.lit(kind))
+    found = owned(ts_facts.express_routes(script, files, modules).unionByName(python_facts.http_routes(python)), "Function").unionByName(owned(python_facts.drf_routes(python, files), "ViewSet"))
+    end_nodes, end_edges, routes = endpoints(found, python_facts.view_fields(python))
     page_nodes, page_edges = ts_facts.page_routes(script)
     nest_nodes, nest_edges, nest_routes = ts_facts.nest_graph(script)
     routes = routes.unionByName(nest_routes.select(F.xxhash64("method", "path").alias("route_ord"), "method", "path", "endpoint_id").withColumn("response_fields", F.array().cast("array<struct<id:string,name:string>>")))
     routes = routes.unionByName(api_routes.select("route_ord", "method", "path", "endpoint_id").withColumn("response_fields", F.array().cast("array<struct<id:string,name:string>>")))
     own = lambda fact, kind: python.where(F.col("fact") == fact).select(F.concat(F.lit(kind + ":"), "file", F.lit("#"), "name").alias("id"), F.lit(kind).alias("kind"), "name", "file", "line", "ord")
     fields = python.where("fact = 'field'").select(F.concat(F.lit("Field:"), "file", F.lit("#"), F.col("owner"), F.lit("."), "name").alias("id"), F.lit("Field").alias("kind"), "name", "file", "line", "ord")
-    parts = [file_source.file_nodes(files), ts_facts.symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), fields, page_nodes, nest_nodes, end_nodes, api_nodes, box_nodes]
+    parts = [file_source.file_nodes(files), ts_facts.symbols(script), ts_facts.type_symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), fields, page_nodes, nest_nodes, end_nodes, api_nodes, box_nodes]
     nodes = kept.put(graph.union_fragments(*[_nodes(p) for p in parts]), "nodes")
     calls = ts_facts.api_calls(script)
     linked = kept.put(linker.link(calls, routes), "linked")

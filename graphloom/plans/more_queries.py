@@ -13,6 +13,7 @@ from graphloom.operators import rules as R
 from graphloom.operators import search as S
 from graphloom.operators import views as V
 from graphloom.plans import adapters as A
+from graphloom.plans.analyze import endpoints
 from graphloom.plans.queries import _endpoint_nodes, query
 from graphloom.sinks import reports
 from graphloom.sources import coverage, python_facts, ts_facts
@@ -483,3 +484,34 @@ def agg26_result_stats(spark, d):
 @query("SELECT n_nationkey FROM (SELECT *, sum(10 + n_nationkey % 7) OVER (ORDER BY n_nationkey) AS s FROM nation) WHERE s <= 120")
 def srt13_budget(spark, d):
     return V.within_budget(A.table(spark, d, "nation").select("n_nationkey"), 10 + F.col("n_nationkey") % 7, 120, F.col("n_nationkey"))
+
+
+def _readers(spark, d):
+    """A script per customer that reads fields of the answer of one call: from the data, an alias and a mapping."""
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("interface Row"), k, F.lit(" { name: string }\nexport const Ctx"), k, F.lit(" = createContext(null);\nexport const P"), k, F.lit(" = async (row: Row"), k, F.lit(") => {\n  const res = await api.get('/api/c"), k, F.lit("/');\n  const own = res.data;\n  use(own.name, res.data.up, own.length);\n  own.map((x) => x.other);\n  useContext(Ctx"), k, F.lit(");\n  return <Ctx"), k, F.lit(".Provider value={1} />;\n};\n"))
+    return _rendered(A.table(spark, d, "customer"), F.concat(F.lit("web/p"), k, F.lit(".tsx")), text)
+
+
+@query("SELECT 'web/p' || c_custkey || '.tsx' AS file, f.field, f.line, f.confidence FROM customer, (VALUES ('name', 6, 'medium'), ('other', 7, 'low'), ('up', 6, 'medium')) AS f(field, line, confidence)")
+def ext10_response_fields(spark, d):
+    calls = ts_facts.api_calls(ts_facts.extract(_readers(spark, d)))
+    return calls.select("file", F.explode("response_fields").alias("f")).select("file", "f.*")
+
+
+@query("SELECT 'Component:web/p' || c_custkey || '.tsx#P' || c_custkey AS src, 'Field:app/m' || c_custkey || '.py#M' || c_custkey || '.name' AS dst, 'medium' AS confidence FROM customer")
+def join02_field_links(spark, d):
+    """Calls of the rendered scripts meet the routes of the rendered view sets, whose serializers show `name`."""
+    python = python_facts.extract(_models(spark, d))
+    routes = python_facts.drf_routes(python).withColumn("path", F.concat(F.lit("/api"), "path")).withColumn("owner", F.lit("ViewSet"))
+    rows = endpoints(routes, python_facts.view_fields(python))[2]
+    return L.field_edges(L.link(ts_facts.api_calls(ts_facts.extract(_readers(spark, d))), rows)).select("src", "dst", "confidence")
+
+
+@query("""
+WITH c AS (SELECT 'web/p' || c_custkey || '.tsx#' AS spot, c_custkey AS k FROM customer)
+SELECT 'Component:' || spot || 'P' || k AS src, 'Type:' || spot || 'Row' || k AS dst, 'TYPES' AS kind FROM c UNION ALL SELECT 'Component:' || spot || 'P' || k, 'Context:' || spot || 'Ctx' || k, 'PROVIDES' FROM c UNION ALL SELECT 'Component:' || spot || 'P' || k, 'Context:' || spot || 'Ctx' || k, 'CONSUMES' FROM c
+""")
+def join07_types_contexts(spark, d):
+    files = _readers(spark, d)
+    return ts_facts.usage_edges(ts_facts.extract(files), files).select("src", "dst", "kind")

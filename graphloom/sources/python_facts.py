@@ -242,6 +242,18 @@ def call_edges(facts: DataFrame) -> DataFrame:
 VIEWSET_ROUTES = (("GET", False), ("POST", False), ("GET", True), ("PUT", True), ("PATCH", True), ("DELETE", True))
 
 
+def view_fields(facts: DataFrame) -> DataFrame:
+    """JOIN-02: (handler, response_fields): the model fields that a view's serializer shows, as (id, name)."""
+    latest = lambda fact: facts.where(F.col("fact") == fact).groupBy("name").agg(F.max_by("target", F.struct("file", "ord")).alias("to"))
+    shown = facts.where("fact = 'serializer_field'").select(F.col("name").alias("serializer"), F.col("target").alias("field")).distinct()
+    models = facts.where("fact = 'model'").groupBy("name").agg(F.max_by("file", F.struct("file", "ord")).alias("at"))
+    fields = facts.where("fact = 'field'").select("file", F.col("owner").alias("name"), F.col("name").alias("own")).join(models, "name").where("file = at")
+    fields = fields.select(F.col("name").alias("model"), "own", F.concat(F.lit("Field:"), "file", F.lit("#"), "name", F.lit("."), "own").alias("id"))
+    made = latest("view_serializer").select(F.col("name").alias("handler"), F.col("to").alias("serializer")).join(latest("serializer_model").select(F.col("name").alias("serializer"), F.col("to").alias("model")), "serializer")
+    rows = made.join(shown, "serializer").join(fields, "model").where("field = own or field = '__all__'").select("handler", "id", F.col("own").alias("name")).distinct()
+    return rows.groupBy("handler").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("response_fields"))
+
+
 def url_mounts(facts: DataFrame, files: DataFrame) -> DataFrame:
     """GRF-06: (file, prefix): where each URL file is mounted, by walking include() from the root one. Modules
     are files below the folder of manage.py. A file's includes are followed once, so circles end."""

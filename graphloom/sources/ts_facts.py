@@ -1,4 +1,4 @@
-"""Facts of TypeScript and JavaScript files (EXT-01..09, EXT-11, EXT-12, EXT-24..27) from tokens, not from a compiler.
+"""Facts of TypeScript and JavaScript files (EXT-01..12, EXT-24..27) from tokens, not from a compiler.
 
 There is no TypeScript parser among the libraries at hand, so declarations, imports, JSX tags and calls
 are recognised lexically at the top level of a file. Comments are blanked first, in place, so that
@@ -44,6 +44,10 @@ NEST_CLASS = re.compile(r"@(Controller|Injectable|Module)\(((?:[^()]|\([^()]*\))
 NEST_ROUTE = re.compile(r"@(Get|Post|Put|Patch|Delete)\(\s*(?:([\"'`])(.*?)\2)?[^)]*\)")
 #: Where a browser application starts, in the order in which they are tried.
 ENTRIES = ("src/main.tsx", "src/main.jsx", "src/index.tsx", "src/index.jsx", "src/main.ts", "src/index.ts", "main.tsx", "index.tsx")
+TYPE_REF = re.compile(r"(?::|<|\||&|,|\bas|\bextends)\s*(?:readonly\s+)?([A-Z][\w$]*)")
+ANSWER = re.compile(r"(?:const|let|var)\s+(?:([A-Za-z_$][\w$]*)|\{\s*data(?:\s*:\s*([A-Za-z_$][\w$]*))?\s*\})\s*(?::[^=\n]+)?=\s*(?:await\s+)?$")
+#: Members of an answer that are no fields.
+NO_FIELDS = frozenset(("data", "filter", "forEach", "length", "map", "reduce"))
 SKIP = frozenset(("if", "for", "while", "switch", "catch", "function", "return", "typeof", "import", "require", "super", "await"))
 
 
@@ -111,6 +115,38 @@ def facts_of(text: str | None) -> list[dict]:
             add("hook_call" if re.match("use[A-Z]", m[1]) else "call", m.start(), m[1], owner(m.start()))
     for m in re.finditer(r"useContext\(\s*([A-Za-z_$][\w$]*)", code):
         add("consumes", m.start(), m[1], owner(m.start()))
+    end_of = lambda at: next((b for a, b, _ in spans if a <= at < b), len(code))
+
+    def answered(call: re.Match) -> None:
+        """EXT-10: fields read from the answer of a call in its declaration: those of the data, of its aliases,
+        and, with less confidence, of the parameter that maps over it."""
+        made = ANSWER.search(code[max(0, call.start() - 160) : call.start()])
+        if not made:
+            return
+        body, first = code[call.end() : end_of(call.start())], call.end()
+        roots = [re.escape(made[1]) + r"\.data"] if made[1] else [re.escape(made[2] or "data")]
+        if made[1]:
+            roots += [re.escape(m[1]) for m in re.finditer(rf"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*{roots[0]}\s*[;\n]", body)]
+        seen: dict[str, tuple[str, int]] = {}
+        for root in roots:
+            reads = [("medium", m[1], m.start()) for m in re.finditer(rf"(?<![\w$.]){root}\.([A-Za-z_$][\w$]*)", body)]
+            for m in re.finditer(rf"(?<![\w$.]){root}\.map\(\s*\(?\s*([A-Za-z_$][\w$]*)", body):
+                reads += [("low", r[1], r.start()) for r in re.finditer(rf"(?<![\w$.]){re.escape(m[1])}\.([A-Za-z_$][\w$]*)", body)]
+            for grade, field, at in reads:
+                if field not in NO_FIELDS and (field not in seen or (seen[field][0] == "low" and grade == "medium")):
+                    seen[field] = (grade, at)
+        for field, (grade, at) in seen.items():
+            add("response_field", first + at, field, owner(call.start()), str(line(call.start())), grade)
+
+    for a, b, name in spans:
+        for ref in sorted({m[1] for m in TYPE_REF.finditer(code[a:b])}):
+            add("type_ref", a, ref, name)
+    for m in TYPE.finditer(code):
+        stop = re.compile(r"^\}|;\s*$|\n\n", re.M).search(code, m.end())
+        for ref in sorted({r[1] for r in TYPE_REF.finditer(code[m.end() : stop.start() if stop else len(code)])} | set(re.findall(r"=\s*([A-Z][\w$]*)", code[m.end() : stop.start() if stop else len(code)]))):
+            add("type_ref", m.start(), ref, m[1])
+    for m in [*API.finditer(code), *FETCH.finditer(code)]:
+        answered(m)
     for m in API.finditer(code):
         url, dynamic = template(m[4])
         if url.startswith(("/", "http://", "https://")):
@@ -227,7 +263,7 @@ def import_edges(facts: DataFrame, files: DataFrame, modules: Modules = Modules(
 
 def exports_closure(facts: DataFrame, files: DataFrame, rounds: int = 10, modules: Modules = Modules()) -> DataFrame:
     """JOIN-06: (file, name, at, real): what a file exports, through barrels of up to ten levels."""
-    own = facts.where("fact = 'declaration' and extra like '%exported%'").select("file", "name", F.col("file").alias("at"), F.col("name").alias("real"))
+    own = facts.where("(fact = 'declaration' and extra like '%exported%') or fact in ('type', 'context')").select("file", "name", F.col("file").alias("at"), F.col("name").alias("real"))
     steps = facts.where("fact = 're_export'").select("file", "name", "target", "extra")
     steps = steps.join(resolve(steps.select("file", "target").distinct(), files, modules), ["file", "target"]).select(F.col("file").alias("barrel"), F.col("name").alias("shown"), F.coalesce("extra", F.lit("*")).alias("asked"), "to")
     every, fresh = own, own
@@ -249,11 +285,17 @@ def symbols(facts: DataFrame) -> DataFrame:
     return rows.select(F.concat(kind, F.lit(":"), "file", F.lit("#"), "name").alias("id"), kind.alias("kind"), "name", "file", "line", F.create_map(F.lit("exported"), exported.cast("string")).alias("meta"), "ord")
 
 
+def type_symbols(facts: DataFrame) -> DataFrame:
+    """EXT-06, EXT-08: nodes of types and contexts."""
+    kind = F.when(F.col("fact") == "type", "Type").otherwise("Context")
+    return facts.where("fact in ('type', 'context')").select(F.concat(kind, F.lit(":"), "file", F.lit("#"), "name").alias("id"), kind.alias("kind"), "name", "file", "line", F.lit(None).cast("map<string,string>").alias("meta"), "ord")
+
+
 def usage_edges(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:
-    """JOIN-07: RENDERS edges for JSX tags, USES for hooks, CALLS for functions, bound to a declaration of
-    the same file or, through an import, of the file that exports it."""
-    nodes = symbols(facts)
-    uses = facts.where(F.col("fact").isin("jsx", "hook_call", "call") & F.col("owner").isNotNull()).select("file", "owner", "name", "fact").distinct()
+    """JOIN-07: RENDERS edges for JSX tags, USES for hooks, CALLS for functions, TYPES for types, PROVIDES and
+    CONSUMES for contexts, bound to a declaration of the same file or, through an import, of the file that exports it."""
+    nodes = symbols(facts).unionByName(type_symbols(facts))
+    uses = facts.where(F.col("fact").isin("jsx", "hook_call", "call", "type_ref", "provides", "consumes") & F.col("owner").isNotNull()).select("file", "owner", "name", "fact").distinct()
     imports = facts.where("fact = 'import'").select("file", "name", "target", "extra").distinct()
     bound = imports.join(resolve(imports.select("file", "target").distinct(), files, modules), ["file", "target"])
     shown = exports_closure(facts, files, modules=modules).select(F.col("file").alias("to"), F.col("name").alias("asked"), "at", "real")
@@ -265,20 +307,23 @@ def usage_edges(facts: DataFrame, files: DataFrame, modules: Modules = Modules()
     goal = nodes.select(F.col("file").alias("at"), F.col("name").alias("real"), F.col("id").alias("dst"), F.col("kind").alias("to_kind"))
     rows = ends.join(source, ["file", "owner"]).join(goal, ["at", "real"]).where("src <> dst")
     kind = F.when((F.col("fact") == "jsx") & F.col("to_kind").isin("Component", "Page"), "RENDERS").when((F.col("fact") == "hook_call") & (F.col("to_kind") == "Hook"), "USES").when((F.col("fact") == "call") & (F.col("to_kind") == "Function"), "CALLS")
+    kind = kind.when((F.col("fact") == "type_ref") & (F.col("to_kind") == "Type"), "TYPES").when((F.col("fact") == "provides") & (F.col("to_kind") == "Context"), "PROVIDES").when((F.col("fact") == "consumes") & (F.col("to_kind") == "Context"), "CONSUMES")
     rows = rows.withColumn("kind", kind).where("kind is not null").select("src", "dst", "kind").distinct()
     return rows.withColumn("id", edge_id(F.col("kind"), F.col("src"), F.col("dst")))
 
 
 def api_calls(facts: DataFrame) -> DataFrame:
-    """EXT-09, EXT-11, EXT-12, PRJ-05: calls with their full URL; the base of an axios client is looked up
+    """EXT-09..12, PRJ-05: calls with their full URL and the fields read from their answers; the base of an axios client is looked up
     by its variable's name in all files, the last one wins."""
     from graphloom.functions.text import join_url
 
     bases = facts.where("fact = 'axios'").groupBy("name").agg(F.max_by("target", F.struct("file", "ord")).alias("base"))
     nodes = symbols(facts).select("file", F.col("name").alias("owner"), F.col("id").alias("caller"))
-    rows = facts.where("fact = 'api_call'").join(bases, "name", "left").join(nodes, ["file", "owner"], "left")
+    read = F.struct(F.col("name").alias("field"), "line", F.col("extra").alias("confidence"))
+    reads = facts.where("fact = 'response_field'").groupBy("file", "owner", F.col("target").cast("int").alias("line")).agg(F.array_sort(F.collect_list(read)).alias("reads"))
+    rows = facts.where("fact = 'api_call'").join(bases, "name", "left").join(nodes, ["file", "owner"], "left").join(reads, ["file", "owner", "line"], "left")
     method, dynamic = F.split("extra", r"\|")[0], F.split("extra", r"\|")[1] == "true"
-    return rows.select(F.xxhash64("file", "ord").alias("call_ord"), method.alias("method"), F.col("target").alias("url"), F.col("name").alias("client"), dynamic.alias("dynamic"), "line", "file", F.coalesce("caller", F.concat(F.lit("File:"), "file")).alias("caller_id"), join_url(F.col("base"), F.col("target")).alias("full_url"), F.array().cast("array<struct<field:string,line:int,confidence:string>>").alias("response_fields"))
+    return rows.select(F.xxhash64("file", "ord").alias("call_ord"), method.alias("method"), F.col("target").alias("url"), F.col("name").alias("client"), dynamic.alias("dynamic"), "line", "file", F.coalesce("caller", F.concat(F.lit("File:"), "file")).alias("caller_id"), join_url(F.col("base"), F.col("target")).alias("full_url"), F.coalesce("reads", F.array().cast("array<struct<field:string,line:int,confidence:string>>")).alias("response_fields"))
 
 
 def express_routes(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:
