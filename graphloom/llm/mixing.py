@@ -67,10 +67,11 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] =
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as many times as its plan says."""
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
-    plan = mixing_plan(docs, **options).where("copies > 0")
-    return plan.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    """The mix itself: the columns of docs, whatever their names, each row as many times as its plan says."""
+    key = options.get("key", "doc_id")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mixing_plan(docs.select(key, "source", "text", whole.alias("_row")), **options).where("copies > 0")
+    return plan.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 ORACLE_SQL = r"""

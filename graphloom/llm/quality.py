@@ -228,15 +228,16 @@ def _apply(docs: DataFrame, text: str, name: str, kind: str, answer) -> DataFram
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows that are not held out, the same ones on each run.
+    """A model from the documents of at most `sample` labelled keys that are not held out, the same on each run.
 
-    Rows with a null key, label or no document are left out; repeated ones count each time.
+    Rows with a null key, label or no document are left out; of labels or documents that repeat a key, one counts.
     """
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
+    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_label", F.coalesce(text, F.lit("")).alias("_text"))
+    rows = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_key", "_label", F.coalesce(text, F.lit("")).alias("_text"))
     with batches(docs.sparkSession, 1000):
-        rows = _apply(rows, "_text", "x", "array<double>", lambda x: x.tolist()).select("_label", "x").limit(4 * sample).toPandas()
+        found = _apply(rows, "_text", "x", "array<double>", lambda x: x.tolist())
+        rows = found.groupBy("_key").agg(F.min(F.struct("_label", "x")).alias("r")).select("r.*").toPandas()  # a row per key at most
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES))
     y = (rows["_label"].to_numpy() >= 1).astype(float)
     order = np.lexsort((*x.T, y))

@@ -103,14 +103,16 @@ def parse_warc(data: bytes) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under path."""
+    """One row per record of the archives under path. Where an archive is cut short or a header is no header,
+    its records up to there are read and one of type `damaged` says what is wrong, in `fields`; `assemble`
+    leaves it out."""
     schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("http_length", pa.int64()), ("fields", pa.string()), ("payload", pa.binary())])
 
     def records(batches):
         for batch in batches:
             for content in batch.column("content"):
                 rows, held = [], 0
-                for row in parse_warc(content.as_py()):
+                for row in readable(content.as_py()):
                     rows.append(row)
                     held += len(row["payload"] or b"")
                     if held > 4 << 20 or len(rows) >= 3000:
@@ -119,6 +121,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    def readable(data):
+        try:
+            yield from parse_warc(data)
+        except (ValueError, zlib.error) as odd:
+            yield dict.fromkeys(schema.names) | {"type": "damaged", "fields": str(odd)}
+
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
     return files.mapInArrow(records, RECORD)
 

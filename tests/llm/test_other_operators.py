@@ -146,6 +146,14 @@ def test_warc_of_gzip_members_and_cut_records():
         list(warc.parse_warc(one[:-6]))
 
 
+def test_damaged_archives_do_not_fail_the_job(spark, tmp_path):
+    one = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nk:v\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(one + one[:-6])
+    (tmp_path / "b.warc").write_bytes(one.replace(b"Length: 3", b"Length: x"))
+    (tmp_path / "c.warc").write_bytes(one)
+    assert sorted(r.type for r in warc.read_warc(spark, str(tmp_path)).collect()) == ["damaged", "damaged", "metadata", "metadata"]
+
+
 def test_url_rules_and_aliases(spark):
     got = {r.page_id: (r.host, r.rule, r.verdict, r.via) for r in url_filter.judge(pages(spark)).collect()}
     assert got[1] == ("a.net", "net/", "block", "rule")
@@ -219,6 +227,14 @@ def test_shards_within_their_capacity_stay_in_place(spark):
         sharding.plan_moves([10, 10], 2, [5, 5])
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    from graphloom.llm.mixing import mix_sources
+
+    rows = [(i, "w " * (i % 7), "a" if i % 3 else None, 10 * i, 0.5) for i in range(60)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, size long, rate double"))
+    assert out.columns == ["doc_id", "text", "source", "size", "rate"] and all(r["size"] == 10 * r.doc_id and r.rate == 0.5 for r in out.collect())
+
+
 def test_op9_columns(spark, tmp_path):
     import zlib
 
