@@ -59,10 +59,11 @@ def with_edge_ids(edges: DataFrame) -> DataFrame:
 
 
 def dependents(edges: DataFrame) -> DataFrame:
-    """(at, next): who is affected directly if `at` changes (GRF-02 under the impact kinds)."""
+    """(at, next): who is affected directly if `at` changes (GRF-02 under the impact kinds); rows may repeat, as
+    every level of a traversal makes its own rows distinct."""
     back = edges.where(F.col("kind").isin(*IMPACT_REVERSE)).select(F.col("dst").alias("at"), F.col("src").alias("next"))
     ahead = edges.where(F.col("kind").isin(*IMPACT_FORWARD)).select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    return back.unionByName(ahead).where("at <> next").distinct()
+    return back.unionByName(ahead).where("at <> next")
 
 
 #: Levels of a traversal after which the tables of visited nodes are written as one, so that plans stay short.
