@@ -87,12 +87,12 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, commit
     routes = routes.unionByName(nest_routes.select(F.xxhash64("method", "path").alias("route_ord"), "method", "path", "endpoint_id").withColumn("response_fields", F.array().cast("array<struct<id:string,name:string>>")))
     routes = routes.unionByName(api_routes.select("route_ord", "method", "path", "endpoint_id").withColumn("response_fields", F.array().cast("array<struct<id:string,name:string>>")))
     own = lambda fact, kind: python.where(F.col("fact") == fact).select(F.concat(F.lit(kind + ":"), "file", F.lit("#"), "name").alias("id"), F.lit(kind).alias("kind"), "name", "file", "line", "ord")
-    fields = python.where("fact = 'field'").select(F.concat(F.lit("Field:"), "file", F.lit("#"), F.col("owner"), F.lit("."), "name").alias("id"), F.lit("Field").alias("kind"), "name", "file", "line", "ord")
-    parts = [file_source.file_nodes(files), ts_facts.symbols(script), ts_facts.type_symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), fields, page_nodes, nest_nodes, end_nodes, api_nodes, box_nodes]
+    fields = python.where("fact = 'field'").select(F.concat(F.lit("Field:"), "file", F.lit("#"), F.col("owner"), F.lit("#"), "name").alias("id"), F.lit("Field").alias("kind"), "name", "file", "line", "ord")
+    parts = [file_source.file_nodes(files), ts_facts.symbols(script), ts_facts.type_symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), python_facts.signal_nodes(python), fields, page_nodes, nest_nodes, end_nodes, api_nodes, box_nodes]
     nodes = kept.put(graph.union_fragments(*[_nodes(p) for p in parts]), "nodes")
     calls = ts_facts.api_calls(script)
     linked = kept.put(linker.link(calls, routes), "linked")
-    edge_parts = [ts_facts.import_edges(script, files, modules), ts_facts.usage_edges(script, files, modules), python_facts.import_edges(python, files), graph.with_edge_ids(python_facts.model_edges(python)), python_facts.call_edges(python), end_edges, page_edges, nest_edges, graph.with_edge_ids(box_edges), linker.call_edges(linked), linker.field_edges(linked)]
+    edge_parts = [ts_facts.import_edges(script, files, modules), ts_facts.usage_edges(script, files, modules), python_facts.import_edges(python, files), graph.with_edge_ids(python_facts.model_edges(python)), graph.with_edge_ids(python_facts.use_edges(python)), python_facts.call_edges(python), end_edges, page_edges, nest_edges, graph.with_edge_ids(box_edges), linker.call_edges(linked), linker.field_edges(linked)]
     edges = kept.put(graph.union_fragments(*[_edges(p) for p in edge_parts]), "edges")
     commits = spark.createDataFrame([], "commit_id string, commit_ord long, author string, ts string, file string") if commits is None else commits
     reports = spark.createDataFrame([], "report string, content string") if reports is None else reports

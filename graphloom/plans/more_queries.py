@@ -499,7 +499,7 @@ def ext10_response_fields(spark, d):
     return calls.select("file", F.explode("response_fields").alias("f")).select("file", "f.*")
 
 
-@query("SELECT 'Component:web/p' || c_custkey || '.tsx#P' || c_custkey AS src, 'Field:app/m' || c_custkey || '.py#M' || c_custkey || '.name' AS dst, 'medium' AS confidence FROM customer")
+@query("SELECT 'Component:web/p' || c_custkey || '.tsx#P' || c_custkey AS src, 'Field:app/m' || c_custkey || '.py#M' || c_custkey || '#name' AS dst, 'medium' AS confidence FROM customer")
 def join02_field_links(spark, d):
     """Calls of the rendered scripts meet the routes of the rendered view sets, whose serializers show `name`."""
     python = python_facts.extract(_models(spark, d))
@@ -515,3 +515,16 @@ SELECT 'Component:' || spot || 'P' || k AS src, 'Type:' || spot || 'Row' || k AS
 def join07_types_contexts(spark, d):
     files = _readers(spark, d)
     return ts_facts.usage_edges(ts_facts.extract(files), files).select("src", "dst", "kind")
+
+
+@query("""
+WITH s AS (SELECT 'u/d' || s_suppkey || '.py#' AS spot, s_suppkey AS k FROM supplier)
+SELECT 'Model:' || spot || 'D' || k AS src, 'Field:' || spot || 'D' || k || '#name' AS dst, 'REFERENCES' AS kind FROM s UNION ALL SELECT 'Model:' || spot || 'D' || k, 'Manager:' || spot || 'Mgr' || k, 'USES' FROM s
+UNION ALL SELECT 'ViewSet:' || spot || 'W' || k, 'Model:' || spot || 'D' || k, 'USES' FROM s UNION ALL SELECT 'Function:' || spot || 'on_save', 'Model:' || spot || 'D' || k, 'USES' FROM s
+UNION ALL SELECT 'Function:' || spot || 'on_save', 'Signal:' || spot || 'post_save#D' || k || '#on_save', 'REGISTERED_IN' FROM s UNION ALL SELECT 'Serializer:' || spot || 'Z' || k, 'Field:' || spot || 'D' || k || '#name', 'USES' FROM s
+""")
+def join10_use_edges(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    parts = ["class Mgr", k, "(models.Manager):\n    def live(self):\n        return 1\n\nclass D", k, "(models.Model):\n    name = models.CharField(max_length=9)\n    objects = Mgr", k, "()\n\nclass Z", k, "(serializers.ModelSerializer):\n    class Meta:\n        model = D", k, "\n        fields = '__all__'\n\nclass W", k, "(viewsets.ModelViewSet):\n    queryset = D", k, ".objects.all()\n\n@receiver(post_save, sender=D", k, ")\ndef on_save(sender, **kw):\n    return D", k, ".objects.filter(x=1)\n"]
+    files = _rendered(A.table(spark, d, "supplier"), F.concat(F.lit("u/d"), k, F.lit(".py")), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    return python_facts.use_edges(python_facts.extract(files))

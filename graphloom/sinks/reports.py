@@ -1,4 +1,4 @@
-"""Report documents (SNK-01..08): what the driver writes is a bounded list of findings, never a table."""
+"""Report documents (SNK-01..06, SNK-08, SNK-09): what the driver writes is a bounded list of findings, never a table."""
 
 from __future__ import annotations
 

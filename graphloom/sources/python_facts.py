@@ -63,6 +63,9 @@ class _Facts(ast.NodeVisitor):
                 to = item.value.args[0] if item.value.args else _keyword(item.value, "to")
                 link = _last(item.value) in ("ForeignKey", "OneToOneField", "ManyToManyField")
                 self.add("field", item, item.targets[0].id if isinstance(item.targets[0], ast.Name) else "", (_text(to) or _last(to)) if link and to is not None else None, _last(item.value))
+            elif kind == "model" and isinstance(item, ast.Assign) and isinstance(item.value, ast.Call) and isinstance(item.targets[0], ast.Name):
+                made = item.value.func.value if isinstance(item.value.func, ast.Attribute) and item.value.func.attr in ("from_queryset", "as_manager") else item.value
+                self.add("model_manager", item, item.targets[0].id, _last(made))
             elif kind == "model" and isinstance(item, ast.AnnAssign) and isinstance(item.target, ast.Name):
                 self.add("field", item, item.target.id, extra=ast.unparse(item.annotation))
             elif kind == "serializer" and isinstance(item, ast.ClassDef) and item.name == "Meta":
@@ -135,6 +138,9 @@ class _Facts(ast.NodeVisitor):
                 self.add("mount", node, _last(node.func.value), ast.unparse(node.args[0]), prefix)
             elif node.func.attr == "register" and len(node.args) > 1 and _text(node.args[0]) is not None:
                 self.add("registration", node, _last(node.func.value), _last(node.args[1]), _text(node.args[0]))
+            elif node.func.attr == "connect" and node.args and _last(node.args[0]):
+                sender = _keyword(node, "sender")
+                self.add("signal", node, _last(node.args[0]), _last(sender) if sender is not None else None, _last(node.func.value))
             elif isinstance(node.func.value, ast.Attribute) and node.func.value.attr == "objects":
                 self.add("queryset", node, _last(node.func.value.value), extra=node.func.attr)
         self.generic_visit(node)
@@ -242,13 +248,52 @@ def call_edges(facts: DataFrame) -> DataFrame:
 VIEWSET_ROUTES = (("GET", False), ("POST", False), ("GET", True), ("PUT", True), ("PATCH", True), ("DELETE", True))
 
 
+def signal_nodes(facts: DataFrame) -> DataFrame:
+    """EXT-18: Signal nodes of receivers and of connect() calls."""
+    rows = facts.where("fact = 'signal'")
+    return rows.select(_signal().alias("id"), F.lit("Signal").alias("kind"), F.concat("extra", F.lit(":"), "name").alias("name"), "file", "line", F.create_map(F.lit("signal"), F.col("extra"), F.lit("sender"), F.col("target")).alias("meta"), "ord")
+
+
+def _signal():
+    return F.concat(F.lit("Signal:"), F.concat_ws("#", "file", "extra", F.coalesce("target", F.lit("any")), "name"))
+
+
+def use_edges(facts: DataFrame) -> DataFrame:
+    """JOIN-10: models refer to their fields and use their managers, serializers the fields they show, views the
+    models of their query sets, functions and managers those they query; handlers are registered in signals."""
+    node = lambda kind, *parts: F.concat(F.lit(kind + ":"), F.concat_ws("#", *parts))
+    last = lambda fact: facts.where(F.col("fact") == fact).groupBy("name").agg(F.max_by("file", F.struct("file", "ord")).alias("at"))
+    edge = lambda rows, src, dst, kind="USES": rows.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+    models, managers = last("model"), last("manager")
+    model = node("Model", "at", "name")
+    fields = facts.where("fact = 'field'").select("file", "owner", "name")
+    out = edge(fields, node("Model", "file", "owner"), node("Field", "file", "owner", "name"), "REFERENCES")
+    own = facts.where("fact = 'model_manager'").select("file", F.element_at(F.split("owner", r"\."), -1).alias("model"), F.col("target").alias("name")).join(managers, "name")
+    out = out.unionByName(edge(own, node("Model", "file", "model"), node("Manager", "at", "name")))
+    shown = facts.where("fact = 'serializer_field'").select("file", F.col("name").alias("serializer"), F.col("target").alias("field"))
+    shown = shown.join(facts.where("fact = 'serializer_model'").select("file", F.col("name").alias("serializer"), F.col("target").alias("name")), ["file", "serializer"]).join(models, "name")
+    held = fields.select(F.col("file").alias("at"), F.col("owner").alias("name"), F.col("name").alias("own"))
+    shown = shown.join(held, ["at", "name"]).where("field = own or field = '__all__'")
+    out = out.unionByName(edge(shown, node("Serializer", "file", "serializer"), node("Field", "at", "name", "own")))
+    views = facts.where("fact = 'view_model'").select("file", F.col("name").alias("view"), F.col("target").alias("name")).join(models, "name")
+    out = out.unionByName(edge(views, node("ViewSet", "file", "view"), model))
+    kinds = facts.where("fact in ('view', 'manager')").select("file", F.col("name").alias("first"), F.when(F.col("fact") == "view", "ViewSet").otherwise("Manager").alias("owned")).distinct()
+    asked = facts.where("fact = 'queryset' and owner is not null").select("file", "owner", F.substring_index("owner", ".", 1).alias("first"), "name").join(models, "name").join(kinds, ["file", "first"], "left")
+    asker = F.when(F.col("owned").isNull(), node("Function", "file", "owner")).otherwise(F.concat("owned", F.lit(":"), "file", F.lit("#"), "first"))
+    out = out.unionByName(edge(asked, asker, model))
+    signals = facts.where("fact = 'signal'").select("file", "name", "target", "extra")
+    out = out.unionByName(edge(signals, node("Function", "file", "name"), _signal(), "REGISTERED_IN"))
+    heard = signals.select("file", F.col("name").alias("handler"), F.col("target").alias("name")).join(models, "name")
+    return out.unionByName(edge(heard, node("Function", "file", "handler"), model)).distinct()
+
+
 def view_fields(facts: DataFrame) -> DataFrame:
     """JOIN-02: (handler, response_fields): the model fields that a view's serializer shows, as (id, name)."""
     latest = lambda fact: facts.where(F.col("fact") == fact).groupBy("name").agg(F.max_by("target", F.struct("file", "ord")).alias("to"))
     shown = facts.where("fact = 'serializer_field'").select(F.col("name").alias("serializer"), F.col("target").alias("field")).distinct()
     models = facts.where("fact = 'model'").groupBy("name").agg(F.max_by("file", F.struct("file", "ord")).alias("at"))
     fields = facts.where("fact = 'field'").select("file", F.col("owner").alias("name"), F.col("name").alias("own")).join(models, "name").where("file = at")
-    fields = fields.select(F.col("name").alias("model"), "own", F.concat(F.lit("Field:"), "file", F.lit("#"), "name", F.lit("."), "own").alias("id"))
+    fields = fields.select(F.col("name").alias("model"), "own", F.concat(F.lit("Field:"), "file", F.lit("#"), "name", F.lit("#"), "own").alias("id"))
     made = latest("view_serializer").select(F.col("name").alias("handler"), F.col("to").alias("serializer")).join(latest("serializer_model").select(F.col("name").alias("serializer"), F.col("to").alias("model")), "serializer")
     rows = made.join(shown, "serializer").join(fields, "model").where("field = own or field = '__all__'").select("handler", "id", F.col("own").alias("name")).distinct()
     return rows.groupBy("handler").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("response_fields"))
