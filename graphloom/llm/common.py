@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.shipping import on_path
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,6 +42,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        on_path(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -63,6 +66,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch of long texts takes in a Python worker."""
+    on_path(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
