@@ -50,3 +50,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert "MAX_NEW_ISSUES" in capsys.readouterr().out
     assert cli.main(["ask", str(tmp_path / "b"), "which code is dead?"]) == 0
     assert "find_dead_code" in capsys.readouterr().out
+
+
+def test_aliases_and_django_routes_leave_nothing_dangling(spark, tmp_path):
+    root = tmp_path / "shop"
+    texts = {
+        ".gitignore": "junk/\n",
+        "junk/x.ts": "export const x = 1;\n",
+        "tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["web/*"]}}}',
+        "web/pages/Home.tsx": "import { Card } from '@/ui/Card';\nexport default function Home() {\n  api.get('/api/users/');\n  return <Card />;\n}\n",
+        "web/ui/Card.tsx": "export const Card = () => <b>x</b>;\n",
+        "manage.py": "",
+        "conf/settings.py": "ROOT_URLCONF = 'conf.urls'\n",
+        "conf/urls.py": "urlpatterns = [path('api/', include('app.urls'))]\n",
+        "app/urls.py": "router.register('users', UserViewSet)\n",
+        "app/views.py": "class UserViewSet(viewsets.ModelViewSet):\n    pass\n",
+    }
+    for name, text in texts.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    found = analyze(spark, str(root))
+    assert not any(r.path.startswith("junk/") for r in found.files.select("path").collect())
+    edges = {(r.kind, r.src, r.dst) for r in found.edges.select("kind", "src", "dst").collect()}
+    assert ("IMPORTS", "File:web/pages/Home.tsx", "File:web/ui/Card.tsx") in edges
+    assert ("RENDERS", "Page:web/pages/Home.tsx#Home", "Component:web/ui/Card.tsx#Card") in edges
+    assert ("EXPOSES", "ViewSet:app/views.py#UserViewSet", "APIEndpoint:GET /api/users/") in edges
+    kinds = {(r.kind, r.nodes[0]) for r in found.issues.select("kind", "nodes").collect()}
+    assert not any(k == "DANGLING_API_CALL" for k, _ in kinds) and ("DEAD_CODE", "Component:web/ui/Card.tsx#Card") not in kinds
