@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-from graphloom.llm.components import components
 from graphloom.operators import diff, graph, insights, linker, rules, search
 from graphloom.schema import CALLS, COVERAGE, EDGES, ISSUES, NODES, ROUTES
 
@@ -71,8 +70,6 @@ def test_loops_end_with_the_whole_answer_or_raise(spark, monkeypatch):
     assert {r.id: r.depth for r in graph.reach(chain, seed).collect()} == {str(i): i for i in range(8)}
     with pytest.raises(RuntimeError):
         graph.reach(chain, seed, most=3)
-    with pytest.raises(RuntimeError):
-        components(spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long"), rounds=1)
 
 
 def test_linker_grades(spark):
