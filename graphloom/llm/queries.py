@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard_join, mixing, near_vectors, quality, sharding, suffix_dedup, topk, url_filter, warc
+from graphloom.llm import bpe, jaccard_join, mixing, near_vectors, pieces, quality, sharding, spelling, suffix_dedup, topk, url_filter, warc, whitening
 from graphloom.llm.common import Scratch, load, small_batches
 
 
@@ -97,6 +97,49 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: eigenvectors are iterated to a certified residual; tests/llm holds them against dense ones."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", whitening.fixed_point("embedding").alias("x")).where("x is not null")
+    model = whitening.fit(rows, "x", k=32)
+    n, shares = (model.n, [float(e / model.trace) for e in model.values]) if model else (0, [])
+    error = whitening.identity_error(rows, "x", model) if shares else None
+    white = whitening.transform(rows, "x", model).where("whitened is not null")
+    return white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(F.lit(shares).cast("array<double>"), F.col("at")).alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+#: Runs of fewer code points cannot become words of five, so they are not looked for.
+RUN = r"[A-Za-z\u00C0-\u00FF]{5,}"
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: its functions have no crc32; tests/llm holds it against a brute force. A null doc_id counts as no digits."""
+    runs = spelling.runs(load(spark, sf_dir, "documents").select("doc_id", "text"), RUN)
+    seed = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    words = spelling.counted(runs, spelling.one_less(F.col("run"), seed, 97), least_points=5, least_n=3)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    coded = pieces.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), model_path(), decoded=True)
+    names = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(names, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
@@ -108,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_near_vectors": op10_near_vectors,
+    "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
+    "op13_pieces": op13_pieces,
 }
 
 OP5_SQL = """
