@@ -106,8 +106,14 @@ def stem(path: Column) -> Column:
     return F.substring_index(basename(path), ".", 1)
 
 
+def bare_name(path: Column) -> Column:
+    """FN-23: the file name without what follows its last dot."""
+    return F.regexp_replace(basename(path), r"\.[^.]+$", "")
+
+
 def is_test(path: Column) -> Column:
-    return path.rlike(r"(^|/)(tests?|__tests__)/") | path.rlike(r"\.(test|spec)\.[A-Za-z]+$") | basename(path).rlike(r"^test_.*\.py$")
+    """FN-23."""
+    return path.rlike(r"\.(test|spec)\.[cm]?[jt]sx?$")
 
 
 def glob_regex(glob: str) -> str:

@@ -150,7 +150,7 @@ def prune(runs: DataFrame, n: int = 20, key: str = "project_id", blob: str = "re
 
 def activity(found: DataFrame, repos: DataFrame, scans: DataFrame) -> DataFrame:
     """AGG-22, WIN-09, FN-29: changes per repo and scan, zero where there are none, with quartiles of the
-    global maximum. The grid is dimension by dimension, not row by row."""
+    global maximum. `found` has a row for each change and repo that it touches. The grid is dimension by dimension, not row by row."""
     counted = found.groupBy("repo_id", "scan_id").agg(F.count("*").alias("n"))
     every = scans.select("scan_id").distinct()
     grid = repos.select("repo_id").distinct().crossJoin(F.broadcast(every) if every.limit(MOST_SCANS + 1).count() <= MOST_SCANS else every)

@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import dirname, is_test, score_text, stem
+from graphloom.functions.text import bare_name, dirname, is_test, score_text
 from graphloom.operators.graph import context, impact
 
-#: Result sizes by detail.
-LIMITS = {"brief": 8, "standard": 25, "full": 100}
+#: Most rows by detail (those of `full` depend on the tool), of a budget of tokens, and at all.
+DETAIL_ROWS = {"brief": 8, "standard": 25}
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 250, 3, 100
 
 
 def node_score(query: str) -> Column:
@@ -20,13 +21,20 @@ def node_score(query: str) -> Column:
     return F.greatest(score_text(F.col("id"), query), score_text(F.col("name"), query), score_text(F.coalesce("file", F.lit("")), query))
 
 
-def limit_for(detail: str = "standard", limit: int | None = None, token_budget: int | None = None) -> int:
-    """SRT-11."""
-    if limit is not None:
-        return max(1, min(100, limit))
-    if token_budget is not None:
-        return max(3, token_budget // 250)
-    return LIMITS.get(detail, 25)
+def row_limit(detail: Column, limit: Column, token_budget: Column, fallback: Column) -> Column:
+    """SRT-11: the rows of an answer. A limit above zero counts, up to 100; else the tool's own number, cut by
+    detail (anything but standard and full is brief) and then by the budget of tokens, which leaves 3."""
+    by_detail = F.when(detail == "full", fallback).when(detail == "standard", F.least(fallback, F.lit(DETAIL_ROWS["standard"]))).otherwise(F.least(fallback, F.lit(DETAIL_ROWS["brief"])))
+    by_budget = F.when(token_budget > 0, F.greatest(F.lit(LEAST_ROWS), F.least(by_detail, F.floor(token_budget / TOKENS_A_ROW)))).otherwise(by_detail)
+    return F.when((limit > 0) & ~F.isnan(limit.cast("double")) & (limit < float("inf")), F.least(F.lit(MOST_ROWS), F.floor(limit))).otherwise(by_budget).cast("int")
+
+
+def limit_for(detail: str | None = None, limit: float | None = None, token_budget: float | None = None, fallback: int = 25) -> int:
+    """SRT-11 for one question."""
+    if limit is not None and 0 < limit < float("inf"):
+        return min(MOST_ROWS, int(limit))
+    rows = fallback if detail == "full" else min(fallback, DETAIL_ROWS.get(detail or "brief", DETAIL_ROWS["brief"]))
+    return max(LEAST_ROWS, min(rows, int(token_budget // TOKENS_A_ROW))) if token_budget and token_budget > 0 else rows
 
 
 def search(nodes: DataFrame, query: str, kinds: Sequence[str] = (), limit: int = 25) -> DataFrame:
@@ -61,17 +69,20 @@ def breaking_query(found: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def nearby_tests(changed: DataFrame, files: DataFrame) -> DataFrame:
-    """QRY-06, JOIN-29: (path, test, command) of tests near changed files: in one folder, or of one stem.
+    """QRY-06, JOIN-29: (path, test, command) of the tests of changed files.
 
-    The prefix theta join becomes two equality joins, on the folder with every ancestor's tests folder
-    and on the stem.
+    A test that changed is its own. Those of another file bear its name, without the ending and the mark of a
+    test, and lie in its folder or below; at the root, only beside it and in TypeScript. The prefix
+    join is an equality: a test offers its name under each folder above it, of which there are few.
     """
-    tests = files.where(is_test(F.col("path"))).select(F.col("path").alias("test"), dirname(F.col("path")).alias("dir"), F.regexp_replace(stem(F.col("path")), "^test_|_test$", "").alias("stem"))
-    own = changed.select("path", dirname(F.col("path")).alias("dir"), stem(F.col("path")).alias("stem"))
-    near = own.join(tests.select("test", F.regexp_replace("dir", "/?(tests?|__tests__)$", "").alias("dir")), "dir")
-    like = own.join(tests.select("test", "stem"), "stem")
-    rows = near.select("path", "test").union(like.select("path", "test")).where("path <> test").distinct()
-    return rows.withColumn("command", F.when(F.col("test").endswith(".py"), F.concat(F.lit("pytest "), "test")).otherwise(F.concat(F.lit("vitest run "), "test")))
+    tests = files.where(is_test(F.col("path"))).select(F.col("path").alias("test")).distinct()
+    tests = tests.withColumn("name", F.regexp_replace(bare_name(F.col("test")), r"\.(test|spec)$", "")).withColumn("parts", F.split(dirname(F.col("test")), "/"))
+    above = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    offered = tests.select("test", "name", F.explode(above).alias("dir")).where((F.col("dir") != "") | F.col("test").rlike(r"^[^/]+\.tsx?$"))
+    asked = changed.select("path").distinct()
+    own = asked.where(is_test(F.col("path"))).join(tests.select(F.col("test").alias("path")), "path").select("path", F.col("path").alias("test"))
+    near = asked.where(~is_test(F.col("path"))).select("path", bare_name(F.col("path")).alias("name"), dirname(F.col("path")).alias("dir")).join(offered, ["name", "dir"])
+    return own.unionByName(near.select("path", "test")).withColumn("command", F.concat(F.lit("vitest run "), "test"))
 
 
 #: Question families in the order in which they are tried, English and Turkish.
@@ -173,12 +184,27 @@ def api_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return points.join(first("EXPOSES", "exposed_by"), "id", "left").join(first("CALLS", "caller"), "id", "left").orderBy("path", "method")
 
 
+#: Up to this many repositories are broadcast to the nodes.
+MOST_REPOS = 10_000
+
+
 def node_repo(nodes: DataFrame, repos: DataFrame) -> DataFrame:
-    """JOIN-31: the repo whose prefix opens a node's path, the longest one; the first segment is the key."""
-    path = F.coalesce("file", "name")
-    keyed = nodes.withColumn("_path", path).withColumn("_key", F.substring_index(path, "/", 1))
-    joined = keyed.join(repos.select("repo_id", "prefix", F.substring_index("prefix", "/", 1).alias("_key")), "_key").where(F.col("_path").startswith(F.concat("prefix", F.lit("/"))))
-    return joined.groupBy("id").agg(F.max_by("repo_id", F.struct(F.length("prefix"), "repo_id")).alias("repo_id"))
+    """JOIN-31: (id, repo_id) of nodes with a file: the first repository (repo_id, role, ord) whose id opens the
+    path; else the first whose role does, `other` aside; else the only repository there is. Nodes of none are left out.
+
+    A prefix is what stands before one of a path's slashes, so ids and roles meet paths by equality.
+    """
+    known = repos.select("repo_id", "role", "ord")
+    n = known.count()
+    keys = known.select("repo_id", F.explode(F.array(F.struct(F.lit(0).alias("n"), "ord", F.col("repo_id").alias("key")), F.struct(F.lit(1).alias("n"), "ord", F.when(F.col("role") != "other", F.col("role")).alias("key")))).alias("k"))
+    first = keys.where("k.key is not null").groupBy(F.col("k.key").alias("key")).agg(F.min(F.struct("k.n", "k.ord", "repo_id")).alias("r"))
+    placed = nodes.where("file is not null").select("id", F.split(F.regexp_replace("file", r"\\", "/"), "/").alias("parts"))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("parts") - 1)), lambda i: F.array_join(F.slice("parts", 1, i), "/"))
+    met = placed.where(F.size("parts") > 1).select("id", F.explode(starts).alias("key")).join(F.broadcast(first) if n <= MOST_REPOS else first, "key")
+    best = met.groupBy("id").agg(F.min("r").alias("r")).select("id", F.col("r.repo_id").alias("repo_id"))
+    if n != 1:
+        return best
+    return placed.select("id").distinct().join(F.broadcast(known.select("repo_id"))).select("id", "repo_id")
 
 
 def rank_within(df: DataFrame, key: str, *order: Column) -> DataFrame:

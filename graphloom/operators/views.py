@@ -28,8 +28,8 @@ def pickable(nodes: DataFrame) -> DataFrame:
 def issue_refs(issues: DataFrame, nodes: DataFrame, detail: str = "standard") -> DataFrame:
     """PRJ-15, PRJ-16: (issue_id, kind, severity, message, confidence, evidence): candidates are of medium
     confidence; evidence are the first nodes of the issue, in its order, that exist."""
-    at = issues.select("issue_id", F.posexplode("nodes").alias("n", "id")).where(F.col("n") < 50 * EVIDENCE[detail])
-    shown = at.join(nodes.select("id", "file", "line"), "id").groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct("n", "id", "file", "line"))).alias("all"))
+    at = issues.select("issue_id", F.posexplode("nodes").alias("n", "id"))
+    shown = at.join(nodes.select("id", "file", "line"), "id").withColumn("_k", F.row_number().over(Window.partitionBy("issue_id").orderBy("n"))).where(F.col("_k") <= EVIDENCE[detail]).groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct("n", "id", "file", "line"))).alias("all"))
     evidence = F.transform(F.slice(F.coalesce("all", F.array().cast("array<struct<n:int,id:string,file:string,line:int>>")), 1, EVIDENCE[detail]), lambda x: F.struct(x["id"].alias("id"), x["file"].alias("file"), x["line"].alias("line")))
     return issues.join(shown, "issue_id", "left").select("issue_id", "kind", "severity", "message", F.when(F.col("candidate"), "medium").otherwise("high").alias("confidence"), evidence.alias("evidence"))
 
@@ -81,14 +81,21 @@ def dangling_view(issues: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select("id", "name"), "id", "left").select("method", "url", F.coalesce("name", "id", F.lit("unknown")).alias("caller"))
 
 
-def hotspot_history(latest: DataFrame, history: DataFrame, most: int = 12) -> DataFrame:
-    """JOIN-32: the scores of the latest hotspots (ord, node_id, file) in each snapshot (scan_id, node_id, file,
-    score): by node, else by file. The either-or join becomes two equality joins, the node's going first."""
-    top = latest.orderBy("ord").limit(most).select("ord", F.col("node_id").alias("node"), F.col("file").alias("at"))
-    by_node = history.join(F.broadcast(top), F.col("node_id") == F.col("node")).withColumn("n", F.lit(0))
-    by_file = history.join(F.broadcast(top), F.col("file") == F.col("at")).withColumn("n", F.lit(1))
-    best = by_node.unionByName(by_file).groupBy("scan_id", "node").agg(F.max_by("score", F.struct(-F.col("n"), "score")).alias("score"))
-    return best.select("scan_id", F.col("node").alias("node_id"), "score")
+def hotspot_history(latest: DataFrame, history: DataFrame, scans: DataFrame, most: int = 12) -> DataFrame:
+    """JOIN-32: (node_id, scan_id, churn, complexity, coverage_pct): a point for each of the first `most` hotspots of
+    the latest scan (ord, node_id, file) in every scan (scan_id): the scan's first hotspot, in the order of its list
+    (scan_id, ord, node_id, file, churn, complexity, coverage_pct), that has the file or the id; nulls where none has.
+
+    The either-or join becomes two equality joins over the few hotspots.
+    """
+    top = latest.orderBy("ord").limit(most).select(F.col("node_id").alias("node"), F.col("file").alias("at"))
+    point = F.struct("churn", "complexity", "coverage_pct")
+    rows = history.select("scan_id", "ord", "node_id", "file", point.alias("point"))
+    by_node = rows.join(F.broadcast(top), F.col("node_id") == F.col("node"))
+    by_file = rows.join(F.broadcast(top.where("at <> ''")), F.col("file") == F.col("at"))
+    best = by_node.unionByName(by_file).groupBy("scan_id", "node").agg(F.min_by("point", "ord").alias("point"))
+    every = scans.select("scan_id").distinct().crossJoin(F.broadcast(top.select("node").distinct()))
+    return every.join(best, ["scan_id", "node"], "left").select(F.col("node").alias("node_id"), "scan_id", "point.*")
 
 
 def contained(path: Column) -> Column:

@@ -76,11 +76,19 @@ def join25_api_map(spark, d):
 
 
 @query("""
-SELECT 'Customer:' || c_custkey AS id, CASE WHEN c_nationkey = 7 THEN 2 ELSE 1 END AS repo_id FROM customer UNION ALL SELECT 'Supplier:' || s_suppkey, 3 FROM supplier WHERE s_nationkey <> 5 UNION ALL SELECT 'Supplier:' || s_suppkey, 4 FROM supplier WHERE s_nationkey = 5
+WITH r(repo_id, role, ord) AS (VALUES ('shop', 'frontend', 2), ('web', 'frontend', 1), ('api', 'backend', 3), ('misc', 'other', 4)),
+n AS (SELECT 'Customer:' || c_custkey AS id, CASE c_nationkey % 4 WHEN 0 THEN 'shop/n.ts' WHEN 1 THEN 'frontend/n' || c_nationkey || '.ts' WHEN 2 THEN 'other/x.ts' ELSE 'api/n/' || c_custkey || '.ts' END AS file FROM customer
+ UNION ALL SELECT 'Supplier:' || s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL WHEN s_nationkey % 5 = 1 THEN 'shop.ts' ELSE 'backend/s.py' END FROM supplier),
+f AS (SELECT id, coalesce((SELECT arg_min(repo_id, ord) FROM r WHERE starts_with(file, repo_id || '/')), (SELECT arg_min(repo_id, ord) FROM r WHERE role <> 'other' AND starts_with(file, role || '/'))) AS repo_id FROM n)
+SELECT id, repo_id FROM f WHERE repo_id IS NOT NULL
 """)
 def join31_node_repo(spark, d):
-    repos = spark.createDataFrame([(1, "buyers"), (2, "buyers/nation7"), (3, "sellers"), (4, "sellers/nation5")], "repo_id int, prefix string")
-    return S.node_repo(A.trade_graph(spark, d)[0], repos)
+    repos = spark.createDataFrame([("shop", "frontend", 2), ("web", "frontend", 1), ("api", "backend", 3), ("misc", "other", 4)], "repo_id string, role string, ord int")
+    k, n = F.col("c_nationkey"), F.col("s_nationkey") % 5
+    buyers = F.when(k % 4 == 0, "shop/n.ts").when(k % 4 == 1, F.concat(F.lit("frontend/n"), k.cast("string"), F.lit(".ts"))).when(k % 4 == 2, "other/x.ts").otherwise(F.concat(F.lit("api\\n\\"), F.col("c_custkey").cast("string"), F.lit(".ts")))
+    sellers = F.when(n == 0, None).when(n == 1, "shop.ts").otherwise("backend/s.py")
+    nodes = A.table(spark, d, "customer").select(A.ref("Customer", "c_custkey").alias("id"), buyers.alias("file")).union(A.table(spark, d, "supplier").select(A.ref("Supplier", "s_suppkey"), sellers))
+    return S.node_repo(nodes, repos)
 
 
 @query("""
@@ -95,16 +103,38 @@ def join16_coverage_paths(spark, d):
     return I.match_coverage(found, rows.where("scan_ord % 5 <> 4")).select("file", "path", "total")
 
 
-@query("""
-WITH t AS (SELECT 'src/m' || (p_partkey % 20) AS dir, CASE p_partkey % 4 WHEN 0 THEN '/a' || p_partkey || '.test.ts' WHEN 1 THEN '/tests/b' || p_partkey || '.ts' ELSE '/a' || (p_partkey - 2) || '.ts' END AS name, p_partkey % 4 < 2 AS is_test, p_partkey FROM part),
-f AS (SELECT dir || name AS path, dir || CASE WHEN p_partkey % 4 = 1 THEN '/tests' ELSE '' END AS folder, string_split(string_split(name, '/')[-1], '.')[1] AS stem, is_test, dir FROM t)
-SELECT DISTINCT a.path, b.path AS test FROM f a JOIN f b ON b.is_test AND NOT a.is_test AND (a.folder = b.dir OR a.stem = b.stem) AND a.path <> b.path
+@query(r"""
+WITH t AS (SELECT p_partkey AS k, p_partkey % 6 AS way, p_partkey - p_partkey % 6 AS base, CASE WHEN (p_partkey - p_partkey % 6) % 18 = 0 THEN '.conf' ELSE '' END AS more FROM part),
+f AS (SELECT DISTINCT CASE way WHEN 0 THEN 'src/m' || (base % 20) || '/a' || base || more || '.ts' WHEN 1 THEN 'src/m' || (base % 20) || '/a' || base || more || '.test.ts' WHEN 2 THEN 'src/m' || (base % 20) || '/sub/deep/a' || base || more || '.spec.cjs'
+  WHEN 3 THEN 'lib/a' || base || more || '.test.ts' WHEN 4 THEN 'a' || base || '.ts' ELSE CASE WHEN k % 12 = 5 THEN 'a' || base || '.spec.tsx' ELSE 'a' || base || '.test.js' END END AS path FROM t),
+p AS (SELECT path, regexp_matches(path, '\.(test|spec)\.[cm]?[jt]sx?$') AS is_test, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]+$', '') AS base FROM f)
+SELECT c.path, t.path AS test FROM p c JOIN p t ON t.is_test AND CASE WHEN c.is_test THEN c.path = t.path
+  ELSE t.path IN (ltrim(c.dir || '/' || c.base || '.test.ts', '/'), ltrim(c.dir || '/' || c.base || '.test.tsx', '/'), ltrim(c.dir || '/' || c.base || '.spec.ts', '/'), ltrim(c.dir || '/' || c.base || '.spec.tsx', '/')) OR (regexp_replace(t.base, '\.(test|spec)$', '') = c.base AND starts_with(t.path, c.dir || '/')) END
 """)
 def join29_nearby_tests(spark, d):
+    """Sources and their tests beside them, below them, in another folder and at the root; tests are asked for as well."""
     k = F.col("p_partkey")
-    name = F.when(k % 4 == 0, F.concat(F.lit("/a"), k.cast("string"), F.lit(".test.ts"))).when(k % 4 == 1, F.concat(F.lit("/tests/b"), k.cast("string"), F.lit(".ts"))).otherwise(F.concat(F.lit("/a"), (k - 2).cast("string"), F.lit(".ts")))
-    files = A.table(spark, d, "part").select(F.concat(F.lit("src/m"), (k % 20).cast("string"), name).alias("path"), (k % 4).alias("k")).distinct()
-    return S.nearby_tests(files.where("k >= 2").select("path"), files.select("path")).select("path", "test").distinct()
+    way, base = k % 6, k - k % 6
+    name = F.concat(F.lit("/a"), base.cast("string"), F.when(base % 18 == 0, ".conf").otherwise(""))
+    folder = F.concat(F.lit("src/m"), (base % 20).cast("string"))
+    root = F.concat(F.lit("a"), base.cast("string"))
+    path = F.when(way == 0, F.concat(folder, name, F.lit(".ts"))).when(way == 1, F.concat(folder, name, F.lit(".test.ts"))).when(way == 2, F.concat(folder, F.lit("/sub/deep"), name, F.lit(".spec.cjs")))
+    path = path.when(way == 3, F.concat(F.lit("lib"), name, F.lit(".test.ts"))).when(way == 4, F.concat(root, F.lit(".ts"))).when(k % 12 == 5, F.concat(root, F.lit(".spec.tsx"))).otherwise(F.concat(root, F.lit(".test.js")))
+    files = A.table(spark, d, "part").select(path.alias("path")).distinct()
+    return S.nearby_tests(files, files).select("path", "test")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, (['brief', 'standard', 'full', 'odd'])[1 + o_orderkey % 4] AS detail, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 130 - 10.5 END AS most, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7000 - 100 END AS budget, 12 + 15 * (o_orderkey % 3) AS fallback FROM orders),
+a AS (SELECT *, CASE detail WHEN 'full' THEN fallback WHEN 'standard' THEN least(fallback, 25) ELSE least(fallback, 8) END AS by_detail FROM o),
+b AS (SELECT *, CASE WHEN budget > 0 THEN greatest(3, least(by_detail, floor(budget / 250.0))) ELSE by_detail END AS by_budget FROM a)
+SELECT o_orderkey, CAST(CASE WHEN most > 0 THEN least(100, floor(most)) ELSE by_budget END AS INT) AS n FROM b
+""")
+def srt11_limits(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    detail = F.get(F.array(*[F.lit(x) for x in ("brief", "standard", "full", "odd")]), (k % 4).cast("int"))
+    most, budget = F.when(c % 3 > 0, c % 130 - 10.5), F.when(k % 5 > 0, k % 7000 - 100)
+    return A.table(spark, d, "orders").select("o_orderkey", S.row_limit(detail, most, budget, 12 + 15 * (k % 3)).alias("n"))
 
 
 EROSION_SQL = """
@@ -261,24 +291,44 @@ def join09_python_calls(spark, d):
 SELECT method, '/api/c' || c_custkey || CASE WHEN one THEN '/{id}/' ELSE '/' END AS path, 'V' || c_custkey AS handler FROM customer, (VALUES ('GET', false), ('POST', false), ('GET', true), ('PUT', true), ('PATCH', true), ('DELETE', true)) AS r(method, one)
 """)
 def join11_drf_routes(spark, d):
-    """The root URL file includes one that includes every rendered file, one level below `api/`."""
-    files = _models(spark, d)
-    k = F.col("path").substr(F.lit(5), F.length("path") - 7)
-    inner = files.agg(F.concat(F.lit("from django.urls import path, include\nurlpatterns = [\n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("    path('', include('app."), k, F.lit("')),\n")))), ""), F.lit("]\n")).alias("content")).select(F.lit("conf/all.py").alias("path"), "content")
-    outer = spark.createDataFrame([("conf/urls.py", "urlpatterns = [path('api/', include('conf.all'))]\n"), ("conf/settings.py", "ROOT_URLCONF = 'conf.urls'\n"), ("manage.py", "")], "path string, content string")
-    files = files.unionByName(inner).unionByName(outer)
+    files = _mounted(spark, d)
     return python_facts.drf_routes(python_facts.extract(files), files).select("method", "path", "handler")
 
 
+#: Lines of a rendered file that names other files, so that no file grows with its table.
+BESIDE = 200
+
+
+def _in_files(rows, key, line, path, lead="", after=""):
+    """A file for every BESIDE keys: `lead`, their lines in order, `after`."""
+    grouped = rows.groupBy(F.floor(key / BESIDE).alias("g")).agg(F.array_join(F.array_sort(F.collect_set(line)), "").alias("text"))
+    return grouped.select(path(F.col("g").cast("string")).alias("path"), F.concat(F.lit(lead), "text", F.lit(after)).alias("content"))
+
+
+def _mounted(spark, d):
+    """The rendered models and URL files that include them, one level below `api/`. A URL file includes some models
+    and two other URL files, so that all of them form a tree and none grows."""
+    files = _models(spark, d)
+    k = F.col("c_custkey")
+    customer = A.table(spark, d, "customer")
+    last = customer.agg(F.max(F.floor(k / BESIDE))).first()[0] or 0
+    below = spark.range(last + 1).select(F.col("id").alias("g"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("c")).where(F.col("c") <= last)
+    named = customer.select(F.floor(k / BESIDE).alias("g"), F.concat(F.lit("    path('', include('app.m"), k.cast("string"), F.lit("')),\n")).alias("line"))
+    lines = named.unionByName(below.select("g", F.concat(F.lit("    path('', include('conf.all"), F.col("c").cast("string"), F.lit("')),\n")).alias("line")))
+    inner = _in_files(lines, F.col("g") * BESIDE, F.col("line"), lambda g: F.concat(F.lit("conf/all"), g, F.lit(".py")), "from django.urls import path, include\nurlpatterns = [\n", "]\n")
+    outer = spark.createDataFrame([("conf/urls.py", "urlpatterns = [path('api/', include('conf.all0'))]\n"), ("conf/settings.py", "ROOT_URLCONF = 'conf.urls'\n"), ("manage.py", "")], "path string, content string")
+    return files.unionByName(inner).unionByName(outer)
+
+
 @query("""
 SELECT 'GET' AS method, '/v1/p' || p_partkey || '/items/{id}' AS path, 'read' AS handler, 'api/r' || p_partkey || '.py' AS file FROM part UNION ALL SELECT 'POST', '/v1/p' || p_partkey, 'make', 'api/r' || p_partkey || '.py' FROM part
 """)
 def join35_http_routes(spark, d):
-    """A router file per part, mounted by one application file."""
+    """A router file per part; an application mounts some of them."""
     k = F.col("p_partkey").cast("string")
     part = A.table(spark, d, "part")
     files = _rendered(part, F.concat(F.lit("api/r"), k, F.lit(".py")), F.concat(F.lit("from fastapi import APIRouter\nr"), k, F.lit(" = APIRouter(prefix='/p"), k, F.lit("')\n\n@r"), k, F.lit(".get('/items/{id}')\ndef read(id):\n    return id\n\n@r"), k, F.lit(".post('')\ndef make():\n    return 1\n")))
-    app = part.agg(F.concat(F.lit("from fastapi import FastAPI\napp = FastAPI()\n"), F.array_join(F.collect_list(F.concat(F.lit("app.include_router(r"), k, F.lit(", prefix='/v1')\n"))), "")).alias("content")).select(F.lit("api/main.py").alias("path"), "content")
+    app = _in_files(part, F.col("p_partkey"), F.concat(F.lit("app.include_router(r"), k, F.lit(", prefix='/v1')\n")), lambda g: F.concat(F.lit("api/main"), g, F.lit(".py")), "from fastapi import FastAPI\napp = FastAPI()\n")
     return python_facts.http_routes(python_facts.extract(files.unionByName(app)))
 
 
@@ -315,16 +365,15 @@ def ext09_api_calls(spark, d):
     return ts_facts.api_calls(ts_facts.extract(_scripts(spark, d))).select("caller_id", "method", "full_url", "dynamic", "line")
 
 
-@query("SELECT DISTINCT 'web/src/c' || greatest(1, p_partkey // 2) || '.tsx' AS at, 'C' || greatest(1, p_partkey // 2) AS real, 'index.ts' AS file FROM part")
+@query("SELECT DISTINCT 'web/src/c' || greatest(1, p_partkey // 2) || '.tsx' AS at, 'C' || greatest(1, p_partkey // 2) AS real, 'index/b' || (greatest(1, p_partkey // 2) // 200) || '.ts' AS file FROM part")
 def join06_barrel(spark, d):
     files = _scripts(spark, d)
-    h = F.greatest(F.lit(1), F.floor(F.col("p_partkey") / 2)).cast("string")
-    lines = F.array_sort(F.collect_set(F.concat(F.lit("export { C"), h, F.lit(" } from './inner/c"), h, F.lit("';\n"))))
-    part = A.table(spark, d, "part")
-    barrel = part.agg(F.array_join(lines, "").alias("content")).select(F.lit("index.ts").alias("path"), "content")
+    n = F.greatest(F.lit(1), F.floor(F.col("p_partkey") / 2))
+    h, part = n.cast("string"), A.table(spark, d, "part")
+    barrel = _in_files(part, n, F.concat(F.lit("export { C"), h, F.lit(" } from '../inner/c"), h, F.lit("';\n")), lambda g: F.concat(F.lit("index/b"), g, F.lit(".ts")))
     inner = part.select(F.concat(F.lit("inner/c"), h, F.lit(".ts")).alias("path"), F.concat(F.lit("export * from '../web/src/c"), h, F.lit("';\n")).alias("content")).distinct()
     files = files.unionByName(barrel).unionByName(inner)
-    return ts_facts.exports_closure(ts_facts.extract(files), files).where("file = 'index.ts'").select("at", "real", "file")
+    return ts_facts.exports_closure(ts_facts.extract(files), files).where("file like 'index/%'").select("at", "real", "file")
 
 
 @query("""
@@ -334,7 +383,9 @@ def join13_express_routes(spark, d):
     k = F.col("p_partkey").cast("string")
     part = A.table(spark, d, "part")
     routers = _rendered(part, F.concat(F.lit("srv/r"), k, F.lit(".js")), F.lit("const router = express.Router();\nrouter.get('/x/:id', show);\nexport default router;\n"))
-    app = part.agg(F.concat(F.array_join(F.collect_list(F.concat(F.lit("import r"), k, F.lit(" from './r"), k, F.lit("';\n"))), ""), F.lit("const app = express();\n"), F.array_join(F.collect_list(F.concat(F.lit("app.use('/api/p"), k, F.lit("', r"), k, F.lit(");\n"))), "")).alias("content")).select(F.lit("srv/app.js").alias("path"), "content")
+    line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    grouped = part.groupBy(F.floor(F.col("p_partkey") / BESIDE).alias("g")).agg(F.array_join(F.collect_list(line("import r", k, " from './r", k, "';\n")), "").alias("imports"), F.array_join(F.collect_list(line("app.use('/api/p", k, "', r", k, ");\n")), "").alias("mounts"))
+    app = grouped.select(line("srv/app", F.col("g").cast("string"), ".js").alias("path"), line(F.col("imports"), "const app = express();\n", F.col("mounts")).alias("content"))
     files = routers.unionByName(app)
     return ts_facts.express_routes(ts_facts.extract(files), files).select("method", "path", "handler")
 
@@ -433,16 +484,20 @@ def join26_dangling_view(spark, d):
 
 
 @query("""
-WITH top AS (SELECT p_partkey AS ord, 'n' || p_partkey AS node, 'f' || (p_partkey % 40) AS place FROM part ORDER BY p_partkey LIMIT 12),
-h AS (SELECT l_returnflag AS scan_id, 'n' || l_partkey AS node_id, 'f' || (l_suppkey % 40) AS file, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2, 3),
-m AS (SELECT scan_id, node, score, CASE WHEN node_id = node THEN 0 ELSE 1 END AS n FROM h JOIN top ON node_id = node OR file = place)
-SELECT scan_id, node AS node_id, arg_max(score, (-n, score)) AS score FROM m GROUP BY scan_id, node
+WITH top AS (SELECT 'n' || p_partkey AS node, CASE WHEN p_partkey % 5 > 0 THEN 'f' || (p_partkey % 40) END AS place FROM part ORDER BY p_partkey LIMIT 12),
+h AS (SELECT l_returnflag || l_linestatus || (l_linenumber % 3) AS scan_id, min(l_orderkey * 10 + l_linenumber) AS ord, 'n' || l_partkey AS node_id, 'f' || (l_suppkey % 40) AS file, count(*) AS churn, CAST(sum(l_linenumber) AS BIGINT) AS complexity, CASE WHEN l_suppkey % 7 > 0 THEN l_suppkey % 100 END AS coverage_pct FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber % 3, l_partkey, l_suppkey),
+m AS (SELECT scan_id, node, arg_min({'a': churn, 'b': complexity, 'c': coverage_pct}, ord) AS x FROM h JOIN top ON node_id = node OR file = place GROUP BY scan_id, node),
+g AS (SELECT node, scan_id FROM top CROSS JOIN (SELECT DISTINCT scan_id FROM h UNION SELECT 'none'))
+SELECT node AS node_id, scan_id, x.a AS churn, x.b AS complexity, x.c AS coverage_pct FROM g LEFT JOIN m USING (node, scan_id)
 """)
 def join32_hotspot_history(spark, d):
-    k = F.col("p_partkey")
-    latest = A.table(spark, d, "part").select(k.alias("ord"), F.concat(F.lit("n"), k.cast("string")).alias("node_id"), F.concat(F.lit("f"), (k % 40).cast("string")).alias("file"))
-    rows = A.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("scan_id"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("node_id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 40).cast("string")).alias("file"), F.col("l_quantity").alias("score"))
-    return V.hotspot_history(latest, rows.groupBy("scan_id", "node_id", "file").agg(F.max("score").alias("score")))
+    k, s = F.col("p_partkey"), F.col("l_suppkey")
+    latest = A.table(spark, d, "part").select(k.alias("ord"), F.concat(F.lit("n"), k.cast("string")).alias("node_id"), F.when(k % 5 > 0, F.concat(F.lit("f"), (k % 40).cast("string"))).alias("file"))
+    scan = F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 3).cast("string"))
+    listed = A.table(spark, d, "lineitem").groupBy(scan.alias("scan_id"), "l_partkey", "l_suppkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.count("*").alias("churn"), F.sum("l_linenumber").cast("long").alias("complexity"))
+    history = listed.select("scan_id", "ord", F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("node_id"), F.concat(F.lit("f"), (s % 40).cast("string")).alias("file"), "churn", "complexity", F.when(s % 7 > 0, s % 100).alias("coverage_pct"))
+    scans = history.select("scan_id").union(spark.createDataFrame([("none",)], "scan_id string"))
+    return V.hotspot_history(latest, history, scans)
 
 
 @query("SELECT page_id, (['a/b', '../x', 'a/../b', 'a/../../b', '/etc', 'C:/x', './ok', 'a/./b/..'])[1 + page_id % 8] AS path, (page_id % 8) IN (0, 2, 6, 7) AS ok FROM pages")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import diff as D
 from graphloom.operators import graph as G
+from graphloom.operators import history as H
 from graphloom.operators import insights as I
 from graphloom.operators import linker as L
 from graphloom.operators import rules as R
@@ -377,14 +378,44 @@ def win10_retention(spark, d):
     return D.newest(_metrics(spark, d), 3).select("scan_id")
 
 
-@query("""
-WITH c AS (SELECT user_id % 10 AS repo_id, strftime(ts, '%Y-%m') AS scan_id, count(*) AS n FROM events GROUP BY 1, 2),
-g AS (SELECT r.repo_id, s.scan_id, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT user_id % 10 AS repo_id FROM events) r CROSS JOIN (SELECT DISTINCT strftime(ts, '%Y-%m') AS scan_id FROM events) s LEFT JOIN c USING (repo_id, scan_id))
-SELECT repo_id, scan_id, n, CAST(CASE WHEN n <= 0 THEN 0 ELSE least(4, greatest(1, ceil(n * 4.0::DOUBLE / max(n) OVER ()))) END AS INT) AS level FROM g
+VERSIONS_SQL = """
+o AS (SELECT strftime(o_orderdate, '%Y-%m') AS scan_id, o_custkey AS k, count(*) AS n, max(o_orderkey) AS top FROM orders GROUP BY 1, 2),
+v AS (SELECT scan_id, k, n, top, 'r' || ((c_nationkey + n) % 10) AS repo FROM o JOIN customer ON c_custkey = k),
+s AS (SELECT scan_id, lead(scan_id) OVER (ORDER BY scan_id) AS next_id FROM (SELECT DISTINCT scan_id FROM v)),
+b AS (SELECT next_id, v.* FROM v JOIN s USING (scan_id) WHERE next_id IS NOT NULL), a AS (SELECT * FROM v WHERE scan_id > (SELECT min(scan_id) FROM v)),
+d AS (SELECT coalesce(a.scan_id, b.next_id) AS scan_id, CASE WHEN b.k IS NULL THEN 'node_added' WHEN a.k IS NULL THEN 'node_removed' ELSE 'node_changed' END AS kind, 'Customer:' || coalesce(a.k, b.k) AS id, b.repo AS was, a.repo AS is_now FROM b FULL JOIN a ON b.next_id = a.scan_id AND b.k = a.k WHERE a.k IS NULL OR b.k IS NULL OR a.n <> b.n OR a.top <> b.top)
+"""
+
+
+def _versions(spark, d):
+    """A snapshot per month of orders: its customers, with how many orders they placed and the last of them. They lie in a repository
+    that moves with that number."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    orders = A.table(spark, d, "orders").groupBy(month.alias("scan_id"), "o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("top"))
+    rows = orders.join(A.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    rows = rows.select(F.lit("p").alias("project_id"), "scan_id", A.ref("Customer", "o_custkey").alias("id"), "n", "top", F.concat(F.lit("r"), ((F.col("c_nationkey") + F.col("n")) % 10).cast("string")).alias("repo_id"))
+    return rows, A.table(spark, d, "orders").select(F.lit("p").alias("project_id"), month.alias("scan_id"), month.alias("finished_at")).distinct()
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT scan_id, kind, id, was, is_now FROM d")
+def set03_versions(spark, d):
+    rows, scans = _versions(spark, d)
+    found = H.version_changes(rows, scans, "node", F.struct("n", "top"), F.col("repo_id"))
+    return found.select("scan_id", "kind", "id", F.col("before").alias("was"), F.col("after").alias("is_now"))
+
+
+@query(f"""
+WITH {VERSIONS_SQL},
+x AS (SELECT scan_id, is_now AS repo_id FROM d WHERE is_now IS NOT NULL UNION ALL SELECT scan_id, was FROM d WHERE was IS NOT NULL AND was IS DISTINCT FROM is_now),
+c AS (SELECT repo_id, scan_id, count(*) AS n FROM x GROUP BY 1, 2),
+g AS (SELECT r.repo_id, s.scan_id, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT repo AS repo_id FROM v) r CROSS JOIN s LEFT JOIN c ON c.repo_id = r.repo_id AND c.scan_id = s.scan_id)
+SELECT repo_id, scan_id, n, CAST(CASE WHEN n <= 0 THEN 0 WHEN n * 4 <= max(n) OVER () THEN 1 WHEN n * 2 <= max(n) OVER () THEN 2 WHEN n * 4 <= 3 * max(n) OVER () THEN 3 ELSE 4 END AS INT) AS level FROM g
 """)
 def agg22_activity(spark, d):
-    rows = A.table(spark, d, "events").select((F.col("user_id") % 10).alias("repo_id"), F.date_format("ts", "yyyy-MM").alias("scan_id"), "user_id")
-    return D.activity(rows, rows, rows)
+    """Changes of consecutive snapshots per repository and month."""
+    rows, scans = _versions(spark, d)
+    found = H.version_changes(rows, scans, "node", F.struct("n", "top"), F.col("repo_id"))
+    return D.activity(H.changed_repos(found, F.col("before"), F.col("after")), rows.select("repo_id"), scans)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")

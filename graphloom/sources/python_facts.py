@@ -6,7 +6,7 @@ import ast
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import basename, dirname, edge_id, join_path, typed_params
@@ -146,9 +146,9 @@ class _Facts(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-def facts_of(text: str | None) -> list[dict]:
-    """All facts of one file; what doesn't parse or is over the size guard (EXT-28) has none."""
-    if not text or len(text.encode()) > SIZE_GUARD:
+def facts_of(text: str | None, most: int | None = None) -> list[dict]:
+    """All facts of one file; what doesn't parse or has more than `most` bytes (EXT-28) has none."""
+    if not text or (most is not None and len(text.encode()) > most):
         return []
     try:
         tree = ast.parse(text)
@@ -159,13 +159,19 @@ def facts_of(text: str | None) -> list[dict]:
     return found.rows
 
 
-def _facts(texts: pd.Series) -> pd.Series:
-    return texts.map(facts_of)
+def facts_column(content: str = "content", most: int | None = None) -> Column:
+    """The facts of each text, as one array."""
 
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: facts_of(text, most))
 
-def extract(files: DataFrame) -> DataFrame:
-    """(file, ord, fact, name, owner, target, extra, line) of Python files (path, content)."""
-    rows = files.where(F.col("path").endswith(".py")).select(F.col("path").alias("file"), F.posexplode(F.pandas_udf(_facts, FACT)("content")).alias("ord", "f"))
+    return F.pandas_udf(run, FACT)(content)
+
+
+def extract(files: DataFrame, most: int | None = None) -> DataFrame:
+    """(file, ord, fact, name, owner, target, extra, line) of Python files (path, content). Files of more than `most`
+    bytes have no facts (EXT-28), as a scan of a repository wants it; by default all have."""
+    rows = files.where(F.col("path").endswith(".py")).select(F.col("path").alias("file"), F.posexplode(facts_column(most=most)).alias("ord", "f"))
     return rows.select("file", F.col("ord").cast("long").alias("ord"), "f.*")
 
 

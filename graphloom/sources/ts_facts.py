@@ -68,8 +68,8 @@ def template(url: str) -> tuple[str, bool]:
     return filled, filled != url
 
 
-def facts_of(text: str | None) -> list[dict]:
-    if not text or len(text.encode()) > SIZE_GUARD:
+def facts_of(text: str | None, most: int | None = None) -> list[dict]:
+    if not text or (most is not None and len(text.encode()) > most):
         return []
     code = blank_comments(text)
     line_at = [0] + [m.end() for m in re.finditer("\n", code)]
@@ -190,13 +190,19 @@ def facts_of(text: str | None) -> list[dict]:
     return rows
 
 
-def _facts(texts: pd.Series) -> pd.Series:
-    return texts.map(facts_of)
+def facts_column(content: str = "content", most: int | None = None) -> Column:
+    """The facts of each text, as one array."""
 
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: facts_of(text, most))
 
-def extract(files: DataFrame) -> DataFrame:
-    """(file, ord, fact, name, owner, target, extra, line) of script files (path, content)."""
-    rows = files.where(F.lower("path").rlike(r"\.(ts|tsx|js|jsx|mjs|cjs)$")).select(F.col("path").alias("file"), F.posexplode(F.pandas_udf(_facts, FACT)("content")).alias("ord", "f"))
+    return F.pandas_udf(run, FACT)(content)
+
+
+def extract(files: DataFrame, most: int | None = None) -> DataFrame:
+    """(file, ord, fact, name, owner, target, extra, line) of script files (path, content). Files of more than `most`
+    bytes have no facts (EXT-28), as a scan of a repository wants it; by default all have."""
+    rows = files.where(F.lower("path").rlike(r"\.(ts|tsx|js|jsx|mjs|cjs)$")).select(F.col("path").alias("file"), F.posexplode(facts_column(most=most)).alias("ord", "f"))
     return rows.select("file", F.col("ord").cast("long").alias("ord"), "f.*")
 
 
@@ -263,13 +269,15 @@ def import_edges(facts: DataFrame, files: DataFrame, modules: Modules = Modules(
 
 def exports_closure(facts: DataFrame, files: DataFrame, rounds: int = 10, modules: Modules = Modules()) -> DataFrame:
     """JOIN-06: (file, name, at, real): what a file exports, through barrels of up to ten levels."""
+    kept = Steps(facts.sparkSession, "exports")
     own = facts.where("(fact = 'declaration' and extra like '%exported%') or fact in ('type', 'context')").select("file", "name", F.col("file").alias("at"), F.col("name").alias("real"))
     steps = facts.where("fact = 're_export'").select("file", "name", "target", "extra")
     steps = steps.join(resolve(steps.select("file", "target").distinct(), files, modules), ["file", "target"]).select(F.col("file").alias("barrel"), F.col("name").alias("shown"), F.coalesce("extra", F.lit("*")).alias("asked"), "to")
+    steps, own = kept.put(steps, "steps"), kept.put(own, "0")
     every, fresh = own, own
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         met = steps.join(fresh, (F.col("to") == F.col("file")) & ((F.col("asked") == F.col("name")) | (F.col("shown") == "*")))
-        fresh = met.select(F.col("barrel").alias("file"), F.when(F.col("shown") == "*", F.col("name")).otherwise(F.col("shown")).alias("name"), "at", "real").distinct().join(every, ["file", "name"], "left_anti")
+        fresh = kept.put(met.select(F.col("barrel").alias("file"), F.when(F.col("shown") == "*", F.col("name")).otherwise(F.col("shown")).alias("name"), "at", "real").distinct().join(every, ["file", "name"], "left_anti"), str(k))
         if fresh.isEmpty():
             break
         every = every.unionByName(fresh)

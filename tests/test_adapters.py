@@ -34,10 +34,13 @@ def test_links_and_trade_of_every_row(spark, tmp_path):
     assert {r.dst for r in queries.rul11_ignored(spark, d).collect()} == {"Supplier:10", "Supplier:11"}
 
 
-def test_activity_of_every_user(spark, tmp_path):
-    put(spark, tmp_path, "events", [(k, k % 4, "view", datetime(2024, 1 + k % 2, 5, 0, 0, k)) for k in range(8)], "event_id long, user_id long, event_type string, ts timestamp")
+def test_activity_of_consecutive_months(spark, tmp_path):
+    rows = [(1, 1, datetime(2024, 1, 5)), (2, 2, datetime(2024, 1, 9)), (3, 1, datetime(2024, 2, 5)), (4, 1, datetime(2024, 2, 6)), (5, 2, datetime(2024, 3, 1))]
+    put(spark, tmp_path, "orders", rows, "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    put(spark, tmp_path, "customer", [(1, "a", 0), (2, "b", 4)], "c_custkey long, c_name string, c_nationkey int")
     got = {(r.repo_id, r.scan_id): r.n for r in queries.agg22_activity(spark, str(tmp_path)).collect()}
-    assert got == {(u, f"2024-0{m}"): 2 if u % 2 == m - 1 else 0 for u in range(4) for m in (1, 2)}
+    # February: customer 1 moves from r1 to r2 as it changes, customer 2 leaves r5; March: the one goes, the other comes
+    assert got == {("r1", "2024-01"): 0, ("r2", "2024-01"): 0, ("r5", "2024-01"): 0, ("r1", "2024-02"): 1, ("r2", "2024-02"): 1, ("r5", "2024-02"): 1, ("r1", "2024-03"): 0, ("r2", "2024-03"): 1, ("r5", "2024-03"): 1}
 
 
 def test_churn_of_every_commit_and_secrets_of_long_texts(spark, tmp_path):

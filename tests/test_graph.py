@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import diff, graph, insights, linker, rules, search
+from graphloom.operators import diff, graph, history, insights, linker, rules, search
 from graphloom.schema import CALLS, COVERAGE, EDGES, ISSUES, NODES, ROUTES
 
 
@@ -185,8 +186,33 @@ def test_search_and_questions(spark):
     assert search.plan_question("impact of src/a.ts please") == ("impact_query", "src/a.ts")
     assert search.plan_question("which code is dead")[0] == "find_dead_code"
     assert search.limit_for("brief") == 8 and search.limit_for(token_budget=100) == 3 and search.limit_for(limit=900) == 100
+    assert search.limit_for() == 8 and search.limit_for("standard", fallback=12) == 12 and search.limit_for("full", token_budget=5000) == 20 and search.limit_for("standard", limit=0) == 25
     sizes = spark.createDataFrame([(1, 50), (2, 60), (3, 40)], "ord long, n long")
     assert [r.ord for r in search.path_budget(sizes, 100).collect()] == [1, 3]
-    files = spark.createDataFrame([("src/a.ts",), ("src/a.test.ts",), ("pkg/test_m.py",), ("pkg/m.py",)], "path string")
-    tests = {(r.path, r.test) for r in search.nearby_tests(files.where("path in ('src/a.ts', 'pkg/m.py')"), files).collect()}
-    assert tests == {("src/a.ts", "src/a.test.ts"), ("pkg/m.py", "pkg/test_m.py")}
+
+
+def test_tests_of_changed_files(spark):
+    names = ["src/a.ts", "src/b.test.ts", "src/sub/a.test.ts", "other/deep/a.spec.ts", "src/a.spec.mjs", "a.ts", "a.test.ts", "a.test.js", "x.conf.ts", "x.conf.spec.tsx", "x.test.ts", "pkg/m.py", "pkg/test_m.py"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    ask = lambda *changed: {(r.path, r.test) for r in search.nearby_tests(spark.createDataFrame([(c,) for c in changed], "path string"), files).collect()}
+    assert ask("src/a.ts") == {("src/a.ts", "src/sub/a.test.ts"), ("src/a.ts", "src/a.spec.mjs")}
+    assert ask("src/b.test.ts", "gone.test.ts") == {("src/b.test.ts", "src/b.test.ts")}
+    assert ask("a.ts") == {("a.ts", "a.test.ts")}
+    assert ask("x.conf.ts", "pkg/m.py") == {("x.conf.ts", "x.conf.spec.tsx")}
+
+
+def test_repositories_of_nodes(spark):
+    n = spark.createDataFrame([("1", "web/a.ts"), ("2", "frontend/b.ts"), ("3", "api\\c.py"), ("4", "x/y.ts"), ("5", None), ("6", "web"), ("7", "web/sub/d.ts")], "id string, file string")
+    repos = spark.createDataFrame([("web/sub", "frontend", 1), ("web", "other", 2), ("api", "backend", 3)], "repo_id string, role string, ord int")
+    got = {r.id: r.repo_id for r in search.node_repo(n, repos).collect()}
+    assert got == {"1": "web", "2": "web/sub", "3": "api", "7": "web/sub"}
+    one = {r.id: r.repo_id for r in search.node_repo(n, repos.where("repo_id = 'web'")).collect()}
+    assert one == {k: "web" for k in "123467"}
+
+
+def test_changes_of_many_snapshots(spark):
+    rows = [("p", "s1", "a", 1), ("p", "s1", "b", 1), ("p", "s2", "a", 2), ("p", "s3", "a", 2), ("p", "s3", "b", 1), ("p", "s4", "c", 1), ("q", "t1", "a", 1), ("p", "lost", "a", 9)]
+    scans = [("p", s, s) for s in ("s1", "s2", "s3", "s4", "s5")] + [("q", "t1", "t1")]
+    found = history.version_changes(spark.createDataFrame(rows, "project_id string, scan_id string, id string, n int"), spark.createDataFrame(scans, "project_id string, scan_id string, finished_at string"), "node", F.col("n"), F.col("n"))
+    got = sorted((r.scan_id, r.kind, r.id, r.before, r.after) for r in found.collect())
+    assert got == sorted([("s2", "node_changed", "a", 1, 2), ("s2", "node_removed", "b", 1, None), ("s3", "node_added", "b", None, 1), ("s4", "node_removed", "a", 2, None), ("s4", "node_removed", "b", 1, None), ("s4", "node_added", "c", None, 1), ("s5", "node_removed", "c", 1, None)])
