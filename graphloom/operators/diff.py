@@ -47,10 +47,15 @@ def issue_key() -> Column:
     return F.concat(F.col("kind"), F.lit(":"), F.array_join(F.array_sort("nodes"), "|"), F.lit(":"), F.col("message"))
 
 
+def node_content() -> Column:
+    """FN-18: what makes two nodes of one id differ."""
+    meta = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return F.to_json(F.struct("kind", "name", "file", "line", meta.alias("meta")))
+
+
 def diff(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """All changes of two snapshots {nodes, edges, issues}."""
-    meta = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    out = changes(before["nodes"], after["nodes"], "node", node_label(), content=F.to_json(F.struct("kind", "name", "file", "line", meta.alias("meta"))))
+    out = changes(before["nodes"], after["nodes"], "node", node_label(), content=node_content())
     out = out.unionByName(changes(before["edges"], after["edges"], "edge", edge_label()))
     keyed = [x["issues"].withColumn("key", issue_key()) for x in (before, after)]
     return out.unionByName(changes(*keyed, "issue", F.concat_ws(" ", "kind", "message"), key="key"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +52,22 @@ def overall_coverage(rows: DataFrame) -> DataFrame:
     return shares.agg(F.when(F.sum("total") > 0, F.sum("covered") * 100.0 / F.sum("total")).alias("pct"), js_round(F.avg(F.coalesce("pct", F.lit(0.0)))).cast("long").alias("mean_pct"))
 
 
-def match_coverage(rows: DataFrame, files: DataFrame) -> DataFrame:
+def match_coverage(rows: DataFrame, files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """JOIN-16: each coverage path with the scanned file it names: equal, else the first that ends with it
-    or that it ends with. Keyed on the base name, so it stays an equality join."""
-    both = rows.withColumn("_b", basename(F.col("file"))).join(files.select(F.col("path"), F.col("scan_ord"), basename(F.col("path")).alias("_b")), "_b")
-    equal = F.col("file") == F.col("path")
-    fits = equal | F.col("file").endswith(F.concat(F.lit("/"), F.col("path"))) | F.col("path").endswith(F.concat(F.lit("/"), F.col("file")))
-    return both.where(fits).groupBy("file", "total", "covered").agg(F.min_by("path", F.struct((~equal).cast("int"), "scan_ord")).alias("path"))
+    or that it ends with. `by` are columns of both sides that must agree.
+
+    An ending begins after a slash, so each side offers its endings, as many as it has folders, and meets the other's
+    whole paths by equality; many files of one name are no hot key.
+    """
+    endings = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda n: F.array_join(F.slice(F.split(c, "/"), n, F.size(F.split(c, "/"))), "/"))
+    asked = rows.select(*by, "file", "total", "covered").withColumn("file", F.regexp_replace("file", r"^\./", ""))
+    known = files.select(*by, "path", "scan_ord")
+    names = asked.select(*by, "file").distinct()
+    longer = names.withColumn("path", F.explode(endings(F.col("file")))).join(known, [*by, "path"])
+    shorter = known.withColumn("file", F.explode(endings(F.col("path")))).join(names, [*by, "file"])
+    met = longer.select(*by, "file", "path", "scan_ord").unionByName(shorter.select(*by, "file", "path", "scan_ord"))
+    first = met.groupBy(*by, "file").agg(F.min_by("path", F.struct(F.col("file") != F.col("path"), "scan_ord")).alias("path"))
+    return asked.join(first, [*by, "file"])
 
 
 def lines_of(files: DataFrame) -> DataFrame:

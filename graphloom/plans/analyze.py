@@ -15,6 +15,8 @@ from graphloom.schema import SECRET_SCAN_CHARS
 from graphloom.sources import coverage as coverage_source
 from graphloom.sources import files as file_source
 from graphloom.sources import python_facts, services, ts_facts
+from graphloom.sources.cache import FactsCache
+from graphloom.sources.ts_facts import SIZE_GUARD
 
 NODE_COLUMNS = ("id", "kind", "name", "file", "line", "meta", "ord")
 EDGE_COLUMNS = ("id", "src", "dst", "kind", "confidence", "meta", "ord")
@@ -36,7 +38,7 @@ class Analysis:
     extra: dict = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {"files": self.files, "nodes": self.nodes, "edges": self.edges, "issues": self.issues, "health": self.health, "hotspots": self.hotspots, "secrets": self.secrets}
+        return {"files": self.files, "nodes": self.nodes, "edges": self.edges, "issues": self.issues, "health": self.health, "hotspots": self.hotspots, "secrets": self.secrets, "coverage": self.extra["coverage"]}
 
 
 def _fill(df: DataFrame, columns: Sequence[str], kinds: dict[str, str]) -> DataFrame:
@@ -67,13 +69,34 @@ def endpoints(routes: DataFrame, shown: DataFrame | None = None) -> tuple[DataFr
     return nodes, edges, rows
 
 
-def analyze(spark: SparkSession, root: str, config: Config | None = None, commits: DataFrame | None = None, reports: DataFrame | None = None, gitignore: Sequence[str] = ()) -> Analysis:
-    """Scans root (any path that Spark reads), extracts facts, builds the graph, links calls to routes, runs
-    the rules, filters ignored paths and scores. `commits` is a git log, `reports` coverage (report, content)."""
-    config = config or Config()
-    kept = graph.Steps(spark, "analysis")
-    files = kept.put(file_source.scan(spark, root, gitignore), "files")
-    script, python = kept.put(ts_facts.extract(files), "ts"), kept.put(python_facts.extract(files), "py")
+@dataclass
+class Fragment:
+    """What the files of one repository say, before calls meet routes."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    calls: DataFrame
+    routes: DataFrame
+
+
+def facts(source, files: DataFrame, cache: FactsCache | None = None) -> DataFrame:
+    """The facts of `ts_facts` or `python_facts`; with a cache, only of files that it does not know yet. Files over
+    the size guard have none (EXT-28)."""
+    if cache is None:
+        return source.extract(files, SIZE_GUARD)
+    held = cache.facts(source.wanted(files).select("path", "content"), source.__name__.rpartition(".")[2], source.facts_column(most=SIZE_GUARD))
+    return source.rows(held)
+
+
+def _routes(rows: DataFrame) -> DataFrame:
+    none = F.array().cast("array<struct<id:string,name:string>>")
+    rows = rows if "response_fields" in rows.columns else rows.withColumn("response_fields", none)
+    rows = rows if "route_ord" in rows.columns else rows.withColumn("route_ord", F.xxhash64("method", "path"))
+    return rows.select("route_ord", "method", "path", "endpoint_id", "response_fields")
+
+
+def fragment(files: DataFrame, script: DataFrame, python: DataFrame) -> Fragment:
+    """The fragment of one repository's files (path, content, category, scan_ord) and their facts."""
     documents = files.where(F.lower("path").rlike(r"(openapi|swagger)[^/]*\.(ya?ml|json)$"))
     stacks = files.where(F.col("category") == "docker").where(F.lower("path").rlike(r"ya?ml$"))
     api_nodes, api_routes = services.openapi(documents)
@@ -84,22 +107,36 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, commit
     end_nodes, end_edges, routes = endpoints(found, python_facts.view_fields(python))
     page_nodes, page_edges = ts_facts.page_routes(script)
     nest_nodes, nest_edges, nest_routes = ts_facts.nest_graph(script)
-    routes = routes.unionByName(nest_routes.select(F.xxhash64("method", "path").alias("route_ord"), "method", "path", "endpoint_id").withColumn("response_fields", F.array().cast("array<struct<id:string,name:string>>")))
-    routes = routes.unionByName(api_routes.select("route_ord", "method", "path", "endpoint_id").withColumn("response_fields", F.array().cast("array<struct<id:string,name:string>>")))
+    routes = _routes(routes).unionByName(_routes(nest_routes)).unionByName(_routes(api_routes))
     own = lambda fact, kind: python.where(F.col("fact") == fact).select(F.concat(F.lit(kind + ":"), "file", F.lit("#"), "name").alias("id"), F.lit(kind).alias("kind"), "name", "file", "line", "ord")
     fields = python.where("fact = 'field'").select(F.concat(F.lit("Field:"), "file", F.lit("#"), F.col("owner"), F.lit("#"), "name").alias("id"), F.lit("Field").alias("kind"), "name", "file", "line", "ord")
     parts = [file_source.file_nodes(files), ts_facts.symbols(script), ts_facts.type_symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), python_facts.signal_nodes(python), fields, page_nodes, nest_nodes, end_nodes, api_nodes, box_nodes]
-    nodes = kept.put(graph.union_fragments(*[_nodes(p) for p in parts]), "nodes")
-    calls = ts_facts.api_calls(script)
-    linked = kept.put(linker.link(calls, routes), "linked")
-    edge_parts = [ts_facts.import_edges(script, files, modules), ts_facts.usage_edges(script, files, modules), python_facts.import_edges(python, files), graph.with_edge_ids(python_facts.model_edges(python)), graph.with_edge_ids(python_facts.use_edges(python)), python_facts.call_edges(python), end_edges, page_edges, nest_edges, graph.with_edge_ids(box_edges), linker.call_edges(linked), linker.field_edges(linked)]
-    edges = kept.put(graph.union_fragments(*[_edges(p) for p in edge_parts]), "edges")
-    commits = spark.createDataFrame([], "commit_id string, commit_ord long, author string, ts string, file string") if commits is None else commits
-    reports = spark.createDataFrame([], "report string, content string") if reports is None else reports
-    churned = insights.churn(commits)
-    rows = coverage_source.read_any(reports)
-    matched = insights.match_coverage(rows, files.select("path", "scan_ord")).select(F.col("path").alias("file"), "total", "covered")
-    covered = insights.coverage(matched)
+    edge_parts = [ts_facts.import_edges(script, files, modules), ts_facts.usage_edges(script, files, modules), python_facts.import_edges(python, files), graph.with_edge_ids(python_facts.model_edges(python)), graph.with_edge_ids(python_facts.use_edges(python)), python_facts.call_edges(python), end_edges, page_edges, nest_edges, graph.with_edge_ids(box_edges)]
+    return Fragment(graph.union_fragments(*[_nodes(p) for p in parts]), graph.union_fragments(*[_edges(p) for p in edge_parts]), ts_facts.api_calls(script), routes)
+
+
+def finish(spark: SparkSession, files: DataFrame, part: Fragment, config: Config, commits: DataFrame, reports: DataFrame, covered_files: DataFrame | None = None, openapi: DataFrame | None = None) -> Analysis:
+    """Links calls to routes, runs insights and rules, filters ignored paths and scores.
+
+    `covered_files` are the files that coverage reports can name: (path, scan_ord), and repo where `reports`
+    have one; the graph's own otherwise. `openapi` are documents (path, content) from elsewhere.
+    """
+    kept = graph.Steps(spark, "analysis")
+    part = Fragment(*[kept.put(getattr(part, x), f"part-{x}") for x in ("nodes", "edges", "calls", "routes")])
+    routes, nodes = part.routes, [part.nodes]
+    if openapi is not None:
+        more_nodes, more_routes = services.openapi(openapi)
+        later = F.lit(1 << 61) + F.col("route_ord")
+        routes, nodes = routes.unionByName(_routes(more_routes.withColumn("route_ord", later))), [*nodes, _nodes(more_nodes)]
+    linked = kept.put(linker.link(part.calls, routes), "linked")
+    nodes = kept.put(graph.union_fragments(*nodes), "nodes")
+    edges = kept.put(graph.union_fragments(part.edges, _edges(linker.call_edges(linked)), _edges(linker.field_edges(linked))), "edges")
+    churned = kept.put(insights.churn(commits, None).join(files.select(F.col("path").alias("file")), "file", "left_semi"), "churn")
+    by = ["repo"] if "repo" in reports.columns else []
+    rows = coverage_source.read_any(reports, by)
+    matched = insights.match_coverage(rows, files.select("path", "scan_ord") if covered_files is None else covered_files, by)
+    placed = F.concat("repo", F.lit("/"), "path") if by else F.col("path")
+    covered = kept.put(insights.coverage(matched.select(placed.alias("file"), "total", "covered")), "coverage")
     complexities = files.select(F.col("path").alias("file"), insights.complexity(F.col("content"), F.col("category")).alias("complexity"))
     hot = kept.put(insights.hotspots(nodes, edges, complexities, churned, covered), "hotspots")
     secrets = kept.put(insights.secrets(files.select(F.col("path").alias("file"), "content"), SECRET_SCAN_CHARS), "secrets")
@@ -109,4 +146,18 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None, commit
     issues = kept.put(issues.withColumn("issue_id", F.xxhash64("kind", "message", "nodes")), "issues")
     issues = rules.filter_ignored(issues, nodes, edges, config.ignore_paths)
     enriched = insights.enrich(nodes, churned, covered, hot)
-    return Analysis(files, enriched, edges, issues, rules.health(issues), hot, secrets, calls, routes, {"stack": file_source.stack(files), "entry": ts_facts.entry_point(files), "coverage": covered, "churn": churned, "explanations": insights.explanations(hot, secrets, covered)})
+    return Analysis(files, enriched, edges, issues, rules.health(issues), hot, secrets, part.calls, routes, {"coverage": covered, "churn": churned, "explanations": insights.explanations(hot, secrets, covered)})
+
+
+def analyze(spark: SparkSession, root: str, config: Config | None = None, commits: DataFrame | None = None, reports: DataFrame | None = None, gitignore: Sequence[str] = (), cache: FactsCache | None = None, openapi: DataFrame | None = None) -> Analysis:
+    """Scans root (any path that Spark reads), extracts facts, builds the graph, links calls to routes, runs
+    the rules, filters ignored paths and scores. `commits` is a git log, `reports` coverage (report, content), `openapi`
+    documents (path, content) from elsewhere; with a `cache`, only changed files are parsed."""
+    kept = graph.Steps(spark, "scan")
+    files = kept.put(file_source.scan(spark, root, gitignore), "files")
+    script, python = (kept.put(facts(source, files, cache), name) for source, name in ((ts_facts, "ts"), (python_facts, "py")))
+    commits = spark.createDataFrame([], "commit_id string, commit_ord long, author string, ts string, file string") if commits is None else commits
+    reports = spark.createDataFrame([], "report string, content string") if reports is None else reports
+    out = finish(spark, files, fragment(files, script, python), config or Config(), commits, reports, openapi=openapi)
+    out.extra |= {"stack": file_source.stack(files), "entry": ts_facts.entry_point(files)}
+    return out

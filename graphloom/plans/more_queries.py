@@ -13,6 +13,7 @@ from graphloom.operators import rules as R
 from graphloom.operators import search as S
 from graphloom.operators import views as V
 from graphloom.plans import adapters as A
+from graphloom.plans import projects
 from graphloom.plans.analyze import endpoints
 from graphloom.plans.queries import _endpoint_nodes, query
 from graphloom.sinks import reports
@@ -563,6 +564,15 @@ def join02_field_links(spark, d):
     return L.field_edges(L.link(ts_facts.api_calls(ts_facts.extract(_readers(spark, d))), rows)).select("src", "dst", "confidence")
 
 
+@query("SELECT 'Component:web/web/p' || c_custkey || '.tsx#P' || c_custkey AS src, 'APIEndpoint:api/GET /api/c' || c_custkey || '/' AS dst, 'high' AS confidence FROM customer")
+def prj03_repo_links(spark, d):
+    """Two repositories, the scripts that call and the view sets that answer, as one project."""
+    rows = _readers(spark, d).withColumn("repo", F.lit("web")).unionByName(_mounted(spark, d).withColumn("repo", F.lit("api")))
+    files = rows.withColumns({"category": T.category(F.col("path")), "scan_ord": F.xxhash64("path")})
+    part = projects.fragments(spark, files, [projects.Repo("web", role="frontend"), projects.Repo("api", role="backend")])
+    return L.call_edges(L.link(part.calls, part.routes)).select("src", "dst", "confidence")
+
+
 @query("""
 WITH c AS (SELECT 'web/p' || c_custkey || '.tsx#' AS spot, c_custkey AS k FROM customer)
 SELECT 'Component:' || spot || 'P' || k AS src, 'Type:' || spot || 'Row' || k AS dst, 'TYPES' AS kind FROM c UNION ALL SELECT 'Component:' || spot || 'P' || k, 'Context:' || spot || 'Ctx' || k, 'PROVIDES' FROM c UNION ALL SELECT 'Component:' || spot || 'P' || k, 'Context:' || spot || 'Ctx' || k, 'CONSUMES' FROM c

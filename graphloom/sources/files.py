@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import subprocess
 from collections.abc import Sequence
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import basename, category, dirname, line_count
+from graphloom.operators.graph import Steps
+from graphloom.sources import walk
 
 #: What is never scanned.
 DEFAULT_IGNORES = (".git/", "node_modules/", ".venv/", "venv/", "__pycache__/", ".next/", "dist/", "build/", "out/", "coverage/", ".turbo/", ".pytest_cache/", "*.pyc")
@@ -70,30 +71,42 @@ def read_small(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def local_folder(root: str) -> str | None:
+    """The folder of a path without a scheme, or with that of local files; None for other file systems."""
+    bare = root.partition(":")[2] if root.startswith("file:") else root
+    return None if "://" in bare else "/" + bare.lstrip("/") if root.startswith("file:") else bare
+
+
 def scan(spark: SparkSession, root: str, gitignore: Sequence[str] = ()) -> DataFrame:
     """SRC-01, SRC-03, SRC-05: (path, category, content, lines, scan_ord) of the files kept, by path.
 
-    Any file system that Spark reads will do. The path filter stands before the content is decoded. The root's
-    own .gitignore is read first; `gitignore` adds lines. Paths are numbered apart from their contents. Names
-    with a dot in front are not listed by Spark and so not scanned.
+    A folder of a mounted file system is walked in tasks, and ignored folders are not opened. On any other file system
+    Spark lists all names, but for those with a dot in front, and a filter stands before the contents. The root's own .gitignore
+    is read first; `gitignore` adds lines. Paths are numbered apart from their contents.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").rpartition("/")[2]
-    path = F.regexp_extract("path", ".*?/" + re.escape(base) + "/(.*)$", 1)
-    gitignore = [*(read_small(spark, root.rstrip("/") + "/.gitignore") or "").split("\n"), *gitignore]
-    kept = files.select(path.alias("path"), "content").where((F.col("path") != "") & ~ignored(F.col("path"), gitignore))
+    lines = [*DEFAULT_IGNORES, *(read_small(spark, root.rstrip("/") + "/.gitignore") or "").split("\n"), *gitignore]
+    folder = local_folder(root)
+    if folder is not None:
+        kept = walk.read(spark, folder, [c for line in lines if (c := ignore_regex(line))])
+    else:
+        base = root.rstrip("/").rpartition("/")[2]
+        path = F.regexp_extract("path", ".*?/" + re.escape(base) + "/(.*)$", 1)
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        kept = listed.select(path.alias("path"), "content").where((F.col("path") != "") & ~ignored(F.col("path"), lines))
     text = F.col("content").cast("string")
     return numbered(kept.select("path", category(F.col("path")).alias("category"), text.alias("content"), line_count(text).alias("lines")))
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """SRT-01: files with scan_ord, their place by path from 1. What is ranked are paths alone: by a leading part
-    first (as strings do), then within it, so that no task sorts them all."""
-    lead = F.substring("path", 1, 24)
-    paths = files.select("path", lead.alias("_lead"))
-    sizes = paths.groupBy("_lead").agg(F.count("*").alias("n"))
-    base = F.sum("n").over(Window.orderBy("_lead")) - F.col("n")
-    ranks = paths.join(sizes.select("_lead", base.alias("_base")), "_lead").select("path", (F.col("_base") + F.row_number().over(Window.partitionBy("_lead").orderBy("path"))).cast("long").alias("scan_ord"))
+    """SRT-01: files with scan_ord, their place by path from 1. Paths alone are sorted, by ranges, so that no task
+    sorts them all; the sorted table is written, so that a range is the same whenever it is read."""
+    spark = files.sparkSession
+    kept = Steps(spark, "numbered")
+    ranged = kept.put(files.select("path").repartitionByRange("path").withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    base = (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_base")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("path"))
+    ranks = ranged.join(sizes.select("_range", base), "_range").select("path", (F.col("_base") + own).cast("long").alias("scan_ord"))
     return files.join(ranks, "path")
 
 
@@ -122,11 +135,9 @@ def file_nodes(files: DataFrame) -> DataFrame:
     return files.select(F.concat(F.lit("File:"), "path").alias("id"), F.lit("File").alias("kind"), F.col("path").alias("name"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("map<string,string>").alias("meta"), F.col("scan_ord").alias("ord"))
 
 
-def prefix_repo(nodes: DataFrame, repo: str) -> DataFrame:
-    """PRJ-03: ids, files and File names of a repository under its slug."""
-    led = lambda c: F.concat(F.lit(repo + "/"), c)
-    kind, rest = F.substring_index("id", ":", 1), F.expr("substring(id, instr(id, ':') + 1)")
-    return nodes.withColumn("id", F.concat(kind, F.lit(":"), led(rest))).withColumn("name", F.when(F.col("kind") == "File", led(F.col("name"))).otherwise(F.col("name"))).withColumn("file", led(F.col("file")))
+def slug_of(text: str) -> str:
+    """FN-21: a repository's id as it stands in paths."""
+    return re.sub("[^a-z0-9]+", "-", text.strip().lower()).strip("-")
 
 
 def workspace_packages(files: DataFrame) -> DataFrame:
@@ -185,9 +196,3 @@ def git_state(root: str) -> dict:
     """SRC-18: the head commit and whether anything is uncommitted; nulls outside a repository."""
     head, status = _git(root, "rev-parse", "HEAD"), _git(root, "status", "--porcelain")
     return {"head": head.strip() if head else None, "dirty": None if status is None else bool(status.strip())}
-
-
-def load_report(path: str) -> dict:
-    """SRC-12: a report document."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)

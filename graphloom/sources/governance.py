@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -94,6 +96,18 @@ def load(spark: SparkSession, root: str, path: str | None = None) -> Governance:
     return parse(yaml.safe_load(text))
 
 
+def load_first(spark: SparkSession, roots: Sequence[str], path: str | None = None) -> Governance:
+    """SRC-13 for several repositories: the file at `path`, else the first that their common folder or one of them, in
+    their order, has."""
+    if path:
+        return load(spark, roots[0], path)
+    shared = os.path.commonpath(roots) if all(r.startswith("/") for r in roots) else None
+    for root in ([shared] if shared and shared not in ("/", *roots) else []) + list(roots):
+        if any(read_small(spark, f"{root.rstrip('/')}/{name}") is not None for name in NAMES):
+            return load(spark, root)
+    return Governance()
+
+
 #: Paths whose findings count for nothing.
 IGNORED = ["**/*.test.ts", "**/*.test.tsx", "**/*.spec.ts", "**/*.spec.tsx", "**/__tests__/**", "**/test/**", "**/tests/**", "examples/**", "fixtures/**", "dist/**", "build/**", ".next/**", "coverage/**"]
 #: Groups, denied imports and public API of each preset.

@@ -168,11 +168,20 @@ def facts_column(content: str = "content", most: int | None = None) -> Column:
     return F.pandas_udf(run, FACT)(content)
 
 
+def wanted(files: DataFrame) -> DataFrame:
+    return files.where(F.col("path").endswith(".py"))
+
+
+def rows(held: DataFrame) -> DataFrame:
+    """(file, ord, fact, name, owner, target, extra, line) of (path, facts)."""
+    found = held.select(F.col("path").alias("file"), F.posexplode("facts").alias("ord", "f"))
+    return found.select("file", F.col("ord").cast("long").alias("ord"), "f.*")
+
+
 def extract(files: DataFrame, most: int | None = None) -> DataFrame:
     """(file, ord, fact, name, owner, target, extra, line) of Python files (path, content). Files of more than `most`
     bytes have no facts (EXT-28), as a scan of a repository wants it; by default all have."""
-    rows = files.where(F.col("path").endswith(".py")).select(F.col("path").alias("file"), F.posexplode(facts_column(most=most)).alias("ord", "f"))
-    return rows.select("file", F.col("ord").cast("long").alias("ord"), "f.*")
+    return rows(wanted(files).select("path", facts_column(most=most).alias("facts")))
 
 
 def modules(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A stream of scan metrics (INC-01 as Structured Streaming): daily trends with late data bounded."""
+"""A stream of scan metrics: daily trends with late data bounded."""
 
 from __future__ import annotations
 
@@ -10,8 +10,3 @@ def activity_stream(events: DataFrame, late: str = "2 days", window: str = "1 da
     """Events (ts, event_type, user_id) counted per window and type; windows close once they are late."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     return rows.agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("start"), "event_type", "n", "users")
-
-
-def fresh_facts(files: DataFrame, known: DataFrame) -> DataFrame:
-    """INC-01: files whose content hash is not among the known ones; only those are parsed again."""
-    return files.withColumn("sha", F.sha1("content")).join(known.select("path", "sha"), ["path", "sha"], "left_anti")

@@ -9,18 +9,18 @@ from graphloom.sources import python_facts
 
 
 def tables(spark):
-    nodes = spark.createDataFrame([("Function:a.py#f", "Function", "f", "a.py", 3, None, 0), ("Function:b.py#g", "Function", "g", "b.py", 1, None, 1), ("File:test_a.py", "File", "test_a.py", "test_a.py", None, None, 2)], "id string, kind string, name string, file string, line int, meta map<string,string>, ord long")
-    edges = spark.createDataFrame([("CALLS:1", "Function:b.py#g", "Function:a.py#f", "CALLS", None, None, 0)], "id string, src string, dst string, kind string, confidence string, meta map<string,string>, ord long")
-    issues = spark.createDataFrame([("SECRET_CANDIDATE", "high", "s", ["Function:a.py#f"], True, None)], "kind string, severity string, message string, nodes array<string>, candidate boolean, meta map<string,string>")
-    files = spark.createDataFrame([("a.py", "python", "x\ntoken = 'q'\ndef f(): pass\n" + "y\n" * 90), ("test_a.py", "python", "t")], "path string, category string, content string")
-    return {"nodes": nodes, "edges": edges, "issues": issues, "files": files, "hotspots": spark.createDataFrame([("Function:a.py#f",)], "node_id string")}
+    nodes = spark.createDataFrame([("Function:a.ts#f", "Function", "f", "a.ts", 3, None, 0), ("Function:b.py#g", "Function", "g", "b.py", 1, None, 1), ("File:a.test.ts", "File", "a.test.ts", "a.test.ts", None, None, 2)], "id string, kind string, name string, file string, line int, meta map<string,string>, ord long")
+    edges = spark.createDataFrame([("CALLS:1", "Function:b.py#g", "Function:a.ts#f", "CALLS", None, None, 0)], "id string, src string, dst string, kind string, confidence string, meta map<string,string>, ord long")
+    issues = spark.createDataFrame([("SECRET_CANDIDATE", "high", "s", ["Function:a.ts#f"], True, None)], "kind string, severity string, message string, nodes array<string>, candidate boolean, meta map<string,string>")
+    files = spark.createDataFrame([("a.ts", "python", "x\ntoken = 'q'\ndef f(): pass\n" + "y\n" * 90), ("a.test.ts", "python", "t")], "path string, category string, content string")
+    return {"nodes": nodes, "edges": edges, "issues": issues, "files": files, "hotspots": spark.createDataFrame([("Function:a.ts#f",)], "node_id string")}
 
 
 def test_edit_context(spark):
-    context, must, proceed = edit_context.review(tables(spark), ["a.py"])
-    assert {(r.id, r.reason) for r in context["seeds"].collect()} == {("Function:a.py#f", "file"), ("File:test_a.py", "test")}
+    context, must, proceed = edit_context.review(tables(spark), ["a.ts"])
+    assert {(r.id, r.reason) for r in context["seeds"].collect()} == {("Function:a.ts#f", "file"), ("File:a.test.ts", "test")}
     shown = {(r.file, r.line): r.text for r in context["windows"].collect()}
-    assert shown[("a.py", 2)] == "[redacted]" and ("a.py", 27) in shown and ("a.py", 28) not in shown
+    assert shown[("a.ts", 2)] == "[redacted]" and ("a.ts", 27) in shown and ("a.ts", 28) not in shown
     assert {r.id for r in context["impact"].collect()} == {"Function:b.py#g"}
     assert not proceed and must.count() == 1
     assert context["savings"].first().bytes > 0
@@ -36,7 +36,7 @@ def test_server_lines(spark):
     own.serve(io.StringIO("\n".join(map(json.dumps, lines)) + "\n{\n"), sink)
     got = [json.loads(x) for x in sink.getvalue().splitlines()]
     assert len(got) == 5 and "scan_project" not in [t["name"] for t in got[1]["result"]["tools"]]
-    assert got[2]["result"]["structuredContent"]["rows"][0]["id"] == "Function:a.py#f"
+    assert got[2]["result"]["structuredContent"]["rows"][0]["id"] == "Function:a.ts#f"
     assert got[3]["error"]["code"] == -32601 and got[4]["error"]["code"] == -32700
 
 
