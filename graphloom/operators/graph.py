@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import edge_id
@@ -25,6 +25,11 @@ class Steps:
             root = spark.sparkContext.getCheckpointDir()
         self.spark, self.root = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The written table and its rows, counted while they are written."""
+        rows = Observation(name)
+        return self.put(df.observe(rows, F.count(F.lit(1)).alias("n")), name), rows.get["n"]
+
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
@@ -68,23 +73,32 @@ def dependents(edges: DataFrame) -> DataFrame:
 
 #: Levels of a traversal after which the tables of visited nodes are written as one, so that plans stay short.
 LEVELS = 50
+#: Up to this many rows of a level are broadcast to the steps, so that these stay where they are.
+FEW = 200_000
 
 
 def reach(steps: DataFrame, seeds: DataFrame, name: str = "reach", most: int | None = None) -> DataFrame:
     """(seed, id, depth): what each seed reaches over (at, next), itself at depth 0.
 
-    Breadth first with a visited set: a level joins only the last level's nodes, and an anti join drops
-    what was seen. Cycles end, levels are written out, all seeds advance together, until a level is empty.
-    Raises if more than `most` levels are reached.
+    Breadth first with a visited set: a level joins only the last level's nodes, and what was seen is dropped.
+    Where the last level, and the most that it can lead to, are few, they go to the steps and the visited nodes, which
+    are then read but not shuffled; larger ones meet them by a shuffle. Cycles end, levels are written out and counted as they are,
+    all seeds advance together, until a level is empty. Raises if more than `most` levels are reached.
     """
     kept = Steps(seeds.sparkSession, name)
     steps = kept.put(steps, "steps")
-    seen = kept.put(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct(), "0")
+    seen, n = kept.counted(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct(), "0")
+    widest = steps.groupBy("at").count().agg(F.max("count")).first()[0] or 0
     frontier = seen
     for depth in count(1):
-        ahead = frontier.join(steps, F.col("id") == F.col("at")).select("seed", F.col("next").alias("id")).distinct()
-        fresh = kept.put(ahead.join(seen, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), str(depth))
-        if fresh.isEmpty():
+        ahead = steps.join(F.broadcast(frontier) if n <= FEW else frontier, F.col("id") == F.col("at")).select("seed", F.col("next").alias("id")).distinct()
+        if n * widest <= FEW:  # the known ones among them are as few, so both sides of the last join are small
+            known = seen.join(F.broadcast(ahead), ["seed", "id"], "left_semi").select("seed", "id")
+            fresh = ahead.join(F.broadcast(known), ["seed", "id"], "left_anti")
+        else:
+            fresh = ahead.join(seen, ["seed", "id"], "left_anti")
+        fresh, n = kept.counted(fresh.withColumn("depth", F.lit(depth)), str(depth))
+        if not n:
             break
         if most is not None and depth > most:
             raise RuntimeError(f"more than {most} levels are reached")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import allowed_secret, basename, entropy, js_round, mask, round1
-from graphloom.operators.graph import degrees, impact_size
+from graphloom.operators.graph import Steps, degrees, impact_size
 from graphloom.schema import COMPLEXITY, TOP_HOTSPOTS
 
 #: The patterns of secret rules. ASCII word edges are written out, as Java's \b is not ASCII.
@@ -133,6 +133,7 @@ def hotspots(nodes: DataFrame, edges: DataFrame, complexities: DataFrame, churne
     top = rows.orderBy(F.desc("score"), F.desc("complexity"), "id").limit(most).select(F.col("id").alias("node_id"), "kind", "name", "file", F.col("commits").alias("churn"), "authors", "complexity", "fan_in", "fan_out", "score", "coverage_pct")
     if not with_impact:
         return top
+    top = Steps(nodes.sparkSession, "hotspots").put(top, "top")  # read by the traversal and beside it, computed once
     sizes = impact_size(nodes, edges, top.select(F.col("node_id").alias("id"))).withColumnRenamed("id", "node_id")
     return top.join(sizes, "node_id")
 

@@ -5,11 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import clean_path, edge_id, segments, segments_match, suffix_match
+from graphloom.functions.text import clean_path, edge_id, is_param, segments
 
+#: Up to this many masks are broadcast.
+MOST_MASKS = 100_000
 
-def _confidence(call: str, route: str) -> Column:
-    return F.when((F.col(f"{call}_clean") == F.col(f"{route}_clean")) & ~F.col("dynamic"), 3).when(segments_match(F.col(f"{call}_seg"), F.col(f"{route}_seg")), 2).when(suffix_match(F.col(f"{call}_seg"), F.col(f"{route}_seg")) | suffix_match(F.col(f"{route}_seg"), F.col(f"{call}_seg")), 1)
+
+def _mask(seg: Column) -> Column:
+    """Which segments are parameters, as zeros and ones."""
+    return F.array_join(F.transform(seg, lambda s: F.when(is_param(s), "1").otherwise("0")), "")
+
+
+def _masked(seg: Column, call: Column, route: Column) -> Column:
+    """The segments under the masks of a call and a route: what is a parameter on either side is left open."""
+    open_ = lambda mask, i: F.substr(mask, i + 1, F.lit(1)) == "1"
+    shown = F.transform(seg, lambda s, i: F.when(open_(call, i) | open_(route, i), F.lit("{}")).otherwise(s))
+    return F.concat(call, F.lit("|"), route, F.lit("|"), F.array_join(shown, "/"))
+
+
+def _tails(seg: Column) -> Column:
+    """All endings of a path, the whole one and none included."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(seg)), lambda i: F.array_join(F.slice(seg, i + 1, F.greatest(F.size(seg) - i, F.lit(0))), "/")))
+
+
+def candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """(method, full_url, dynamic, rank, route) of distinct calls: the first route that fits in each way.
+
+    High is an equality of clean paths. Medium compares segments one by one, and parameters on either side fit
+    anything: with the masks of parameters that occur, calls offer their segments under each mask of a route of their
+    length, routes under each mask of a call, and both meet by equality. Low is an equality of a whole path and an ending.
+    Only the earliest route of a key can win, so routes are cut to one per key first: a call has at most one candidate
+    per pair of masks and per ending, however many routes share its shape.
+    """
+    c = calls.select("method", "full_url", "dynamic").distinct().withColumn("clean", clean_path(F.col("full_url"))).withColumn("seg", segments(F.col("full_url"))).withColumn("mask", _mask(F.col("seg")))
+    route = F.struct("route_ord", "endpoint_id", F.col("response_fields").alias("route_fields"))
+    r = routes.select("method", route.alias("route"), clean_path(F.col("path")).alias("clean"), segments(F.col("path")).alias("seg")).withColumn("mask", _mask(F.col("seg")))
+    first = lambda rows, key: rows.groupBy("method", key.alias("key")).agg(F.min_by("route", "route.route_ord").alias("route"))
+    masks = lambda rows, name: rows.select("method", F.length("mask").alias("n"), F.col("mask").alias(name)).distinct()
+    small = lambda rows: F.broadcast(rows) if rows.limit(MOST_MASKS + 1).count() <= MOST_MASKS else rows
+    meet = lambda rows, key, routes, rank: rows.withColumn("key", key).join(routes, ["method", "key"]).select("method", "full_url", "dynamic", F.lit(rank).alias("rank"), "route")
+    high = meet(c.where(~F.col("dynamic")), F.col("clean"), first(r, F.col("clean")), 3)
+    called = c.withColumn("n", F.length("mask")).join(small(masks(r, "other")), ["method", "n"])
+    routed = r.withColumn("n", F.length("mask")).join(small(masks(c, "other")), ["method", "n"])
+    medium = meet(called, _masked(F.col("seg"), F.col("mask"), F.col("other")), first(routed, _masked(F.col("seg"), F.col("other"), F.col("mask"))), 2)
+    whole = F.array_join("seg", "/")
+    by_call = meet(c, whole, first(r.withColumn("tail", F.explode(_tails(F.col("seg")))), F.col("tail")), 1)
+    by_route = meet(c.withColumn("tail", F.explode(_tails(F.col("seg")))), F.col("tail"), first(r, whole), 1)
+    return high.unionByName(medium).unionByName(by_call).unionByName(by_route)
 
 
 def link(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -18,29 +60,9 @@ def link(calls: DataFrame, routes: DataFrame) -> DataFrame:
     A route of the call's method matches high if the clean paths are equal and the call is static,
     medium if the segments agree one by one (parameters agree with anything), low if one path ends
     with the other's segments. The earliest route of the best rank wins; equal calls are judged once.
-
-    The theta join becomes three equality joins: on the path; on the number of segments and the first
-    segment or a parameter in its place; and on every suffix, from both sides, that is a whole path.
     """
-    c = calls.select("method", F.col("full_url"), "dynamic").distinct().withColumn("c_clean", clean_path(F.col("full_url"))).withColumn("c_seg", segments(F.col("full_url")))
-    r = routes.select("route_ord", F.col("method").alias("r_method"), F.col("path"), "endpoint_id", F.col("response_fields").alias("route_fields")).withColumn("r_clean", clean_path(F.col("path"))).withColumn("r_seg", segments(F.col("path")))
-    param = lambda x: x.rlike(r"^\{[^}]+\}$") | (x == ":p")
-    # a parameter first matches any first segment: such rows get the keys of both kinds
-    shape = lambda seg: F.when(F.size(seg) == 0, F.lit("0")).otherwise(F.concat(F.size(seg).cast("string"), F.lit("/"), F.element_at(seg, 1)))
-    wide = lambda seg: F.when(F.size(seg) == 0, F.lit("0")).otherwise(F.concat(F.size(seg).cast("string"), F.lit("/*")))
-    first_is_param = lambda seg: (F.size(seg) > 0) & param(F.get(seg, 0))
-    call_keys = c.withColumn("key", F.explode(F.when(first_is_param(F.col("c_seg")), F.array(wide(F.col("c_seg")))).otherwise(F.array(shape(F.col("c_seg")), F.concat(F.lit("p"), wide(F.col("c_seg")))))))
-    route_keys = r.withColumn("key", F.explode(F.when(first_is_param(F.col("r_seg")), F.array(wide(F.col("r_seg")), F.concat(F.lit("p"), wide(F.col("r_seg"))))).otherwise(F.array(shape(F.col("r_seg")), wide(F.col("r_seg"))))))
-    by_shape = call_keys.join(route_keys, (F.col("method") == F.col("r_method")) & (call_keys["key"] == route_keys["key"])).drop("key")
-    tails = lambda seg: F.transform(F.sequence(F.lit(0), F.size(seg)), lambda i: F.array_join(F.slice(seg, i + 1, F.greatest(F.size(seg) - i, F.lit(0))), "/"))
-    route_tails = r.withColumn("tail", F.explode(F.array_distinct(tails(F.col("r_seg")))))
-    call_tails = c.withColumn("tail", F.explode(F.array_distinct(tails(F.col("c_seg")))))
-    whole = lambda seg: F.array_join(F.col(seg), "/")
-    by_call = c.join(route_tails, (F.col("method") == F.col("r_method")) & (whole("c_seg") == F.col("tail"))).drop("tail")
-    by_route = call_tails.join(r, (F.col("method") == F.col("r_method")) & (F.col("tail") == whole("r_seg"))).drop("tail")
-    pairs = by_shape.unionByName(by_call).unionByName(by_route).withColumn("rank", _confidence("c", "r")).where("rank is not null")
-    best = pairs.groupBy("method", "full_url", "dynamic").agg(F.max_by(F.struct("route_ord", "endpoint_id", "route_fields", "rank"), F.struct("rank", -F.col("route_ord"))).alias("b"))
-    best = best.select(F.col("method").alias("_m"), F.col("full_url").alias("_u"), F.col("dynamic").alias("_d"), "b.route_ord", "b.endpoint_id", "b.route_fields", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("b.rank")).alias("confidence"))
+    best = candidates(calls, routes).groupBy("method", "full_url", "dynamic").agg(F.max_by(F.struct("rank", "route"), F.struct("rank", -F.col("route.route_ord"))).alias("b"))
+    best = best.select(F.col("method").alias("_m"), F.col("full_url").alias("_u"), F.col("dynamic").alias("_d"), "b.route.*", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("b.rank")).alias("confidence"))
     return calls.join(best, (F.col("method") == F.col("_m")) & (F.col("full_url") == F.col("_u")) & (F.col("dynamic") == F.col("_d")), "left").drop("_m", "_u", "_d")
 
 

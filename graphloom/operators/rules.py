@@ -90,8 +90,16 @@ def boundary_violations(nodes: DataFrame, edges: DataFrame, groups: Mapping[str,
     path = node_path(F.col("kind"), F.col("name"), F.col("file"), F.col("id"))
     own = F.array_compact(F.array(*[F.when(matches_any(path, globs), F.lit(g)) for g, globs in groups.items()])) if groups else F.array().cast("array<string>")
     placed = nodes.select("id", path.alias("path"), own.alias("groups")).where(F.size("groups") > 0)
-    met = edges.select(F.col("id").alias("edge_id"), "src", "dst", F.col("kind").alias("edge_kind"))
-    met = met.join(placed.toDF("src", "src_path", "src_groups"), "src").join(placed.toDF("dst", "dst_path", "dst_groups"), "dst")
+    if rules and not any("*" in x for r in rules for x in (*r.src, *r.dst)):
+        # an edge that no rule's source group opens can break none: its groups are all that is looked at
+        opens = F.arrays_overlap("groups", F.array(*[F.lit(g) for g in sorted({g for r in rules for g in r.src})]))
+        sources = placed.where(opens)
+    else:
+        sources = placed
+    kinds = sorted({k for r in rules for k in (r.kinds or BOUNDARY_KINDS)})
+    met = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
+    met = met.select(F.col("id").alias("edge_id"), "src", "dst", F.col("kind").alias("edge_kind"))
+    met = met.join(sources.toDF("src", "src_path", "src_groups"), "src").join(placed.toDF("dst", "dst_path", "dst_groups"), "dst")
     kind_fits = lambda r: F.col("edge_kind").isin(*(r.kinds or BOUNDARY_KINDS))
     among = lambda column, ids: F.filter(column, lambda g: g.isin(*ids)) if "*" not in ids else F.col(column)
     denies, allows = [r for r in rules if not r.allow], [r for r in rules if r.allow]

@@ -53,8 +53,8 @@ def supplier_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     nxt = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    pairs = rows.withColumn("next", nxt).where("next is not null")
-    return _edges(pairs, "IMPORTS", ref("Supplier", "l_suppkey"), ref("Supplier", "next"), F.col("l_orderkey")).dropDuplicates(["id"])
+    pairs = rows.withColumn("next", nxt).where("next is not null").groupBy("l_suppkey", "next").agg(F.min("l_orderkey").alias("l_orderkey"))
+    return _edges(pairs, "IMPORTS", ref("Supplier", "l_suppkey"), ref("Supplier", "next"), F.col("l_orderkey"))
 
 
 CYCLES_SQL = """
@@ -85,8 +85,8 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     t = lambda name: table(spark, sf_dir, name)
     path = lambda folder, nation: F.concat(F.lit(folder + "/nation"), F.col(nation).cast("string"), F.lit("/file.ts"))
     nodes = _nodes(t("customer"), "Customer", "c_custkey", "c_name", path("buyers", "c_nationkey")).unionByName(_nodes(t("supplier"), "Supplier", "s_suppkey", "s_name", path("sellers", "s_nationkey")))
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return nodes, _edges(joined, "USES", ref("Customer", "o_custkey"), ref("Supplier", "l_suppkey"), F.lit(0)).dropDuplicates(["id"])
+    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    return nodes, _edges(joined, "USES", ref("Customer", "o_custkey"), ref("Supplier", "l_suppkey"), F.lit(0))
 
 
 TRADE_SQL = """

@@ -71,10 +71,10 @@ def endpoints(routes: DataFrame, shown: DataFrame | None = None) -> tuple[DataFr
 
 @dataclass
 class Fragment:
-    """What the files of one repository say, before calls meet routes."""
+    """What the files of one repository say, before calls meet routes; parts that nobody asked for are None."""
 
-    nodes: DataFrame
-    edges: DataFrame
+    nodes: DataFrame | None
+    edges: DataFrame | None
     calls: DataFrame
     routes: DataFrame
 
@@ -95,8 +95,9 @@ def _routes(rows: DataFrame) -> DataFrame:
     return rows.select("route_ord", "method", "path", "endpoint_id", "response_fields")
 
 
-def fragment(files: DataFrame, script: DataFrame, python: DataFrame) -> Fragment:
-    """The fragment of one repository's files (path, content, category, scan_ord) and their facts."""
+def fragment(files: DataFrame, script: DataFrame, python: DataFrame, graph_too: bool = True) -> Fragment:
+    """The fragment of one repository's files (path, content, category, scan_ord) and their facts; calls and routes alone
+    unless `graph_too`."""
     documents = files.where(F.lower("path").rlike(r"(openapi|swagger)[^/]*\.(ya?ml|json)$"))
     stacks = files.where(F.col("category") == "docker").where(F.lower("path").rlike(r"ya?ml$"))
     api_nodes, api_routes = services.openapi(documents)
@@ -105,9 +106,11 @@ def fragment(files: DataFrame, script: DataFrame, python: DataFrame) -> Fragment
     owned = lambda df, kind: df.withColumn("owner", F.lit(kind))
     found = owned(ts_facts.express_routes(script, files, modules).unionByName(python_facts.http_routes(python)), "Function").unionByName(owned(python_facts.drf_routes(python, files), "ViewSet"))
     end_nodes, end_edges, routes = endpoints(found, python_facts.view_fields(python))
-    page_nodes, page_edges = ts_facts.page_routes(script)
     nest_nodes, nest_edges, nest_routes = ts_facts.nest_graph(script)
     routes = _routes(routes).unionByName(_routes(nest_routes)).unionByName(_routes(api_routes))
+    if not graph_too:
+        return Fragment(None, None, ts_facts.api_calls(script), routes)
+    page_nodes, page_edges = ts_facts.page_routes(script)
     own = lambda fact, kind: python.where(F.col("fact") == fact).select(F.concat(F.lit(kind + ":"), "file", F.lit("#"), "name").alias("id"), F.lit(kind).alias("kind"), "name", "file", "line", "ord")
     fields = python.where("fact = 'field'").select(F.concat(F.lit("Field:"), "file", F.lit("#"), F.col("owner"), F.lit("#"), "name").alias("id"), F.lit("Field").alias("kind"), "name", "file", "line", "ord")
     parts = [file_source.file_nodes(files), ts_facts.symbols(script), ts_facts.type_symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), python_facts.signal_nodes(python), fields, page_nodes, nest_nodes, end_nodes, api_nodes, box_nodes]

@@ -569,7 +569,7 @@ def prj03_repo_links(spark, d):
     """Two repositories, the scripts that call and the view sets that answer, as one project."""
     rows = _readers(spark, d).withColumn("repo", F.lit("web")).unionByName(_mounted(spark, d).withColumn("repo", F.lit("api")))
     files = rows.withColumns({"category": T.category(F.col("path")), "scan_ord": F.xxhash64("path")})
-    part = projects.fragments(spark, files, [projects.Repo("web", role="frontend"), projects.Repo("api", role="backend")])
+    part = projects.fragments(spark, files, [projects.Repo("web", role="frontend"), projects.Repo("api", role="backend")], graph_too=False)
     return L.call_edges(L.link(part.calls, part.routes)).select("src", "dst", "confidence")
 
 

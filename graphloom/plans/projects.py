@@ -67,9 +67,11 @@ def rekeyed(part: A.Fragment, repo: Column, order: Column) -> A.Fragment:
     i = lambda c: under_id(repo, F.col(c)).alias(c)
     f = under(repo, F.col("file")).alias("file")
     name = F.when(F.col("kind") == "File", under(repo, F.col("name"))).otherwise(F.col("name")).alias("name")
-    nodes = part.nodes.select(i("id"), "kind", name, f, "line", "meta", "ord")
-    ends = part.edges.select("kind", i("src"), i("dst"), "confidence", "meta", "ord")
-    edges = ends.select(edge_id(F.col("kind"), F.col("src"), F.col("dst")).alias("id"), "src", "dst", "kind", "confidence", "meta", "ord")
+    nodes, edges = part.nodes, part.edges
+    if nodes is not None and edges is not None:
+        nodes = nodes.select(i("id"), "kind", name, f, "line", "meta", "ord")
+        ends = edges.select("kind", i("src"), i("dst"), "confidence", "meta", "ord")
+        edges = ends.select(edge_id(F.col("kind"), F.col("src"), F.col("dst")).alias("id"), "src", "dst", "kind", "confidence", "meta", "ord")
     calls = part.calls.withColumns({"call_ord": F.xxhash64(repo, "call_ord"), "file": under(repo, F.col("file")), "caller_id": under_id(repo, F.col("caller_id"))})
     place = F.shiftleft(order.cast("long"), 48) + F.pmod(F.col("route_ord"), F.lit(1 << 48))
     routes = part.routes.withColumns({"endpoint_id": under_id(repo, F.col("endpoint_id")), "route_ord": place})
@@ -77,7 +79,7 @@ def rekeyed(part: A.Fragment, repo: Column, order: Column) -> A.Fragment:
     return A.Fragment(nodes, edges, calls, routes.withColumn("response_fields", held))
 
 
-def fragments(spark: SparkSession, files: DataFrame, repos: Sequence[Repo], cache: FactsCache | None = None) -> A.Fragment:
+def fragments(spark: SparkSession, files: DataFrame, repos: Sequence[Repo], cache: FactsCache | None = None, graph_too: bool = True) -> A.Fragment:
     """The fragments of all repositories under their slugs, as one: files (repo: its slug, path, content, category, scan_ord).
 
     Every repository's fragment is written apart, so the plan of what follows does not grow with their number.
@@ -88,12 +90,15 @@ def fragments(spark: SparkSession, files: DataFrame, repos: Sequence[Repo], cach
     parts: dict[str, list[DataFrame]] = {"nodes": [], "edges": [], "calls": [], "routes": []}
     for n, repo in enumerate(repos):
         own = lambda rows: rows.where(F.col("file").startswith(repo.slug + "/")).withColumn("file", F.substr(F.col("file"), F.lit(len(repo.slug) + 2)))  # noqa: E731, B023
-        part = A.fragment(files.where(F.col("repo") == repo.slug), own(script), own(python))
+        part = A.fragment(files.where(F.col("repo") == repo.slug), own(script), own(python), graph_too)
         part = rekeyed(part, F.lit(repo.slug), F.lit(n))
         for name, rows in parts.items():
-            rows.append(kept.put(getattr(part, name), f"{name}-{n}"))
-    whole = {}
+            if getattr(part, name) is not None:
+                rows.append(kept.put(getattr(part, name), f"{name}-{n}"))
+    whole: dict[str, DataFrame | None] = {"nodes": None, "edges": None}
     for name, rows in parts.items():
+        if not rows:
+            continue
         out = rows[0]
         for more in rows[1:]:
             out = out.unionByName(more)

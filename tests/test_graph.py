@@ -216,3 +216,23 @@ def test_changes_of_many_snapshots(spark):
     found = history.version_changes(spark.createDataFrame(rows, "project_id string, scan_id string, id string, n int"), spark.createDataFrame(scans, "project_id string, scan_id string, finished_at string"), "node", F.col("n"), F.col("n"))
     got = sorted((r.scan_id, r.kind, r.id, r.before, r.after) for r in found.collect())
     assert got == sorted([("s2", "node_changed", "a", 1, 2), ("s2", "node_removed", "b", 1, None), ("s3", "node_added", "b", None, 1), ("s4", "node_removed", "a", 2, None), ("s4", "node_removed", "b", 1, None), ("s4", "node_added", "c", None, 1), ("s5", "node_removed", "c", 1, None)])
+
+
+def test_candidates_of_many_like_routes_are_few(spark):
+    routes = spark.range(10_000).selectExpr("id AS route_ord", "'GET' AS method", "concat('/api/x/y', id, '/', if(id % 2 = 0, '{id}', 'all')) AS path", "CAST(NULL AS STRING) AS viewset_id", "concat('E', id) AS endpoint_id", "CAST(array() AS array<struct<id:string,name:string>>) AS response_fields")
+    calls = spark.range(3_000).selectExpr("id AS call_ord", "'GET' AS method", "concat('/api/x/y', id, if(id % 3 = 0, '/{param}', '/7')) AS full_url", "id % 3 = 0 AS dynamic", "'c' AS caller_id")
+    assert linker.candidates(calls, routes).count() <= 3_000
+    best = {r.call_ord: (r.endpoint_id, r.confidence) for r in linker.link(calls, routes).collect()}
+    assert best == {k: (f"E{k}", "medium") if k % 3 == 0 or k % 2 == 0 else (None, None) for k in range(3_000)}
+    wide = calls.selectExpr("call_ord", "method", "'/api/x/{param}/{param}' AS full_url", "true AS dynamic", "caller_id")
+    assert linker.candidates(wide, routes).count() == 2  # one mask of a call, two of routes
+    assert {(r.endpoint_id, r.confidence) for r in linker.link(wide, routes).collect()} == {("E0", "medium")}
+
+
+def test_large_levels_are_shuffled_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    e = edges(spark, *[("USES", f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)])
+    seeds = spark.createDataFrame([(f"n{k}",) for k in range(10)], "id string")
+    plain = {(r.seed, r.id, r.depth) for r in graph.reach(graph.dependents(e), seeds).collect()}
+    monkeypatch.setattr(graph, "FEW", 15)
+    assert {(r.seed, r.id, r.depth) for r in graph.reach(graph.dependents(e), seeds).collect()} == plain
