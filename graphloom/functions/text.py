@@ -29,6 +29,11 @@ def round1(x: Column) -> Column:
     return F.floor(x * 10 + 0.5) / 10
 
 
+def js_number(x: Column) -> Column:
+    """A number as text: whole ones without a fraction."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
 def trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 

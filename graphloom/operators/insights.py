@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import allowed_secret, basename, entropy, js_round, mask, round1
+from graphloom.functions.text import allowed_secret, entropy, js_number, js_round, mask, round1
 from graphloom.operators.graph import Steps, degrees, impact_size
 from graphloom.schema import COMPLEXITY, TOP_HOTSPOTS
 
@@ -140,7 +140,7 @@ def hotspots(nodes: DataFrame, edges: DataFrame, complexities: DataFrame, churne
 
 def enrich(nodes: DataFrame, churned: DataFrame, covered: DataFrame, hot: DataFrame) -> DataFrame:
     """JOIN-19: churn, coverage and, for hotspots, their figures go into meta."""
-    text = lambda c: F.col(c).cast("string")
+    text = lambda c: js_number(F.col(c))
     rows = nodes.join(churned.select("file", "commits", "authors"), "file", "left").join(covered.select("file", "pct"), "file", "left").join(hot.select(F.col("node_id").alias("id"), "complexity", "fan_in", "fan_out", "impact", "score"), "id", "left")
     fresh = F.map_filter(F.create_map(*[x for name, c in (("churn", "commits"), ("authors", "authors"), ("coveragePct", "pct"), ("complexity", "complexity"), ("fanIn", "fan_in"), ("fanOut", "fan_out"), ("impact", "impact"), ("hotspotScore", "score")) for x in (F.lit(name), text(c))]), lambda k, v: v.isNotNull())
     own = F.coalesce("meta", F.create_map().cast("map<string,string>"))
@@ -148,13 +148,37 @@ def enrich(nodes: DataFrame, churned: DataFrame, covered: DataFrame, hot: DataFr
     return rows.withColumn("meta", F.map_concat(kept, fresh)).select(*nodes.columns)
 
 
+#: The row that stands alone where nothing stands out; how much evidence a row carries.
+CLEAN = ("phase-10-clean", "No phase-10 hotspots", "No churn hotspots, secret candidates, or coverage gaps were detected from the available local inputs.")
+EVIDENCE = 5
+EVIDENCE_TYPE = "array<struct<node_id:string,issue_kind:string,file:string,label:string>>"
+
+
 def explanations(hot: DataFrame, found: DataFrame, covered: DataFrame, low: int = 50) -> DataFrame:
-    """RUL-14: (id, title, summary) of what stands out, or one row that nothing does."""
-    first = hot.orderBy(F.desc("score"), F.desc("complexity"), "node_id").limit(1).select(F.lit(0).alias("ord"), F.lit("top-hotspot").alias("id"), F.lit("Top hotspot").alias("title"), F.concat("name", F.lit(" is the highest ranked hotspot: score "), F.col("score").cast("long").cast("string"), F.lit(", complexity "), F.col("complexity").cast("string"), F.lit(", churn "), F.col("churn").cast("string"), F.lit(".")).alias("summary"))
+    """RUL-14: (ord, id, title, summary, evidence) of what stands out, or one row that nothing does.
+
+    Evidence are the first five secrets, and files of low coverage, in the order of a reader's language (SRT-02, SRT-04). Each is
+    a top-k beside a count, so no table is sorted.
+    """
+    none = F.lit(None).cast("string")
+    said = lambda node, kind, file, label: F.struct(node.alias("node_id"), kind.alias("issue_kind"), file.alias("file"), label.alias("label"))
+    row = lambda n, id_, title, summary, evidence: [F.lit(n).alias("ord"), F.lit(id_).alias("id"), F.lit(title).alias("title"), summary.alias("summary"), evidence.cast(EVIDENCE_TYPE).alias("evidence")]
     plural = lambda n: F.when(n == 1, "").otherwise("s")
+
+    def counted(rows: DataFrame, order: Column, evidence: Column) -> DataFrame:
+        top = rows.withColumn("_order", order).withColumn("_e", evidence).orderBy(F.collate("_order", "UNICODE"), "_order").limit(EVIDENCE)
+        placed = top.select(F.row_number().over(Window.orderBy(F.collate("_order", "UNICODE"), "_order")).alias("k"), "_e")  # five rows
+        listed = placed.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "_e"))), lambda x: x["_e"]).alias("evidence"))
+        return rows.agg(F.count("*").alias("n")).where("n > 0").join(F.broadcast(listed))
+
+    first = hot.orderBy(F.desc("score"), F.desc("complexity"), "node_id").limit(1)
+    summary = F.concat("name", F.lit(" is the highest ranked hotspot: score "), js_number(F.col("score")), F.lit(", complexity "), F.col("complexity").cast("string"), F.lit(", churn "), F.col("churn").cast("string"), F.lit("."))
+    first = first.select(*row(0, "top-hotspot", "Top hotspot", summary, F.array(said(F.col("node_id"), none, F.col("file"), F.lit("highest hotspot score")))))
     n = F.col("n")
-    second = found.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(1), F.lit("secret-review"), F.lit("Secret review"), F.concat(n.cast("string"), F.lit(" committed secret candidate"), plural(n), F.lit(" need manual verification.")))
-    third = covered.where(F.col("pct") < low).agg(F.count("*").alias("n")).where("n > 0").select(F.lit(2), F.lit("coverage-gaps"), F.lit("Coverage gaps"), F.concat(n.cast("string"), F.lit(" covered file"), plural(n), F.lit(f" are below {low}% line/statement coverage.")))
-    rows = first.union(second).union(third)
-    total = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(3), F.lit("clean"), F.lit("Nothing found"), F.lit("No churn hotspots, secret candidates, or coverage gaps were detected."))
-    return rows.union(total)
+    second = counted(found, secret_order(), said(none, F.lit("SECRET_CANDIDATE"), F.col("file"), F.concat("rule", F.lit(" at line "), F.col("line").cast("string"))))
+    second = second.select(*row(1, "secret-review", "Secret review", F.concat(n.cast("string"), F.lit(" committed secret candidate"), plural(n), F.lit(" need manual verification.")), F.col("evidence")))
+    third = counted(covered.where(F.col("pct") < low), F.col("file"), said(none, none, F.col("file"), F.concat(js_number(F.col("pct")), F.lit("% covered"))))
+    third = third.select(*row(2, "coverage-gaps", "Coverage gaps", F.concat(n.cast("string"), F.lit(" covered file"), plural(n), F.lit(f" are below {low}% line/statement coverage.")), F.col("evidence")))
+    rows = first.unionByName(second).unionByName(third)
+    clean = rows.agg(F.count("*").alias("n")).where("n = 0").select(*row(3, CLEAN[0], CLEAN[1], F.lit(CLEAN[2]), F.array()))
+    return rows.unionByName(clean)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import matches_any, node_path, stem
+from graphloom.functions.text import js_number, matches_any, node_path, stem
 from graphloom.operators.graph import strongly_connected
 from graphloom.schema import BOUNDARY_KINDS, FRAMEWORK_FILES, FRAMEWORK_NAMES, GOD_MODEL, HEALTH_WEIGHTS, LARGE_FILE
 
@@ -138,13 +138,14 @@ def large_files(lines: DataFrame, most: int = LARGE_FILE) -> DataFrame:
 
 def secret_issues(secrets: DataFrame) -> DataFrame:
     """RUL-08."""
-    return secrets.select(*issue("SECRET_CANDIDATE", "high", F.concat(F.lit("Potential "), "rule", F.lit(" secret in "), "file", F.lit(":"), F.col("line").cast("string")), F.array(F.concat(F.lit("File:"), "file")), True, F.create_map(F.lit("file"), F.col("file"), F.lit("preview"), F.col("preview"))))
+    told = F.map_filter(F.create_map(*[x for c, name in (("file", "file"), ("line", "line"), ("col", "column"), ("rule", "rule"), ("preview", "preview"), ("entropy", "entropy")) for x in (F.lit(name), F.col(c).cast("string"))]), lambda k, v: v.isNotNull())
+    return secrets.select(*issue("SECRET_CANDIDATE", "high", F.concat(F.lit("Potential "), "rule", F.lit(" secret in "), "file", F.lit(":"), F.col("line").cast("string")), F.array(F.concat(F.lit("File:"), "file")), True, told))
 
 
 def hotspot_issues(hotspots: DataFrame, score: int = 25, complexity: int = 18, coverage: int = 50, impact: int = 3) -> DataFrame:
     """RUL-09 and RUL-10."""
-    first = hotspots.where((F.col("score") >= score) | (F.col("complexity") >= complexity)).select(*issue("COMPLEXITY_HOTSPOT", F.when(F.col("score") >= score, "medium").otherwise("low"), F.concat("name", F.lit(" has complexity "), F.col("complexity").cast("string"), F.lit(" and hotspot score "), F.col("score").cast("string")), F.array("node_id"), True))
-    second = hotspots.where((F.col("coverage_pct") < coverage) & (F.col("impact") >= impact)).select(*issue("UNCOVERED_RISKY_NODE", "medium", F.concat("name", F.lit(" has "), F.col("coverage_pct").cast("string"), F.lit("% coverage and impacts "), F.col("impact").cast("string"), F.lit(" nodes")), F.array("node_id"), True))
+    first = hotspots.where((F.col("score") >= score) | (F.col("complexity") >= complexity)).select(*issue("COMPLEXITY_HOTSPOT", F.when(F.col("score") >= score, "medium").otherwise("low"), F.concat("name", F.lit(" has complexity "), F.col("complexity").cast("string"), F.lit(" and hotspot score "), js_number(F.col("score"))), F.array("node_id"), True))
+    second = hotspots.where((F.col("coverage_pct") < coverage) & (F.col("impact") >= impact)).select(*issue("UNCOVERED_RISKY_NODE", "medium", F.concat("name", F.lit(" has "), js_number(F.col("coverage_pct")), F.lit("% coverage and impacts "), F.col("impact").cast("string"), F.lit(" nodes")), F.array("node_id"), True))
     return first.unionByName(second)
 
 

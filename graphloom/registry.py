@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import more_queries  # noqa: F401  registers its queries
+from graphloom.plans import insight_queries, more_queries  # noqa: F401  register their queries
 from graphloom.plans.queries import ORACLES, QUERIES, grf03_impact
 
 

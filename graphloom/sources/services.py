@@ -42,9 +42,10 @@ def _operations(texts: pd.Series) -> pd.Series:
         paths = doc.get("paths") if isinstance(doc, dict) else None
         out = []
         for path, item in (paths or {}).items() if isinstance(paths, dict) else ():
-            for method in METHODS:
-                if isinstance(item, dict) and isinstance(item.get(method), dict):
-                    out.append({"path": str(path), "method": method.upper(), "operation": item[method].get("operationId"), "summary": item[method].get("summary")})
+            for method, operation in item.items() if isinstance(item, dict) else ():
+                if str(method).lower() in METHODS:
+                    told = operation if isinstance(operation, dict) else {}
+                    out.append({"path": str(path), "method": str(method).upper()} | {k: told.get(name) if isinstance(told.get(name), str) else None for k, name in (("operation", "operationId"), ("summary", "summary"))})
         return out
 
     return texts.map(one)
@@ -67,8 +68,8 @@ def openapi(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(endpoint nodes, routes) of (path, content)."""
     rows = files.select(F.col("path").alias("file"), F.posexplode(F.pandas_udf(_operations, OPERATION)("content")).alias("n", "o")).withColumn("p", norm_path(F.col("o.path")))
     node = F.concat(F.lit("APIEndpoint:"), "o.method", F.lit(" "), "p")
-    meta = F.map_filter(F.create_map(F.lit("method"), F.col("o.method"), F.lit("path"), F.col("p"), F.lit("operationId"), F.col("o.operation"), F.lit("summary"), F.col("o.summary")), lambda k, v: v.isNotNull())
-    nodes = rows.select(node.alias("id"), F.lit("APIEndpoint").alias("kind"), F.concat("o.method", F.lit(" "), "p").alias("name"), F.lit(None).cast("string").alias("file"), meta.alias("meta"), F.col("n").cast("long").alias("ord"))
+    meta = F.map_filter(F.create_map(F.lit("method"), F.col("o.method"), F.lit("path"), F.col("p"), F.lit("source"), F.lit("openapi"), F.lit("operationId"), F.col("o.operation"), F.lit("summary"), F.col("o.summary")), lambda k, v: v.isNotNull())
+    nodes = rows.select(node.alias("id"), F.lit("APIEndpoint").alias("kind"), F.concat("o.method", F.lit(" "), "p").alias("name"), "file", meta.alias("meta"), F.col("n").cast("long").alias("ord"))
     routes = rows.select(F.col("n").cast("long").alias("route_ord"), F.col("o.method").alias("method"), F.col("p").alias("path"), node.alias("endpoint_id"))
     return nodes, routes
 

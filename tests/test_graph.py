@@ -143,7 +143,7 @@ def test_churn_coverage_and_hotspots(spark):
     got = {r.node_id: (r.score, r.fan_in, r.impact, r.coverage_pct) for r in hot.collect()}
     assert got == {"a": (42.0, 1, 1, 66.7), "b": (1.0, 0, 0, None)}
     enriched = {r.id: r.meta for r in insights.enrich(n, churned, covered, hot).collect()}
-    assert enriched["a"]["hotspotScore"] == "42.0" and enriched["File:f.py"]["churn"] == "2"
+    assert enriched["a"]["hotspotScore"] == "42" and enriched["File:f.py"]["churn"] == "2"
     kinds = {r.kind for r in rules.hotspot_issues(hot).collect()}
     assert kinds == {"COMPLEXITY_HOTSPOT"}
 
