@@ -163,13 +163,47 @@ def file_impact(nodes: DataFrame, edges: DataFrame, file_id: str) -> DataFrame:
     return nodes.join(ids, "id", "left_semi")
 
 
+def _thin(left: DataFrame, looped: DataFrame) -> DataFrame:
+    """(id, before, after) of nodes with one edge in and one out, to others, and none to themselves."""
+    ins = left.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("before")).where("n = 1").select("id", "before")
+    outs = left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("after")).where("n = 1").select("id", "after")
+    return ins.join(outs, "id").join(looped, "id", "left_anti")
+
+
+def contracted(kept: Steps, left: DataFrame, looped: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Edges without the inner nodes of paths, nodes on a circle of their own, and the nodes taken out, per round.
+
+    A node with one edge in and one out lies on its path and nothing else, so the path becomes an edge. Neighbours may not go
+    at once: those go whose hash is above that of their neighbours, a third of a path on average, so a path of n
+    nodes takes some log n rounds. A path that comes back to where it started is a circle.
+    """
+    taken: list[DataFrame] = []
+    for k in count():
+        thin, n = kept.counted(_thin(left, looped).withColumn("h", F.xxhash64("id", F.lit(k))), f"{name}-thin-{k}")
+        if not n:
+            return left, looped, taken
+        rank = F.struct("h", "id")
+        near = thin.select(F.col("id").alias("n"), rank.alias("r"))
+        above = lambda rows, side: rows.join(near.withColumnRenamed("n", side), side, "left").where(F.col("r").isNull() | (F.col(side) == F.col("id")) | (rank > F.col("r"))).drop("r")
+        gone = kept.put(above(above(thin, "before"), "after").select("id", "before", "after"), f"{name}-gone-{k}")
+        out = gone.select("id")
+        rest = left.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        joined = rest.select("src", "dst").unionByName(gone.select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct()
+        joined = kept.put(joined, f"{name}-joined-{k}")
+        looped = kept.put(looped.unionByName(joined.where("src = dst").select(F.col("src").alias("id"))).distinct(), f"{name}-looped-{k}")
+        left = joined.where("src <> dst")
+        taken.append(gone)
+
+
 def strongly_connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """GRF-05: (id, component) of the nodes on cycles of (src, dst), component the smallest member.
 
-    Nodes without an edge in or out within what is left are trimmed first, again and again. Then every
-    node takes the largest colour that reaches it; in each colour, what reaches its root backwards is
-    a component, which leaves the graph. Self-loops are components of one. Every loop ends when nothing
-    changes any more, so a ring of n nodes takes n rounds of colours; one that takes more than `rounds` raises.
+    Paths are contracted to edges first and nodes without an edge in or out within what is left trimmed, again and
+    again. Then every node takes the largest colour that reaches it; in each colour, what reaches its root backwards is
+    a component, which leaves the graph. Last, what was taken out of a path belongs to the component that both
+    of its ends are in. Self-loops are components of one. Every loop ends when nothing changes any more: rings and chains take
+    a logarithm of their length in rounds, only what branches takes as many as it is deep; one that takes more than
+    `rounds` raises.
     """
 
     def due(k: int) -> None:
@@ -178,19 +212,22 @@ def strongly_connected(edges: DataFrame, rounds: int | None = None) -> DataFrame
 
     spark = edges.sparkSession
     kept = Steps(spark, "scc")
-    base = edges.select("src", "dst").distinct()
-    loops = base.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
-    left = kept.put(base.where("src <> dst"), "left-0")
-    found: DataFrame | None = None
+    base = kept.put(edges.select("src", "dst").distinct(), "base")
+    looped = base.where("src = dst").select(F.col("src").alias("id"))
+    left, n = kept.counted(base.where("src <> dst"), "left-0")
+    found: list[DataFrame] = []
+    taken: list[DataFrame] = []
     for k in count(1):
         for t in count():
+            left, looped, gone = contracted(kept, left, looped, f"path-{k}-{t}")
+            taken += gone
             both = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id")
-            slim = kept.put(left.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi"), f"trim-{k}-{t}")
-            done, left = slim.count() == left.count(), slim
-            if done:
+            before = left.count()
+            left, n = kept.counted(left.join(both.withColumnRenamed("id", "src"), "src", "left_semi").join(both.withColumnRenamed("id", "dst"), "dst", "left_semi"), f"trim-{k}-{t}")
+            if n == before:
                 break
             due(t + 1)
-        if left.isEmpty():
+        if not n:
             break
         due(k - 1)
         colours = kept.put(left.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")), f"colour-{k}-0")
@@ -205,13 +242,21 @@ def strongly_connected(edges: DataFrame, rounds: int | None = None) -> DataFrame
         tinted = left.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("c1")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst").where("c1 = c2")
         back = tinted.select(F.col("dst").alias("at"), F.col("src").alias("next"))
         roots = colours.where("id = colour").select("id")
-        members = reach(back, roots, f"scc-back-{k}").groupBy("seed").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-        members = kept.put(members.select(F.array_min("ids").alias("component"), F.explode("ids").alias("id")).select("id", "component"), f"members-{k}")
-        found = members if found is None else found.unionByName(members)
-        gone = members.select("id").union(roots).distinct()
-        left = kept.put(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), f"left-{k}")
-    single = loops if found is None else loops.join(found, "id", "left_anti")
-    return single if found is None else found.unionByName(single)
+        reached = kept.put(reach(back, roots, f"scc-back-{k}").select("seed", "id"), f"reached-{k}")
+        real = reached.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+        members = kept.put(reached.join(real, "seed").select("id", F.col("seed").alias("root")), f"members-{k}")
+        found.append(members)
+        out = members.select("id").union(roots).distinct()
+        left, n = kept.counted(left.join(out.withColumnRenamed("id", "src"), "src", "left_anti").join(out.withColumnRenamed("id", "dst"), "dst", "left_anti"), f"left-{k}")
+    placed = looped.select("id", F.col("id").alias("root"))
+    for members in found:
+        placed = placed.join(members.select("id"), "id", "left_anti").unionByName(members)
+    placed = kept.put(placed, "placed")
+    for k, gone in enumerate(reversed(taken)):
+        ends = gone.join(placed.select(F.col("id").alias("before"), F.col("root").alias("a")), "before").join(placed.select(F.col("id").alias("after"), F.col("root").alias("b")), "after")
+        placed = kept.put(placed.unionByName(ends.where("a = b").select("id", F.col("a").alias("root"))), f"placed-{k}")
+    smallest = placed.groupBy("root").agg(F.min("id").alias("component"))
+    return placed.join(smallest, "root").select("id", "component")
 
 
 def layout(nodes: DataFrame, kinds: list[str]) -> DataFrame:
