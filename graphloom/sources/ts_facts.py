@@ -1,4 +1,4 @@
-"""Facts of TypeScript and JavaScript files (EXT-01..12, EXT-24..27) from tokens, not from a compiler.
+"""Facts of TypeScript and JavaScript files (EXT-01..06, EXT-08..12, EXT-24..27) from tokens, not from a compiler.
 
 There is no TypeScript parser among the libraries at hand, so declarations, imports, JSX tags and calls
 are recognised lexically at the top level of a file. Comments are blanked first, in place, so that
