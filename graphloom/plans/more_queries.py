@@ -593,3 +593,46 @@ def join10_use_edges(spark, d):
     parts = ["class Mgr", k, "(models.Manager):\n    def live(self):\n        return 1\n\nclass D", k, "(models.Model):\n    name = models.CharField(max_length=9)\n    objects = Mgr", k, "()\n\nclass Z", k, "(serializers.ModelSerializer):\n    class Meta:\n        model = D", k, "\n        fields = '__all__'\n\nclass W", k, "(viewsets.ModelViewSet):\n    queryset = D", k, ".objects.all()\n\n@receiver(post_save, sender=D", k, ")\ndef on_save(sender, **kw):\n    return D", k, ".objects.filter(x=1)\n"]
     files = _rendered(A.table(spark, d, "supplier"), F.concat(F.lit("u/d"), k, F.lit(".py")), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
     return python_facts.use_edges(python_facts.extract(files))
+
+
+def _shapes(spark, d):
+    """A script per part in one of four shapes: nested functions and overloads; strings, templates with holes, comments and
+    regular expressions that look like code; elements with text and quotes; statements outside declarations."""
+    k = F.col("p_partkey").cast("string")
+    put = lambda shape: F.replace(F.lit(shape), F.lit("@"), k)
+    nested = "export function F@(a: string): void;\nexport function F@(row: any): { x: string } {\n  function inner(x) { return x.deep@; }\n  return inner(row.top) + row.list.map((r) => r.each).length;\n}\nfetch('/late/@');\n"
+    quoted = "export const F@ = async (row: Row<A, B>) => {\n  const s = \"row.no <No/>\"; // row.no\n  const t = `row.no\nfunction Fake() { return row.no }\n${row.hole ? `${row.in@} ${fetch(`/hole/@`)}` : 1}`;\n  return s + t + /row\\.no[/\"]/.test(row.re) + \"fetch('/no')\";\n};\n"
+    shown = "interface Props@ { user: { tag: string }; \"quoted\"?: number; on(e: Event, n: number): void }\nconst F@ = ({ user }: Props@) => (\n  <Ctx.Provider value={user.name}>\n    it's row.no // not {/* a.no */ 1} <b title=\"x.no\" onClick={() => fetch('/click/@', { method: 'post' })}>{user?.tag@}</b>\n  </Ctx.Provider>\n);\nexport { F@ as default };\n"
+    loose = "const F@ = function () { return this.own@; };\nif (F@) {\nconst hidden = () => axios.put('/loose/@', window.no);\n}\n"
+    way = F.col("p_partkey") % 4
+    return _rendered(A.table(spark, d, "part"), F.concat(F.lit("web/f"), k, F.lit(".tsx")), F.when(way == 0, put(nested)).when(way == 1, put(quoted)).when(way == 2, put(shown)).otherwise(put(loose)))
+
+
+@query("""
+SELECT CASE p_partkey % 4 WHEN 2 THEN 'Component' ELSE 'Function' END || ':web/f' || p_partkey || '.tsx#F' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 2 THEN 2 ELSE 1 END::INT AS line, CASE WHEN p_partkey % 4 < 2 THEN 'true' ELSE 'false' END AS exported FROM part
+""")
+def ext01_scoped_symbols(spark, d):
+    return ts_facts.symbols(ts_facts.extract(_shapes(spark, d))).select("id", "line", F.col("meta")["exported"].alias("exported"))
+
+
+@query("""
+WITH f(way, field, own) AS (VALUES (0, 'deep', true), (0, 'top', false), (0, 'list', false), (0, 'each', false), (1, 'hole', false), (1, 'in', true), (1, 'test', false), (1, 're', false), (2, 'Provider', false), (2, 'name', false), (2, 'tag', true), (3, 'own', true))
+SELECT CASE way WHEN 2 THEN 'Component' ELSE 'Function' END || ':web/f' || p_partkey || '.tsx#F' || p_partkey AS id, field || CASE WHEN own THEN p_partkey::VARCHAR ELSE '' END AS field FROM part JOIN f ON way = p_partkey % 4
+""")
+def ext07_field_reads(spark, d):
+    nodes = ts_facts.symbols(ts_facts.extract(_shapes(spark, d)))
+    return nodes.select("id", F.explode(F.from_json(F.col("meta")["fieldReads"], "array<string>")).alias("field"))
+
+
+@query("""
+WITH c(way, caller, method, url) AS (VALUES (0, 'File', 'GET', '/late/'), (1, 'Function', 'GET', '/hole/'), (2, 'Component', 'POST', '/click/'), (3, 'File', 'PUT', '/loose/'))
+SELECT caller || ':web/f' || p_partkey || '.tsx' || CASE caller WHEN 'File' THEN '' ELSE '#F' || p_partkey END AS caller_id, method, url || p_partkey AS full_url FROM part JOIN c ON way = p_partkey % 4
+""")
+def ext12_scoped_calls(spark, d):
+    return ts_facts.api_calls(ts_facts.extract(_shapes(spark, d))).select("caller_id", "method", "full_url")
+
+
+@query("SELECT 'Type:web/f' || p_partkey || '.tsx#Props' || p_partkey AS id, f.field FROM part, (VALUES ('user'), ('tag'), ('quoted')) AS f(field) WHERE p_partkey % 4 = 2")
+def ext06_type_fields(spark, d):
+    nodes = ts_facts.type_symbols(ts_facts.extract(_shapes(spark, d)))
+    return nodes.select("id", F.explode(F.from_json(F.col("meta")["fields"], "array<string>")).alias("field"))

@@ -1,13 +1,16 @@
-"""Facts of TypeScript and JavaScript files (EXT-01..06, EXT-08..12, EXT-24..27) from tokens, not from a compiler.
+"""Facts of TypeScript and JavaScript files (EXT-01..12, EXT-24..27) from tokens and scopes, not from a compiler.
 
-There is no TypeScript parser among the libraries at hand, so declarations, imports, JSX tags and calls
-are recognised lexically at the top level of a file. Comments are blanked first, in place, so that
-line numbers hold. Overloads, decorators with bodies, and nested declarations are not followed.
+There is no TypeScript parser among the libraries at hand. `scopes` tells code from strings, templates, regular expressions
+and the text of elements, and says where brackets and declarations end; facts are patterns over what is code. Positions are
+those of the text. Of a variable statement only the first name is followed, and names of qualified types after a colon, an
+angle bracket or `as` are known by their capitals.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -18,22 +21,26 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import dirname, edge_id, route_path
 from graphloom.operators.graph import Steps
+from graphloom.sources.scopes import scopes
 
 FACT = "array<struct<fact: string, name: string, owner: string, target: string, extra: string, line: int>>"
 SIZE_GUARD = 1_500_000
 #: Endings that a module specifier may leave out, in the order in which they are tried.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-COMMENT = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(//[^\n]*|/\*.*?\*/)", re.S)
-DECLARATION = re.compile(r"^(export\s+)?(default\s+)?(?:async\s+)?(?:function\s*\*?\s*([A-Za-z_$][\w$]*)|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=>|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?function)", re.M)
 IMPORT = re.compile(r"^import\s+(?:type\s+)?(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\{([^}]*)\}|\*\s+as\s+([A-Za-z_$][\w$]*))?\s*(?:from\s*)?[\"']([^\"']+)[\"']", re.M)
 REEXPORT = re.compile(r"^export\s+(?:\{([^}]*)\}|\*)\s*from\s*[\"']([^\"']+)[\"']", re.M)
 DYNAMIC = re.compile(r"(?:(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=[^;\n]*?)?\bimport\(\s*[\"']([^\"']+)[\"']\s*\)")
-JSX = re.compile(r"<([A-Z][\w$]*(?:\.[A-Za-z_$][\w$]*)?)(?=[\s/>])")
-CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\(")
+CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*(?:<[\w$\s.,|&\[\]]*>)?\(")
 API = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete)\s*(?:<[^>(]*>)?\(\s*([\"'`])((?:\\.|(?!\3).)*)\3")
 FETCH = re.compile(r"(?<![\w$.])(fetch|ky|got)\(\s*([\"'`])((?:\\.|(?!\2).)*)\2\s*(?:,\s*\{([^}]*)\})?")
 AXIOS = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*axios\.create\(\s*\{[^}]*?baseURL\s*:\s*[\"'`]([^\"'`]*)[\"'`]", re.S)
-TYPE = re.compile(r"^(?:export\s+)?(?:interface|type)\s+([A-Za-z_$][\w$]*)", re.M)
+TYPE = re.compile(r"^[ \t]*(export\s+)?(?:declare\s+)?(interface|type)\s+([A-Za-z_$][\w$]*)", re.M)
+METHOD = re.compile(r"[ \t]*\{")
+PROPERTY = re.compile(r"(?<!\.)(?:\?\.|\.)\s*([A-Za-z_][\w$]*)")
+QUALIFIED = re.compile(r"(?::|[\w$]<|\bas)\s*[A-Z][\w$]*$")
+MEMBER = re.compile(r"(?:readonly\s+)?([\"'])?([A-Za-z_$][\w$]*)(?(1)\1)\??\s*:(?!:)")
+#: Property names that are no field reads.
+IGNORED_READS = frozenset(("catch", "data", "filter", "finally", "forEach", "get", "json", "length", "map", "post", "push", "reduce", "slice", "then", "toString", "trim"))
 CONTEXT = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:React\.)?createContext\b")
 EXPRESS = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(express\(\)|(?:express\.)?Router\()")
 EXPRESS_ROUTE = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|use)\(\s*[\"'`]([^\"'`]*)[\"'`]\s*,\s*([^;\n]*)\)")
@@ -51,10 +58,6 @@ NO_FIELDS = frozenset(("data", "filter", "forEach", "length", "map", "reduce"))
 SKIP = frozenset(("if", "for", "while", "switch", "catch", "function", "return", "typeof", "import", "require", "super", "await"))
 
 
-def blank_comments(text: str) -> str:
-    return COMMENT.sub(lambda m: m[0] if m[1] is None else re.sub(r"[^\n]", " ", m[0]), text)
-
-
 def _named(group: str | None) -> Iterator[tuple[str, str]]:
     for part in (group or "").split(","):
         words = part.replace("type ", "").split()
@@ -71,98 +74,134 @@ def template(url: str) -> tuple[str, bool]:
 def facts_of(text: str | None, most: int | None = None) -> list[dict]:
     if not text or (most is not None and len(text.encode()) > most):
         return []
-    code = blank_comments(text)
-    line_at = [0] + [m.end() for m in re.finditer("\n", code)]
+    seen = scopes(text)
+    code, mask = seen.code, seen.mask
+    lines = [0] + [m.end() for m in re.finditer("\n", text)]
+    rows: list[dict] = []
 
     def line(at: int) -> int:
-        low, high = 0, len(line_at)
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if line_at[mid] <= at else (low, mid)
-        return low + 1
-
-    rows: list[dict] = []
+        return bisect_right(lines, at)
 
     def add(fact: str, at: int, name: str = "", owner: str | None = None, target: str | None = None, extra: str | None = None) -> None:
         rows.append({"fact": fact, "name": name, "owner": owner, "target": target, "extra": extra, "line": line(at)})
 
-    found = list(DECLARATION.finditer(code))
-    spans = [(m.start(), found[i + 1].start() if i + 1 < len(found) else len(code), m[3] or m[4] or m[5]) for i, m in enumerate(found)]
+    def in_code(pattern: re.Pattern) -> Iterator[re.Match]:
+        """Matches that start in code; what they hold may be a string."""
+        return (m for m in pattern.finditer(code) if mask[m.start()] == code[m.start()])
 
-    def owner(at: int) -> str | None:
-        return next((n for a, b, n in spans if a <= at < b), None)
+    spans = seen.declarations()
+    starts = [a for a, *_ in spans]
+
+    def span(at: int) -> tuple[int, int, str | None]:
+        i = bisect_right(starts, at) - 1
+        return spans[i][:3] if i >= 0 and at < spans[i][1] else (0, len(code), None)
 
-    for m, (a, b, name) in zip(found, spans, strict=True):
-        body = code[a:b]
-        kind = "Hook" if re.match("use[A-Z]", name) else "Component" if name[0].isupper() and (JSX.search(body) or re.search(r"<[a-z][\w-]*[\s/>]|<>", body)) else "Function"
-        add("declaration", a, name, extra=f"{kind}|{'exported' if m[1] else ''}|{'default' if m[2] else ''}")
-    for m in IMPORT.finditer(code):
+    def owner(at: int) -> str | None:
+        return span(at)[2]
+
+    shown = {owner(at) for at, _ in seen.tags}
+    for a, b, name, exported, default in spans:
+        kind = "Hook" if re.match("use[A-Z]", name) else "Component" if name[0].isupper() and name in shown else "Function"
+        reads = [m[1] for m in PROPERTY.finditer(mask, a, b) if m[1] not in IGNORED_READS and not (m[1][0].isupper() and QUALIFIED.search(mask, max(a, m.start() - 80), m.start()))]
+        add("declaration", a, name, target=json.dumps(list(dict.fromkeys(reads))), extra=f"{kind}|{'exported' if exported else ''}|{'default' if default else ''}")
+    for m in in_code(IMPORT):
         if m[1] or m[3] or m[2] is None:
             add("import", m.start(), m[1] or m[3] or "", target=m[4], extra="default" if m[1] else "*" if m[3] else "")
         for real, local in _named(m[2]):
             add("import", m.start(), local, target=m[4], extra=real)
-    for m in REEXPORT.finditer(code):
+    for m in in_code(REEXPORT):
         if m[1] is None:
             add("re_export", m.start(), "*", target=m[2])
         for real, local in _named(m[1]):
             add("re_export", m.start(), local, target=m[2], extra=real)
-    for m in DYNAMIC.finditer(code):
+    for m in in_code(DYNAMIC):
         add("dynamic_import", m.start(), m[1] or "", target=m[2])
-    for m in JSX.finditer(code):
-        add("provides" if m[1].endswith(".Provider") else "jsx", m.start(), m[1].removesuffix(".Provider"), owner(m.start()))
-    for m in CALL.finditer(code):
-        if m[1] not in SKIP and not re.match(r"function\s*$", code[max(0, m.start() - 9) : m.start()]):
+    for at, tag in seen.tags:
+        if tag[:1].isupper():
+            add("provides" if tag.endswith(".Provider") else "jsx", at, tag.removesuffix(".Provider"), owner(at))
+    for m in CALL.finditer(mask):
+        made = re.search(r"\bfunction\s*\*?\s*$", mask[max(0, m.start() - 20) : m.start()]) or METHOD.match(mask, seen.close.get(m.end() - 1, len(mask)) + 1)
+        if m[1] not in SKIP and not made:
             add("hook_call" if re.match("use[A-Z]", m[1]) else "call", m.start(), m[1], owner(m.start()))
-    for m in re.finditer(r"useContext\(\s*([A-Za-z_$][\w$]*)", code):
+    for m in re.finditer(r"(?<![\w$])useContext\(\s*([A-Za-z_$][\w$]*)", mask):
         add("consumes", m.start(), m[1], owner(m.start()))
-    end_of = lambda at: next((b for a, b, _ in spans if a <= at < b), len(code))
 
     def answered(call: re.Match) -> None:
         """EXT-10: fields read from the answer of a call in its declaration: those of the data, of its aliases,
-        and, with less confidence, of the parameter that maps over it."""
+        and, with less confidence, of the parameter that maps over it; or those that its `then` reads."""
+        done = seen.close.get(mask.find("(", call.start()), len(mask)) + 1
+        then = re.compile(r"\s*\.then(\()\s*(?:async\b\s*)?(?:function\b\s*[\w$]*\s*)?\(?\s*([A-Za-z_$][\w$]*)").match(mask, done)
         made = ANSWER.search(code[max(0, call.start() - 160) : call.start()])
-        if not made:
+        if then:
+            first, last, roots = then.end(), seen.close.get(then.start(1), len(mask)), [re.escape(then[2]) + r"\.data"]
+        elif made:
+            first, last = call.end(), span(call.start())[1]
+            roots = [re.escape(made[1]) + r"\.data"] if made[1] else [re.escape(made[2] or "data")]
+            for m in re.finditer(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*([A-Za-z_$][\w$]*(?:\.data)?)\s*(?=[;\n])", mask[first:last]):
+                if re.escape(m[2]) in roots:
+                    roots.append(re.escape(m[1]))
+        else:
             return
-        body, first = code[call.end() : end_of(call.start())], call.end()
-        roots = [re.escape(made[1]) + r"\.data"] if made[1] else [re.escape(made[2] or "data")]
-        if made[1]:
-            roots += [re.escape(m[1]) for m in re.finditer(rf"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*{roots[0]}\s*[;\n]", body)]
-        seen: dict[str, tuple[str, int]] = {}
+        fields: dict[str, tuple[str, int]] = {}
         for root in roots:
-            reads = [("medium", m[1], m.start()) for m in re.finditer(rf"(?<![\w$.]){root}\.([A-Za-z_$][\w$]*)", body)]
-            for m in re.finditer(rf"(?<![\w$.]){root}\.map\(\s*\(?\s*([A-Za-z_$][\w$]*)", body):
-                reads += [("low", r[1], r.start()) for r in re.finditer(rf"(?<![\w$.]){re.escape(m[1])}\.([A-Za-z_$][\w$]*)", body)]
+            pattern = re.compile(rf"(?<![\w$.]){root}\??\.(?:([A-Za-z_$][\w$]*))(?:(\()\s*(?:async\b\s*)?(?:function\b\s*[\w$]*\s*)?\(?\s*([A-Za-z_$][\w$]*))?")
+            reads = []
+            for m in pattern.finditer(mask, first, last):
+                reads.append(("medium", m[1], m.start()))
+                if m[1] == "map" and m[3]:
+                    each = re.compile(rf"(?<![\w$.]){re.escape(m[3])}\??\.([A-Za-z_$][\w$]*)")
+                    reads += [("low", r[1], r.start()) for r in each.finditer(mask, m.end(), seen.close.get(m.start(2), last))]
             for grade, field, at in reads:
-                if field not in NO_FIELDS and (field not in seen or (seen[field][0] == "low" and grade == "medium")):
-                    seen[field] = (grade, at)
-        for field, (grade, at) in seen.items():
-            add("response_field", first + at, field, owner(call.start()), str(line(call.start())), grade)
+                if field not in NO_FIELDS and (field not in fields or (fields[field][0] == "low" and grade == "medium")):
+                    fields[field] = (grade, at)
+        for field, (grade, at) in fields.items():
+            add("response_field", at, field, owner(call.start()), str(line(call.start())), grade)
 
-    for a, b, name in spans:
-        for ref in sorted({m[1] for m in TYPE_REF.finditer(code[a:b])}):
+    for a, b, name, *_ in spans:
+        for ref in sorted({m[1] for m in TYPE_REF.finditer(mask, a, b)}):
             add("type_ref", a, ref, name)
-    for m in TYPE.finditer(code):
-        stop = re.compile(r"^\}|;\s*$|\n\n", re.M).search(code, m.end())
-        for ref in sorted({r[1] for r in TYPE_REF.finditer(code[m.end() : stop.start() if stop else len(code)])} | set(re.findall(r"=\s*([A-Z][\w$]*)", code[m.end() : stop.start() if stop else len(code)]))):
-            add("type_ref", m.start(), ref, m[1])
-    for m in [*API.finditer(code), *FETCH.finditer(code)]:
+    brackets = sorted(seen.close)
+    for m in TYPE.finditer(mask):
+        at = m.start() + len(m[0]) - len(m[0].lstrip())
+        if not seen.top(at):
+            continue
+        head = seen.walk(m.end(), "{=")
+        end = seen.close.get(head, len(mask)) + 1 if mask[head : head + 1] == "{" else seen.walk(head + 1, "")
+        for ref in sorted({r[1] for r in TYPE_REF.finditer(mask, m.end(), end)} | {r[1] for r in re.compile(r"=\s*([A-Z][\w$]*)").finditer(mask, m.end(), end)}):
+            add("type_ref", at, ref, m[3])
+        members, around, k = [], [], bisect_right(brackets, m.end() - 1)
+        for r in MEMBER.finditer(code, m.end(), end):
+            while k < len(brackets) and brackets[k] < r.start():
+                while around and seen.close[around[-1]] < brackets[k]:
+                    around.pop()
+                around.append(brackets[k])
+                k += 1
+            while around and seen.close[around[-1]] < r.start():
+                around.pop()
+            before = r.start() - 1
+            while mask[before] in " \t":
+                before -= 1
+            if around and mask[around[-1]] == "{" and mask[before] in "{;,\r\n":
+                members.append(r[2])
+        add("type", at, m[3], target=json.dumps(list(dict.fromkeys(members))), extra=f"{m[2]}|{'exported' if m[1] else ''}")
+    for m in [*in_code(API), *in_code(FETCH)]:
         answered(m)
-    for m in API.finditer(code):
+    for m in in_code(API):
         url, dynamic = template(m[4])
         if url.startswith(("/", "http://", "https://")):
             add("api_call", m.start(), m[1], owner(m.start()), url, f"{m[2].upper()}|{str(dynamic).lower()}")
-    for m in FETCH.finditer(code):
+    for m in in_code(FETCH):
         url, dynamic = template(m[3])
         method = re.search(r"method\s*:\s*[\"'`](\w+)", m[4] or "")
         if url.startswith(("/", "http://", "https://")):
             add("api_call", m.start(), m[1], owner(m.start()), url, f"{(method[1] if method else 'GET').upper()}|{str(dynamic).lower()}")
-    for fact, pattern in (("axios", AXIOS), ("type", TYPE), ("context", CONTEXT), ("express", EXPRESS)):
-        for m in pattern.finditer(code):
+    for fact, pattern in (("axios", AXIOS), ("context", CONTEXT), ("express", EXPRESS)):
+        for m in in_code(pattern):
             add(fact, m.start(), m[1], target=m[2] if m.re.groups > 1 else None)
-    for m in EXPRESS_ROUTE.finditer(code):
+    for m in in_code(EXPRESS_ROUTE):
         add("mount" if m[2] == "use" else "express_route", m.start(), m[1], target=m[3], extra=f"{m[2].upper()}|{m[4].split(',')[-1].strip(' )')}")
     open_paths: list[str | None] = []
-    for m in ROUTE_TAG.finditer(code):
+    for m in in_code(ROUTE_TAG):
         if m[1] is None:
             if open_paths:
                 open_paths.pop()
@@ -172,7 +211,7 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
             add("react_route", m.start(), shown[1] if shown else "", target="/".join([p for p in open_paths if p is not None] + [own[2]]))
         if not m[2]:
             open_paths.append(own[2] if own else None)
-    nest = list(NEST_CLASS.finditer(code))
+    nest = list(in_code(NEST_CLASS))
     for i, m in enumerate(nest):
         body = code[m.end() : nest[i + 1].start() if i + 1 < len(nest) else len(code)]
         literal = re.match(r"\s*([\"'`])(.*?)\1", m[2])
@@ -294,18 +333,19 @@ def exports_closure(facts: DataFrame, files: DataFrame, rounds: int = 10, module
 
 
 def symbols(facts: DataFrame) -> DataFrame:
-    """EXT-01, PRJ-04: nodes of declarations; a default component under pages/ or app/ is a Page."""
+    """EXT-01, EXT-07, PRJ-04: nodes of declarations, with the properties that they read, in the order of the text; a default component under pages/ or app/ is a Page."""
     kind, exported, default = F.split("extra", r"\|")[0], F.split("extra", r"\|")[1] == "exported", F.split("extra", r"\|")[2] == "default"
     page = (kind == "Component") & default & F.col("file").rlike(r"(^|/)(pages|app)/")
     kind = F.when(page, "Page").otherwise(kind)
     rows = facts.where("fact = 'declaration'")
-    return rows.select(F.concat(kind, F.lit(":"), "file", F.lit("#"), "name").alias("id"), kind.alias("kind"), "name", "file", "line", F.create_map(F.lit("exported"), exported.cast("string")).alias("meta"), "ord")
+    return rows.select(F.concat(kind, F.lit(":"), "file", F.lit("#"), "name").alias("id"), kind.alias("kind"), "name", "file", "line", F.create_map(F.lit("exported"), exported.cast("string"), F.lit("fieldReads"), F.col("target")).alias("meta"), "ord")
 
 
 def type_symbols(facts: DataFrame) -> DataFrame:
-    """EXT-06, EXT-08: nodes of types and contexts."""
+    """EXT-06, EXT-08: nodes of types, with their fields, and of contexts."""
     kind = F.when(F.col("fact") == "type", "Type").otherwise("Context")
-    return facts.where("fact in ('type', 'context')").select(F.concat(kind, F.lit(":"), "file", F.lit("#"), "name").alias("id"), kind.alias("kind"), "name", "file", "line", F.lit(None).cast("map<string,string>").alias("meta"), "ord")
+    meta = F.when(F.col("fact") == "type", F.create_map(F.lit("exported"), F.col("extra").endswith("exported").cast("string"), F.lit("typeKind"), F.substring_index("extra", "|", 1), F.lit("fields"), F.col("target")))
+    return facts.where("fact in ('type', 'context')").select(F.concat(kind, F.lit(":"), "file", F.lit("#"), "name").alias("id"), kind.alias("kind"), "name", "file", "line", meta.alias("meta"), "ord")
 
 
 def usage_edges(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:

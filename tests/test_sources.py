@@ -81,6 +81,46 @@ def test_script_facts(spark):
     assert calls == {("GET", "/api/users/{param}/", True, "Page:pages/home.tsx#Home"), ("POST", "/x", False, "Page:pages/home.tsx#Home")}
 
 
+def test_scopes_of_scripts():
+    script = """import { a as b } from './m';
+const text = `
+import bad from './bad'
+function Fake() { return <Fake/> } ${helper(x.inHole)}`;
+type Other = { kind: 'a'; deep: { er?: string } } | Base<User>;
+export function over(a: string): void;
+export function over(a: any): { x: string } {
+  const re = /[/'"`]{}/.test(a.value);
+  function inner(q) { return q.deep?.er }
+  return "foo(bar) <Baz/>";
+}
+const C: React.FC<Props<A, B>> = ({ a = f(1), b }) => {
+  axios.get("/u").then((res) => res.data.items.map((i) => i.low) && res.data.email);
+  return <Ctx.Provider value={a.b}>don't // stop <b>{list.map((x) => <Item key={x.id} />)}</b></Ctx.Provider>;
+};
+fetch("/top");
+const g = <T,>(x: T) => x.y < 3 / 4 / x.z;
+const h = async x => { const r = await api.get("/h"); const d = r.data; const e = d; e.first; d.map(function (it) { return it.second }) };
+const not = (1 + 2) * 3;
+export default over;
+"""
+    found = ts_facts.facts_of(script)
+    of = lambda fact, *keys: [tuple(r[k] for k in keys) for r in found if r["fact"] == fact]
+    assert of("declaration", "name", "line", "target", "extra") == [
+        ("over", 7, '["test", "value", "deep", "er"]', "Function|exported|default"),
+        ("C", 12, '["items", "low", "email", "Provider", "b", "id"]', "Component||"),
+        ("g", 17, '["y", "z"]', "Function||"),
+        ("h", 18, '["first", "second"]', "Function||"),
+    ]
+    assert of("import", "name", "target") == [("b", "./m")]
+    assert of("jsx", "name", "owner") == [("Item", "C")] and of("provides", "name", "owner") == [("Ctx", "C")]
+    assert {n for n, in of("call", "name")} == {"helper", "f", "fetch"}
+    assert of("api_call", "target", "owner") == [("/u", "C"), ("/h", "h"), ("/top", None)]
+    assert sorted(of("response_field", "name", "owner", "extra")) == [("email", "C", "medium"), ("first", "h", "medium"), ("items", "C", "medium"), ("second", "h", "low")]
+    assert of("type", "name", "target", "extra") == [("Other", '["kind", "deep", "er"]', "type|")]
+    for odd in ("", "`${", "<a", "const x = (", "function f(", "interface T", "/* never", "</a>}", "'", "const f = <T", "x = <A b={"):
+        ts_facts.facts_of(odd)
+
+
 def test_express_routes(spark):
     app = 'import users from "./users";\nconst app = express();\napp.use("/users", users);\napp.get("/health", ok);\n'
     users = 'const router = Router();\nrouter.get("/:id", show);\nexport default router;\n'
