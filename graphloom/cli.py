@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from graphloom.functions.text import prefix_group
 from graphloom.operators import diff, insights, search, views
 from graphloom.plans import edit_context
 from graphloom.plans.analyze import Analysis, analyze
+from graphloom.plans.phases import Phases
 from graphloom.plans.projects import Repo, analyze_repos
 from graphloom.sinks import reports
 from graphloom.sources import coverage, files, governance
@@ -44,11 +46,20 @@ def _documents(spark: SparkSession, path: str | None) -> DataFrame | None:
     return spark.createDataFrame([(path, text)], "path string, content string")
 
 
-def scan(spark: SparkSession, root: str, out: str, config: str | None = None, covered: str | None = None, openapi: str | None = None, git: bool = True, most_commits: int = 500, cache: str | None = None) -> None:
+def _measured(spark: SparkSession, phases: Phases | None, out: str) -> None:
+    """AGG-29: a scan's phases beside its tables; the run is the second in which it ended."""
+    if phases:
+        each, whole = phases.run(spark, int(time.time()))
+        reports.write_table(each, f"{out}/phases")
+        reports.write_table(whole, f"{out}/runs")
+
+
+def scan(spark: SparkSession, root: str, out: str, config: str | None = None, covered: str | None = None, openapi: str | None = None, git: bool = True, most_commits: int = 500, cache: str | None = None, phases: Phases | None = None) -> None:
     settings = governance.load(spark, root, config).config
     commits = files.git_log(spark, root, most_commits) if git else None
-    found = analyze(spark, root, settings, commits, coverage.find(spark, root, covered), cache=FactsCache(spark, cache) if cache else None, openapi=_documents(spark, openapi))
+    found = analyze(spark, root, settings, commits, coverage.find(spark, root, covered), cache=FactsCache(spark, cache) if cache else None, openapi=_documents(spark, openapi), told=phases)
     write(found, out)
+    _measured(spark, phases, out)
 
 
 def binding(spec: str) -> Repo:
@@ -60,11 +71,12 @@ def binding(spec: str) -> Repo:
     return Repo(name, path, name, role) if colon and role in ROLES else Repo(name, rest, name)
 
 
-def scan_project(spark: SparkSession, repos: Sequence[Repo], out: str, config: str | None = None, covered: str | None = None, openapi: str | None = None, git: bool = True, most_commits: int = 500, cache: str | None = None) -> None:
+def scan_project(spark: SparkSession, repos: Sequence[Repo], out: str, config: str | None = None, covered: str | None = None, openapi: str | None = None, git: bool = True, most_commits: int = 500, cache: str | None = None, phases: Phases | None = None) -> None:
     settings = governance.load_first(spark, [r.root for r in repos], config).config
     commits = {r.id: files.git_log(spark, r.root, most_commits) for r in repos} if git else {}
-    found = analyze_repos(spark, repos, settings, commits, {r.id: coverage.find(spark, r.root, covered) for r in repos}, FactsCache(spark, cache) if cache else None, _documents(spark, openapi))
+    found = analyze_repos(spark, repos, settings, commits, {r.id: coverage.find(spark, r.root, covered) for r in repos}, FactsCache(spark, cache) if cache else None, _documents(spark, openapi), told=phases)
     write(found, out)
+    _measured(spark, phases, out)
 
 
 def gate(spark: SparkSession, path: str, baseline: str | None, **limits) -> tuple[list, list]:
@@ -145,6 +157,7 @@ def _arguments() -> argparse.ArgumentParser:
         one.add_argument("--no-git", action="store_true")
         one.add_argument("--max-git-commits", type=int, default=500)
         one.add_argument("--cache-dir")
+        one.add_argument("--progress", action="store_true", help="a JSON line on standard error after each phase, and a table of them")
 
     one = commands.add_parser("scan", help="a repository")
     one.add_argument("root")
@@ -194,7 +207,7 @@ def main(args: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.getOrCreate()
     if opts.command in ("scan", "scan-project"):
-        rest = {"config": opts.config, "covered": opts.coverage, "openapi": opts.openapi, "git": not opts.no_git, "most_commits": opts.max_git_commits, "cache": opts.cache_dir}
+        rest = {"config": opts.config, "covered": opts.coverage, "openapi": opts.openapi, "git": not opts.no_git, "most_commits": opts.max_git_commits, "cache": opts.cache_dir, "phases": Phases(lambda line: print(line, file=sys.stderr, flush=True)) if opts.progress else None}
         if opts.command == "scan":
             scan(spark, opts.root, opts.out, **rest)
         else:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -14,16 +16,17 @@ from graphloom.schema import IMPACT_FORWARD, IMPACT_REVERSE
 
 
 class Steps:
-    """Loop results written to the shared folder: lineage stays short and executors may go."""
+    """Loop results written to the shared folder: lineage stays short and executors may go. `told` hears the name,
+    seconds and rows of every table."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, told: Callable[[str, float, int], None] | None = None):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='graphloom-')}")
             root = spark.sparkContext.getCheckpointDir()
-        self.spark, self.root = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.told, self.root = spark, told, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
         """The written table and its rows, counted while they are written."""
@@ -31,7 +34,11 @@ class Steps:
         return self.put(df.observe(rows, F.count(F.lit(1)).alias("n")), name), rows.get["n"]
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        rows, began = Observation(f"rows of {name}"), time.monotonic()
+        seen = df.observe(rows, F.count(F.lit(1)).alias("n")) if self.told else df
+        seen.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        if self.told:
+            self.told(name, time.monotonic() - began, rows.get["n"])
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import edge_id
 from graphloom.operators import graph, insights, linker, rules
 from graphloom.operators.rules import Config
+from graphloom.plans.analyzers import Analyzer, results
 from graphloom.schema import SECRET_SCAN_CHARS
 from graphloom.sources import coverage as coverage_source
 from graphloom.sources import files as file_source
@@ -118,13 +119,26 @@ def fragment(files: DataFrame, script: DataFrame, python: DataFrame, graph_too:
     return Fragment(graph.union_fragments(*[_nodes(p) for p in parts]), graph.union_fragments(*[_edges(p) for p in edge_parts]), ts_facts.api_calls(script), routes)
 
 
-def finish(spark: SparkSession, files: DataFrame, part: Fragment, config: Config, commits: DataFrame, reports: DataFrame, covered_files: DataFrame | None = None, openapi: DataFrame | None = None) -> Analysis:
+def extended(part: Fragment, files: DataFrame, analyzers: Sequence[Analyzer]) -> Fragment:
+    """SET-02: a fragment and, after it, what the analyzers that find files add; the first node and edge of an
+    id stays, routes keep the order numbers that they bring. The tables that the fragment lacks are left out."""
+    nodes, edges, calls, routes = [part.nodes], [part.edges], part.calls, part.routes
+    for more in results(files, analyzers):
+        nodes += [] if more.nodes is None else [_nodes(more.nodes)]
+        edges += [] if more.edges is None else [_edges(more.edges)]
+        calls = calls if more.calls is None else calls.unionByName(more.calls)
+        routes = routes if more.routes is None else routes.unionByName(_routes(more.routes))
+    whole = lambda found: found[0] if found[0] is None or len(found) == 1 else graph.union_fragments(*found)
+    return Fragment(whole(nodes), whole(edges), calls, routes)
+
+
+def finish(spark: SparkSession, files: DataFrame, part: Fragment, config: Config, commits: DataFrame, reports: DataFrame, covered_files: DataFrame | None = None, openapi: DataFrame | None = None, told: Callable[[str, float, int], None] | None = None) -> Analysis:
     """Links calls to routes, runs insights and rules, filters ignored paths and scores.
 
     `covered_files` are the files that coverage reports can name: (path, scan_ord), and repo where `reports`
     have one; the graph's own otherwise. `openapi` are documents (path, content) from elsewhere.
     """
-    kept = graph.Steps(spark, "analysis")
+    kept = graph.Steps(spark, "analysis", told)
     part = Fragment(*[kept.put(getattr(part, x), f"part-{x}") for x in ("nodes", "edges", "calls", "routes")])
     routes, nodes = part.routes, [part.nodes]
     if openapi is not None:
@@ -152,15 +166,17 @@ def finish(spark: SparkSession, files: DataFrame, part: Fragment, config: Config
     return Analysis(files, enriched, edges, issues, rules.health(issues), hot, secrets, part.calls, routes, {"coverage": covered, "churn": churned, "explanations": insights.explanations(hot, secrets, covered)})
 
 
-def analyze(spark: SparkSession, root: str, config: Config | None = None, commits: DataFrame | None = None, reports: DataFrame | None = None, gitignore: Sequence[str] = (), cache: FactsCache | None = None, openapi: DataFrame | None = None) -> Analysis:
+def analyze(spark: SparkSession, root: str, config: Config | None = None, commits: DataFrame | None = None, reports: DataFrame | None = None, gitignore: Sequence[str] = (), cache: FactsCache | None = None, openapi: DataFrame | None = None, analyzers: Sequence[Analyzer] = (), told: Callable[[str, float, int], None] | None = None) -> Analysis:
     """Scans root (any path that Spark reads), extracts facts, builds the graph, links calls to routes, runs
     the rules, filters ignored paths and scores. `commits` is a git log, `reports` coverage (report, content), `openapi`
-    documents (path, content) from elsewhere; with a `cache`, only changed files are parsed."""
-    kept = graph.Steps(spark, "scan")
+    documents (path, content) from elsewhere; with a `cache`, only changed files are parsed. `analyzers` add to what is built
+    in; `told` (say, `phases.Phases`) hears of every phase."""
+    kept = graph.Steps(spark, "scan", told)
     files = kept.put(file_source.scan(spark, root, gitignore), "files")
     script, python = (kept.put(facts(source, files, cache), name) for source, name in ((ts_facts, "ts"), (python_facts, "py")))
     commits = spark.createDataFrame([], "commit_id string, commit_ord long, author string, ts string, file string") if commits is None else commits
     reports = spark.createDataFrame([], "report string, content string") if reports is None else reports
-    out = finish(spark, files, fragment(files, script, python), config or Config(), commits, reports, openapi=openapi)
+    part = extended(fragment(files, script, python), files, analyzers)
+    out = finish(spark, files, part, config or Config(), commits, reports, openapi=openapi, told=told)
     out.extra |= {"stack": file_source.stack(files), "entry": ts_facts.entry_point(files)}
     return out

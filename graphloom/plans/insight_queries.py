@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import diff as D
@@ -9,6 +11,8 @@ from graphloom.operators import insights as I
 from graphloom.operators import rules as R
 from graphloom.operators import search as S
 from graphloom.plans import adapters as A
+from graphloom.plans import phases
+from graphloom.plans.analyzers import Analyzer, by_parser, results
 from graphloom.plans.more_queries import _rendered
 from graphloom.plans.queries import BREAKING_SQL, COMMITS_SQL, COVERAGE_SQL, METRICS_SQL, SECRETS_SQL, _issues, _metrics, query, set04_breaking
 from graphloom.sources import python_facts, services, ts_facts
@@ -172,3 +176,45 @@ SELECT nodes.id, kind, CAST(depth AS INT) AS depth FROM reach JOIN nodes ON node
 def qry02_impact(spark, d):
     nodes, edges = A.sales_graph(spark, d)
     return S.impact_query(nodes, edges, node_id="Nation:3", limit=40).select("id", "kind", "depth")
+
+
+def _ddl(path, content):
+    """Tables of a schema file as models, their references, and a route for each."""
+    for m in re.finditer(r"CREATE TABLE (\w+) \(([^;]*)\);", content):
+        own = f"Model:{path}#{m[1]}"
+        yield {"part": "node", "id": own, "kind": "Model", "name": m[1], "line": content.count("\n", 0, m.start()) + 1, "meta": {"source": "ddl"}}
+        for to in re.findall(r"REFERENCES (\w+)", m[2]):
+            yield {"part": "edge", "kind": "REFERENCES", "src": own, "dst": f"Model:schema/{to}.sql#{to}"}
+        yield {"part": "route", "method": "get", "url": f"/rows/{m[1]}", "id": f"APIEndpoint:GET /rows/{m[1]}"}
+
+
+DDL = Analyzer("ddl", lambda: F.col("path").endswith(".sql"), by_parser(_ddl))
+
+
+@query("""
+WITH t AS (SELECT s_suppkey AS k, s_suppkey // 2 AS h FROM supplier)
+SELECT 'node' AS what, 'Model:schema/t' || k || '.sql#t' || k AS id, NULL AS dst FROM t UNION ALL SELECT 'edge', 'Model:schema/t' || k || '.sql#t' || k, 'Model:schema/t' || h || '.sql#t' || h FROM t WHERE h > 0 UNION ALL SELECT 'route', '/rows/t' || k, 'APIEndpoint:GET /rows/t' || k FROM t
+""")
+def udx01_analyzer(spark, d):
+    """An outside analyzer of schema files, one per supplier; another finds no file and does not run."""
+    k, h = F.col("s_suppkey").cast("string"), F.floor(F.col("s_suppkey") / 2)
+    refers = F.when(h > 0, F.concat(F.lit(", up INT REFERENCES t"), h.cast("string"))).otherwise("")
+    files = _rendered(A.table(spark, d, "supplier"), F.concat(F.lit("schema/t"), k, F.lit(".sql")), F.concat(F.lit("-- one\nCREATE TABLE t"), k, F.lit(" (id INT"), refers, F.lit(");\n")))
+    none = Analyzer("none", lambda: F.col("path").endswith(".prisma"), by_parser(_ddl))
+    (part,) = results(files, [none, DDL])
+    nodes = part.nodes.where("kind = 'Model'").select(F.lit("node").alias("what"), "id", F.lit(None).cast("string").alias("dst"))
+    return nodes.unionByName(part.edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), "dst")).unionByName(part.routes.select(F.lit("route").alias("what"), F.col("path").alias("id"), F.col("endpoint_id").alias("dst")))
+
+
+@query("""
+WITH p AS (SELECT user_id AS run, event_type AS phase, CAST(round(value * 100) AS BIGINT) AS ms FROM events), r AS (SELECT user_id AS run, CAST(sum(round(value * 100)) AS BIGINT) AS total_ms, max(event_id) AS peak_rss FROM events GROUP BY user_id),
+w AS (SELECT CAST(sum(total_ms) AS DOUBLE) / count(*) AS ms, max(peak_rss) AS peak_rss, count(*) AS n FROM r)
+SELECT phase, round(CAST(sum(ms) AS DOUBLE) / (SELECT n FROM w), 6) AS ms, CAST(NULL AS BIGINT) AS peak_rss FROM p GROUP BY phase UNION ALL SELECT 'total', round(ms, 6), peak_rss FROM w
+""")
+def agg29_phase_means(spark, d):
+    """Events as phases of runs, one run per user."""
+    ms = F.round(F.col("value") * 100).cast("long")
+    events = A.table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("phase"), ms.alias("ms"), "event_id")
+    each, whole = phases.means(events, events.groupBy("run").agg(F.sum("ms").alias("total_ms"), F.max("event_id").alias("peak_rss")))
+    each = each.select("phase", F.round("ms", 6).alias("ms"), F.lit(None).cast("long").alias("peak_rss"))
+    return each.unionByName(whole.select(F.lit("total").alias("phase"), F.round("total_ms", 6).alias("ms"), "peak_rss"))

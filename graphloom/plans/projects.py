@@ -7,7 +7,7 @@ their ids are then put under the repository's slug in one pass, and calls meet t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from graphloom.functions.text import edge_id
 from graphloom.operators import graph, views
 from graphloom.operators.rules import Config
 from graphloom.plans import analyze as A
+from graphloom.plans.analyzers import Analyzer
 from graphloom.sources import files as file_source
 from graphloom.sources import python_facts, ts_facts
 from graphloom.sources.cache import FactsCache
@@ -79,7 +80,7 @@ def rekeyed(part: A.Fragment, repo: Column, order: Column) -> A.Fragment:
     return A.Fragment(nodes, edges, calls, routes.withColumn("response_fields", held))
 
 
-def fragments(spark: SparkSession, files: DataFrame, repos: Sequence[Repo], cache: FactsCache | None = None, graph_too: bool = True) -> A.Fragment:
+def fragments(spark: SparkSession, files: DataFrame, repos: Sequence[Repo], cache: FactsCache | None = None, graph_too: bool = True, analyzers: Sequence[Analyzer] = ()) -> A.Fragment:
     """The fragments of all repositories under their slugs, as one: files (repo: its slug, path, content, category, scan_ord).
 
     Every repository's fragment is written apart, so the plan of what follows does not grow with their number.
@@ -90,7 +91,8 @@ def fragments(spark: SparkSession, files: DataFrame, repos: Sequence[Repo], cach
     parts: dict[str, list[DataFrame]] = {"nodes": [], "edges": [], "calls": [], "routes": []}
     for n, repo in enumerate(repos):
         own = lambda rows: rows.where(F.col("file").startswith(repo.slug + "/")).withColumn("file", F.substr(F.col("file"), F.lit(len(repo.slug) + 2)))  # noqa: E731, B023
-        part = A.fragment(files.where(F.col("repo") == repo.slug), own(script), own(python), graph_too)
+        mine = files.where(F.col("repo") == repo.slug)
+        part = A.extended(A.fragment(mine, own(script), own(python), graph_too), mine, analyzers)
         part = rekeyed(part, F.lit(repo.slug), F.lit(n))
         for name, rows in parts.items():
             if getattr(part, name) is not None:
@@ -106,25 +108,25 @@ def fragments(spark: SparkSession, files: DataFrame, repos: Sequence[Repo], cach
     return A.Fragment(**whole)
 
 
-def analyze_repos(spark: SparkSession, repos: Sequence[Repo], config: Config | None = None, commits: dict[str, DataFrame] | None = None, reports: dict[str, DataFrame] | None = None, cache: FactsCache | None = None, openapi: DataFrame | None = None) -> A.Analysis:
+def analyze_repos(spark: SparkSession, repos: Sequence[Repo], config: Config | None = None, commits: dict[str, DataFrame] | None = None, reports: dict[str, DataFrame] | None = None, cache: FactsCache | None = None, openapi: DataFrame | None = None, analyzers: Sequence[Analyzer] = (), told: Callable[[str, float, int], None] | None = None) -> A.Analysis:
     """Scans the repositories of a project and joins them to one graph, as `analyze` does with one.
 
     `commits` and `reports` are git logs and coverage by repository id; coverage is matched within its repository. `openapi`
     holds documents (path, content) whose endpoints stand beside all repositories and lose ties.
     """
     checked(repos)
-    kept = graph.Steps(spark, "repos")
+    kept = graph.Steps(spark, "repos", told)
     scanned = None
     for repo in repos:
         one = file_source.scan(spark, repo.root).withColumn("repo", F.lit(repo.slug))
         scanned = one if scanned is None else scanned.unionByName(one)
     files = kept.put(scanned, "files")
-    part = fragments(spark, files, repos, cache)
+    part = fragments(spark, files, repos, cache, analyzers=analyzers)
     graphed = file_source.numbered(files.drop("scan_ord").withColumn("path", under(F.col("repo"), F.col("path"))))
     union = lambda found, schema: _union(spark, {r.slug: found[r.id] for r in repos if r.id in found}, schema)
     churned = union(commits or {}, "commit_id string, commit_ord long, author string, ts string, file string")
     churned = churned.withColumn("file", under(F.col("repo"), F.col("file"))).withColumn("commit_id", F.concat("repo", F.lit("/"), "commit_id")).drop("repo")
-    out = A.finish(spark, graphed, part, config or Config(), churned, union(reports or {}, "report string, content string"), files.select("repo", F.col("path"), "scan_ord"), openapi)
+    out = A.finish(spark, graphed, part, config or Config(), churned, union(reports or {}, "report string, content string"), files.select("repo", F.col("path"), "scan_ord"), openapi, told)
     stacks = None
     for repo in repos:
         one = file_source.stack(files.where(F.col("repo") == repo.slug)).withColumn("repo", F.lit(repo.slug))

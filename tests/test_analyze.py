@@ -1,8 +1,14 @@
 """A small repository from files to score, diff, gate and answers."""
 
+import json
+
+from pyspark.sql import functions as F
+
 from graphloom import cli
 from graphloom.operators.rules import Boundary, Config
+from graphloom.plans import phases
 from graphloom.plans.analyze import analyze
+from graphloom.plans.analyzers import Analyzer, by_parser
 
 APP = {
     "web/app/page.tsx": 'import { Card } from "../ui/card";\nimport { useUsers } from "../hooks";\nexport default function Home() {\n  useUsers();\n  return <Card />;\n}\n',
@@ -38,6 +44,43 @@ def test_repository_end_to_end(spark, tmp_path):
     assert found.health.first().health == 100 - 10 - 2 - 15
 
 
+def test_outside_analyzers_and_phases(spark, tmp_path, capsys):
+    """An analyzer from elsewhere adds nodes, edges, calls and routes; one whose files are absent does not run."""
+    write(tmp_path / "app", APP | {"jobs/nightly.job": "run report\ncall get /api/users\nserve get /nowhere\n", "jobs/empty.job": ""})
+
+    def parse(path, content):
+        for i, line in enumerate(content.splitlines(), 1):
+            words = line.split()
+            if words[0] == "run":
+                yield {"part": "node", "id": f"Job:{path}#{words[1]}", "kind": "Job", "name": words[1], "line": i, "meta": {"by": "hand"}}
+                yield {"part": "edge", "kind": "USES", "src": f"File:{path}", "dst": f"Job:{path}#{words[1]}"}
+            elif words[0] == "call":
+                yield {"part": "call", "method": words[1], "url": words[2], "name": "job", "line": i}
+            else:
+                yield {"part": "route", "method": words[1], "url": words[2], "id": "Job:nowhere"}
+
+    def never(files):
+        raise AssertionError("no file of its kind")
+
+    told = phases.Phases(lambda line: print(line))
+    found = analyze(spark, str(tmp_path / "app"), analyzers=[Analyzer("absent", lambda: F.col("path").endswith(".proto"), never), Analyzer("jobs", lambda: F.col("path").endswith(".job"), by_parser(parse))], told=told)
+    assert [(r.name, r.file, r.line) for r in found.nodes.where("kind = 'Job'").collect()] == [("report", "jobs/nightly.job", 1)]
+    edges = {(r.kind, r.src, r.dst) for r in found.edges.collect()}
+    assert {("USES", "File:jobs/nightly.job", "Job:jobs/nightly.job#report"), ("CALLS", "File:jobs/nightly.job", "APIEndpoint:GET /api/users"), ("CALLS", "Hook:web/hooks.ts#useNone", "Job:nowhere")} <= edges
+    assert not found.issues.where("kind = 'DANGLING_API_CALL'").count()
+    assert tuple(told.done) == phases.SCAN
+    assert told.done["files"][1] == len(APP) + 2 and told.done["nodes"][1] == found.nodes.count()
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert len(lines) == len(phases.SCAN) and lines[-1] == {"type": "progress", "stage": "issues", "percent": 100}
+    each, whole = told.run(spark, 1)
+    more = spark.createDataFrame([(2, "files", 50.0, 1)], each.schema)
+    mean, total = phases.means(each.unionByName(more), whole.unionByName(spark.createDataFrame([(2, 50.0, 1)], whole.schema)))
+    got = {r.phase: r.ms for r in mean.collect()}
+    assert abs(got["files"] - (told.done["files"][0] + 50) / 2) < 1e-6 and abs(got["ts"] - told.done["ts"][0] / 2) < 1e-6
+    assert total.first().peak_rss > 1
+    assert phases.means(each.where("false"), whole.where("false"))[0].count() == 0
+
+
 def test_command_line(spark, tmp_path, capsys):
     write(tmp_path / "app", APP)
     assert cli.main(["scan", str(tmp_path / "app"), str(tmp_path / "a")]) == 0
