@@ -178,10 +178,32 @@ def summary(nodes: DataFrame) -> DataFrame:
 
 
 def api_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """JOIN-25, SRT-10: endpoints with what exposes them and their first caller."""
-    points = nodes.where("kind = 'APIEndpoint'").select("id", "name", F.col("meta")["method"].alias("method"), F.col("meta")["path"].alias("path"))
-    first = lambda kind, name: edges.where(F.col("kind") == kind).groupBy(F.col("dst").alias("id")).agg(F.min_by("src", "ord").alias(name))
-    return points.join(first("EXPOSES", "exposed_by"), "id", "left").join(first("CALLS", "caller"), "id", "left").orderBy("path", "method")
+    """JOIN-25, SRT-10: endpoints with what exposes them, the serializer that it uses, the model behind that, and their
+    caller with its confidence. Of several edges the first counts; a serializer or model is the first target of its kind.
+    An end that is no node keeps its id (exposed_by, caller) and has no name."""
+    has = lambda df, c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    meta, words = F.col("meta"), F.split("name", " ")
+    place = F.when(F.col("at_line") > 0, F.concat("at_file", F.lit(":"), "at_line")).otherwise(F.col("at_file"))
+    points = nodes.where("kind = 'APIEndpoint'").select("id", "name", F.coalesce(meta["method"], words[0]).alias("method"), F.coalesce(meta["path"], F.get(words, F.lit(1)), F.lit("")).alias("path"), meta["source"].alias("source"), has(nodes, "file").alias("at_file"), has(nodes, "line", "int").alias("at_line"))
+    points = points.withColumn("location", place).drop("at_file", "at_line")
+    named = nodes.select("id", "kind", "name")
+
+    def into(kind: str, end: str) -> DataFrame:
+        held = edges.where(F.col("kind") == kind).select(F.col("dst").alias("id"), "src", has(edges, "confidence").alias("confidence"), "ord")
+        first = held.groupBy("id").agg(F.min_by(F.struct("src", "confidence"), "ord").alias("e"))
+        return first.join(named.select(F.col("id").alias("src"), F.col("name").alias(f"{end}_name")), F.col("e.src") == F.col("src"), "left").select("id", F.col("e.src").alias(end), F.col("e.confidence").alias(f"{end}_confidence"), f"{end}_name")
+
+    def used(source: str, goal: str) -> DataFrame:
+        """(from, id, name): the first target of a kind that nodes of another use."""
+        ends = named.where(F.col("kind") == goal).select(F.col("id").alias("dst"), F.col("name").alias("goal"))
+        rows = edges.where("kind = 'USES'").select("src", "dst", "ord").join(ends, "dst")
+        return rows.groupBy(F.col("src").alias(source)).agg(F.min_by(F.struct("dst", "goal"), "ord").alias(goal))
+
+    rows = points.join(into("EXPOSES", "exposed_by"), "id", "left").join(into("CALLS", "caller"), "id", "left")
+    rows = rows.withColumn("view", F.when(F.col("exposed_by_name").isNotNull(), F.col("exposed_by"))).join(used("view", "Serializer"), "view", "left")
+    rows = rows.withColumn("shown", F.col("Serializer.dst")).join(used("shown", "Model"), "shown", "left")
+    out = rows.select("id", "name", "method", "path", "source", "location", "exposed_by", F.col("exposed_by_name").alias("viewset"), F.col("Serializer.goal").alias("serializer"), F.col("Model.goal").alias("model"), "caller", "caller_name", F.col("caller_confidence").alias("confidence"))
+    return out.orderBy("path", "method")
 
 
 #: Up to this many repositories are broadcast to the nodes.

@@ -218,3 +218,37 @@ def agg29_phase_means(spark, d):
     each, whole = phases.means(events, events.groupBy("run").agg(F.sum("ms").alias("total_ms"), F.max("event_id").alias("peak_rss")))
     each = each.select("phase", F.round("ms", 6).alias("ms"), F.lit(None).cast("long").alias("peak_rss"))
     return each.unionByName(whole.select(F.lit("total").alias("phase"), F.round("total_ms", 6).alias("ms"), "peak_rss"))
+
+
+@query("""
+WITH p AS (SELECT page_id AS i FROM pages), x AS (SELECT i // 3 AS e, min(i) AS v FROM p GROUP BY 1), c AS (SELECT i // 2 AS e, max(i) AS c FROM p GROUP BY 1),
+m AS (SELECT i, CASE WHEN i + 1 IN (SELECT i FROM p) THEN i + 1 ELSE i // 5 END AS m FROM p)
+SELECT 'APIEndpoint:' || p.i AS id, CASE WHEN p.i % 4 = 0 THEN 'get' ELSE 'POST' END AS method, CASE WHEN p.i % 4 = 0 THEN '/p/' ELSE '/x/' END || p.i AS path, CASE WHEN p.i % 2 = 1 THEN 'drf' END AS source,
+ CASE WHEN p.i % 3 <> 0 THEN 'f' || p.i || CASE WHEN p.i % 2 = 0 THEN ':' || (p.i + 1) ELSE '' END END AS location, CASE WHEN v % 7 <> 0 THEN 'V' || v END AS viewset, CASE WHEN v % 7 <> 0 THEN 'S' || (v // 2) END AS serializer,
+ CASE WHEN v % 7 <> 0 THEN 'M' || m.m END AS model, 'P' || c AS caller_name, CASE c % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS confidence
+FROM p LEFT JOIN x ON x.e = p.i LEFT JOIN c ON c.e = p.i LEFT JOIN m ON m.i = v // 2
+""")
+def join25_api_chain(spark, d):
+    """Pages as endpoints, view sets, serializers, models and callers; some view sets are no nodes, some metadata is absent,
+    and the first use of a view set is of another kind."""
+    i = F.col("page_id")
+    s = lambda prefix, n=i: F.concat(F.lit(prefix), F.floor(n).cast("string"))
+    pages = A.table(spark, d, "pages")
+    meta = F.when(i % 4 != 0, F.create_map(F.lit("method"), F.lit("POST"), F.lit("path"), s("/x/"), F.lit("source"), F.when(i % 2 == 1, "drf")))
+    none = F.lit(None).cast("map<string,string>")
+    node = lambda kind, short: pages.select(s(kind + ":").alias("id"), F.lit(kind).alias("kind"), s(short).alias("name"), none.alias("meta"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"))
+    nodes = pages.select(s("APIEndpoint:").alias("id"), F.lit("APIEndpoint").alias("kind"), s("get /p/").alias("name"), meta.alias("meta"), F.when(i % 3 != 0, s("f")).alias("file"), F.when((i % 3 != 0) & (i % 2 == 0), i + 1).alias("line"))
+    for more in (node("ViewSet", "V").where(F.substring("name", 2, 20).cast("long") % 7 != 0), node("Serializer", "S"), node("Model", "M"), node("Page", "P")):
+        nodes = nodes.unionByName(more)
+    edge = lambda kind, src, dst, order, grade=F.lit(None).cast("string"): pages.select(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), grade.alias("confidence"), order.alias("ord"))
+    edges = edge("EXPOSES", s("ViewSet:"), s("APIEndpoint:", i / 3), i)
+    for more in (
+        edge("USES", s("ViewSet:"), s("Model:"), i * 10),
+        edge("USES", s("ViewSet:"), s("Serializer:", i / 2), i * 10 + 1),
+        edge("USES", s("ViewSet:"), s("Serializer:"), i * 10 + 2),
+        edge("USES", s("Serializer:"), s("Model:", i + 1), i * 10 + 3),
+        edge("USES", s("Serializer:"), s("Model:", i / 5), i * 10 + 4),
+        edge("CALLS", s("Page:"), s("APIEndpoint:", i / 2), -i, F.when(i % 3 == 0, "high").when(i % 3 == 1, "medium").otherwise("low")),
+    ):
+        edges = edges.unionByName(more)
+    return S.api_map(nodes, edges).select("id", "method", "path", "source", "location", "viewset", "serializer", "model", "caller_name", "confidence")
