@@ -17,6 +17,7 @@ from graphloom.sources import coverage as coverage_source
 from graphloom.sources import files as file_source
 from graphloom.sources import python_facts, services, ts_facts
 from graphloom.sources.cache import FactsCache
+from graphloom.sources.routers import route_graph
 from graphloom.sources.ts_facts import SIZE_GUARD
 
 NODE_COLUMNS = ("id", "kind", "name", "file", "line", "meta", "ord")
@@ -91,7 +92,7 @@ def facts(source, files: DataFrame, cache: FactsCache | None = None) -> DataFram
 
 def _routes(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<id:string,name:string>>")
-    rows = rows if "response_fields" in rows.columns else rows.withColumn("response_fields", none)
+    rows = rows.withColumn("response_fields", F.coalesce("response_fields", none) if "response_fields" in rows.columns else none)
     rows = rows if "route_ord" in rows.columns else rows.withColumn("route_ord", F.xxhash64("method", "path"))
     return rows.select("route_ord", "method", "path", "endpoint_id", "response_fields")
 
@@ -104,18 +105,20 @@ def fragment(files: DataFrame, script: DataFrame, python: DataFrame, graph_too:
     api_nodes, api_routes = services.openapi(documents)
     box_nodes, box_edges = services.compose(stacks)
     modules = ts_facts.Modules(file_source.path_aliases(files), file_source.workspace_packages(files))
-    owned = lambda df, kind: df.withColumn("owner", F.lit(kind))
-    found = owned(ts_facts.express_routes(script, files, modules).unionByName(python_facts.http_routes(python)), "Function").unionByName(owned(python_facts.drf_routes(python, files), "ViewSet"))
-    end_nodes, end_edges, routes = endpoints(found, python_facts.view_fields(python))
+    end_nodes, end_edges, routes = endpoints(python_facts.drf_routes(python, files).withColumn("owner", F.lit("ViewSet")), python_facts.view_fields(python))
+    js_nodes, js_edges, js_routes = route_graph(ts_facts.express_map(script, files, modules), ts_facts.symbols(script).select("file", "name", "id"))
+    py_nodes, py_edges, py_routes = route_graph(python_facts.http_map(python), python_facts.functions(python))
     nest_nodes, nest_edges, nest_routes = ts_facts.nest_graph(script)
-    routes = _routes(routes).unionByName(_routes(nest_routes)).unionByName(_routes(api_routes))
+    routes = _routes(routes)
+    for more in (js_routes, py_routes.join(python_facts.answer_fields(python), "shows", "left"), nest_routes, api_routes):
+        routes = routes.unionByName(_routes(more))
     if not graph_too:
         return Fragment(None, None, ts_facts.api_calls(script), routes)
     page_nodes, page_edges = ts_facts.page_routes(script)
     own = lambda fact, kind: python.where(F.col("fact") == fact).select(F.concat(F.lit(kind + ":"), "file", F.lit("#"), "name").alias("id"), F.lit(kind).alias("kind"), "name", "file", "line", "ord")
     fields = python.where("fact = 'field'").select(F.concat(F.lit("Field:"), "file", F.lit("#"), F.col("owner"), F.lit("#"), "name").alias("id"), F.lit("Field").alias("kind"), "name", "file", "line", "ord")
-    parts = [file_source.file_nodes(files), ts_facts.symbols(script), ts_facts.type_symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), python_facts.signal_nodes(python), fields, page_nodes, nest_nodes, end_nodes, api_nodes, box_nodes]
-    edge_parts = [ts_facts.import_edges(script, files, modules), ts_facts.usage_edges(script, files, modules), python_facts.import_edges(python, files), graph.with_edge_ids(python_facts.model_edges(python)), graph.with_edge_ids(python_facts.use_edges(python)), python_facts.call_edges(python), end_edges, page_edges, nest_edges, graph.with_edge_ids(box_edges)]
+    parts = [file_source.file_nodes(files), ts_facts.symbols(script), ts_facts.type_symbols(script), own("function", "Function"), own("model", "Model"), own("serializer", "Serializer"), own("view", "ViewSet"), own("celery_task", "CeleryTask"), own("manager", "Manager"), python_facts.signal_nodes(python), fields, page_nodes, nest_nodes, js_nodes, py_nodes, end_nodes, api_nodes, box_nodes]
+    edge_parts = [ts_facts.import_edges(script, files, modules), ts_facts.usage_edges(script, files, modules), python_facts.import_edges(python, files), graph.with_edge_ids(python_facts.model_edges(python)), graph.with_edge_ids(python_facts.use_edges(python)), python_facts.call_edges(python), end_edges, page_edges, nest_edges, js_edges, py_edges, graph.with_edge_ids(box_edges)]
     return Fragment(graph.union_fragments(*[_nodes(p) for p in parts]), graph.union_fragments(*[_edges(p) for p in edge_parts]), ts_facts.api_calls(script), routes)
 
 

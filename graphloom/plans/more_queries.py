@@ -17,7 +17,7 @@ from graphloom.plans import projects
 from graphloom.plans.analyze import endpoints
 from graphloom.plans.queries import _endpoint_nodes, query
 from graphloom.sinks import reports
-from graphloom.sources import coverage, python_facts, ts_facts
+from graphloom.sources import coverage, python_facts, routers, ts_facts
 from graphloom.sources import files as file_source
 
 # --- graph and search ------------------------------------------------------------------------------
@@ -391,6 +391,49 @@ def join13_express_routes(spark, d):
     return ts_facts.express_routes(ts_facts.extract(files), files).select("method", "path", "handler")
 
 
+@query("""
+WITH k AS (SELECT p_partkey AS k, p_partkey // 200 AS g, p_partkey % 4 AS c FROM part),
+js AS (SELECT k, c, 'srv/r' || k || '.js' AS f, 'srv/app' || g || '.js' AS a, '/api/p' || k AS p FROM k WHERE c IN (0, 2)),
+py AS (SELECT k, c, 'py/r' || k || '.py' AS f, 'py/main' || g || '.py' AS a FROM k WHERE c IN (1, 3)),
+r AS (
+  SELECT f, 'router' AS own, 'GET ' || p || '/x/{id}' AS called, ['auth', 'show'] AS handlers FROM js WHERE c = 0
+  UNION ALL SELECT f, 'router', 'POST ' || p || '/y', ['show'] FROM js WHERE c = 0
+  UNION ALL SELECT f, 'inner', 'DELETE ' || p || '/in/z', [] FROM js WHERE c = 2
+  UNION ALL SELECT f, 'router', 'PUT ' || p || '/w', [] FROM js WHERE c = 2
+  UNION ALL SELECT a, 'app', 'USE ' || p, ['guard'] FROM js
+  UNION ALL SELECT f, 'r' || k, 'GET /p' || k || '/items/{id}', ['read'] FROM py WHERE c = 1
+  UNION ALL SELECT f, 'r' || k, unnest(['GET', 'PUT']) || ' /v1/b' || k || '/{n}', ['both'] FROM py WHERE c = 3),
+e AS (
+  SELECT 'REGISTERED_IN' AS kind, 'Route:' || f || '#' || called AS src, 'Service:' || f || '#' || own AS dst FROM r
+  UNION ALL SELECT 'EXPOSES', 'Route:' || f || '#' || called, 'APIEndpoint:' || called FROM r WHERE called NOT LIKE 'USE %'
+  UNION ALL SELECT 'USES', 'Route:' || f || '#' || called, 'Function:' || f || '#' || unnest(handlers) FROM r
+  UNION ALL SELECT 'REGISTERED_IN', 'Service:' || f || '#router', 'Service:' || a || '#app' FROM js
+  UNION ALL SELECT 'REGISTERED_IN', 'Service:' || f || '#inner', 'Service:' || f || '#router' FROM js WHERE c = 2
+  UNION ALL SELECT 'REGISTERED_IN', 'Service:' || f || '#r' || k, 'Service:' || a || '#web' FROM py WHERE c = 3)
+SELECT kind, src, dst FROM e
+""")
+def join35_route_graph(spark, d):
+    """A router file per part, in four shapes: Express with middleware, a chained route and text that looks like code; two
+    Express routers of which a renamed one is exported; FastAPI that nobody mounts; a Flask blueprint."""
+    n = F.col("p_partkey")
+    k, g = n.cast("string"), F.floor(n / BESIDE)
+    line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    plain = F.lit("const router = express.Router();\nfunction auth(q, s, n) { n(); }\nconst show = (q, s) => { s.end(); };\n// router.get('/never', show);\nconst note = \"router.get('/text', show)\";\nrouter.get('/x/:id', auth, [missing, show]);\nrouter.route('/y').post(show);\nexport default router;\n")
+    nested = line("const inner = Router();\nconst router = Router();\nrouter.use('/in', inner);\ninner.delete(`/z`, drop);\nrouter.put('w', function (q, s) { s.end(); });\nexport { router as r", k, " };\n")
+    fast = line("from fastapi import APIRouter\nr", k, " = APIRouter(prefix='/p", k, "/')\n\n@r", k, ".get('/items/{id}')\ndef read(id):\n    return '@r.get(1)'\n")
+    flask = line("from flask import Blueprint\nr", k, " = Blueprint('b', __name__, url_prefix='/b", k, "')\n\n@r", k, ".route('/<int:n>', methods=['GET', 'PUT'])\ndef both(n):\n    return n\n")
+    part, script = A.table(spark, d, "part"), n % 2 == 0
+    files = _rendered(part, F.when(script, line("srv/r", k, ".js")).otherwise(line("py/r", k, ".py")), F.when(n % 4 == 0, plain).when(n % 4 == 2, nested).when(n % 4 == 1, fast).otherwise(flask))
+    joined = lambda rows, text: F.array_join(F.collect_list(F.when(rows, text)), "")
+    asked = F.when(n % 4 == 0, line("r", k)).otherwise(line("{ r", k, " }"))
+    apps = part.groupBy(g.cast("string").alias("g")).agg(joined(script, line("import ", asked, " from './r", k, "';\n")).alias("imports"), joined(script, line("app.use('/api/p", k, "', guard, r", k, ");\n")).alias("uses"), joined(n % 4 == 3, line("web.register_blueprint(r", k, ", url_prefix='/v1')\n")).alias("blueprints"))
+    files = files.unionByName(_rendered(apps, line("srv/app", F.col("g"), ".js"), line(F.col("imports"), "const app = express();\nfunction guard(q, s, n) { n(); }\napp.use(guard);\n", F.col("uses"))))
+    files = files.unionByName(_rendered(apps, line("py/main", F.col("g"), ".py"), line("from flask import Flask\nweb = Flask(__name__)\n", F.col("blueprints"))))
+    script, python = ts_facts.extract(files), python_facts.extract(files)
+    js = routers.route_graph(ts_facts.express_map(script, files), ts_facts.symbols(script).select("file", "name", "id"))[1]
+    return js.unionByName(routers.route_graph(python_facts.http_map(python), python_facts.functions(python))[1]).select("kind", "src", "dst")
+
+
 @query("""
 SELECT 'Route:ui/r' || p_partkey || '.tsx#PAGE /s' || p_partkey || '/{id}' AS id, 'Component:ui/r' || p_partkey || '.tsx#P' || p_partkey AS shows FROM part UNION ALL SELECT 'Route:ui/r' || p_partkey || '.tsx#PAGE /s' || p_partkey, NULL FROM part
 """)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.storage import Store
 
 #: To be raised whenever extractors find other facts: tables of other versions are passed over.
-VERSION = 2
+VERSION = 3
 
 
 class FactsCache:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import basename, dirname, edge_id, join_path, typed_params
 from graphloom.operators.graph import Steps
+from graphloom.sources.routers import RouterMap, prefixes
 
 FACT = "array<struct<fact: string, name: string, owner: string, target: string, extra: string, line: int>>"
 #: Fixed values.
@@ -204,34 +205,49 @@ def import_edges(facts: DataFrame, files: DataFrame) -> DataFrame:
     return ends.select(edge_id(F.lit("IMPORTS"), F.col("src"), F.col("dst")).alias("id"), "src", "dst", F.lit("IMPORTS").alias("kind"))
 
 
-def http_routes(facts: DataFrame) -> DataFrame:
-    """JOIN-12, JOIN-35, GRF-08: (method, path, handler, file) of FastAPI and Flask routes.
+def http_map(facts: DataFrame) -> RouterMap:
+    """EXT-22, JOIN-12, GRF-08: FastAPI and Flask applications and routers.
 
-    A router's prefixes are its own behind those of the routers that mount it, to any depth (a router that
-    would mount itself again ends its path); routers are known by name within their file, or where one
-    file alone has the name.
+    A router's prefixes are its own behind those of the routers that mount it; applications and routers that nobody
+    mounts start with their own. Names are routers of their file, or of the one file that has the name.
     """
-    routers = facts.where("fact = 'router'").select("file", "name", F.coalesce("target", F.lit("")).alias("own"), F.col("extra").alias("made"))
-    single = routers.groupBy("name").agg(F.count("*").alias("n"), F.first("file").alias("only")).where("n = 1").select(F.col("name").alias("child"), "only")
-    mounts = facts.where("fact = 'mount'").select("file", F.col("name").alias("parent"), F.element_at(F.split("target", r"\."), -1).alias("last"), F.element_at(F.split("target", r"\."), 1).alias("child0"), F.coalesce("extra", F.lit("")).alias("at"))
+    kept = Steps(facts.sparkSession, "http")
+    app = F.col("extra").isin("FastAPI", "Flask")
+    own = F.when(app, "").otherwise(F.coalesce("target", F.lit("")))
+    made = facts.where("fact = 'router'").select("file", "name", own.alias("own"), app.alias("app"), F.when(F.col("extra").isin("Flask", "Blueprint"), "flask").otherwise("fastapi").alias("framework"), "line", "ord")
+    made = kept.put(made.groupBy("file", "name").agg(*[F.max_by(c, "ord").alias(c) for c in ("own", "app", "framework", "line")], F.max("ord").alias("ord")), "routers")
+    single = made.groupBy("name").agg(F.count("*").alias("n"), F.first("file").alias("only")).where("n = 1").drop("n")
+    mounts = facts.where("fact = 'mount'").select("file", F.col("name").alias("parent"), F.substring_index("target", ".", -1).alias("last"), F.coalesce("extra", F.lit("")).alias("path"))
     imported = facts.where("fact = 'import' and extra is not null").select("file", F.col("name").alias("last"), F.col("extra").alias("real")).distinct()
-    mounts = mounts.join(imported, ["file", "last"], "left").withColumn("child", F.coalesce("real", "last"))
-    named = mounts.join(single, "child", "left").select(F.col("file").alias("in_file"), "parent", "child", "at", F.coalesce("only", "file").alias("child_file"))
-    steps, spot = Steps(facts.sparkSession, "routers"), F.concat("file", F.lit("#"), "name")
-    routers, named = steps.put(routers, "routers"), steps.put(named, "mounts")
-    level = steps.put(routers.where("made in ('FastAPI', 'Flask')").select("file", "name", F.col("own").alias("prefix"), F.array(spot).alias("seen")), "0")
-    every = level.drop("seen")
-    for k in count(1):
-        met = level.join(named, (F.col("file") == F.col("in_file")) & (F.col("name") == F.col("parent"))).select(F.col("child_file").alias("file"), F.col("child").alias("name"), F.concat("prefix", F.lit("/"), "at").alias("prefix"), "seen")
-        met = met.where(~F.array_contains("seen", spot)).join(routers.select("file", "name", "own"), ["file", "name"])
-        level = steps.put(met.select("file", "name", F.concat("prefix", F.lit("/"), "own").alias("prefix"), F.concat("seen", F.array(spot)).alias("seen")).distinct(), str(k))
-        if level.isEmpty():
-            break
-        every = every.unionByName(level.drop("seen"))
-    every = every.distinct()
-    routes = facts.where("fact = 'route'").select("file", F.col("owner").alias("name"), F.col("name").alias("handler"), F.col("target").alias("path"), F.split("extra", r"\|")[0].alias("method"))
-    met = routes.join(every, ["file", "name"], "left")
-    return met.select("method", join_path(F.col("prefix"), typed_params(F.col("path"))).alias("path"), "handler", "file").distinct()
+    mounts = mounts.join(imported, ["file", "last"], "left").withColumn("name", F.coalesce("real", "last"))
+
+    def placed(rows: DataFrame, name: str, file: str) -> DataFrame:
+        """With `file`: where the router of a name in a file is."""
+        near = made.select("file", F.col("name").alias(name), F.col("file").alias("near"))
+        far = single.select(F.col("name").alias(name), "only")
+        return rows.join(near, ["file", name], "left").join(far, name, "left").withColumn(file, F.coalesce("near", "only")).drop("near", "only").where(F.col(file).isNotNull())
+
+    below = placed(placed(mounts, "parent", "parent_file"), "name", "home").select("parent_file", "parent", F.col("home").alias("file"), "name", "path")
+    below = kept.put(below.join(made.select("file", "name", "own"), ["file", "name"]).distinct(), "mounts")
+    seeds = made.join(below.select("file", "name", F.lit(True).alias("mounted")).distinct(), ["file", "name"], "left").where("app or mounted is null")
+    clean = lambda *c: typed_params(F.concat_ws("/", *c))
+    every = prefixes(seeds.select("file", "name", clean("own").alias("prefix")), below.select("parent_file", "parent", "file", "name", clean("path", "own").alias("path")))
+    every = every.unionByName(made.join(every, ["file", "name"], "left_anti").select("file", "name", clean("own").alias("prefix")))
+    routes = facts.where("fact = 'route'").select("file", F.col("owner").alias("name"), F.array("name").alias("handlers"), F.col("target").alias("path"), F.substring_index("extra", "|", 1).alias("method"), F.nullif(F.substring_index("extra", "|", -1), F.lit("")).alias("shows"), "line", "ord")
+    routes = routes.join(made.select("file", "name", "framework"), ["file", "name"]).join(every, ["file", "name"])
+    routes = routes.select("file", "name", F.col("file").alias("at"), "framework", "method", join_path(F.col("prefix"), typed_params(F.col("path"))).alias("path"), "handlers", "shows", "line", "ord")
+    services = made.select("file", "name", "framework", F.when(F.col("app"), "app").otherwise("router").alias("type"), F.lit(None).cast("boolean").alias("exported"), "line", "ord")
+    return RouterMap(services, below.select("file", "name", "parent_file", "parent").distinct(), routes)
+
+
+def http_routes(facts: DataFrame) -> DataFrame:
+    """JOIN-12, JOIN-35: (method, path, handler, file) of FastAPI and Flask routes."""
+    return http_map(facts).routes.select("method", "path", F.element_at("handlers", 1).alias("handler"), F.col("at").alias("file")).distinct()
+
+
+def functions(facts: DataFrame) -> DataFrame:
+    """EXT-21: (file, name, id) of functions."""
+    return facts.where("fact = 'function'").select("file", "name", F.concat(F.lit("Function:"), "file", F.lit("#"), "name").alias("id")).distinct()
 
 
 def model_edges(facts: DataFrame) -> DataFrame:
@@ -306,14 +322,24 @@ def view_fields(facts: DataFrame) -> DataFrame:
     """JOIN-02: (handler, response_fields): the model fields that a view's serializer shows, as (id, name)."""
     latest = lambda fact: facts.where(F.col("fact") == fact).groupBy("name").agg(F.max_by("target", F.struct("file", "ord")).alias("to"))
     shown = facts.where("fact = 'serializer_field'").select(F.col("name").alias("serializer"), F.col("target").alias("field")).distinct()
-    models = facts.where("fact = 'model'").groupBy("name").agg(F.max_by("file", F.struct("file", "ord")).alias("at"))
-    fields = facts.where("fact = 'field'").select("file", F.col("owner").alias("name"), F.col("name").alias("own")).join(models, "name").where("file = at")
-    fields = fields.select(F.col("name").alias("model"), "own", F.concat(F.lit("Field:"), "file", F.lit("#"), "name", F.lit("#"), "own").alias("id"))
     made = latest("view_serializer").select(F.col("name").alias("handler"), F.col("to").alias("serializer")).join(latest("serializer_model").select(F.col("name").alias("serializer"), F.col("to").alias("model")), "serializer")
-    rows = made.join(shown, "serializer").join(fields, "model").where("field = own or field = '__all__'").select("handler", "id", F.col("own").alias("name")).distinct()
+    rows = made.join(shown, "serializer").join(_model_fields(facts), "model").where("field = own or field = '__all__'").select("handler", "id", F.col("own").alias("name")).distinct()
     return rows.groupBy("handler").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("response_fields"))
 
 
+def _model_fields(facts: DataFrame) -> DataFrame:
+    """(model, own, id): the fields of models; of models of one name, those of the last file."""
+    models = facts.where("fact = 'model'").groupBy("name").agg(F.max_by("file", F.struct("file", "ord")).alias("at"))
+    fields = facts.where("fact = 'field'").select("file", F.col("owner").alias("name"), F.col("name").alias("own")).join(models, "name").where("file = at")
+    return fields.select(F.col("name").alias("model"), "own", F.concat(F.lit("Field:"), "file", F.lit("#"), "name", F.lit("#"), "own").alias("id"))
+
+
+def answer_fields(facts: DataFrame) -> DataFrame:
+    """JOIN-02: (shows, response_fields): the fields of a model that a route names as its answer."""
+    rows = _model_fields(facts).select(F.col("model").alias("shows"), F.struct("id", F.col("own").alias("name")).alias("x")).distinct()
+    return rows.groupBy("shows").agg(F.array_sort(F.collect_list("x")).alias("response_fields"))
+
+
 def url_mounts(facts: DataFrame, files: DataFrame) -> DataFrame:
     """GRF-06: (file, prefix): where each URL file is mounted, by walking include() from the root one. Modules
     are files below the folder of manage.py. A file's includes are followed once, so circles end."""

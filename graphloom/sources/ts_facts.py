@@ -13,14 +13,14 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import dirname, edge_id, route_path
+from graphloom.functions.text import dirname, edge_id, join_path, route_path
 from graphloom.operators.graph import Steps
+from graphloom.sources.routers import RouterMap, prefixes
 from graphloom.sources.scopes import scopes
 
 FACT = "array<struct<fact: string, name: string, owner: string, target: string, extra: string, line: int>>"
@@ -43,7 +43,10 @@ MEMBER = re.compile(r"(?:readonly\s+)?([\"'])?([A-Za-z_$][\w$]*)(?(1)\1)\??\s*:(
 IGNORED_READS = frozenset(("catch", "data", "filter", "finally", "forEach", "get", "json", "length", "map", "post", "push", "reduce", "slice", "then", "toString", "trim"))
 CONTEXT = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:React\.)?createContext\b")
 EXPRESS = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(express\(\)|(?:express\.)?Router\()")
-EXPRESS_ROUTE = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|use)\(\s*[\"'`]([^\"'`]*)[\"'`]\s*,\s*([^;\n]*)\)")
+EXPRESS_CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\.\s*(use|(?i:get|post|put|patch|delete)|route)\s*(\()")
+EXPRESS_VERB = re.compile(r"\s*\.\s*((?i:get|post|put|patch|delete))\s*(\()")
+LITERAL = re.compile(r"\s*(?:([\"'])(.*?)\1|`([^`$]*)`)\s*", re.S)
+IDENTIFIER = re.compile(r"\s*([A-Za-z_$][\w$]*)\s*")
 ROUTE_TAG = re.compile(r"</Route\s*>|<Route\b((?:[^>{]|\{[^}]*\})*?)(/?)>", re.S)
 ROUTE_PATH = re.compile(r"\bpath=(?:\{\s*)?([\"'])(.*?)\1", re.S)
 ROUTE_ELEMENT = re.compile(r"\belement=\{\s*<([A-Z][\w$]*)")
@@ -195,11 +198,57 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
         method = re.search(r"method\s*:\s*[\"'`](\w+)", m[4] or "")
         if url.startswith(("/", "http://", "https://")):
             add("api_call", m.start(), m[1], owner(m.start()), url, f"{(method[1] if method else 'GET').upper()}|{str(dynamic).lower()}")
-    for fact, pattern in (("axios", AXIOS), ("context", CONTEXT), ("express", EXPRESS)):
+    for fact, pattern in (("axios", AXIOS), ("context", CONTEXT)):
         for m in in_code(pattern):
             add(fact, m.start(), m[1], target=m[2] if m.re.groups > 1 else None)
-    for m in in_code(EXPRESS_ROUTE):
-        add("mount" if m[2] == "use" else "express_route", m.start(), m[1], target=m[3], extra=f"{m[2].upper()}|{m[4].split(',')[-1].strip(' )')}")
+    shown_as = [(m[1], "default") for m in re.finditer(r"\bexport\s+default\s+([A-Za-z_$][\w$]*)", mask)]
+    shown_as += [pair for m in re.finditer(r"\bexport\s*\{([^}]*)\}(?!\s*from\b)", mask) for pair in _named(m[1])]
+    for m in in_code(EXPRESS):
+        exported = [m[1]] if re.search(r"\bexport\s+$", mask[max(0, m.start() - 20) : m.start()]) else []
+        add("express", m.start(), m[1], target=m[2], extra=",".join([*exported, *(name for own, name in shown_as if own == m[1])]))
+
+    def arguments(at: int) -> list[tuple[int, int]]:
+        """The spans of what the commas of a bracket part."""
+        end = seen.close.get(at, len(mask))
+        cuts, i = [at], at + 1
+        while i < end:
+            if mask[i] in "([{":
+                i = seen.close.get(i, end)
+            elif mask[i] == ",":
+                cuts.append(i)
+            i += 1
+        return [(a + 1, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True) if code[a + 1 : b].strip()]
+
+    def named(spans_: list[tuple[int, int]]) -> list[str]:
+        """The identifiers among arguments and among the members of their arrays."""
+        names = []
+        for a, b in spans_:
+            if m := IDENTIFIER.fullmatch(code, a, b):
+                names.append(m[1])
+            elif code[a:b].lstrip().startswith("["):
+                inner = arguments(code.index("[", a))
+                names += [m[1] for x, y in inner if (m := IDENTIFIER.fullmatch(code, x, y))]
+        return names
+
+    def literal(spans_: list[tuple[int, int]]) -> str | None:
+        m = LITERAL.fullmatch(code, *spans_[0]) if spans_ else None
+        return (m[2] or m[3]) if m else None
+
+    for m in EXPRESS_CALL.finditer(mask):
+        given, verb = arguments(m.start(3)), m[2]
+        path = literal(given)
+        if verb == "use":
+            if names := named(given[1:] if path else given):
+                add("express_use", m.start(), m[1], target=path or "/", extra="USE|" + ",".join(names))
+            continue
+        rest = given[1:]
+        if verb == "route":
+            then = EXPRESS_VERB.match(mask, seen.close.get(m.start(3), len(mask)) + 1)
+            if not then:
+                continue
+            verb, rest = then[1], arguments(then.start(2))
+        if path:
+            add("express_route", m.start(), m[1], target=path, extra=f"{verb.upper()}|{','.join(named(rest))}")
     open_paths: list[str | None] = []
     for m in in_code(ROUTE_TAG):
         if m[1] is None:
@@ -383,32 +432,41 @@ def api_calls(facts: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("file", "ord").alias("call_ord"), method.alias("method"), F.col("target").alias("url"), F.col("name").alias("client"), dynamic.alias("dynamic"), "line", "file", F.coalesce("caller", F.concat(F.lit("File:"), "file")).alias("caller_id"), join_url(F.col("base"), F.col("target")).alias("full_url"), F.coalesce("reads", F.array().cast("array<struct<field:string,line:int,confidence:string>>")).alias("response_fields"))
 
 
-def express_routes(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:
-    """JOIN-13, GRF-09, JOIN-35: (method, path, handler, file): apps start at /, routers below their mounts,
-    by import or in the same file; those nobody mounts at /. Mounts are followed to any depth; a router that
-    would mount itself again ends its path."""
-    made = facts.where("fact = 'express'").select("file", "name", (F.col("target") == "express()").alias("app"))
-    imports = facts.where("fact = 'import'").select("file", "name", "target").distinct()
-    bound = imports.join(resolve(imports.select("file", "target").distinct(), files, modules), ["file", "target"]).select(F.col("file").alias("f"), F.col("name").alias("n"), "to")
-    handler = F.split("extra", r"\|")[1]
-    mounts = facts.where("fact = 'mount'").select("file", F.col("name").alias("parent"), F.col("target").alias("at"), handler.alias("child"))
-    mounts = mounts.join(bound, (F.col("file") == F.col("f")) & (F.col("child") == F.col("n")), "left").select(F.col("file").alias("mf"), "parent", "at", "child", F.coalesce("to", "file").alias("child_file"))
-    steps = Steps(facts.sparkSession, "express")
-    mounts, own = steps.put(mounts, "mounts"), steps.put(made.where("not app").select(F.col("file").alias("child_file"), "name"), "routers")
-    spot = F.concat("file", F.lit("#"), "name")
-    level = steps.put(made.where("app").select("file", "name", F.lit("/").alias("prefix"), F.array(spot).alias("seen")), "0")
-    every = level.drop("seen")
-    for k in count(1):
-        met = level.join(mounts, (F.col("file") == F.col("mf")) & (F.col("name") == F.col("parent"))).select("child_file", "child", F.concat("prefix", F.lit("/"), "at").alias("prefix"), "seen")
-        met = met.join(own, "child_file").select(F.col("child_file").alias("file"), "name", route_path(F.col("prefix")).alias("prefix"), "seen").where(~F.array_contains("seen", spot))
-        level = steps.put(met.withColumn("seen", F.concat("seen", F.array(spot))).distinct(), str(k))
-        if level.isEmpty():
-            break
-        every = every.unionByName(level.drop("seen"))
-    every = every.distinct()
+def express_map(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> RouterMap:
+    """EXT-24, JOIN-13, GRF-09: Express applications at /, routers below their mounts, those nobody mounts at /.
+
+    A name is a router of its file or, through an import, the one that the other file exports by the name asked for. The first
+    router among the arguments of `use` is mounted; the other names beside it are middleware (without a mounted router
+    there is none).
+    """
+    kept = Steps(facts.sparkSession, "express")
+    split = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    verb, names = F.substring_index("extra", "|", 1), split(F.substring_index("extra", "|", -1))
+    made = kept.put(facts.where("fact = 'express'").select("file", "name", (F.col("target") == "express()").alias("app"), split(F.col("extra")).alias("shown"), "line", "ord"), "made")
+    calls = kept.put(facts.where("fact in ('express_route', 'express_use')").select("fact", "file", "name", verb.alias("method"), F.col("target").alias("path"), names.alias("handlers"), "line", "ord"), "calls")
+    asked = calls.select("file", "name").unionByName(calls.where("fact = 'express_use'").select("file", F.explode("handlers").alias("name"))).distinct()
+    imports = facts.where("fact = 'import'").select("file", "name", "target", "extra").distinct().join(asked, ["file", "name"], "left_semi")
+    bound = imports.join(resolve(imports.select("file", "target").distinct(), files, modules), ["file", "target"])
+    exports = made.select(F.col("file").alias("to"), F.explode("shown").alias("extra"), F.col("name").alias("real"))
+    local = made.select("file", "name", F.col("file").alias("home"), F.col("name").alias("real"))
+    known = kept.put(local.unionByName(bound.join(exports, ["to", "extra"]).select("file", "name", F.col("to").alias("home"), "real")).distinct(), "known")
+    placed = calls.join(known, ["file", "name"]).select("fact", F.col("home").alias("parent_file"), F.col("real").alias("parent"), F.col("file").alias("at"), "method", "path", "handlers", "line", "ord")
+    args = placed.where("fact = 'express_use'").select("*", F.posexplode("handlers").alias("pos", "arg"))
+    child = args.join(known.withColumnsRenamed({"file": "at", "name": "arg"}), ["at", "arg"]).groupBy("at", "ord", "parent_file", "parent", "path").agg(F.min_by(F.struct("home", "real"), "pos").alias("child"))
+    child = kept.put(child.select("at", "ord", "parent_file", "parent", "path", F.col("child.home").alias("file"), F.col("child.real").alias("name")), "mounts")
+    every = prefixes(made.where("app").select("file", "name", F.lit("/").alias("prefix")), child.select("parent_file", "parent", "file", "name", "path"))
     loose = made.join(every, ["file", "name"], "left_anti").select("file", "name", F.lit("/").alias("prefix"))
-    routes = facts.where("fact = 'express_route'").select("file", "name", F.split("extra", r"\|")[0].alias("method"), F.col("target").alias("path"), handler.alias("handler"))
-    return routes.join(every.unionByName(loose), ["file", "name"]).select("method", route_path(F.concat("prefix", F.lit("/"), "path")).alias("path"), "handler", "file").distinct()
+    routes = placed.where("fact = 'express_route'").unionByName(placed.where("fact = 'express_use'").join(child, ["at", "ord", "parent_file", "parent"], "left_semi").select(*placed.columns))
+    routes = routes.withColumnsRenamed({"parent_file": "file", "parent": "name"}).join(every.unionByName(loose), ["file", "name"])
+    routes = routes.select("file", "name", "at", F.lit("express").alias("framework"), "method", join_path(F.col("prefix"), F.col("path")).alias("path"), "handlers", F.lit(None).cast("string").alias("shows"), "line", "ord")
+    services = made.select("file", "name", F.lit("express").alias("framework"), F.when(F.col("app"), "app").otherwise("router").alias("type"), (F.size("shown") > 0).alias("exported"), "line", "ord")
+    return RouterMap(services, child.select("file", "name", "parent_file", "parent"), routes)
+
+
+def express_routes(facts: DataFrame, files: DataFrame, modules: Modules = Modules()) -> DataFrame:
+    """JOIN-13, JOIN-35: (method, path, handler, file) of Express routes; the handler is the last name given."""
+    routes = express_map(facts, files, modules).routes.where("method <> 'USE'")
+    return routes.select("method", "path", F.try_element_at("handlers", F.lit(-1)).alias("handler"), F.col("at").alias("file")).distinct()
 
 
 def _by_name(rows: DataFrame) -> DataFrame:

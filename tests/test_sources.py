@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.sinks import reports
-from graphloom.sources import coverage, files, python_facts, services, ts_facts
+from graphloom.sources import coverage, files, python_facts, routers, services, ts_facts
 from graphloom.streaming import snapshots
 
 
@@ -129,6 +129,31 @@ def test_express_routes(spark):
     assert got == {("GET", "/health", "ok"), ("GET", "/users/{id}", "show")}
 
 
+def test_route_graphs(spark):
+    app = 'import main, { side as extra } from "./users";\nconst app = express();\nexport function log(q, s, n) { n(); }\napp.use(log);\napp.use("/users", log, main);\napp.use(extra);\napp.GET("/health", log);\nmap.get("/not/a/route", log);\n'
+    users = 'const router = Router();\nexport const side = express.Router();\nconst loop = Router();\nloop.use("/again", loop);\nfunction show() {}\nrouter.route("/:id").get([show, other]).post(show);\nside.patch("ping", () => { helper("a,b", [show]); });\nloop.get("/l", show);\nrouter.get(`/${x}`, show);\nexport default router;\n'
+    rows = spark.createDataFrame([("src/app.ts", app), ("src/users.ts", users)], "path string, content string")
+    script = ts_facts.extract(rows)
+    nodes, edges, routes = routers.route_graph(ts_facts.express_map(script, rows), ts_facts.symbols(script).select("file", "name", "id"))
+    assert {(r.method, r.path) for r in routes.collect()} == {("GET", "/users/{id}"), ("PATCH", "/ping"), ("GET", "/l"), ("GET", "/health")}
+    got = {(r.kind, r.src.replace("src/", ""), r.dst.replace("src/", "")) for r in edges.collect()}
+    assert {x for x in got if x[0] == "USES"} == {("USES", "Route:app.ts#GET /health", "Function:app.ts#log"), ("USES", "Route:app.ts#USE /users", "Function:app.ts#log"), ("USES", "Route:users.ts#GET /users/{id}", "Function:users.ts#show"), ("USES", "Route:users.ts#GET /l", "Function:users.ts#show")}
+    assert {x[1:] for x in got if x[0] == "REGISTERED_IN" and x[1].startswith("Service")} == {("Service:users.ts#router", "Service:app.ts#app"), ("Service:users.ts#side", "Service:app.ts#app"), ("Service:users.ts#loop", "Service:users.ts#loop")}
+    meta = {r.id.replace("src/", ""): r.meta for r in nodes.collect()}
+    assert meta["Service:users.ts#loop"] == {"framework": "express", "type": "router", "exported": "false"} and meta["Service:users.ts#router"]["exported"] == "true"
+    assert meta["Route:app.ts#USE /users"] == {"framework": "express", "method": "USE", "path": "/users", "middleware": "true"}
+    assert meta["APIEndpoint:PATCH /ping"] == {"method": "PATCH", "path": "/ping", "source": "express"}
+
+    main = 'from fastapi import FastAPI\nfrom a import users, router as alone\napp = FastAPI()\napp.include_router(users.api, prefix="/v1/")\n@app.get("/", response_model=list[User])\ndef home(): ...\n'
+    more = 'api = APIRouter(prefix="users")\nlone = APIRouter(prefix="/lone")\nlone.include_router(deep)\n@api.delete("/{id}")\ndef drop(id): ...\n@lone.get("")\ndef here(): ...\n@nobody.get("/x")\ndef never(): ...\nclass User(BaseModel):\n    email: str\n'
+    below = 'deep = APIRouter(prefix="/deep")\n@deep.get("/")\ndef down(): ...\nring = APIRouter(prefix="/ring")\nring.include_router(ring)\n@ring.get("/r")\ndef turn(): ...\n'
+    python = python_facts.extract(spark.createDataFrame([("main.py", main), ("a/users.py", more), ("a/deep.py", below)], "path string, content string"))
+    nodes, edges, routes = routers.route_graph(python_facts.http_map(python), python_facts.functions(python))
+    assert {(r.method, r.path, r.shows) for r in routes.collect()} == {("GET", "/", "User"), ("DELETE", "/v1/users/{id}", None), ("GET", "/lone", None), ("GET", "/lone/deep", None), ("GET", "/ring/r", None)}
+    assert ("USES", "Route:a/users.py#DELETE /v1/users/{id}", "Function:a/users.py#drop") in {(r.kind, r.src, r.dst) for r in edges.collect()}
+    assert [(r.shows, [tuple(x) for x in r.response_fields]) for r in python_facts.answer_fields(python).collect()] == [("User", [("Field:a/users.py#User#email", "email")])]
+
+
 def test_scalars(spark):
     row = lambda **c: spark.range(1).select(*[v.alias(k) for k, v in c.items()]).first().asDict()
     got = row(a=text.clean_path(F.lit("api//x?y=1")), b=text.clean_path(F.lit("?q")), c=text.route_path(F.lit("users/:id/")), d=text.typed_params(F.lit("/a/<int:id>/<x>")), e=text.join_url(F.lit("/api/"), F.lit("u")), f=text.js_round(F.lit(-2.5)), g=text.mask(F.lit("12345678")), h=text.clamp_percent(F.lit(140.2)), i=text.stem(F.lit("a/page.test.tsx")), j=text.line_count(F.lit("a\nb\n")), k=text.slug(F.lit("My Repo!")))
