@@ -20,7 +20,7 @@ def words(text: Column) -> Column:
 
 def draw(key: Column, seed: str) -> Column:
     """A number in [0, 1) that the seed and the key alone decide."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -50,7 +50,8 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] =
     target, rate, copies and taken.
 
     rate = target / source_size; a row is taken floor(rate) times and once more if its draw, which
-    seed and key alone decide, is under the fraction: reruns agree, repeated rows with one key agree.
+    seed and key alone decide, is under the fraction: reruns agree, repeated rows with one key agree. Where the
+    key is null, the text decides in its place (without a text column, all such rows draw alike).
     A null or empty text has size 0 and takes 0 words. A null source is a source; a source of size 0
     has target and rate 0. An empty table gives no rows. Input columns named like an added one give
     way. The hot source is never shuffled on: sources are pre-aggregated and joined back by broadcast
@@ -62,7 +63,8 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] =
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     out = rows.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor("rate").cast("int") + F.when(draw(F.col(key), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    nameless = F.concat(F.lit("null:"), F.md5(text_or_empty())) if "text" in docs.columns else F.lit("null")
+    copies = F.floor("rate").cast("int") + F.when(draw(F.coalesce(F.col(key).cast("string"), nameless), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return out.withColumn("rate", rate).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
@@ -75,14 +77,14 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS draw_key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + CAST((row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 AS INT)] AS w, 2.0::DOUBLE * source_size AS full_size FROM p),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(full_size) OVER (ORDER BY full_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(w) OVER (ORDER BY full_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 s AS (SELECT (SELECT level FROM l WHERE full_size > level * w ORDER BY full_size / w, source NULLS LAST LIMIT 1) AS stop),
 t AS (SELECT source, source_size, CASE WHEN stop IS NULL THEN full_size ELSE least(full_size, stop * w) END AS target FROM l, s),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+r AS (SELECT d.doc_id, d.size, d.draw_key, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix:' || draw_key), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """

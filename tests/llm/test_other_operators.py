@@ -237,6 +237,15 @@ def test_mix_keeps_columns_of_any_name(spark):
     assert out.columns == ["doc_id", "text", "source", "size", "rate"] and all(r["size"] == 10 * r.doc_id and r.rate == 0.5 for r in out.collect())
 
 
+def test_rows_without_an_id_draw_by_their_text(spark):
+    from graphloom.llm.mixing import mixing_plan
+
+    rows = [(None, f"w{i} word", "a") for i in range(400)] + [(i, "x y z", "b") for i in range(400)] + [(None, None, "a"), (None, "w0 word", "a")]
+    got = mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).where("source = 'a'").collect()
+    assert 0 < got[0].rate - int(got[0].rate) < 1 and len({r.copies for r in got}) == 2
+    assert len({r.copies for r in got if r.text == "w0 word"}) == 1 and abs(sum(r.taken for r in got) - got[0].target) < 120
+
+
 def test_op9_columns(spark, tmp_path):
     import zlib
 
