@@ -111,7 +111,7 @@ def _ci(spark: SparkSession, opts: argparse.Namespace) -> int:
     found = [v.asDict() for v in violations]
     blast: dict[str, list[str]] = {}
     if opts.baseline:
-        rows = diff.changes(load(spark, opts.baseline)["nodes"], now["nodes"], "node", F.col("id"), content=diff.node_content()).where("kind <> 'node_removed'").orderBy("id").limit(20).select("id")
+        rows = diff.changes(load(spark, opts.baseline)["nodes"], now["nodes"], "node", F.col("id"), content=diff.node_content).where("kind <> 'node_removed'").orderBy("id").limit(20).select("id")
         names = [r.id for r in rows.collect()]
         for r in edit_context.impact(now["nodes"], now["edges"], spark.createDataFrame([(n,) for n in names[:10]], "id string")).orderBy("depth", "id").limit(500).collect():
             blast.setdefault(r.seed, []).append(r.id)

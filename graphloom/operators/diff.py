@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from graphloom.functions.text import quartile, url_path
 
@@ -12,15 +15,16 @@ from graphloom.functions.text import quartile, url_path
 MOST_SCANS = 100_000
 
 
-def changes(before: DataFrame, after: DataFrame, what: str, label: Column, key: str = "id", content: Column | None = None) -> DataFrame:
+def changes(before: DataFrame, after: DataFrame, what: str, label: Column, key: str = "id", content: Column | Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """SET-03, JOIN-22: (kind, id, label) of rows added, removed and, given content, changed.
 
-    One full outer join on the key; content is compared by hash, so no row travels with it. Labels are
+    One full outer join on the key; content (a column, or what makes one of a side's rows) is compared by hash, so no row
+    travels with it. Labels are
     the new side's where there is one. Of rows with one key, the last in `ord` counts (without such a column, the largest).
     """
-    digest = F.lit(0).cast("long") if content is None else F.xxhash64(content)
 
     def side(rows: DataFrame, s: str) -> DataFrame:
+        digest = F.lit(0).cast("long") if content is None else F.xxhash64(content(rows) if callable(content) else content)
         at = F.struct("ord", label, digest) if "ord" in rows.columns else F.struct(label, digest)
         last = rows.groupBy(F.col(key).alias("id")).agg(F.max_by(F.struct(label.alias("label"), digest.alias("digest")), at).alias("x"))
         return last.select("id", F.col("x.label").alias(f"label_{s}"), F.col("x.digest").alias(f"digest_{s}"))
@@ -30,9 +34,16 @@ def changes(before: DataFrame, after: DataFrame, what: str, label: Column, key:
     return a.join(b, "id", "full_outer").select(kind.alias("kind"), "id", F.coalesce("label_b", "label_a").alias("label")).where("kind is not null")
 
 
-def canonical(*columns: str) -> Column:
-    """FN-18: the columns as text with sorted map keys."""
-    return F.to_json(F.struct(*columns))
+def stable(nodes: DataFrame, column: str = "meta") -> Column:
+    """FN-18: metadata as JSON with sorted keys at every depth; the order within arrays counts, and a null member is not an
+    absent one. The column is a VARIANT, a map of texts, or JSON text (what is not JSON stands as it is). Equal metadata are
+    equal texts whichever of the three holds them."""
+    kind = nodes.schema[column].dataType
+    if isinstance(kind, VariantType):
+        return F.to_json(column)
+    if isinstance(kind, MapType):
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
+    return F.coalesce(F.to_json(F.try_parse_json(column)), F.col(column))
 
 
 def node_label() -> Column:
@@ -47,15 +58,14 @@ def issue_key() -> Column:
     return F.concat(F.col("kind"), F.lit(":"), F.array_join(F.array_sort("nodes"), "|"), F.lit(":"), F.col("message"))
 
 
-def node_content() -> Column:
+def node_content(nodes: DataFrame) -> Column:
     """FN-18: what makes two nodes of one id differ."""
-    meta = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return F.to_json(F.struct("kind", "name", "file", "line", meta.alias("meta")))
+    return F.to_json(F.struct("kind", "name", "file", "line", stable(nodes).alias("meta")))
 
 
 def diff(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """All changes of two snapshots {nodes, edges, issues}."""
-    out = changes(before["nodes"], after["nodes"], "node", node_label(), content=node_content())
+    out = changes(before["nodes"], after["nodes"], "node", node_label(), content=node_content)
     out = out.unionByName(changes(before["edges"], after["edges"], "edge", edge_label()))
     keyed = [x["issues"].withColumn("key", issue_key()) for x in (before, after)]
     return out.unionByName(changes(*keyed, "issue", F.concat_ws(" ", "kind", "message"), key="key"))

@@ -296,6 +296,25 @@ def set03_diff(spark, d):
     return D.changes(*_snapshots(spark, d), "node", F.col("state"), content=F.col("state"))
 
 
+@query("""
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'node_added' WHEN o_orderkey % 10 = 1 THEN 'node_removed' ELSE 'node_changed' END AS kind,
+  'Order:' || o_orderkey AS id, 'Order ' || o_orderkey AS label
+FROM orders WHERE o_orderkey % 10 IN (0, 1, 2, 4)
+""")
+def set03_nested_meta(spark, d):
+    """Orders with nested metadata: of those that stay, some change within an array, some get a null member, and all are
+    written in another order of keys the second time, which is no change."""
+    key = F.col("o_orderkey")
+    text = F.col("o_orderkey").cast("string")
+    orders = A.table(spark, d, "orders").select(key, F.concat(F.lit("Order:"), text).alias("id"), F.lit("Order").alias("kind"), text.alias("name"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), "o_orderstatus", F.col("o_custkey").cast("string").alias("who"))
+    state = F.concat(F.lit('{"state": "'), "o_orderstatus", F.lit('", "n": 1}'))
+    first = F.concat(F.lit('{"by": {"id": '), "who", F.lit(', "tags": ["a", "b"]}, "parts": ['), state, F.lit(', {"x": [1, 2]}]}'))
+    x = F.when(key % 10 == 2, "[1, 3]").otherwise("[1, 2]")
+    again = F.concat(F.lit('{ "parts": ['), F.concat(F.lit('{"n": 1, "state": "'), "o_orderstatus", F.lit('"}')), F.lit(', {"x": '), x, F.lit('}], "by": {"tags": ["a", "b"], "id": '), "who", F.when(key % 10 == 4, ', "note": null}}').otherwise("}}"))
+    before, after = orders.where(key % 10 != 0).withColumn("meta", F.parse_json(first)), orders.where(key % 10 != 1).withColumn("meta", F.parse_json(again))
+    return D.changes(before, after, "node", D.node_label(), content=D.node_content)
+
+
 @query(f"WITH {DIFF_SQL} SELECT kind, count(*) AS n FROM diff GROUP BY kind")
 def agg16_change_counts(spark, d):
     return D.change_counts(D.changes(*_snapshots(spark, d), "node", F.col("state"), content=F.col("state")))

@@ -4,11 +4,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import cli
-from graphloom.operators import rules
+from graphloom.operators import diff, rules
 from graphloom.plans import analyze, projects
-from graphloom.sources import coverage, files, governance, python_facts, ts_facts, walk
+from graphloom.sources import coverage, files, governance, python_facts, report, ts_facts, walk
 from graphloom.sources.cache import FactsCache
 from graphloom.storage import Store
 
@@ -130,3 +131,43 @@ def test_commands(spark, tmp_path, capsys):
     with pytest.raises(ValueError):
         cli.binding("x")
     assert governance.load_first(spark, [web, api]).gates == {"min_coverage": 80, "min_health": 10}
+
+
+def test_reports_from_elsewhere(spark, tmp_path):
+    node = {"id": "n", "kind": "Page", "name": "N", "loc": {"file": "a.ts", "line": 3}, "meta": {"b": [{"y": 1, "x": [None, 2.5]}], "a": {"deep": True}}}
+    whole = {"schemaVersion": 4, "project": {"name": "", "root": "/w/My Shop/", "stack": ["django", "react"]}, "nodes": [node, {"id": "m", "kind": "Page", "name": "M"}], "edges": [{"id": "e", "from": "n", "to": "m", "kind": "USES"}], "issues": [{"kind": "DEAD_CODE", "severity": "low", "message": "x", "nodes": ["n"], "candidate": True}], "scores": {"health": 1}}
+
+    def saved(name, change):
+        body = json.loads(json.dumps(whole))
+        change(body)
+        (tmp_path / name).write_text(json.dumps(body, indent=1))
+        return report.read(spark, str(tmp_path / name))
+
+    same = saved("a.json", lambda r: None)
+    assert [tuple(r) for r in same["repos"].collect()] == [("my-shop", "My Shop", "/w/My Shop/", "frontend", ["django", "react"])]
+    assert same["project"].first().name == "Imported report"
+    assert [(r.id, r.file, r.line, r.ord) for r in same["nodes"].orderBy("ord").collect()] == [("n", "a.ts", 3, 0), ("m", None, None, 1)]
+    assert same["nodes"].select(diff.stable(same["nodes"]).alias("t")).first().t == '{"a":{"deep":true},"b":[{"x":[null,2.5],"y":1}]}'
+    assert saved("r.json", lambda r: r["project"].update(repos=[{"id": "A B", "name": "a", "root": "/a", "role": "backend", "stack": []}]))["repos"].first().id == "a-b"
+
+    def kinds(change):
+        return sorted(r.kind for r in diff.diff(same, saved("b.json", change)).collect())
+
+    assert kinds(lambda r: r["nodes"][0].update(meta=dict(reversed(node["meta"].items())))) == []
+    assert kinds(lambda r: r["nodes"][0]["meta"]["b"][0]["x"].reverse()) == ["node_changed"]
+    assert kinds(lambda r: r["nodes"][0]["meta"].update(c=None)) == ["node_changed"]
+    assert kinds(lambda r: r["nodes"][1].update(meta={})) == ["node_changed"]
+    assert kinds(lambda r: r.update(nodes=[], issues=[])) == ["issue_removed", "node_removed", "node_removed"]
+
+    flat = spark.createDataFrame([("k", "A", "a", None, None, {"z": "1", "b": None})], "id string, kind string, name string, file string, line int, meta map<string,string>")
+    said = flat.withColumn("meta", F.lit('{"b": null, "z": "1"}'))
+    assert diff.changes(flat, said, "node", diff.node_label(), content=diff.node_content).count() == 0
+    assert diff.changes(flat, said.withColumn("meta", F.lit("{oops")), "node", diff.node_label(), content=diff.node_content).count() == 1
+
+    store = Store(spark, str(tmp_path / "store"))
+    report.imported(store, str(tmp_path / "a.json"), "shop")
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        report.imported(store, str(tmp_path / "bad.json"), "shop")
+    held = store.latest("shop")[0][1]
+    assert held["nodes"].count() == 2 and diff.diff(held, same).count() == 0
