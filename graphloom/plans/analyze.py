@@ -85,7 +85,7 @@ def facts(source, files: DataFrame, cache: FactsCache | None = None) -> DataFram
     """The facts of `ts_facts` or `python_facts`; with a cache, only of files that it does not know yet. Files over
     the size guard have none (EXT-28)."""
     if cache is None:
-        return source.extract(files, SIZE_GUARD)
+        return source.found(files, SIZE_GUARD)
     held = cache.facts(source.wanted(files).select("path", "content"), source.__name__.rpartition(".")[2], source.facts_column(most=SIZE_GUARD))
     return source.rows(held)
 

@@ -132,7 +132,7 @@ def ext19_celery_tasks(spark, d):
     k = F.col("s_suppkey").cast("string")
     text = _text("# @shared_task\nnote = '''\n@shared_task\ndef ghost(): pass\n'''\n@shared_task\ndef plain():\n    @cached\n    def inner(): pass\n\n@shared_task(bind=True)\ndef called(self): pass\n\n@app.task\nasync def bound(): pass\n\n@tasks.other\ndef no", k, "(): pass\n")
     files = _rendered(A.table(spark, d, "supplier"), _text("jobs/t", k, ".py"), text)
-    return python_facts.extract(files).where("fact = 'celery_task'").select("file", "name")
+    return python_facts.found(files).where("fact = 'celery_task'").select("file", "name")
 
 
 @query("""

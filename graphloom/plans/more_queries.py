@@ -265,7 +265,7 @@ def _models(spark, d):
 
 @query("SELECT 'app/m' || c_custkey || '.py' AS file, fact, name FROM customer, (VALUES ('model', 'M'), ('serializer', 'S'), ('view', 'V')) AS f(fact, lead), LATERAL (SELECT lead || c_custkey AS name)")
 def ext13_python_classes(spark, d):
-    return python_facts.extract(_models(spark, d)).where("fact in ('model', 'serializer', 'view')").select("file", "fact", "name")
+    return python_facts.found(_models(spark, d)).where("fact in ('model', 'serializer', 'view')").select("file", "fact", "name")
 
 
 @query("""
@@ -655,7 +655,7 @@ def _shapes(spark, d):
 SELECT CASE p_partkey % 4 WHEN 2 THEN 'Component' ELSE 'Function' END || ':web/f' || p_partkey || '.tsx#F' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 2 THEN 2 ELSE 1 END::INT AS line, CASE WHEN p_partkey % 4 < 2 THEN 'true' ELSE 'false' END AS exported FROM part
 """)
 def ext01_scoped_symbols(spark, d):
-    return ts_facts.symbols(ts_facts.extract(_shapes(spark, d))).select("id", "line", F.col("meta")["exported"].alias("exported"))
+    return ts_facts.symbols(ts_facts.found(_shapes(spark, d))).select("id", "line", F.col("meta")["exported"].alias("exported"))
 
 
 @query("""
@@ -663,7 +663,7 @@ WITH f(way, field, own) AS (VALUES (0, 'deep', true), (0, 'top', false), (0, 'li
 SELECT CASE way WHEN 2 THEN 'Component' ELSE 'Function' END || ':web/f' || p_partkey || '.tsx#F' || p_partkey AS id, field || CASE WHEN own THEN p_partkey::VARCHAR ELSE '' END AS field FROM part JOIN f ON way = p_partkey % 4
 """)
 def ext07_field_reads(spark, d):
-    nodes = ts_facts.symbols(ts_facts.extract(_shapes(spark, d)))
+    nodes = ts_facts.symbols(ts_facts.found(_shapes(spark, d)))
     return nodes.select("id", F.explode(F.from_json(F.col("meta")["fieldReads"], "array<string>")).alias("field"))
 
 
@@ -677,5 +677,5 @@ def ext12_scoped_calls(spark, d):
 
 @query("SELECT 'Type:web/f' || p_partkey || '.tsx#Props' || p_partkey AS id, f.field FROM part, (VALUES ('user'), ('tag'), ('quoted')) AS f(field) WHERE p_partkey % 4 = 2")
 def ext06_type_fields(spark, d):
-    nodes = ts_facts.type_symbols(ts_facts.extract(_shapes(spark, d)))
+    nodes = ts_facts.type_symbols(ts_facts.found(_shapes(spark, d)))
     return nodes.select("id", F.explode(F.from_json(F.col("meta")["fields"], "array<string>")).alias("field"))

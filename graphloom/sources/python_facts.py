@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import basename, dirname, edge_id, join_path, typed_params
 from graphloom.operators.graph import Steps
+from graphloom.sources.parsing import once, parsed
 from graphloom.sources.routers import RouterMap, prefixes
 
 FACT = "array<struct<fact: string, name: string, owner: string, target: string, extra: string, line: int>>"
@@ -179,10 +180,15 @@ def rows(held: DataFrame) -> DataFrame:
     return found.select("file", F.col("ord").cast("long").alias("ord"), "f.*")
 
 
+def found(files: DataFrame, most: int | None = None) -> DataFrame:
+    """The facts of `extract` as a plan; for one use of them, as every further one parses again."""
+    return parsed(wanted(files), facts_of, most)
+
+
 def extract(files: DataFrame, most: int | None = None) -> DataFrame:
-    """(file, ord, fact, name, owner, target, extra, line) of Python files (path, content). Files of more than `most`
-    bytes have no facts (EXT-28), as a scan of a repository wants it; by default all have."""
-    return rows(wanted(files).select("path", facts_column(most=most).alias("facts")))
+    """(file, ord, fact, name, owner, target, extra, line) of Python files (path, content), parsed once and written down.
+    Files of more than `most` bytes have no facts (EXT-28), as a scan of a repository wants it; by default all have."""
+    return once(found(files, most))
 
 
 def modules(files: DataFrame) -> DataFrame:
