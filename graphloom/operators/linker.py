@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import clean_path, edge_id, is_param, segments
+from graphloom.operators.graph import Steps
 
 #: Up to this many masks are broadcast.
 MOST_MASKS = 100_000
@@ -35,11 +36,15 @@ def candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
     anything: with the masks of parameters that occur, calls offer their segments under each mask of a route of their
     length, routes under each mask of a call, and both meet by equality. Low is an equality of a whole path and an ending.
     Only the earliest route of a key can win, so routes are cut to one per key first: a call has at most one candidate
-    per pair of masks and per ending, however many routes share its shape.
+    per pair of masks and per ending, however many routes share its shape. Distinct calls and routes are written down, as
+    each way reads them again.
     """
+    kept = Steps(calls.sparkSession, "link")
     c = calls.select("method", "full_url", "dynamic").distinct().withColumn("clean", clean_path(F.col("full_url"))).withColumn("seg", segments(F.col("full_url"))).withColumn("mask", _mask(F.col("seg")))
+    c = kept.put(c, "calls")
     route = F.struct("route_ord", "endpoint_id", F.col("response_fields").alias("route_fields"))
     r = routes.select("method", route.alias("route"), clean_path(F.col("path")).alias("clean"), segments(F.col("path")).alias("seg")).withColumn("mask", _mask(F.col("seg")))
+    r = kept.put(r, "routes")
     first = lambda rows, key: rows.groupBy("method", key.alias("key")).agg(F.min_by("route", "route.route_ord").alias("route"))
     masks = lambda rows, name: rows.select("method", F.length("mask").alias("n"), F.col("mask").alias(name)).distinct()
     small = lambda rows: F.broadcast(rows) if rows.limit(MOST_MASKS + 1).count() <= MOST_MASKS else rows
