@@ -234,5 +234,6 @@ def rank_within(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def best_seed(seeds: DataFrame) -> DataFrame:
-    """WIN-03: per node the seed of highest priority, the first on ties."""
-    return seeds.groupBy("id").agg(F.max_by(F.struct("reason", "priority"), F.struct("priority", -F.col("ord"))).alias("s")).select("id", "s.*")
+    """WIN-03: per node the seed of highest priority, the first in `ord` (any type that has an order) on ties."""
+    place = F.struct(F.col("priority").isNull(), -F.col("priority"), F.col("ord"))
+    return seeds.groupBy("id").agg(F.min_by(F.struct("reason", "priority"), place).alias("s")).select("id", "s.*")

@@ -51,7 +51,9 @@ WITH r AS (SELECT l_partkey AS part, l_returnflag AS reason, l_linenumber AS pri
 SELECT 'Part:' || part AS id, arg_max(reason, (priority, -ord)) AS reason, max(priority) AS priority FROM r GROUP BY part
 """)
 def win03_best_seed(spark, d):
-    rows = A.table(spark, d, "lineitem").select(A.ref("Part", "l_partkey").alias("id"), F.col("l_returnflag").alias("reason"), F.col("l_linenumber").alias("priority"), F.col("l_orderkey").alias("ord"))
+    """Lines of one order, number and part are told apart by their place in the table: the first is the one that SQL keeps."""
+    place = F.struct("l_orderkey", "_metadata.file_path", "_metadata.row_index")
+    rows = A.table(spark, d, "lineitem").select(A.ref("Part", "l_partkey").alias("id"), F.col("l_returnflag").alias("reason"), F.col("l_linenumber").alias("priority"), place.alias("ord"))
     return S.best_seed(rows)
 
 
