@@ -368,15 +368,21 @@ def ext09_api_calls(spark, d):
     return ts_facts.api_calls(ts_facts.extract(_scripts(spark, d))).select("caller_id", "method", "full_url", "dynamic", "line")
 
 
-@query("SELECT DISTINCT 'web/src/c' || greatest(1, p_partkey // 2) || '.tsx' AS at, 'C' || greatest(1, p_partkey // 2) AS real, 'index/b' || (greatest(1, p_partkey // 2) // 200) || '.ts' AS file FROM part")
+@query("SELECT DISTINCT 'web/src/c' || greatest(1, p_partkey // 2) || '.tsx' AS at, 'C' || greatest(1, p_partkey // 2) AS real, 'index.ts' AS file FROM part")
 def join06_barrel(spark, d):
+    """One barrel shows every component, through a tree of barrels, so that it is whole and no file grows with its table."""
     files = _scripts(spark, d)
     n = F.greatest(F.lit(1), F.floor(F.col("p_partkey") / 2))
     h, part = n.cast("string"), A.table(spark, d, "part")
     barrel = _in_files(part, n, F.concat(F.lit("export { C"), h, F.lit(" } from '../inner/c"), h, F.lit("';\n")), lambda g: F.concat(F.lit("index/b"), g, F.lit(".ts")))
     inner = part.select(F.concat(F.lit("inner/c"), h, F.lit(".ts")).alias("path"), F.concat(F.lit("export * from '../web/src/c"), h, F.lit("';\n")).alias("content")).distinct()
-    files = files.unionByName(barrel).unionByName(inner)
-    return ts_facts.exports_closure(ts_facts.extract(files), files).where("file like 'index/%'").select("at", "real", "file")
+    group = part.select(F.floor(n / BESIDE).alias("g")).distinct()
+    middle = _in_files(group, F.col("g"), F.concat(F.lit("export * from './b"), F.col("g").cast("string"), F.lit("';\n")), lambda g: F.concat(F.lit("index/t"), g, F.lit(".ts")))
+    above = group.select(F.concat(F.lit("export * from './index/t"), F.floor(F.col("g") / BESIDE).cast("string"), F.lit("';\n")).alias("line"))
+    top = _in_files(above, F.lit(0), F.col("line"), lambda g: F.lit("index.ts"))
+    for more in (barrel, middle, top, inner):
+        files = files.unionByName(more)
+    return ts_facts.exports_closure(ts_facts.extract(files), files).where("file = 'index.ts'").select("at", "real", "file")
 
 
 @query("""
