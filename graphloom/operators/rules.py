@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import js_number, matches_any, node_path, stem
-from graphloom.operators.graph import strongly_connected
+from graphloom.operators.graph import Steps, strongly_connected
 from graphloom.schema import BOUNDARY_KINDS, FRAMEWORK_FILES, FRAMEWORK_NAMES, GOD_MODEL, HEALTH_WEIGHTS, LARGE_FILE
 
 @dataclass
@@ -159,24 +159,31 @@ def run_rules(nodes: DataFrame, edges: DataFrame, lines: DataFrame, config: Conf
     return whole
 
 
-def issue_files(issues: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """JOIN-27/28: (issue_id, file): files of an issue's nodes, of neighbours of nodes without one, and of meta."""
-    own = F.coalesce("file", F.when(F.col("kind") == "File", F.col("name")))
-    at = issues.select("issue_id", F.explode("nodes").alias("id"))
-    files = nodes.select("id", own.alias("file"))
-    held = at.join(files, "id", "left").withColumn("file", F.coalesce("file", F.when(F.col("id").startswith("File:"), F.expr("substring(id, 6)"))))
-    bare = held.where("file is null").select("issue_id", "id")
-    near = edges.select(F.col("src").alias("id"), F.col("dst").alias("n")).union(edges.select("dst", "src")).join(files.select(F.col("id").alias("n"), "file"), "n").where("file is not null")
-    meta = issues.select("issue_id", F.col("meta")["file"].alias("file")).where("file is not null")
-    return held.where("file is not null").select("issue_id", "file").unionByName(bare.join(near, "id").select("issue_id", "file")).unionByName(meta).distinct()
-
-
 def filter_ignored(issues: DataFrame, nodes: DataFrame, edges: DataFrame, globs: Sequence[str]) -> DataFrame:
-    """RUL-11: an issue goes if it has files and all of them match; `issues` has an issue_id."""
+    """RUL-11, JOIN-27/28: an issue goes if it has files and all of them match; `issues` has an issue_id.
+
+    Its files are those of its nodes, of the neighbours of nodes without one, and of meta. Globs are asked once per node, and
+    an issue with a file of its own that no glob matches stays, whatever else it has. Only what is left is written, and edges
+    are read only for its nodes without a file, if there are any.
+    """
     if not globs:
         return issues
-    files = issue_files(issues, nodes, edges)
-    gone = files.groupBy("issue_id").agg(F.bool_and(matches_any(F.col("file"), globs)).alias("all")).where("all").select("issue_id")
+    kept = Steps(issues.sparkSession, "ignored")
+    own = F.coalesce("file", F.when(F.col("kind") == "File", F.col("name")))
+    fits = nodes.select("id", matches_any(own, globs).alias("fits"), own.isNotNull().alias("has"))
+    at = issues.select("issue_id", F.explode("nodes").alias("id")).join(fits, "id", "left")
+    by_id = F.when(F.col("id").startswith("File:"), matches_any(F.expr("substring(id, 6)"), globs))
+    at = at.select("issue_id", F.when(F.col("has"), F.col("fits")).otherwise(by_id).alias("fits"), F.when(~F.coalesce("has", F.lit(False)) & ~F.col("id").startswith("File:"), F.col("id")).alias("bare"))
+    said = issues.select("issue_id", F.col("meta")["file"].alias("file")).where("file is not null").select("issue_id", matches_any(F.col("file"), globs).alias("fits"), F.lit(None).cast("string").alias("bare"))
+    per = at.unionByName(said).groupBy("issue_id").agg(F.bool_and("fits").alias("all"), F.collect_set("bare").alias("bare"))
+    per = kept.put(per.where(F.coalesce("all", F.lit(True))), "open")
+    bare = per.select("issue_id", F.explode("bare").alias("id"))
+    gone = per.select("issue_id", "all")
+    if not bare.isEmpty():
+        near = edges.select(F.col("src").alias("id"), F.col("dst").alias("n")).union(edges.select("dst", "src")).join(bare.select("id").distinct(), "id", "left_semi")
+        near = near.join(fits.where("has").select(F.col("id").alias("n"), "fits"), "n").groupBy("id").agg(F.bool_and("fits").alias("all"))
+        gone = gone.unionByName(bare.join(near, "id").select("issue_id", "all"))
+    gone = gone.groupBy("issue_id").agg(F.bool_and("all").alias("all")).where("all").select("issue_id")
     return issues.join(gone, "issue_id", "left_anti")
 
 
