@@ -20,6 +20,10 @@ VERBS = ("get", "post", "put", "patch", "delete", "options", "head")
 SIZE_GUARD = 1_500_000
 
 
+#: Nodes with nothing below them that holds a fact.
+LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, ast.alias)
+
+
 def _last(node: ast.AST) -> str:
     if isinstance(node, ast.Call):
         return _last(node.func)
@@ -28,6 +32,15 @@ def _last(node: ast.AST) -> str:
     return node.id if isinstance(node, ast.Name) else ""
 
 
+def _source(node: ast.AST) -> str:
+    """The source of an expression; of a dotted name without the parser's printer."""
+    names, at = [], node
+    while isinstance(at, ast.Attribute):
+        names.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *reversed(names)]) if isinstance(at, ast.Name) else ast.unparse(node)
+
+
 def _text(node: ast.AST | None) -> str | None:
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
@@ -41,6 +54,21 @@ class _Facts(ast.NodeVisitor):
         self.rows: list[dict] = []
         self.owner: list[str] = []
 
+    def visit(self, node: ast.AST) -> None:
+        if not isinstance(node, LEAVES):
+            VISITS.get(type(node), _Facts.generic_visit)(self, node)
+
+    def generic_visit(self, node: ast.AST) -> None:
+        """All below a node in the order of the text, without the leaves."""
+        for name in node._fields:
+            value = getattr(node, name, None)
+            if isinstance(value, list):
+                for item in value:
+                    if isinstance(item, ast.AST):
+                        self.visit(item)
+            elif isinstance(value, ast.AST):
+                self.visit(value)
+
     def add(self, fact: str, node: ast.AST, name: str = "", target: str | None = None, extra: str | None = None) -> None:
         self.rows.append({"fact": fact, "name": name, "owner": ".".join(self.owner) or None, "target": target, "extra": extra, "line": getattr(node, "lineno", None)})
 
@@ -127,7 +155,7 @@ class _Facts(ast.NodeVisitor):
         self.generic_visit(node)
 
     def visit_Call(self, node: ast.Call) -> None:
-        name = ast.unparse(node.func) if isinstance(node.func, (ast.Name, ast.Attribute)) else ""
+        name = _source(node.func) if isinstance(node.func, (ast.Name, ast.Attribute)) else ""
         if self.owner and name:
             self.add("call", node, name)
         if _last(node.func) in ("path", "re_path") and len(node.args) > 1 and isinstance(node.args[1], ast.Call) and _last(node.args[1]) == "include" and node.args[1].args:
@@ -137,7 +165,7 @@ class _Facts(ast.NodeVisitor):
         if isinstance(node.func, ast.Attribute):
             if node.func.attr in ("include_router", "register_blueprint") and node.args:
                 prefix = _text(_keyword(node, "prefix")) or _text(_keyword(node, "url_prefix")) or ""
-                self.add("mount", node, _last(node.func.value), ast.unparse(node.args[0]), prefix)
+                self.add("mount", node, _last(node.func.value), _source(node.args[0]), prefix)
             elif node.func.attr == "register" and len(node.args) > 1 and _text(node.args[0]) is not None:
                 self.add("registration", node, _last(node.func.value), _last(node.args[1]), _text(node.args[0]))
             elif node.func.attr == "connect" and node.args and _last(node.args[0]):
@@ -148,6 +176,10 @@ class _Facts(ast.NodeVisitor):
         self.generic_visit(node)
 
 
+#: The visitors by class of node.
+VISITS = {getattr(ast, name.removeprefix("visit_")): visit for name, visit in vars(_Facts).items() if name.startswith("visit_")}
+
+
 def facts_of(text: str | None, most: int | None = None) -> list[dict]:
     """All facts of one file; what doesn't parse or has more than `most` bytes (EXT-28) has none."""
     if not text or (most is not None and len(text.encode()) > most):

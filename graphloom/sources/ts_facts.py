@@ -59,6 +59,31 @@ TYPE_REF = re.compile(r"(?::|<|\||&|,|\bas|\bextends)\s*(?:readonly\s+)?([A-Z][\
 ANSWER = re.compile(r"(?:const|let|var)\s+(?:([A-Za-z_$][\w$]*)|\{\s*data(?:\s*:\s*([A-Za-z_$][\w$]*))?\s*\})\s*(?::[^=\n]+)?=\s*(?:await\s+)?$")
 #: Members of an answer that are no fields.
 NO_FIELDS = frozenset(("data", "filter", "forEach", "length", "map", "reduce"))
+MADE = re.compile(r"\bfunction\s*\*?\s*$")
+HOOK = re.compile(r"use[A-Z]")
+USE_CONTEXT = re.compile(r"(?<![\w$])useContext\(\s*([A-Za-z_$][\w$]*)")
+THEN = re.compile(r"\s*\.then(\()\s*(?:async\b\s*)?(?:function\b\s*[\w$]*\s*)?\(?\s*([A-Za-z_$][\w$]*)")
+ALIAS = re.compile(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*([A-Za-z_$][\w$]*(?:\.data)?)\s*(?=[;\n])")
+EQUAL_REF = re.compile(r"=\s*([A-Z][\w$]*)")
+DEFAULT = re.compile(r"\bexport\s+default\s+([A-Za-z_$][\w$]*)")
+LISTED = re.compile(r"\bexport\s*\{([^}]*)\}(?!\s*from\b)")
+#: Texts of which every match of a pattern holds one, so that a file without them is not searched.
+NEEDS = {
+    IMPORT: ("import",),
+    REEXPORT: ("export",),
+    DYNAMIC: ("import(",),
+    API: (".get", ".post", ".put", ".patch", ".delete"),
+    FETCH: ("fetch(", "ky(", "got("),
+    AXIOS: ("axios.create(",),
+    TYPE: ("interface", "type"),
+    CONTEXT: ("createContext",),
+    EXPRESS: ("express()", "Router("),
+    ROUTE_TAG: ("Route",),
+    NEST_CLASS: ("@Controller(", "@Injectable(", "@Module("),
+    USE_CONTEXT: ("useContext(",),
+    DEFAULT: ("default",),
+    LISTED: ("export",),
+}
 SKIP = frozenset(("if", "for", "while", "switch", "catch", "function", "return", "typeof", "import", "require", "super", "await"))
 
 
@@ -89,9 +114,12 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
     def add(fact: str, at: int, name: str = "", owner: str | None = None, target: str | None = None, extra: str | None = None) -> None:
         rows.append({"fact": fact, "name": name, "owner": owner, "target": target, "extra": extra, "line": line(at)})
 
-    def in_code(pattern: re.Pattern) -> Iterator[re.Match]:
+    def search(pattern: re.Pattern, where: str) -> Iterator[re.Match]:
+        return pattern.finditer(where) if any(x in where for x in NEEDS[pattern]) else iter(())
+
+    def in_code(pattern: re.Pattern) -> list[re.Match]:
         """Matches that start in code; what they hold may be a string."""
-        return (m for m in pattern.finditer(code) if mask[m.start()] == code[m.start()])
+        return [m for m in search(pattern, code) if mask[m.start()] == code[m.start()]]
 
     spans = seen.declarations()
     starts = [a for a, *_ in spans]
@@ -105,7 +133,7 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
 
     shown = {owner(at) for at, _ in seen.tags}
     for a, b, name, exported, default in spans:
-        kind = "Hook" if re.match("use[A-Z]", name) else "Component" if name[0].isupper() and name in shown else "Function"
+        kind = "Hook" if HOOK.match(name) else "Component" if name[0].isupper() and name in shown else "Function"
         reads = [m[1] for m in PROPERTY.finditer(mask, a, b) if m[1] not in IGNORED_READS and not (m[1][0].isupper() and QUALIFIED.search(mask, max(a, m.start() - 80), m.start()))]
         add("declaration", a, name, target=json.dumps(list(dict.fromkeys(reads))), extra=f"{kind}|{'exported' if exported else ''}|{'default' if default else ''}")
     for m in in_code(IMPORT):
@@ -124,24 +152,24 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
         if tag[:1].isupper():
             add("provides" if tag.endswith(".Provider") else "jsx", at, tag.removesuffix(".Provider"), owner(at))
     for m in CALL.finditer(mask):
-        made = re.search(r"\bfunction\s*\*?\s*$", mask[max(0, m.start() - 20) : m.start()]) or METHOD.match(mask, seen.close.get(m.end() - 1, len(mask)) + 1)
+        made = MADE.search(mask[max(0, m.start() - 20) : m.start()]) or METHOD.match(mask, seen.close.get(m.end() - 1, len(mask)) + 1)
         if m[1] not in SKIP and not made:
-            add("hook_call" if re.match("use[A-Z]", m[1]) else "call", m.start(), m[1], owner(m.start()))
-    for m in re.finditer(r"(?<![\w$])useContext\(\s*([A-Za-z_$][\w$]*)", mask):
+            add("hook_call" if HOOK.match(m[1]) else "call", m.start(), m[1], owner(m.start()))
+    for m in search(USE_CONTEXT, mask):
         add("consumes", m.start(), m[1], owner(m.start()))
 
     def answered(call: re.Match) -> None:
         """EXT-10: fields read from the answer of a call in its declaration: those of the data, of its aliases,
         and, with less confidence, of the parameter that maps over it; or those that its `then` reads."""
         done = seen.close.get(mask.find("(", call.start()), len(mask)) + 1
-        then = re.compile(r"\s*\.then(\()\s*(?:async\b\s*)?(?:function\b\s*[\w$]*\s*)?\(?\s*([A-Za-z_$][\w$]*)").match(mask, done)
+        then = THEN.match(mask, done)
         made = ANSWER.search(code[max(0, call.start() - 160) : call.start()])
         if then:
             first, last, roots = then.end(), seen.close.get(then.start(1), len(mask)), [re.escape(then[2]) + r"\.data"]
         elif made:
             first, last = call.end(), span(call.start())[1]
             roots = [re.escape(made[1]) + r"\.data"] if made[1] else [re.escape(made[2] or "data")]
-            for m in re.finditer(r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*([A-Za-z_$][\w$]*(?:\.data)?)\s*(?=[;\n])", mask[first:last]):
+            for m in ALIAS.finditer(mask[first:last]):
                 if re.escape(m[2]) in roots:
                     roots.append(re.escape(m[1]))
         else:
@@ -165,13 +193,13 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
         for ref in sorted({m[1] for m in TYPE_REF.finditer(mask, a, b)}):
             add("type_ref", a, ref, name)
     brackets = sorted(seen.close)
-    for m in TYPE.finditer(mask):
+    for m in search(TYPE, mask):
         at = m.start() + len(m[0]) - len(m[0].lstrip())
         if not seen.top(at):
             continue
         head = seen.walk(m.end(), "{=")
         end = seen.close.get(head, len(mask)) + 1 if mask[head : head + 1] == "{" else seen.walk(head + 1, "")
-        for ref in sorted({r[1] for r in TYPE_REF.finditer(mask, m.end(), end)} | {r[1] for r in re.compile(r"=\s*([A-Z][\w$]*)").finditer(mask, m.end(), end)}):
+        for ref in sorted({r[1] for r in TYPE_REF.finditer(mask, m.end(), end)} | {r[1] for r in EQUAL_REF.finditer(mask, m.end(), end)}):
             add("type_ref", at, ref, m[3])
         members, around, k = [], [], bisect_right(brackets, m.end() - 1)
         for r in MEMBER.finditer(code, m.end(), end):
@@ -188,13 +216,14 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
             if around and mask[around[-1]] == "{" and mask[before] in "{;,\r\n":
                 members.append(r[2])
         add("type", at, m[3], target=json.dumps(list(dict.fromkeys(members))), extra=f"{m[2]}|{'exported' if m[1] else ''}")
-    for m in [*in_code(API), *in_code(FETCH)]:
+    clients, fetches = in_code(API), in_code(FETCH)
+    for m in [*clients, *fetches]:
         answered(m)
-    for m in in_code(API):
+    for m in clients:
         url, dynamic = template(m[4])
         if url.startswith(("/", "http://", "https://")):
             add("api_call", m.start(), m[1], owner(m.start()), url, f"{m[2].upper()}|{str(dynamic).lower()}")
-    for m in in_code(FETCH):
+    for m in fetches:
         url, dynamic = template(m[3])
         method = re.search(r"method\s*:\s*[\"'`](\w+)", m[4] or "")
         if url.startswith(("/", "http://", "https://")):
@@ -202,8 +231,8 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
     for fact, pattern in (("axios", AXIOS), ("context", CONTEXT)):
         for m in in_code(pattern):
             add(fact, m.start(), m[1], target=m[2] if m.re.groups > 1 else None)
-    shown_as = [(m[1], "default") for m in re.finditer(r"\bexport\s+default\s+([A-Za-z_$][\w$]*)", mask)]
-    shown_as += [pair for m in re.finditer(r"\bexport\s*\{([^}]*)\}(?!\s*from\b)", mask) for pair in _named(m[1])]
+    shown_as = [(m[1], "default") for m in search(DEFAULT, mask)]
+    shown_as += [pair for m in search(LISTED, mask) for pair in _named(m[1])]
     for m in in_code(EXPRESS):
         exported = [m[1]] if re.search(r"\bexport\s+$", mask[max(0, m.start() - 20) : m.start()]) else []
         add("express", m.start(), m[1], target=m[2], extra=",".join([*exported, *(name for own, name in shown_as if own == m[1])]))
@@ -261,7 +290,7 @@ def facts_of(text: str | None, most: int | None = None) -> list[dict]:
             add("react_route", m.start(), shown[1] if shown else "", target="/".join([p for p in open_paths if p is not None] + [own[2]]))
         if not m[2]:
             open_paths.append(own[2] if own else None)
-    nest = list(in_code(NEST_CLASS))
+    nest = in_code(NEST_CLASS)
     for i, m in enumerate(nest):
         body = code[m.end() : nest[i + 1].start() if i + 1 < len(nest) else len(code)]
         literal = re.match(r"\s*([\"'`])(.*?)\1", m[2])
