@@ -210,7 +210,8 @@ def strongly_connected(edges: DataFrame, rounds: int | None = None) -> DataFrame
     a component, which leaves the graph. Last, what was taken out of a path belongs to the component that both
     of its ends are in. Self-loops are components of one. Every loop ends when nothing changes any more: rings and chains take
     a logarithm of their length in rounds, only what branches takes as many as it is deep; one that takes more than
-    `rounds` raises.
+    `rounds` raises. Nodes are numbered for all that, and named again at the end: numbers are hashed, compared and
+    moved for a fraction of what ids take.
     """
 
     def due(k: int) -> None:
@@ -219,7 +220,11 @@ def strongly_connected(edges: DataFrame, rounds: int | None = None) -> DataFrame
 
     spark = edges.sparkSession
     kept = Steps(spark, "scc")
-    base = kept.put(edges.select("src", "dst").distinct(), "base")
+    named = kept.put(edges.select("src", "dst").where("src is not null and dst is not null"), "named")
+    ids = named.select(F.col("src").alias("id")).distinct().unionByName(named.select(F.col("dst").alias("id")).distinct()).distinct()
+    numbers = kept.put(ids.select("id", F.monotonically_increasing_id().alias("n")), "numbers")
+    number = lambda rows, end: rows.join(numbers.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end).drop(end)
+    base = kept.put(number(number(named, "src"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")).distinct(), "base")
     looped = base.where("src = dst").select(F.col("src").alias("id"))
     left, n = kept.counted(base.where("src <> dst"), "left-0")
     found: list[DataFrame] = []
@@ -262,8 +267,9 @@ def strongly_connected(edges: DataFrame, rounds: int | None = None) -> DataFrame
     for k, gone in enumerate(reversed(taken)):
         ends = gone.join(placed.select(F.col("id").alias("before"), F.col("root").alias("a")), "before").join(placed.select(F.col("id").alias("after"), F.col("root").alias("b")), "after")
         placed = kept.put(placed.unionByName(ends.where("a = b").select("id", F.col("a").alias("root"))), f"placed-{k}")
-    smallest = placed.groupBy("root").agg(F.min("id").alias("component"))
-    return placed.join(smallest, "root").select("id", "component")
+    members = placed.withColumnRenamed("id", "n").join(numbers, "n").select("id", "root")
+    smallest = members.groupBy("root").agg(F.min("id").alias("component"))
+    return members.join(smallest, "root").select("id", "component")
 
 
 def layout(nodes: DataFrame, kinds: list[str]) -> DataFrame:
