@@ -84,9 +84,11 @@ def circular_imports(edges: DataFrame) -> DataFrame:
     return members.select(*issue("CIRCULAR_DEPENDENCY", "high", F.concat(F.lit("Circular import: "), F.array_join("nodes", " → ")), F.col("nodes")))
 
 
-def boundary_violations(nodes: DataFrame, edges: DataFrame, groups: Mapping[str, Sequence[str]], rules: Sequence[Boundary]) -> DataFrame:
-    """RUL-04, JOIN-20/21: groups of both ends by path, then deny rules; an edge they spare must be allowed
-    by some rule of its source group, if there are any, unless both ends share a group."""
+def boundary_hits(nodes: DataFrame, edges: DataFrame, groups: Mapping[str, Sequence[str]], rules: Sequence[Boundary]) -> DataFrame:
+    """RUL-04, JOIN-20/21: (edge_id, src, dst, rule, index, from_group, to_group, message, allowed): groups of both ends by path,
+    then deny rules; an edge they spare must be allowed by some rule of its source group, if there are any, unless both
+    ends share a group. Columns are flat, so that what is not asked for (ids of edges are long) passes no shuffle; nodes
+    are hashed within partitions, so that no side is sorted and no node table is sent to all."""
     path = node_path(F.col("kind"), F.col("name"), F.col("file"), F.col("id"))
     own = F.array_compact(F.array(*[F.when(matches_any(path, globs), F.lit(g)) for g, globs in groups.items()])) if groups else F.array().cast("array<string>")
     placed = nodes.select("id", path.alias("path"), own.alias("groups")).where(F.size("groups") > 0)
@@ -99,7 +101,7 @@ def boundary_violations(nodes: DataFrame, edges: DataFrame, groups: Mapping[str,
     kinds = sorted({k for r in rules for k in (r.kinds or BOUNDARY_KINDS)})
     met = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
     met = met.select(F.col("id").alias("edge_id"), "src", "dst", F.col("kind").alias("edge_kind"))
-    met = met.join(sources.toDF("src", "src_path", "src_groups"), "src").join(placed.toDF("dst", "dst_path", "dst_groups"), "dst")
+    met = met.join(sources.toDF("src", "src_path", "src_groups").hint("shuffle_hash"), "src").join(placed.toDF("dst", "dst_path", "dst_groups").hint("shuffle_hash"), "dst")
     kind_fits = lambda r: F.col("edge_kind").isin(*(r.kinds or BOUNDARY_KINDS))
     among = lambda column, ids: F.filter(column, lambda g: g.isin(*ids)) if "*" not in ids else F.col(column)
     denies, allows = [r for r in rules if not r.allow], [r for r in rules if r.allow]
@@ -118,10 +120,17 @@ def boundary_violations(nodes: DataFrame, edges: DataFrame, groups: Mapping[str,
         denied = F.coalesce(*hits).isNotNull() if hits else F.lit(False)
         hits.append(F.when(bad & ~denied, F.struct(F.lit("allow").alias("rule"), F.lit(None).cast("string").alias("index"), F.get("src_groups", 0).alias("a"), F.get("dst_groups", 0).alias("b"), default.alias("message"), F.array_join(names, ", ").alias("allowed"))))
     if not hits:
-        return met.where("false").select(*issue("BOUNDARY_VIOLATION", "medium", default, F.array("src", "dst")))
+        empty = F.lit(None).cast("string")
+        return met.where("false").select("edge_id", "src", "dst", empty.alias("rule"), empty.alias("index"), empty.alias("from_group"), empty.alias("to_group"), default.alias("message"), empty.alias("allowed"))
     rows = met.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    meta = F.map_filter(F.create_map(F.lit("edgeId"), F.col("edge_id"), F.lit("fromGroup"), F.col("hit.a"), F.lit("toGroup"), F.col("hit.b"), F.lit("rule"), F.col("hit.rule"), F.lit("ruleIndex"), F.col("hit.index"), F.lit("allowedTo"), F.col("hit.allowed")), lambda k, v: v.isNotNull())
-    return rows.select(*issue("BOUNDARY_VIOLATION", "medium", F.col("hit.message"), F.array("src", "dst"), False, meta))
+    return rows.select("edge_id", "src", "dst", "hit.rule", "hit.index", F.col("hit.a").alias("from_group"), F.col("hit.b").alias("to_group"), "hit.message", "hit.allowed")
+
+
+def boundary_violations(nodes: DataFrame, edges: DataFrame, groups: Mapping[str, Sequence[str]], rules: Sequence[Boundary]) -> DataFrame:
+    """RUL-04 as issues."""
+    told = (("edgeId", "edge_id"), ("fromGroup", "from_group"), ("toGroup", "to_group"), ("rule", "rule"), ("ruleIndex", "index"), ("allowedTo", "allowed"))
+    meta = F.map_filter(F.create_map(*[x for name, c in told for x in (F.lit(name), F.col(c))]), lambda k, v: v.isNotNull())
+    return boundary_hits(nodes, edges, groups, rules).select(*issue("BOUNDARY_VIOLATION", "medium", F.col("message"), F.array("src", "dst"), False, meta))
 
 
 def god_models(nodes: DataFrame, edges: DataFrame, most: int = GOD_MODEL) -> DataFrame:

@@ -85,7 +85,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     t = lambda name: table(spark, sf_dir, name)
     path = lambda folder, nation: F.concat(F.lit(folder + "/nation"), F.col(nation).cast("string"), F.lit("/file.ts"))
     nodes = _nodes(t("customer"), "Customer", "c_custkey", "c_name", path("buyers", "c_nationkey")).unionByName(_nodes(t("supplier"), "Supplier", "s_suppkey", "s_name", path("sellers", "s_nationkey")))
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    joined = t("lineitem").join(t("orders").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     return nodes, _edges(joined, "USES", ref("Customer", "o_custkey"), ref("Supplier", "l_suppkey"), F.lit(0))
 
 

@@ -141,9 +141,7 @@ SELECT src, dst, 'deny' AS rule, 'buyers' AS from_group, 'sellers' AS to_group,
 UNION ALL SELECT src, dst, 'allow', 'north', CASE WHEN bn THEN 'north' ELSE 'sellers' END, 'Boundary violation: ' || fa || ' USES ' || fb FROM m WHERE NOT bs AND an AND NOT bn
 """)
 def rul04_boundaries(spark, d):
-    rows = R.boundary_violations(*A.trade_graph(spark, d), GROUPS, BOUNDARIES)
-    meta = F.col("meta")
-    return rows.select(F.col("nodes")[0].alias("src"), F.col("nodes")[1].alias("dst"), meta["rule"].alias("rule"), meta["fromGroup"].alias("from_group"), meta["toGroup"].alias("to_group"), "message")
+    return R.boundary_hits(*A.trade_graph(spark, d), GROUPS, BOUNDARIES).select("src", "dst", "rule", "from_group", "to_group", "message")
 
 
 @query(f"WITH {A.LINK_SQL} SELECT c.call_ord, best.endpoint_id, best.confidence FROM c LEFT JOIN best USING (call_ord)")
